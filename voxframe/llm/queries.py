@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from voxframe.llm import gif, mixing, sharding, warc
+from voxframe.llm import gif, langid, mixing, quality, sharding, warc
 from voxframe.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,10 +17,12 @@ def _over(name: str, operator: Callable[[DataFrame], DataFrame]) -> Query:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_hyperdimensional_language": _over("documents", langid.document_languages),
     "op2_gif_media": _over("documents", gif.store_documents),
     "op3_warc_revisits": _over("pages", warc.revisit_report),
     "op4_hypergeometric_shards": _over("documents", sharding.shard_documents),
     "op7_poisson_mix": _over("documents", mixing.poisson_mix),
+    "op9_importance_resampling": lambda spark, sf_dir: quality.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select("doc_id", "source", "log_weight", "gumbel_key"),
 }
 
 ORACLE_SQL: dict[str, str] = {
