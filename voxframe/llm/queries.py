@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from voxframe.llm import gif, langid, mixing, neardup, quality, sharding, warc
+from voxframe.llm import gif, langid, mixing, neardup, pii, quality, sharding, warc
 from voxframe.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +22,7 @@ QUERIES: dict[str, Query] = {
     "op3_warc_revisits": _over("pages", warc.revisit_report),
     "op4_hypergeometric_shards": _over("documents", sharding.shard_documents),
     "op7_poisson_mix": _over("documents", mixing.poisson_mix),
+    "op8_surrogates": _over("documents", lambda docs: pii.pseudonymise(docs).select("doc_id", "text", "n_entities")),
     "op9_importance_resampling": lambda spark, sf_dir: quality.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select("doc_id", "source", "log_weight", "gumbel_key"),
     "op10_bagminhash_classes": lambda spark, sf_dir: neardup.near_duplicate_classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id"),
 }
