@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from voxframe.llm import gif, langid, mixing, neardup, pii, quality, sharding, warc
+from voxframe.llm import gif, langid, mixing, neardup, packing, pii, quality, sharding, warc
 from voxframe.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,11 +16,18 @@ def _over(name: str, operator: Callable[[DataFrame], DataFrame]) -> Query:
     return lambda spark, sf_dir: operator(table(spark, sf_dir, name))
 
 
+def default_tokenizer() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
 QUERIES: dict[str, Query] = {
     "op1_hyperdimensional_language": _over("documents", langid.document_languages),
     "op2_gif_media": _over("documents", gif.store_documents),
     "op3_warc_revisits": _over("pages", warc.revisit_report),
     "op4_hypergeometric_shards": _over("documents", sharding.shard_documents),
+    "op5_best_fit_packing": _over("documents", lambda docs: packing.pack_documents(docs, default_tokenizer())),
     "op7_poisson_mix": _over("documents", mixing.poisson_mix),
     "op8_surrogates": _over("documents", lambda docs: pii.pseudonymise(docs).select("doc_id", "text", "n_entities")),
     "op9_importance_resampling": lambda spark, sf_dir: quality.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select("doc_id", "source", "log_weight", "gumbel_key"),
