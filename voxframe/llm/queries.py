@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from voxframe.llm import gif, langid, mixing, neardup, packing, pii, quality, sharding, warc
+from voxframe.llm import gif, hnsw, langid, mixing, neardup, packing, pii, quality, sharding, warc
 from voxframe.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +29,7 @@ QUERIES: dict[str, Query] = {
     "op3_warc_revisits": _over("pages", warc.revisit_report),
     "op4_hypergeometric_shards": _over("documents", sharding.shard_documents),
     "op5_best_fit_packing": _over("documents", lambda docs: packing.pack_documents(docs, default_tokenizer())),
+    "op6_hnsw_neighbours": _over("embeddings", lambda e: hnsw.nearest(e, F.coalesce(F.col("vec_id") % 50 == 0, F.lit(False)))),
     "op7_poisson_mix": _over("documents", mixing.poisson_mix),
     "op8_surrogates": _over("documents", lambda docs: pii.pseudonymise(docs).select("doc_id", "text", "n_entities")),
     "op9_importance_resampling": lambda spark, sf_dir: quality.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select("doc_id", "source", "log_weight", "gumbel_key"),
