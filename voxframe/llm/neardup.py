@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxframe.llm.common import cut
@@ -17,7 +17,8 @@ SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 32, 6  # a pair at similarity 0.8 shares no band once in 16,000 pairs
 SLOTS = BANDS * ROWS
-EMPTY = hashlib.blake2b(b"", digest_size=16).digest()
+TURNS = 2
+CLASS = 1.05  # sizes in a class differ by less than this factor
 
 
 def shingles(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
@@ -163,6 +164,40 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("a").alias("node"), F.col("b").alias("label")).union(now.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct())
 
 
+def occurrences(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """content, label, elements, counts -> content, label, size and a row per occurrence of a shingle."""
+    for batch in it:
+        for content, label, elements, counts in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            x, n = np.frombuffer(elements, np.uint64), np.frombuffer(counts, np.int32)
+            nth = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            rows = mix(np.repeat(x, n) + nth.astype(np.uint64) * np.uint64(0x9FB21C651E98DF25)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array([content] * len(rows), pa.binary()), pa.array([label] * len(rows), pa.binary()), pa.array(np.full(len(rows), len(rows), np.int64)), pa.array(rows)], ["content", "label", "size", "shingle"])
+
+
+def across(nodes: DataFrame, bags: DataFrame) -> DataFrame:
+    """Pairs a, b of nodes (content, label) with different labels that may be similar: an exact prefix filter.
+
+    Two bags of sizes p and q at similarity t share at least o = t / (1 + t) (p + q) shingles, so with shingles in one order
+    the first p - o + 1 of one meet the first q - o + 1 of the other. Rare shingles come first; o is taken for the smallest
+    size of the partner's size class. What many nodes share stands behind, so groups that are alike but not similar make
+    few pairs.
+    """
+    rows = cut(bags.join(nodes, "content").select("content", "label", "elements", "counts").mapInArrow(occurrences, "content binary, label binary, size long, shingle long"))
+    common = rows.groupBy("shingle").agg(F.count("*").alias("df"), F.min("label").alias("p"), F.max("label").alias("q"))
+    order = Window.partitionBy("content").orderBy("df", "shingle")
+    least = lambda other: F.ceil(F.lit(SIMILARITY / (1 + SIMILARITY)) * (F.col("size") + other) - 1e-6)
+    widest = F.col("size") - F.ceil(F.lit(SIMILARITY) * F.col("size") - 1e-6) + 1
+    first = rows.join(common, "shingle").withColumn("at", F.row_number().over(order)).filter((F.col("at") <= widest) & (F.col("p") != F.col("q")))
+    own = F.floor(F.ln("size") / np.log(CLASS) + 1e-9).cast("int")
+    reach = int(np.ceil(np.log(1 / SIMILARITY) / np.log(CLASS)))
+    met = first.withColumn("own", own).withColumn("theirs", F.explode(F.sequence(F.col("own") - reach, F.col("own") + reach)))
+    smallest = F.greatest(F.pow(F.lit(CLASS), F.col("theirs")) * (1 - 1e-9), F.lit(SIMILARITY) * F.col("size"))
+    met = cut(met.filter(F.col("at") <= F.col("size") - least(smallest) + 1).select("shingle", "content", "label", "own", "theirs"))
+    small = met.filter("own <= theirs").select("shingle", F.col("own").alias("low"), F.col("theirs").alias("high"), F.col("content").alias("a"), F.col("label").alias("la"))
+    large = met.filter("own >= theirs").select("shingle", F.col("theirs").alias("low"), F.col("own").alias("high"), F.col("content").alias("b"), F.col("label").alias("lb"))
+    return small.join(large, ["shingle", "low", "high"]).filter("la <> lb AND (low < high OR a < b)").select("a", "b")
+
+
 def text_key() -> Column:
     return F.unhex(F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")))).alias("text_key")
 
@@ -176,8 +211,9 @@ def near_duplicate_classes(docs: DataFrame) -> DataFrame:
     An empty table gives an empty one. Only doc_id and text are used.
 
     Rows with the same words are one node from the start, so a group of copies costs one signature row after the first
-    aggregation. In a band, every node is compared with the smallest one; then, only where a band still holds several
-    components, the pairs across components are compared. That leaves no pair of a band undecided.
+    aggregation. In a band, every node is compared with the smallest one, then, where a band still holds several components,
+    with others chosen by hash; at last all pairs of such nodes across components are decided by an exact prefix join. That
+    leaves no pair of a band undecided, and no step makes all pairs of a group.
     """
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     signed = cut(slim.mapInArrow(sign, "doc_id long, text_key binary, content binary, bands array<long>"))
@@ -190,15 +226,22 @@ def near_duplicate_classes(docs: DataFrame) -> DataFrame:
     texts = slim.join(wanted, slim["doc_id"].eqNullSafe(wanted["doc_id"]) & (slim["text_key"] == wanted["text_key"])).select("content", "text")
     bags = cut(texts.mapInArrow(bag, "content binary, elements binary, counts binary").dropDuplicates(["content"]))
     stars = cut(verified(first, bags))
-    found = components(stars)
-
-    labelled = crowded.join(found, crowded["content"] == found["node"], "left").select("band", "content", "least", F.coalesce("label", "content").alias("label"))
-    mixed = labelled.groupBy("band").agg(F.min("label").alias("p"), F.max("label").alias("q")).filter("p <> q").select("band")
-    apart = cut(labelled.filter("content <> least").join(mixed, "band", "left_semi").select("band", "content", "label"))
-    other = apart.select("band", F.col("content").alias("b"), F.col("label").alias("other"))
-    rest = apart.join(other, "band").filter("content < b AND label <> other").select(F.col("content").alias("a"), "b").distinct()
-    late = verified(rest, bags)
-    linked = components(stars.union(late)) if not (late := cut(late)).isEmpty() else found
+    linked = components(stars)
+    for turn in range(TURNS + 1):
+        labelled = cut(crowded.join(linked, crowded["content"] == linked["node"], "left").select("band", "content", F.coalesce("label", "content").alias("label")))
+        mixed = labelled.groupBy("band").agg(F.min("label").alias("p"), F.max("label").alias("q")).filter("p <> q").select("band")
+        undecided = cut(labelled.join(mixed, "band", "left_semi"))
+        if undecided.isEmpty():
+            break
+        if turn < TURNS:
+            chosen = undecided.groupBy("band").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "content").alias("h"), "content", "label")).alias("c")).select("band", F.col("c.content").alias("a"), F.col("c.label").alias("other"))
+            pairs = undecided.join(chosen, "band").filter("label <> other").select("a", F.col("content").alias("b"))
+        else:
+            pairs = across(undecided.select("content", "label").distinct(), bags)
+        late = cut(verified(pairs.distinct(), bags))
+        if not late.isEmpty():
+            stars = stars.union(late)
+            linked = components(stars)
 
     classed = nodes.join(linked, nodes["content"] == linked["node"], "left").select("content", "rep", F.coalesce("label", "content").alias("label"))
     heads = classed.groupBy("label").agg(F.min("rep").alias("head"))
