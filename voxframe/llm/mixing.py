@@ -9,10 +9,12 @@ from voxframe.llm.common import unit_hash
 
 SEED = "mix-1"
 TEMPERATURE = 0.7
+#: Sources up to which their table of rates is broadcast (under 10 MB); more are joined by shuffling.
+BROADCAST_SOURCES = 10_000
 
 
 def rates(docs: DataFrame, source: str, weights: dict[str, float] | None, temperature: float, total: float | None) -> DataFrame:
-    """Per source: its rows and mean repetition rate. Weights are the given ones (unnamed sources get 0) or rows ** temperature; the expected number of rows out is `total`, as many as come in by default."""
+    """Per source with a positive one its mean repetition rate and the Poisson distribution for it. Weights are the given ones (unnamed sources get 0) or rows ** temperature; the expected number of rows out is `total`, as many as come in by default."""
     counts = docs.groupBy(F.col(source).alias("__source")).agg(F.count("*").alias("__rows"))
     if weights is None:
         weight = F.pow(F.col("__rows").cast("double"), F.lit(temperature))
@@ -21,9 +23,11 @@ def rates(docs: DataFrame, source: str, weights: dict[str, float] | None, temper
         for name, w in weights.items():
             weight = F.when(F.col("__source").eqNullSafe(F.lit(name)), F.lit(float(w))).otherwise(weight)
     weighted = counts.withColumn("__weight", weight)
-    sums = weighted.agg(F.sum("__weight").alias("w"), F.sum("__rows").alias("n")).first()
+    sums = weighted.agg(F.sum("__weight").alias("w"), F.sum("__rows").alias("n"), F.count("*").alias("sources")).first()
     share = (sums["n"] or 0) if total is None else total
-    return weighted.select("__source", (F.lit(float(share)) * F.col("__weight") / F.lit(float(sums["w"] or 1.0)) / F.col("__rows")).alias("__rate"))
+    table = weighted.select("__source", (F.lit(float(share)) * F.col("__weight") / F.lit(float(sums["w"] or 1.0)) / F.col("__rows")).alias("__rate"))
+    table = table.filter("__rate > 0").withColumn("__cdf", poisson_cdf(F.col("__rate")))
+    return F.broadcast(table) if sums["sources"] <= BROADCAST_SOURCES else table
 
 
 def poisson_cdf(rate: F.Column) -> F.Column:
@@ -46,7 +50,7 @@ def poisson_mix(docs: DataFrame, source: str = "source", key: str = "doc_id", we
     an empty table gives no rows. Columns named copy or shuffle_key are replaced. A hot source costs nothing special: rows
     meet only one number per source, and copies go to random places.
     """
-    table = rates(docs, source, weights, temperature, total).filter("__rate > 0").withColumn("__cdf", poisson_cdf(F.col("__rate")))
+    table = rates(docs, source, weights, temperature, total)
     drawn = docs.drop("copy", "shuffle_key").withColumn("__u", unit_hash(seed, F.col(key)))
     joined = drawn.join(table, F.col(source).eqNullSafe(F.col("__source")))
     counted = joined.withColumn("__n", F.size(F.filter("__cdf", lambda c: c <= F.col("__u"))))
