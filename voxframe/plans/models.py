@@ -120,13 +120,13 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return rounded(loaded.unionByName(second).select(*KEY, "tmax", "label"), 9)
 
 
-@query("libsvm_roundtrip", W("SELECT CAST(label AS DOUBLE) AS label, round(tmax, 6) AS tmax, round(cbf, 6) AS cbf, count(*) AS n FROM vox GROUP BY 1, 2, 3", "vox"))
+@query("libsvm_roundtrip", W("SELECT CAST(label AS DOUBLE) AS label, round(tmax, 9) AS tmax, round(cbf, 9) AS cbf, count(*) AS n FROM vox GROUP BY 1, 2, 3", "vox"))
 def _(spark: SparkSession, d: str) -> DataFrame:
     path = folder(spark)
     v = C.vox(spark, d).select("label", array_to_vector(F.array("tmax", "cbf")).alias("features"))
     R.write_libsvm(v, "label", "features", path)
     back = R.read_libsvm(spark, path, 2).select("label", vector_to_array("features").alias("f"))
-    return back.groupBy("label", F.round(F.col("f")[0], 6).alias("tmax"), F.round(F.col("f")[1], 6).alias("cbf")).agg(F.count("*").alias("n"))
+    return back.groupBy("label", F.round(F.col("f")[0], 9).alias("tmax"), F.round(F.col("f")[1], 9).alias("cbf")).agg(F.count("*").alias("n"))
 
 
 @query("volume_ingest", W("SELECT subject, x, y, z, round(tmax, 9) AS tmax FROM vox", "vox"))

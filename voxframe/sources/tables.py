@@ -22,7 +22,7 @@ def read_cohort(sheet: DataFrame, schema: dict[str, str], unknown: str = "?") ->
 def inventory_scan(spark: SparkSession, folder: str, glob: str = "*") -> DataFrame:
     """subject, modality, study, file of the files under folder/subject/modality/study/; contents aren't read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(folder).select("path", F.col("modificationTime").alias("ts"), F.col("length").alias("n_bytes"))
-    parts = F.regexp_extract("path", r"([^/]+)/([^/]+)/([^/]+)/([^/]+)$", F.lit(0))
+    parts = F.regexp_extract("path", r"([^/]+)/([^/]+)/([^/]+)/([^/]+)$", 0)
     pick = lambda k: F.element_at(F.split(parts, "/"), k)
     return files.filter(F.col("path").rlike(r"[^/]+/[^/]+/[^/]+/[^/]+$")).select(pick(1).alias("subject"), pick(2).alias("modality"), pick(3).alias("study"), pick(4).alias("file"), "ts", "n_bytes")
 
@@ -51,12 +51,12 @@ def load_dataset(spark: SparkSession, folder: str, name: str, optional: DataFram
     return df.drop("subject_bucket")
 
 
-HEADER = struct.Struct("<4siiid")
+HEADER = "<4siiid"
 
 
 def pack_volume(values: np.ndarray, voxel_mm3: float) -> bytes:
     """A volume file: magic, three sizes, voxel volume, then values in C order."""
-    return HEADER.pack(b"VOX1", *values.shape, voxel_mm3) + np.ascontiguousarray(values, "<f8").tobytes()
+    return struct.pack(HEADER, b"VOX1", *values.shape, voxel_mm3) + np.ascontiguousarray(values, "<f8").tobytes()
 
 
 VOLUME_SCHEMA = "path string, x int, y int, z int, value double, voxel_mm3 double"
@@ -68,10 +68,10 @@ def volume_rows(files: DataFrame) -> DataFrame:
     def batches(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in it:
             for path, content in zip(part["path"], part["content"], strict=True):
-                magic, nx, ny, nz, mm3 = HEADER.unpack_from(content)
-                if magic != b"VOX1" or len(content) != HEADER.size + 8 * nx * ny * nz:
+                magic, nx, ny, nz, mm3 = struct.unpack_from(HEADER, content)
+                if magic != b"VOX1" or len(content) != struct.calcsize(HEADER) + 8 * nx * ny * nz:
                     raise ValueError(f"not a volume: {path}")
-                values = np.nan_to_num(np.frombuffer(content, "<f8", offset=HEADER.size).reshape(nx, ny, nz), nan=0.0)
+                values = np.nan_to_num(np.frombuffer(content, "<f8", offset=struct.calcsize(HEADER)).reshape(nx, ny, nz), nan=0.0)
                 # One slice along x at a time bounds the batch.
                 for x in range(nx):
                     y, z = np.indices((ny, nz)).reshape(2, -1)
