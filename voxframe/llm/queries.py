@@ -37,5 +37,6 @@ QUERIES: dict[str, Query] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op3_warc_revisits": warc.ORACLE_SQL,
     "op7_poisson_mix": mixing.ORACLE_SQL,
 }

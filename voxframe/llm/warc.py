@@ -48,7 +48,7 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
     # Revisits sort before responses of the same instant, so that only strictly earlier ones are seen.
     inside = Window.partitionBy("canonical_url", "slice").orderBy("ts", "is_full", "record_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     seen = sliced.withColumn("near", F.last("full", ignorenulls=True).over(inside)).filter(~F.col("is_full"))
-    joined = seen.join(carried, ["canonical_url", "slice"], "left").withColumn("of", F.when(F.col("ts").isNotNull(), F.coalesce("near", "carried")))
+    joined = seen.join(carried, ["canonical_url", "slice"], "left").withColumn("of", F.when(F.col("ts").isNotNull() & F.col("canonical_url").isNotNull(), F.coalesce("near", "carried")))
     by_etag, by_date = F.col("etag").isNotNull() & F.col("of.etag").isNotNull(), F.col("last_modified").isNotNull() & F.col("of.last_modified").isNotNull()
     status = (
         F.when(F.col("of").isNull(), "no_earlier_response")
@@ -74,7 +74,7 @@ def page_captures(pages: DataFrame) -> DataFrame:
     The first visit of most pages is a full response (one in 17 was missed); later ones answer not-modified unless the page
     changed (one in five, in round 2). Some answers carry only a date, one in eleven an ETag of another version.
     """
-    h = F.crc32(F.coalesce(F.col("url"), F.lit("")).cast("binary"))
+    h = F.conv(F.substring(F.md5(F.coalesce(F.col("url"), F.lit(""))), 1, 7), 16, 10).cast("long")
     rounds = pages.select("page_id", "url", h.alias("h"), F.md5(F.coalesce("html", F.lit(""))).alias("md5"), F.length("html").alias("n"), F.explode(F.sequence(F.lit(0), F.lit(ROUNDS))).alias("round"))
     changed = (F.col("h") % 5 == 0) & (F.col("round") >= 2)
     version = F.when(changed, F.md5(F.concat(F.col("md5"), F.lit("/2")))).otherwise(F.col("md5"))
@@ -101,3 +101,18 @@ def revisit_report(pages: DataFrame) -> DataFrame:
     out = resolve_revisits(page_captures(pages))
     lines = F.array_join(F.transform(F.array_sort(F.map_keys("merged_headers")), lambda k: F.concat(k, F.lit(": "), F.element_at("merged_headers", k))), "\n")
     return out.select("record_id", "canonical_url", F.unix_seconds("ts").alias("ts"), "status", "refers_to", F.unix_seconds("refers_to_ts").alias("refers_to_ts"), "payload_digest", lines.alias("merged_headers"))
+
+
+_PARAMS = "list_sort(list_filter(string_split(regexp_extract(rest, '\\?(.*)$', 1), '&'), lambda p: p <> '' AND NOT regexp_matches(p, '" + DROPPED_PARAMS + "')))"
+ORACLE_SQL = rf"""
+WITH b AS (SELECT page_id, url, regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS rest, ('0x' || substr(md5(coalesce(url, '')), 1, 7))::BIGINT AS h, md5(coalesce(html, '')) AS m, length(html) AS n FROM pages),
+k AS (SELECT *, regexp_replace(regexp_replace(lower(regexp_extract(rest, '^[^/?]*')), '^(www|m)\.', ''), ':(80|443)$', '') || regexp_replace(regexp_extract(rest, '^[^/?]*([^?]*)', 1), '/+$', '') || CASE WHEN len({_PARAMS}) > 0 THEN '?' || array_to_string({_PARAMS}, '&') ELSE '' END AS canonical_url FROM b),
+r AS (SELECT *, h % 5 = 0 AND round >= 2 AS changed, (round = 0 AND h % 17 <> 0) OR (round = 2 AND h % 5 = 0) AS is_full, 1704067200 + round * {ROUND_DAYS * 86400} + h % {ROUND_DAYS * 86400} AS ts FROM k, range({ROUNDS + 1}) t(round)),
+v AS (SELECT *, CASE WHEN changed THEN md5(m || '/2') ELSE m END AS version FROM r),
+c AS (SELECT page_id * 4 + round AS record_id, canonical_url, ts, round, n, is_full, version, CASE WHEN h % 3 = 0 THEN NULL WHEN NOT is_full AND h % 11 = 0 THEN 'stale' ELSE substr(version, 1, 16) END AS etag, CASE WHEN h % 7 <> 0 THEN 'round ' || CASE WHEN changed THEN 2 ELSE 0 END END AS modified FROM v),
+j AS (SELECT a.record_id, arg_max(f.record_id, (f.ts, f.record_id)) AS of FROM c a JOIN c f ON f.is_full AND f.canonical_url = a.canonical_url AND f.ts < a.ts WHERE NOT a.is_full GROUP BY 1),
+s AS (SELECT a.*, f.record_id AS f_id, f.ts AS f_ts, f.version AS f_version, f.n AS f_n, f.etag AS f_etag, CASE WHEN f.record_id IS NULL THEN 'no_earlier_response' WHEN a.etag IS NOT NULL AND f.etag IS NOT NULL THEN CASE WHEN a.etag = f.etag THEN 'resolved' ELSE 'validator_mismatch' END
+ WHEN a.modified IS NOT NULL AND f.modified IS NOT NULL THEN CASE WHEN a.modified = f.modified THEN 'resolved' ELSE 'validator_mismatch' END ELSE 'no_validator' END AS status FROM c a LEFT JOIN j USING (record_id) LEFT JOIN c f ON f.record_id = j.of WHERE NOT a.is_full)
+SELECT record_id, canonical_url, ts, status, CASE WHEN status = 'resolved' THEN f_id END AS refers_to, CASE WHEN status = 'resolved' THEN f_ts END AS refers_to_ts, CASE WHEN status = 'resolved' THEN f_version END AS payload_digest,
+CASE WHEN status = 'resolved' THEN concat_ws(chr(10), 'cache-control: max-age=' || (round * 60), 'content-length: ' || f_n, 'content-type: text/html', 'date: ' || ts, 'etag: ' || coalesce(etag, f_etag)) END AS merged_headers FROM s
+"""
