@@ -17,7 +17,7 @@ SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 32, 6  # a pair at similarity 0.8 shares no band once in 16,000 pairs
 SLOTS = BANDS * ROWS
-TURNS = 2
+LOOK_BACK = 32  # shingles before one that tell whether its pair was made already; farther ones cost a repeated pair
 CLASS = 1.05  # sizes in a class differ by less than this factor
 
 
@@ -137,9 +137,9 @@ def verified(pairs: DataFrame, bags: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node, label: the smallest node of each node's connected component, by large-star and small-star rounds until nothing changes.
+    """node, label: the smallest node of each node's connected component, by large-star and small-star rounds until only stars are left.
 
-    Every round is a written table; nothing but two sums reaches the driver. Stars around a hot node are grouped by partial
+    Every round is a written table; nothing of it reaches the driver. Stars around a hot node are grouped by partial
     minima and joined, never collected.
     """
 
@@ -150,17 +150,13 @@ def components(edges: DataFrame) -> DataFrame:
         out = moved.filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")) if larger else moved.select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
         return out.filter("a <> b").distinct()
 
-    def mark(e: DataFrame) -> tuple:
-        return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-
     now = cut(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    before = mark(now)
     while True:
-        now = cut(star(star(now, True), False))
-        after = mark(now)
-        if after == before:
+        # Done when every node has one edge, to a node without one: each component is a star around its smallest node.
+        ups = now.groupBy("a").agg(F.count("*").alias("n"))
+        if ups.filter("n > 1").isEmpty() and now.join(ups.select(F.col("a").alias("b")), "b", "left_semi").isEmpty():
             break
-        before = after
+        now = cut(star(star(now, True), False))
     return now.select(F.col("a").alias("node"), F.col("b").alias("label")).union(now.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct())
 
 
@@ -180,7 +176,7 @@ def across(nodes: DataFrame, bags: DataFrame) -> DataFrame:
     Two bags of sizes p and q at similarity t share at least o = t / (1 + t) (p + q) shingles, so with shingles in one order
     the first p - o + 1 of one meet the first q - o + 1 of the other. Rare shingles come first; o is taken for the smallest
     size of the partner's size class. What many nodes share stands behind, so groups that are alike but not similar make
-    few pairs.
+    few pairs. A pair is made at its first common shingle; further ones are known by the shingles just before them.
     """
     rows = cut(bags.join(nodes, "content").select("content", "label", "elements", "counts").mapInArrow(occurrences, "content binary, label binary, size long, shingle long"))
     common = rows.groupBy("shingle").agg(F.count("*").alias("df"), F.min("label").alias("p"), F.max("label").alias("q"))
@@ -188,14 +184,15 @@ def across(nodes: DataFrame, bags: DataFrame) -> DataFrame:
     least = lambda other: F.ceil(F.lit(SIMILARITY / (1 + SIMILARITY)) * (F.col("size") + other) - 1e-6)
     widest = F.col("size") - F.ceil(F.lit(SIMILARITY) * F.col("size") - 1e-6) + 1
     first = rows.join(common, "shingle").withColumn("at", F.row_number().over(order)).filter((F.col("at") <= widest) & (F.col("p") != F.col("q")))
+    first = first.withColumn("before", F.collect_list("shingle").over(Window.partitionBy("content").orderBy("at").rowsBetween(-LOOK_BACK, -1)))
     own = F.floor(F.ln("size") / np.log(CLASS) + 1e-9).cast("int")
     reach = int(np.ceil(np.log(1 / SIMILARITY) / np.log(CLASS)))
     met = first.withColumn("own", own).withColumn("theirs", F.explode(F.sequence(F.col("own") - reach, F.col("own") + reach)))
     smallest = F.greatest(F.pow(F.lit(CLASS), F.col("theirs")) * (1 - 1e-9), F.lit(SIMILARITY) * F.col("size"))
-    met = cut(met.filter(F.col("at") <= F.col("size") - least(smallest) + 1).select("shingle", "content", "label", "own", "theirs"))
-    small = met.filter("own <= theirs").select("shingle", F.col("own").alias("low"), F.col("theirs").alias("high"), F.col("content").alias("a"), F.col("label").alias("la"))
-    large = met.filter("own >= theirs").select("shingle", F.col("theirs").alias("low"), F.col("own").alias("high"), F.col("content").alias("b"), F.col("label").alias("lb"))
-    return small.join(large, ["shingle", "low", "high"]).filter("la <> lb AND (low < high OR a < b)").select("a", "b")
+    met = cut(met.filter(F.col("at") <= F.col("size") - least(smallest) + 1).select("shingle", "content", "label", "own", "theirs", "before"))
+    small = met.filter("own <= theirs").select("shingle", F.col("own").alias("low"), F.col("theirs").alias("high"), F.col("content").alias("a"), F.col("label").alias("la"), F.col("before").alias("ba"))
+    large = met.filter("own >= theirs").select("shingle", F.col("theirs").alias("low"), F.col("own").alias("high"), F.col("content").alias("b"), F.col("label").alias("lb"), F.col("before").alias("bb"))
+    return small.join(large, ["shingle", "low", "high"]).filter("la <> lb AND (low < high OR a < b) AND NOT arrays_overlap(ba, bb)").select("a", "b")
 
 
 def text_key() -> Column:
@@ -211,37 +208,34 @@ def near_duplicate_classes(docs: DataFrame) -> DataFrame:
     An empty table gives an empty one. Only doc_id and text are used.
 
     Rows with the same words are one node from the start, so a group of copies costs one signature row after the first
-    aggregation. In a band, every node is compared with the smallest one, then, where a band still holds several components,
-    with others chosen by hash; at last all pairs of such nodes across components are decided by an exact prefix join. That
-    leaves no pair of a band undecided, and no step makes all pairs of a group.
+    aggregation. In a band, every node is compared with the smallest and the largest one; where a band then still holds several components,
+    the pairs of its nodes across components are decided by an exact prefix join. That leaves no pair of a band undecided, and
+    no step makes all pairs of a group.
     """
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     signed = cut(slim.mapInArrow(sign, "doc_id long, text_key binary, content binary, bands array<long>"))
     nodes = cut(signed.groupBy("content").agg(F.min(F.struct("doc_id", "text_key")).alias("rep"), F.first("bands").alias("bands")))
     banded = nodes.select("content", F.explode("bands").alias("band"))
-    shared = banded.groupBy("band").agg(F.min("content").alias("least"), F.max("content").alias("most")).filter("least <> most").select("band", "least")
-    crowded = cut(banded.join(shared, "band").select("band", "content", "least"))
-    first = cut(crowded.filter("content <> least").select(F.col("least").alias("a"), F.col("content").alias("b")).distinct())
+    shared = banded.groupBy("band").agg(F.min("content").alias("least"), F.max("content").alias("most")).filter("least <> most")
+    crowded = cut(banded.join(shared, "band").select("band", "content", "least", "most"))
+    first = cut(crowded.select(F.explode(F.array("least", "most")).alias("a"), F.col("content").alias("b")).filter("a <> b").distinct())
     wanted = nodes.join(crowded.select("content").distinct(), "content", "left_semi").select("content", "rep.doc_id", "rep.text_key")
     texts = slim.join(wanted, slim["doc_id"].eqNullSafe(wanted["doc_id"]) & (slim["text_key"] == wanted["text_key"])).select("content", "text")
     bags = cut(texts.mapInArrow(bag, "content binary, elements binary, counts binary").dropDuplicates(["content"]))
     stars = cut(verified(first, bags))
     linked = components(stars)
-    for turn in range(TURNS + 1):
-        labelled = cut(crowded.join(linked, crowded["content"] == linked["node"], "left").select("band", "content", F.coalesce("label", "content").alias("label")))
-        mixed = labelled.groupBy("band").agg(F.min("label").alias("p"), F.max("label").alias("q")).filter("p <> q").select("band")
-        undecided = cut(labelled.join(mixed, "band", "left_semi"))
-        if undecided.isEmpty():
-            break
-        if turn < TURNS:
-            chosen = undecided.groupBy("band").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "content").alias("h"), "content", "label")).alias("c")).select("band", F.col("c.content").alias("a"), F.col("c.label").alias("other"))
-            pairs = undecided.join(chosen, "band").filter("label <> other").select("a", F.col("content").alias("b"))
-        else:
-            pairs = across(undecided.select("content", "label").distinct(), bags)
-        late = cut(verified(pairs.distinct(), bags))
+    labelled = crowded.join(linked, crowded["content"] == linked["node"], "left").select("band", "content", F.coalesce("label", "content").alias("label"))
+    mixed = labelled.groupBy("band").agg(F.min("label").alias("p"), F.max("label").alias("q")).filter("p <> q").select("band")
+    undecided = cut(labelled.join(mixed, "band", "left_semi").select("content", "label").distinct())
+    if not undecided.isEmpty():
+        late = cut(verified(across(undecided, bags).distinct(), bags))
         if not late.isEmpty():
-            stars = stars.union(late)
-            linked = components(stars)
+            # Components so far are single nodes now, named by their labels.
+            left, right = undecided.select(F.col("content").alias("a"), F.col("label").alias("la")), undecided.select(F.col("content").alias("b"), F.col("label").alias("lb"))
+            joined = cut(components(late.join(left, "a").join(right, "b").select(F.col("la").alias("a"), F.col("lb").alias("b"))))
+            named = joined.select(F.col("node").alias("label"), F.col("label").alias("into"))
+            moved = linked.join(named, "label", "left").select("node", F.coalesce("into", "label").alias("label"))
+            linked = moved.unionByName(joined.join(linked, "node", "left_anti"))
 
     classed = nodes.join(linked, nodes["content"] == linked["node"], "left").select("content", "rep", F.coalesce("label", "content").alias("label"))
     heads = classed.groupBy("label").agg(F.min("rep").alias("head"))
