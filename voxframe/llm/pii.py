@@ -67,7 +67,7 @@ def _digits(key: str, salt: Column, digits: Column) -> Column:
     n = F.length(digits)
     a = F.floor(n / 2).cast("int")
     power = lambda k: F.pow(F.lit(10.0), k).cast("long")
-    left, right = F.coalesce(F.expr("null").cast("long"), F.substring(digits, F.lit(1), a).cast("long"), F.lit(0).cast("long")), F.substring(digits, a + 1, n).cast("long")
+    left, right = F.when(a > 0, F.substring(digits, F.lit(1), a).cast("long")).otherwise(F.lit(0).cast("long")), F.substring(digits, a + 1, n).cast("long")
     out = _feistel(key, F.concat_ws("/", salt, n.cast("string")), left, right, power(a), power(n - a))
     return F.transform(F.array(out), lambda o: F.concat(F.when(a > 0, F.lpad(o["l"].cast("string"), a, "0")).otherwise(F.lit("")), F.lpad(o["r"].cast("string"), n - a, "0")))[0]
 
@@ -202,8 +202,8 @@ def pseudonymise(docs: DataFrame, key: str = KEY) -> DataFrame:
     """docs with stand-ins in `text`, and `n_entities`; an input column of that name is replaced.
 
     Emails, secrets after a word such as token or password, IPv4 addresses, social security, phone and card numbers, and
-    names after a title are replaced. The same entity gets the same stand-in everywhere (emails in any case, phone numbers in any format of the same
-    last ten digits, persons by word), different ones get different ones. Letter case, separators, number of digits, card
+    names after a title are replaced. The same entity gets the same stand-in everywhere (emails in any case, phone numbers in
+    any format of the same last ten digits, persons by word), different ones get different ones. Letter case, separators, number of digits, card
     check sums, title, gender and script are kept. Null texts stay null, texts without entities stay as they are, repeated
     rows stay alike. An empty table gives an empty one.
     """

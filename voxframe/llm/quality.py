@@ -16,6 +16,9 @@ from voxframe.llm.text import grams, slices, tokens
 
 BUCKETS = 1 << 16
 SMOOTHING = 4.0
+#: Standard deviations of a count by which target and raw must differ to say anything: copies of one text are in the sample
+#: by chance more or less often, and that chance is the same for all their n-grams.
+DOUBT = 4.0
 MAX_LABELLED = 20_000
 SEED = "quality-1"
 NARROW = 4096
@@ -27,9 +30,11 @@ class Model(NamedTuple):
 
 
 def buckets_of(texts: list[str], buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hash buckets of the single tokens and pairs of the texts, marks included, and their texts."""
+    """Hash buckets of the single tokens and pairs of the texts, marks included, and their texts; a token that follows itself is one kind of pair, whatever the token."""
     t = tokens(texts)
     pairs, owner = grams(t.hash, t.doc, 2)
+    again = (t.hash[1:] == t.hash[:-1])[t.doc[1:] == t.doc[:-1]]
+    pairs = np.where(again, np.uint64(1), pairs)
     return (np.concatenate((t.hash, pairs)) % np.uint64(buckets)).astype(np.int64), np.concatenate((t.doc, owner))
 
 
@@ -63,7 +68,9 @@ def fit(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, most: int =
     raw, target = np.zeros(buckets), np.zeros(buckets)
     for r in counted.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).collect():
         raw[r["bucket"]], target[r["bucket"]] = r["raw"], r["target"]
-    ratio = np.log((target + SMOOTHING) / (raw * (target.sum() / max(1.0, raw.sum())) + SMOOTHING))
+    expected = raw * (target.sum() / max(1.0, raw.sum()))
+    ratio = np.log((target + SMOOTHING) / (expected + SMOOTHING))
+    ratio = np.sign(ratio) * np.maximum(np.abs(ratio) - DOUBT / np.sqrt(np.maximum(target, expected) + SMOOTHING), 0)
     model = Model(ratio, -np.inf)
     # At most `most` documents carry a label: their scores come to the driver.
     scored = weigh(docs.join(sample, F.col("doc_id") == F.col("__id")).select("text", F.lit(0).alias("doc_id"), "__y"), model)
