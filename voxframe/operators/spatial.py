@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
-from itertools import product
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -182,7 +181,3 @@ def hausdorff(df: DataFrame, truth: str, predicted: str, shape: tuple[int, int,
     at = lambda side, d: F.when((F.col(side) == 1) & F.col(d).isNotNull(), F.sqrt(F.col(d).cast("double")))
     sums = both.groupBy("subject").agg(F.max(at(truth, "to_p")).alias("hausdorff"), F.avg(at(truth, "to_p")).alias("mean_truth_to_predicted"), F.avg(at(predicted, "to_t")).alias("mean_predicted_to_truth"))
     return sums.withColumn("modified_hausdorff", F.when(F.col("mean_truth_to_predicted").isNotNull() & F.col("mean_predicted_to_truth").isNotNull(), F.greatest("mean_truth_to_predicted", "mean_predicted_to_truth")))
-
-
-def offsets(size: Sequence[int]) -> list[tuple[int, ...]]:
-    return list(product(*[range(s) for s in size]))
