@@ -75,7 +75,7 @@ def code_points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
-def slices(sizes: Sequence[int], chars: int = 1 << 20, docs: int = 256) -> Iterator[slice]:
+def slices(sizes: Sequence[int], chars: int = 1 << 19, docs: int = 256) -> Iterator[slice]:
     """Runs of texts with about so many characters and at most so many texts; a longer text is a run of its own."""
     begin = total = 0
     for k, n in enumerate(sizes):
