@@ -312,6 +312,22 @@ def test_surrogates(spark):
     assert pii.pseudonymise(empty(df)).count() == 0
 
 
+def test_a_phone_ends_where_another_entity_begins(spark):
+    import re
+
+    texts = ["+1 (826) 555-4081 190.137.223.204", "+1 (843) 555-7672 170.106.47.218", "826-555-4081", "+1 826 555 4081 42 apples", "+44 20 7946 0958 190.137.223.204", "+44 20 7946 0958 7301@mail.org", "+44 20 7946 0958 123-45-6789", "+44 20 7946 0958 4539 5787 6362 1486", "+49 1512 345 67890", "+49 (0)1512 345 67890"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = {r["doc_id"]: r for r in pii.pseudonymise(df).collect()}
+    new = [out[i]["text"] for i in range(len(texts))]
+    assert [out[i]["n_entities"] for i in range(len(texts))] == [2, 2, 1, 1, 2, 2, 2, 2, 1, 1]
+    assert re.fullmatch(r"\+1 \(\d{3}\) \d{3}-\d{4} \d+\.\d+\.\d+\.\d+", new[0]) and "555-408" not in new[0] and ".223." not in new[0]
+    assert "555-767" not in new[1] and ".47." not in new[1]
+    phone = re.sub(r"\D", "", new[2])
+    assert re.sub(r"\D", "", new[0][: len("+1 (826) 555-4081")])[1:] == phone and new[3].endswith(" 42 apples") and re.sub(r"\D", "", new[3][:15])[1:] == phone
+    assert len({n[:16] for n in new[4:8]}) == 1 and new[4].startswith("+44 ") and not any(x in n for n in new[4:8] for x in ("7946", "0958", "7301@", "123-45", "4539"))
+    assert new[8].startswith("+49 ") and "1512" not in new[8] and re.sub(r"\D", "", new[8])[2:] == re.sub(r"\D", "", new[9])[3:] and new[9].startswith("+49 (0)")
+
+
 def test_digit_surrogates_are_a_permutation(spark):
     d = spark.range(1000).select(F.lpad(F.col("id").cast("string"), 3, "0").alias("d"))
     out = {r[0] for r in d.select(pii._digits("k", F.lit("s"), F.col("d"))).collect()}

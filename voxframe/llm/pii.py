@@ -33,7 +33,14 @@ OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 IP = rf"(?<![\d.])(?:{OCTET}\.){{3}}{OCTET}(?!\d|\.\d)"
 SSN = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
 PHONE = r"(?<![\d-])\d{3}-\d{3}-\d{4}(?![\d-])"
-PHONE_PLUS = r"\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?!\d)"
+#: What may begin after a phone number and is not its next group.
+OTHER = rf"{IP}|{SSN}|{PHONE}|{EMAIL}|\d{{13,19}}(?!\d)|\d{{4}}(?: \d{{4}} \d{{4}} |-\d{{4}}-\d{{4}}-)\d{{1,7}}(?!\d|[ -]\d{{4}}(?!\d))"
+#: Sixteen digits of one number, written out because a look-behind takes no nested repeats.
+SIXTEEN = r"\d[ .()-]{0,3}" * 15 + r"\d"
+#: Country code 1 has ten digits after it; others have groups up to 15 digits in all, none of which begins another entity.
+PHONE_PLUS = rf"\+(?:1[ .-]?(?:\(\d{{3}}\)|\d{{3}})[ .-]?\d{{3}}[ .-]?\d{{4}}|\d{{1,3}}[ .-]?(?:\(\d{{1,4}}\)[ .-]?)?\d{{2,4}}(?:[ .-]?(?!{OTHER})\d{{2,4}}){{1,4}}(?<!{SIXTEEN}))(?!\d)"
+#: Country codes, none of which begins another.
+COUNTRY = r"[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{1,3}"
 PHONE_AREA = r"\(\d{3}\) ?\d{3}[ -]\d{4}(?!\d)"
 CARD = r"(?<!\d)(?:\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{1,7})(?!\d)"
 #: Order matters: the first that fits at a place counts. Words are tried at their start only, numbers only at a digit.
@@ -105,11 +112,14 @@ def _entities(m: Column) -> Column:
     named = F.transform(words, lambda w, i: F.struct(F.concat(F.when((F.size(words) == 2) & (i == 0), F.concat(F.lit("given-"), gender)).otherwise("family"), F.lit("-"), script(w)).alias("kind"), F.lower(w).alias("value")))
     octets = F.split(m, "\\.")
     ip = F.aggregate(octets, F.lit(0).cast("long"), lambda x, o: x * 256 + o.cast("long"))
+    # All after the country code and a (0), and ten digits at least, so that a number is the same with and without its code.
+    before = F.length(F.regexp_extract(m, rf"^\+({COUNTRY})", 1)) + F.when(m.rlike(r"^\+\d{1,3}[ .-]?\(0\)"), 1).otherwise(0)
+    national = F.greatest(F.length(digits) - before, F.least(F.length(digits), F.lit(10)))
     return (
         F.when(kind == "email", one(kind, F.lower(m)))
         .when(kind == "secret", one(kind, F.regexp_extract(m, r"""[=:]\s*["']?(.*)$""", 1)))
         .when(kind == "ip", one(kind, ip.cast("string")))
-        .when(kind == "phone", one(kind, F.substring(digits, -10, 10)))
+        .when(kind == "phone", one(kind, F.right(digits, national)))
         .when(kind.isin("ssn", "card"), one(kind, digits))
         .otherwise(named)
     )
@@ -203,7 +213,7 @@ def pseudonymise(docs: DataFrame, key: str = KEY) -> DataFrame:
 
     Emails, secrets after a word such as token or password, IPv4 addresses, social security, phone and card numbers, and
     names after a title are replaced. The same entity gets the same stand-in everywhere (emails in any case, phone numbers in
-    any format of the same last ten digits, persons by word), different ones get different ones. Letter case, separators, number of digits, card
+    any format of the same digits after the country code, persons by word), different ones get different ones. Letter case, separators, number of digits, card
     check sums, title, gender and script are kept. Null texts stay null, texts without entities stay as they are, repeated
     rows stay alike. An empty table gives an empty one.
     """
