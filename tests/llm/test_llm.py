@@ -268,6 +268,12 @@ def test_neighbours_recall_ties_and_odd_vectors(spark):
     assert hnsw.nearest(empty(df), F.lit(True)).count() == 0
 
 
+def test_repeated_rows_leave_room_for_other_keys(spark):
+    rows = [(1, [1.0, 2.0])] * 10 + [(2, [1.0, 2.0]), (3, [2.0, 1.0])]
+    got = hnsw.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.lit(True)).toPandas().sort_values(["query_id", "rank"])
+    assert {q: g.vec_id.tolist() for q, g in got.groupby("query_id")} == {1: [2, 3], 2: [1, 3], 3: [1, 2]}
+
+
 # ------------------------------------------------------------------ mixing
 
 

@@ -146,7 +146,7 @@ def nearest(vectors: DataFrame, wanted: Column, key: str = "vec_id", vector: str
     """
     rows = vectors.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"), wanted.alias("wanted")).filter(F.col("id").isNotNull() & usable(F.col("v")))
     smallest = Window.partitionBy("v").orderBy("id")
-    few = rows.select("id", "v").withColumn("n", F.row_number().over(smallest)).filter(F.col("n") <= k + 1)
+    few = rows.select("id", "v").dropDuplicates(["id", "v"]).withColumn("n", F.row_number().over(smallest)).filter(F.col("n") <= k + 1)
     nodes = cut(few.groupBy("v").agg(F.sort_array(F.collect_set("id")).alias("ids")).withColumn("dim", F.size("v")))
     shards = {r["dim"]: -(-r["n"] // shard_rows) for r in nodes.groupBy("dim").agg(F.count("*").alias("n")).collect()}
     of_dim = F.lit(1)
