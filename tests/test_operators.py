@@ -88,6 +88,13 @@ def test_diagonal_voxels(spark):
     assert G.label_regions(on, offsets=G.TWENTY_SIX).select("region").distinct().count() == 1
 
 
+def test_leave_one_out_trains_on_75_others(spark):
+    import __spark_entry__ as entry
+
+    got = entry.queries()["loo_training_sets_75"](spark, "/root/testdata/sf0.1").toPandas()
+    assert len(got) == len(got.drop_duplicates()) and got.subject.nunique() > 76 and (got.groupby("subject").size() == 75).all() and (got.subject != got.other).all()
+
+
 def test_regions_against_flood_fill(spark):
     values = (np.random.default_rng(5).random((7, 6, 5)) > 0.55).astype(float)
     seen, sizes = np.zeros(values.shape, bool), {}

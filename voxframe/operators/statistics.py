@@ -108,11 +108,17 @@ def subject_kfold(subjects: DataFrame, k: int, repeats: int = 1, seed: str = "1"
 def leave_one_out(df: DataFrame, most: int, seed: str = "1") -> DataFrame:
     """subject, other: for each subject at most `most` other subjects to train on, the next ones on a ring in hash order.
 
-    Only the list of subjects is ordered; places on the ring meet by equality, so no subject is compared with all others.
+    Subjects are ranked within the first 16 bits of their hash, after those of lower ones (at most 65,536 counts); places on
+    the ring meet by equality, so no subject is compared with all others.
     """
-    w = Window.partitionBy(F.lit(0))
-    ring = df.select("subject").distinct().withColumns({"__i": F.row_number().over(w.orderBy(hash_order(seed, "subject"))) - 1, "__n": F.count("*").over(w)})
-    ahead = ring.withColumn("__k", F.explode(F.sequence(F.lit(1), F.lit(most)))).filter("__k < __n").withColumn("__j", ((F.col("__i") + F.col("__k")) % F.col("__n")).cast("int"))
+    order = hash_order(seed, "subject")
+    keyed = df.select("subject").distinct().withColumns({"__h": order, "__b": F.conv(F.substring(order, 1, 4), 16, 10).cast("int")})
+    below = Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    counts = keyed.groupBy("__b").agg(F.count("*").alias("__c"))
+    offsets = counts.select("__b", F.coalesce(F.sum("__c").over(below), F.lit(0)).alias("__below"))
+    ring = keyed.join(F.broadcast(offsets), "__b").select("subject", (F.col("__below") + F.row_number().over(Window.partitionBy("__b").orderBy("__h")) - 1).alias("__i"))
+    sized = ring.join(F.broadcast(counts.agg(F.sum("__c").alias("__n"))))
+    ahead = sized.withColumn("__k", F.explode(F.sequence(F.lit(1), F.lit(most)))).filter("__k < __n").withColumn("__j", (F.col("__i") + F.col("__k")) % F.col("__n"))
     return ahead.join(ring.select(F.col("__i").alias("__j"), F.col("subject").alias("other")), "__j").select("subject", "other")
 
 

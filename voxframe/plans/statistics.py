@@ -193,9 +193,15 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 
 @query("loo_training_sets", W("WITH s AS (SELECT subject, row_number() OVER (ORDER BY md5('1-' || subject)) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT subject FROM vox)) SELECT a.subject, b.subject AS other FROM s a, range(1, 11) k(k), s b WHERE b.i = (a.i + k) % a.n AND k < a.n", "vox"))
 def _(spark: SparkSession, d: str) -> DataFrame:
+    """A short list of ten; loo_training_sets_75 has as many others as the reference trains on."""
     return T.leave_one_out(C.vox(spark, d), 10)
 
 
+@query("loo_training_sets_75", W("WITH s AS (SELECT subject, row_number() OVER (ORDER BY md5('1-' || subject)) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT subject FROM vox)) SELECT a.subject, b.subject AS other FROM s a, range(1, 76) k(k), s b WHERE b.i = (a.i + k) % a.n AND k < a.n", "vox"))
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return T.leave_one_out(C.vox(spark, d), 75)
+
+
 @query("hypoperfused_volume", W("""WITH o AS (SELECT subject, quantile_cont(tmax, 0.5) AS t FROM vox_out WHERE mask = 1 GROUP BY 1), a AS (SELECT quantile_cont(tmax, 0.5) AS t FROM vox_out WHERE mask = 1)
 SELECT v.subject, count(*) FILTER (mask = 1 AND CASE WHEN o.t > 5 * a.t THEN tmax / 10 ELSE tmax END > 6) AS voxels, round(count(*) FILTER (mask = 1 AND CASE WHEN o.t > 5 * a.t THEN tmax / 10 ELSE tmax END > 6) * 0.008::DOUBLE, 6) AS ml FROM vox_out v LEFT JOIN o USING (subject) CROSS JOIN a GROUP BY 1""", "vox_out"))
 def hypoperfused_volume(spark: SparkSession, d: str) -> DataFrame:
