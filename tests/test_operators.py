@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from voxframe.functions import voxel as V
+from voxframe.operators import cohort as CO
 from voxframe.operators import components as G
 from voxframe.operators import normalise as N
 from voxframe.operators import scoring as S
@@ -95,6 +96,19 @@ def test_leave_one_out_trains_on_75_others(spark):
     assert len(got) == len(got.drop_duplicates()) and got.subject.nunique() > 76 and (got.groupby("subject").size() == 75).all() and (got.subject != got.other).all()
 
 
+def test_fuzzy_match_against_all_pairs(spark):
+    rng = np.random.default_rng(4)
+    some = lambda n: ["".join(rng.choice(list("abcd"), rng.integers(1, 17))) for _ in range(n)]
+    left, right = (spark.createDataFrame([(x,) for x in names], "name string") for names in (["Katherine", "abab", "", None, *some(150)], ["Catherine", "Kate", "xbab", *some(150)]))
+    ratio = 1 - F.levenshtein("a", "b") / F.greatest(F.length("a"), F.length("b"))
+    pairs = left.distinct().select(F.col("name").alias("a")).crossJoin(right.distinct().select(F.col("name").alias("b"))).withColumn("ratio", ratio).toPandas()
+    for least in (0.6, 0.45, 0.85):
+        want = pairs[pairs.ratio > least].sort_values(["ratio", "b"], ascending=[False, True]).groupby("a").first()
+        got = CO.fuzzy_match(left, right, least=least).toPandas().set_index("a").sort_index()
+        assert got.b.to_dict() == want.b.to_dict() and got.index.is_unique
+        assert got.b["Katherine"] == "Catherine"
+
+
 def test_regions_against_flood_fill(spark):
     values = (np.random.default_rng(5).random((7, 6, 5)) > 0.55).astype(float)
     seen, sizes = np.zeros(values.shape, bool), {}

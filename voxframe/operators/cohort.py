@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+CLOSE = 0.8
+
 
 def select_channels(inventory: DataFrame, prefixes: Sequence[str], both_of: str = "TRACE") -> DataFrame:
     """subject, modality, prefix, nth, study: the study that starts with each prefix, in the prefixes' order; a prefix with `both_of` gets its first two by lower-cased name. `problem` marks prefixes with more studies than that."""
@@ -36,14 +39,54 @@ def first_after(anchors: DataFrame, candidates: DataFrame) -> DataFrame:
     return best.select("subject", "ts", F.col("b.c_ts").alias("chosen_ts"), F.col("b.kind").alias("kind"), (F.col("n") > 1).alias("several"))
 
 
+def numbered_grams(text: Column, q: int) -> Column:
+    """The text's q-grams as structs g, m; m counts equal ones, so that repeated grams differ."""
+    grams = F.when(F.length(text) >= q, F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - (q - 1), F.lit(1))), lambda i: F.substring(text, i, F.lit(q)))).otherwise(F.array().cast("array<string>"))
+    return F.transform(grams, lambda g, i: F.struct(g.alias("g"), F.size(F.filter(F.slice(grams, F.lit(1), i + 1), lambda x: x == g)).alias("m")))
+
+
+def similar_names(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
+    """a, b, ratio: all pairs of the distinct names left.a and right.b with 1 - edit distance / longer length over `least`.
+
+    Each edit spoils at most q of a name's q-grams, so names within d edits share one of the q * d + 1 rarest of each, as
+    long as the longer has more than q * d grams: pairs if it is long enough for `least`, else single letters.
+    """
+    long = math.ceil(2 / (2 * least - 1) + 1e-9) if least > 0.5 else None
+    most = lambda q, n: q * F.floor(n * ((1 - least) / least) + 1e-9).cast("int") + 1 if least > 0 else n
+    longer = lambda a, b: F.greatest(F.length(a), F.length(b))
+    found = None
+    for q in (1, 2) if long else (1,):
+        sides = []
+        for df, c in ((left, "a"), (right, "b")):
+            n = F.length(c)
+            takes_part = F.lit(True) if not long else n < long if q == 1 else n >= math.floor(long * least)
+            sides.append(df.filter(takes_part).select(c, F.inline(numbered_grams(F.col(c), q))))
+        often = sides[0].select("g", "m").unionByName(sides[1].select("g", "m")).groupBy("g", "m").agg(F.count("*").alias("n"))
+        rare = [s.join(often, ["g", "m"]).groupBy(c).agg(F.sort_array(F.collect_list(F.struct("n", "g", "m"))).alias("all")).select(c, F.inline(F.slice("all", F.lit(1), most(q, F.length(c))))).drop("n") for s, c in zip(sides, "ab", strict=True)]
+        fits = F.least(F.length("a"), F.length("b")) >= longer("a", "b") * least - 1e-9
+        if long:
+            fits = fits & (longer("a", "b") < long if q == 1 else longer("a", "b") >= long)
+        pairs = rare[0].join(rare[1], ["g", "m"]).filter(fits).select("a", "b").distinct()
+        found = pairs if found is None else found.unionByName(pairs)
+    return found.withColumn("ratio", 1 - F.levenshtein("a", "b") / longer("a", "b")).filter(F.col("ratio") > least)
+
+
 def fuzzy_match(left: DataFrame, right: DataFrame, name: str = "name", least: float = 0.6) -> DataFrame:
-    """left's name with the most similar right name over `least`: 1 - edit distance / longer length, ties to the smaller name. Names are compared within the same first letter and length class only."""
-    key = lambda c: F.lower(F.substring(c, 1, 2))
-    l = left.select(F.col(name).alias("a"), key(F.col(name)).alias("k")).distinct()  # noqa: E741
-    r = right.select(F.col(name).alias("b"), key(F.col(name)).alias("k")).distinct()
-    ratio = 1 - F.levenshtein("a", "b") / F.greatest(F.length("a"), F.length("b"))
-    best = l.join(r, "k").withColumn("ratio", ratio).filter(F.col("ratio") > least).groupBy("a").agg(F.min(F.struct((-F.col("ratio")).alias("r"), "b")).alias("m"))
-    return best.select("a", F.col("m.b").alias("b"), (-F.col("m.r")).alias("ratio"))
+    """left's name with the most similar right name over `least`: 1 - edit distance / longer length, ties to the smaller name; exact over all pairs. Empty names match nothing.
+
+    Names with a match over CLOSE are done after a first pass, which few rare grams decide; only the others are searched down to `least`.
+    """
+    r = right.select(F.col(name).alias("b")).distinct()
+
+    def best(names: DataFrame, over: float) -> DataFrame:
+        m = similar_names(names, r, over).groupBy("a").agg(F.min(F.struct((-F.col("ratio")).alias("r"), "b")).alias("m"))
+        return m.select("a", F.col("m.b").alias("b"), (-F.col("m.r")).alias("ratio"))
+
+    l = left.select(F.col(name).alias("a")).distinct()  # noqa: E741
+    if least >= CLOSE:
+        return best(l, least)
+    close = best(l, CLOSE)
+    return close.unionByName(best(l.join(close, "a", "left_anti"), least))
 
 
 def cohort_filter(subjects: DataFrame, clinical: DataFrame, treated_before: Column) -> DataFrame:
