@@ -365,6 +365,14 @@ def test_quality(documents, odd, spark):
     assert quality.resample(empty(odd), few).count() == 0 and quality.resample(odd, empty(few)).count() == 7
 
 
+def test_a_repeated_document_is_scored_once(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "good words here")] * 50 + [(2, "bad things there"), (3, "other")], "doc_id long, text string")
+    seen, best = [], quality.best_threshold
+    monkeypatch.setattr(quality, "best_threshold", lambda score, good: seen.append(sorted(good)) or best(score, good))
+    quality.fit(docs, spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int"))
+    assert seen == [[False, True]]
+
+
 def test_log_weight_against_plain_sums():
     texts = ["a b, c a b", "x"]
     bucket, doc = quality.buckets_of(texts, 1 << 16)

@@ -72,9 +72,9 @@ def fit(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, most: int =
     ratio = np.log((target + SMOOTHING) / (expected + SMOOTHING))
     ratio = np.sign(ratio) * np.maximum(np.abs(ratio) - DOUBT / np.sqrt(np.maximum(target, expected) + SMOOTHING), 0)
     model = Model(ratio, -np.inf)
-    # At most `most` documents carry a label: their scores come to the driver.
-    scored = weigh(docs.join(sample, F.col("doc_id") == F.col("__id")).select("text", F.lit(0).alias("doc_id"), "__y"), model)
-    known = np.array([(r["log_weight"], r["__y"] == 1) for r in scored.select("log_weight", "__y").collect()], float).reshape(-1, 2)
+    # One score for each labelled id, however often it is repeated: at most `most` come to the driver.
+    scored = weigh(docs.join(sample, F.col("doc_id") == F.col("__id")).select("text", F.lit(0).alias("doc_id"), "__id", "__y"), model)
+    known = np.array([(r["log_weight"], r["__y"] == 1) for r in scored.groupBy("__id", "__y").agg(F.max("log_weight").alias("log_weight")).collect()], float).reshape(-1, 2)
     return model._replace(threshold=best_threshold(known[:, 0], known[:, 1] > 0))
 
 
