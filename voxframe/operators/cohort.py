@@ -68,7 +68,7 @@ def similar_names(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
             fits = fits & (longer("a", "b") < long if q == 1 else longer("a", "b") >= long)
         pairs = rare[0].join(rare[1], ["g", "m"]).filter(fits).select("a", "b").distinct()
         found = pairs if found is None else found.unionByName(pairs)
-    return found.withColumn("ratio", 1 - F.levenshtein("a", "b") / longer("a", "b")).filter(F.col("ratio") > least)
+    return found.withColumn("ratio", 1 - F.try_divide(F.levenshtein("a", "b"), longer("a", "b"))).filter(F.col("ratio") > least)
 
 
 def fuzzy_match(left: DataFrame, right: DataFrame, name: str = "name", least: float = 0.6) -> DataFrame:

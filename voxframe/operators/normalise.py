@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voxframe.functions.voxel import side
+from voxframe.operators.quantiles import exact_quantiles
 
 KEY = "subject"
 CLIP = (0.01, 0.99)
@@ -26,8 +27,8 @@ def rescale_outliers(df: DataFrame, channels: Sequence[str], factor: float = 5.0
     """A channel is divided by 10 in the subjects whose masked median is over 5 times the pooled masked median, all medians taken from the input."""
     masked = df.filter("mask = 1")
     own = masked.groupBy(KEY).agg(*[F.percentile(c, F.lit(0.5)).alias(f"__own_{c}") for c in channels])
-    pooled = masked.agg(*[F.percentile(c, F.lit(0.5)).alias(f"__all_{c}") for c in channels])
-    flags = own.join(F.broadcast(pooled)).select(KEY, *[(F.col(f"__own_{c}") > factor * F.col(f"__all_{c}")).alias(f"__out_{c}") for c in channels])
+    pooled = {c: exact_quantiles(masked, c, [0.5])[0] for c in channels}
+    flags = own.select(KEY, *[(F.col(f"__own_{c}") > factor * F.lit(pooled[c]).cast("double")).alias(f"__out_{c}") for c in channels])
     fixed = {c: F.when(F.coalesce(F.col(f"__out_{c}"), F.lit(False)), F.col(c) / divisor).otherwise(F.col(c)) for c in channels}
     return df.join(flags, KEY, "left").withColumns(fixed).drop(*[f"__out_{c}" for c in channels])
 
@@ -77,8 +78,8 @@ def minmax_norm(df: DataFrame, c: str, out: str = "normalised", clip: tuple[floa
 
 def penumbra(df: DataFrame, c: str = "tmax", low: float = 6.0, quantile: float = 0.99) -> DataFrame:
     """`penumbra`: 1 above `low` and below the 99th percentile of all rows pooled."""
-    top = df.agg(F.percentile(c, F.lit(quantile)).alias("__top"))
-    return df.join(F.broadcast(top)).withColumn("penumbra", F.when((F.col(c) > low) & (F.col(c) < F.col("__top")), 1).otherwise(0)).drop("__top")
+    top = exact_quantiles(df, c, [quantile])[0]
+    return df.withColumn("penumbra", F.when((F.col(c) > low) & (F.col(c) < F.lit(top).cast("double")), 1).otherwise(0))
 
 
 def csf_threshold(df: DataFrame, c: str, low: float = 0.0, high: float = 40.0, width: float = 1.96) -> DataFrame:
@@ -108,3 +109,23 @@ def mirror_ratio(df: DataFrame, channels: Sequence[str], nx: int) -> DataFrame:
         beside = df.filter(F.col("x").isin(middle - 1, middle + 1)).groupBy(*place).agg(*[F.avg(c).alias(f"__b_{c}") for c in channels]).withColumn("x", F.lit(middle))
         joined = joined.join(beside, [*place, "x"], "left").withColumns({f"__o_{c}": F.when(F.col("x") == middle, F.col(f"__b_{c}")).otherwise(F.col(f"__o_{c}")) for c in channels})
     return joined.withColumns({c: ratio(F.col(c), F.col(f"__o_{c}")) for c in channels}).drop(*[f"__{k}_{c}" for c in channels for k in "ob"])
+
+
+def correlation(a: str, b: str) -> Column:
+    """Pearson's r as an aggregate; null for fewer than two values or a constant side."""
+    both = F.col(a).isNotNull() & F.col(b).isNotNull()
+    x, y = F.when(both, F.col(a).cast("double")), F.when(both, F.col(b).cast("double"))
+    return F.try_divide(F.covar_pop(x, y), F.nullif(F.stddev_pop(x) * F.stddev_pop(y), F.lit(0.0)))
+
+
+def channel_correlation(df: DataFrame, names: Sequence[str]) -> DataFrame:
+    """a, b, r of every pair of columns, pooled over all rows in one pass."""
+    pairs = [(a, b) for a in names for b in names]
+    wide = df.agg(*[correlation(a, b).alias(f"{a}|{b}") for a, b in pairs])
+    return wide.select(F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"{a}|{b}").alias("r")) for a, b in pairs])).alias("p")).select("p.a", "p.b", "p.r")
+
+
+def voxelwise_correlation(df: DataFrame, a: str, b: str) -> DataFrame:
+    """One row: the mean over grid positions of the correlation across subjects, and the positions that have one."""
+    r = df.groupBy("x", "y", "z").agg(correlation(a, b).alias("r"))
+    return r.agg(F.avg("r").alias("mean_r"), F.count("r").alias("positions"))

@@ -42,13 +42,13 @@ def wilcoxon(pairs: DataFrame, keys: Sequence[str], a: str = "a", b: str = "b")
 
 
 def mann_whitney(df: DataFrame, keys: Sequence[str], value: str, first: Column) -> DataFrame:
-    """U test of the rows where `first` holds against the others: keys, n1, n2, u, z, p; mean ranks, tie and continuity correction."""
+    """U test of the rows where `first` holds against the others: keys, n1, n2, u, z, p; mean ranks, tie and continuity correction. z and p are null for a single row, an empty side or equal values only."""
     r = df.withColumns({"__g": first.cast("int"), "__r": mean_rank(keys, F.col(value)), "__t": F.count("*").over(Window.partitionBy(*keys, value))})
     s = r.groupBy(*keys).agg(F.sum("__g").alias("n1"), F.sum(1 - F.col("__g")).alias("n2"), F.sum(F.col("__g") * F.col("__r")).alias("__r1"), F.sum(F.col("__t") * F.col("__t") - 1).alias("__ties"))
     n1, n2 = F.col("n1"), F.col("n2")
     n = n1 + n2
     u = F.col("__r1") - n1 * (n1 + 1) / 2.0
-    var = n1 * n2 / 12.0 * ((n + 1) - F.col("__ties") / (n * (n - 1)))
+    var = n1 * n2 / 12.0 * ((n + 1) - F.try_divide(F.col("__ties"), n * (n - 1)))
     z = F.when(var > 0, F.greatest(F.abs(u - n1 * n2 / 2.0) - 0.5, F.lit(0.0)) / F.sqrt(var))
     return s.withColumn("u", u).withColumn("z", z).withColumn("p", normal_tail(F.col("z"))).drop("__r1", "__ties")
 
@@ -128,10 +128,10 @@ def summary(df: DataFrame, keys: Sequence[str], values: Sequence[str]) -> DataFr
 
 
 def confidence_band(df: DataFrame, keys: Sequence[str], value: str, least: float = 0.0) -> DataFrame:
-    """Mean, and mean -/+ 1.96 deviations over the root of n, not under `least`."""
+    """Mean, and mean -/+ 1.96 deviations over the root of n, not under `least`; null without values."""
     s = df.groupBy(*keys).agg(F.avg(value).alias("mean"), F.stddev_pop(value).alias("__s"), F.count(value).alias("n"))
-    half = 1.96 * F.col("__s") / F.sqrt("n")
-    return s.withColumns({"low": F.greatest(F.col("mean") - half, F.lit(least)), "high": F.col("mean") + half}).drop("__s")
+    half = 1.96 * F.try_divide("__s", F.sqrt("n"))
+    return s.withColumns({"low": F.when(half.isNotNull(), F.greatest(F.col("mean") - half, F.lit(least))), "high": F.col("mean") + half}).drop("__s")
 
 
 def pair_runs(runs: DataFrame, step: int, order: str = "rf", fold: str = "fold", model: str = "model", value: str = "roc_auc") -> DataFrame:

@@ -99,7 +99,7 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return O.first_after(anchors, c)
 
 
-@query("fuzzy_match", "WITH l AS (SELECT DISTINCT p_name AS a FROM part), r AS (SELECT DISTINCT left(p_name, length(p_name) - 1) || 'x' AS b FROM part), m AS (SELECT a, b, 1 - levenshtein(a, b) / greatest(length(a), length(b)) AS ratio FROM l JOIN r ON left(lower(a), 2) = left(lower(b), 2)), k AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY ratio DESC, b) AS n FROM m WHERE ratio > 0.6) SELECT a, b, round(ratio, 6) AS ratio FROM k WHERE n = 1")
+@query("fuzzy_match", "WITH l AS (SELECT DISTINCT p_name AS a FROM part), r AS (SELECT DISTINCT left(p_name, length(p_name) - 1) || 'x' AS b FROM part), m AS (SELECT a, b, 1 - levenshtein(a, b) / greatest(length(a), length(b)) AS ratio FROM l CROSS JOIN r), k AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY ratio DESC, b) AS n FROM m WHERE ratio > 0.6) SELECT a, b, round(ratio, 6) AS ratio FROM k WHERE n = 1")
 def _(spark: SparkSession, d: str) -> DataFrame:
     p = C.read(spark, d, "part").select(F.col("p_name").alias("name"))
     other = p.select(F.expr("concat(left(name, length(name) - 1), 'x')").alias("name"))

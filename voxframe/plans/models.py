@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,20 +12,12 @@ from voxframe.operators import models as M
 from voxframe.operators import scoring as S
 from voxframe.plans.registry import query, rounded
 from voxframe.sources import tables as R
+from voxframe.sources.shared import new_folder as folder
 
 KEY = ("subject", "x", "y", "z")
 TWO = ("tmax", "cbf")
 
 
-def folder(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir, or below one of our own where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="voxframe-", dir="/tmp"))
-        base = spark.sparkContext.getCheckpointDir()
-    return f"{base}/voxframe-{uuid.uuid4().hex}"
-
-
 def halves(spark: SparkSession, d: str, radius: tuple[int, int, int] = (0, 0, 0)) -> tuple[DataFrame, DataFrame]:
     """Balanced training rows of the even subjects; masked rows of the odd ones."""
     f = M.features(C.vox(spark, d), TWO, radius)

@@ -166,16 +166,12 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 
 @query("channel_correlation", W("SELECT a, b, round(corr(u, v), 6) AS r FROM (" + " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, CAST({a} AS DOUBLE) AS u, CAST({b} AS DOUBLE) AS v FROM vox" for a in (*C.CHANNELS, "label") for b in (*C.CHANNELS, "label")) + ") GROUP BY 1, 2", "vox"))
 def _(spark: SparkSession, d: str) -> DataFrame:
-    names = (*C.CHANNELS, "label")
-    pairs = [(a, b) for a in names for b in names]
-    wide = C.vox(spark, d).agg(*[F.corr(a, b).alias(f"{a}|{b}") for a, b in pairs])
-    return rounded(wide.select(F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"{a}|{b}").alias("r")) for a, b in pairs])).alias("p")).select("p.a", "p.b", "p.r"))
+    return rounded(N.channel_correlation(C.vox(spark, d), (*C.CHANNELS, "label")))
 
 
-@query("voxelwise_correlation", W("SELECT round(avg(r), 6) AS mean_r, count(r) AS positions FROM (SELECT CASE WHEN isnan(corr(tmax, label)) THEN NULL ELSE corr(tmax, label) END AS r FROM vox GROUP BY x, y, z HAVING stddev_pop(label) > 0)", "vox"))
+@query("voxelwise_correlation", W("SELECT round(avg(r), 6) AS mean_r, count(r) AS positions FROM (SELECT CASE WHEN isnan(corr(tmax, label)) THEN NULL ELSE corr(tmax, label) END AS r FROM vox GROUP BY x, y, z HAVING stddev_pop(label) > 0 AND stddev_pop(tmax) > 0)", "vox"))
 def _(spark: SparkSession, d: str) -> DataFrame:
-    r = C.vox(spark, d).groupBy("x", "y", "z").agg(F.corr("tmax", "label").alias("r"), F.stddev_pop("label").alias("s")).filter("s > 0")
-    return rounded(r.agg(F.avg(F.when(~F.isnan("r"), F.col("r"))).alias("mean_r"), F.count(F.when(~F.isnan("r"), F.col("r"))).alias("positions")))
+    return rounded(N.voxelwise_correlation(C.vox(spark, d), "tmax", "label"))
 
 
 @query("prepare", W("""

@@ -87,7 +87,7 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 def _(spark: SparkSession, d: str) -> DataFrame:
     runs = C.runs(spark, d)
     b = runs.agg(F.min("roc_auc").alias("lo"), F.max("roc_auc").alias("hi"))
-    place = F.least(F.floor((F.col("roc_auc") - F.col("lo")) / ((F.col("hi") - F.col("lo")) / 20)), F.lit(19)).cast("int")
+    place = F.least(F.floor(F.coalesce(F.try_divide(F.col("roc_auc") - F.col("lo"), (F.col("hi") - F.col("lo")) / 20), F.lit(0.0))), F.lit(19)).cast("int")
     return runs.join(F.broadcast(b)).groupBy("rf", place.alias("bin")).agg(F.count("*").alias("n"))
 
 
@@ -115,7 +115,7 @@ _COEF = "k AS (SELECT l_suppkey % 10 AS fold, l_partkey % 28 AS pos, avg(l_disco
 def _(spark: SparkSession, d: str) -> DataFrame:
     per_fold = coefficients(spark, d).groupBy("fold", F.floor(F.col("pos") / 7).alias("channel")).agg(F.percentile("weight", F.lit(0.5)).alias("m"))
     c = per_fold.groupBy("channel").agg(F.percentile("m", F.lit(0.5)).alias("median"), F.stddev_pop("m").alias("std"))
-    return rounded(c.join(F.broadcast(c.agg(F.sum(F.abs("median")).alias("total")))).select("channel", "median", "std", (F.abs("median") / F.col("total")).alias("share")))
+    return rounded(c.join(F.broadcast(c.agg(F.sum(F.abs("median")).alias("total")))).select("channel", "median", "std", F.try_divide(F.abs("median"), "total").alias("share")))
 
 
 @query("spatial_weights", f"WITH {_COEF} SELECT pos % 7 AS place, round(quantile_cont(weight, 0.5), 6) AS median FROM k GROUP BY 1")
