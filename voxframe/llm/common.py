@@ -2,27 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not named:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="voxframe-", dir="/tmp"))
-        named = spark.sparkContext.getCheckpointDir()
-    return named
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """df written to the shared folder and read again: lineage ends here, so a lost executor costs a read and not a recomputation."""
-    path = f"{shared_dir(df.sparkSession)}/voxframe-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+from voxframe.sources.shared import Scratch, cut, shared_dir  # noqa: F401
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

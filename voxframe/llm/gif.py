@@ -21,6 +21,8 @@ MAX_CODES = 4096
 WIDTH, ROWS = 64, 1024
 FRAME_BYTES = WIDTH * ROWS
 BINS = 8
+#: Pixels of a canvas or frame beyond which a stream counts as corrupt: a header of ten bytes could ask for 17 GB.
+MAX_PIXELS = 1 << 24
 GREY = np.repeat(np.arange(256, dtype=np.uint8), 3).tobytes()
 
 
@@ -162,6 +164,8 @@ def gif_frames(data: bytes) -> Iterator[dict]:
         n = 2 << (flags & 7)
         shared = np.frombuffer(data, np.uint8, 3 * n, at).reshape(n, 3)
         at += 3 * n
+    if width * height > MAX_PIXELS:
+        raise ValueError(f"canvas of {width} x {height} pixels")
     canvas = np.zeros((height, width, 4), np.uint8)
     disposal = delay = index = clock = 0
     clear = None
@@ -177,6 +181,8 @@ def gif_frames(data: bytes) -> Iterator[dict]:
             raise ValueError("unknown block")
         left, top, w, h, packed = struct.unpack_from("<HHHHB", data, at + 1)
         at += 10
+        if w * h > MAX_PIXELS:
+            raise ValueError(f"frame of {w} x {h} pixels")
         palette = shared
         if packed & 0x80:
             n = 2 << (packed & 7)
@@ -223,8 +229,8 @@ FRAME_SCHEMA = "frame int, left int, top int, width int, height int, start_ms lo
 def decode_frames(df: DataFrame, media: str, key: str) -> DataFrame:
     """One row per frame of each GIF in column `media`, with the column `key` as `media_key`; other columns are left out.
 
-    Null or empty media give no row. A corrupt stream gives the frames before the fault and one row whose `error` says what
-    is wrong. Repeated rows are decoded each for itself.
+    Null or empty media give no row. A corrupt stream, or one of more than 2^24 pixels, gives the frames before the fault
+    and one row whose `error` says what is wrong. Repeated rows are decoded each for itself.
     """
     names = [x.strip().split(" ")[0] for x in FRAME_SCHEMA.split(",")]
 

@@ -14,6 +14,8 @@ from voxframe.llm.text import code_points, letters, slices
 DIMENSIONS = 1024
 SEED = 20
 PIECE = 1 << 20
+#: Distinct trigrams whose vectors are made together.
+BLOCK = 8192
 #: Symbols up to which a batch's trigrams are counted in a table rather than sorted.
 SMALL = 160
 
@@ -24,26 +26,37 @@ def letter_vectors(points: np.ndarray, dimensions: int) -> np.ndarray:
     return np.array(rows, np.int8).reshape(-1, dimensions) * 2 - 1
 
 
-def trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Letters' code points that occur, and each trigram as three indices into them (packed in base of their number) with its text."""
+def symbols(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The texts' letters in lower case with one 0 before, between and after words, and each symbol's text."""
     chars = letters()[code_points("".join(f"\n{t}\n" for t in texts))]
     doc = np.repeat(np.arange(len(texts)), [len(t) + 2 for t in texts])
     first = np.concatenate(([True], doc[1:] != doc[:-1]))
     kept = (chars > 0) | first | np.concatenate(([False], chars[:-1] > 0))
-    chars, doc = chars[kept], doc[kept]
-    found = np.zeros(int(chars.max(initial=0)) + 1, np.int64)
-    found[chars] = 1
-    points = np.flatnonzero(found)
-    found[points] = np.arange(len(points))
-    code, n = found[chars], len(points)
-    whole = doc[:-2] == doc[2:]
-    return points, ((code[:-2] * n + code[1:-1]) * n + code[2:])[whole], doc[:-2][whole]
+    return chars[kept], doc[kept]
 
 
-def bundle(texts: list[str], group: np.ndarray, groups: int, dimensions: int) -> np.ndarray:
-    """Per group of texts the sum of its trigram vectors: each binds (multiplies) its letters' vectors, rotated by their place."""
-    points, codes, doc = trigrams(texts)
+def long_symbols(text: str) -> Iterator[np.ndarray]:
+    """symbols() of one text in pieces of bounded size; each begins with the last two symbols of the one before, so that no trigram is lost, added or counted twice."""
+    tail = np.zeros(1, np.uint32)
+    for i in range(0, len(text) + 1, PIECE):
+        chars = letters()[code_points(text[i : i + PIECE] + ("\n" if i + PIECE > len(text) else ""))]
+        before = np.concatenate((tail[-1:], chars[:-1]))
+        whole = np.concatenate((tail, chars[(chars > 0) | (before > 0)]))
+        yield whole
+        tail = whole[-2:]
+
+
+def bundle(chars: np.ndarray, doc: np.ndarray, group_of: np.ndarray, groups: int, dimensions: int) -> np.ndarray:
+    """Per group of texts the sum of its trigram vectors: each binds (multiplies) its letters' vectors, rotated by their place.
+
+    chars are symbols in order, doc is each symbol's text, group_of each text's group. Distinct trigrams are bound in
+    blocks of at most BLOCK, so memory doesn't grow with their number.
+    """
+    out = np.zeros((groups, dimensions))
+    points, code = _coded(chars)
     n = len(points)
+    whole = doc[:-2] == doc[2:]
+    codes, owner = ((code[:-2] * n + code[1:-1]) * n + code[2:])[whole], group_of[doc[:-2][whole]]
     if n <= SMALL:
         place = np.zeros(n**3, np.int64)
         place[codes] = 1
@@ -52,24 +65,44 @@ def bundle(texts: list[str], group: np.ndarray, groups: int, dimensions: int) ->
         column = place[codes]
     else:
         used, column = np.unique(codes, return_inverse=True)
+    if len(used) > BLOCK:
+        order = np.argsort(column, kind="stable")
+        column, owner = column[order], owner[order]
+        ends = np.searchsorted(column, np.arange(0, len(used) + BLOCK, BLOCK))
+    else:
+        ends = np.array([0, len(column)])
     base = letter_vectors(points, dimensions)
-    vectors = np.roll(base, 2, axis=1)[used // (n * n)] * np.roll(base, 1, axis=1)[used // n % n] * base[used % n]
-    counts = np.bincount(group[doc] * len(used) + column, minlength=groups * len(used)).reshape(groups, len(used))
-    return (counts.astype(np.float32) @ vectors.astype(np.float32)).astype(np.float64)
+    second, first = np.roll(base, 1, axis=1), np.roll(base, 2, axis=1)
+    for k, (a, b) in enumerate(zip(ends[:-1], ends[1:], strict=True)):
+        part = used[k * BLOCK : (k + 1) * BLOCK]
+        vectors = first[part // (n * n)] * second[part // n % n] * base[part % n]
+        counts = np.bincount(owner[a:b] * len(part) + column[a:b] - k * BLOCK, minlength=groups * len(part)).reshape(groups, len(part))
+        out += counts.astype(np.float32) @ vectors.astype(np.float32)
+    return out
+
+
+def _coded(chars: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """np.unique with inverse, by a table over code points."""
+    found = np.zeros(int(chars.max(initial=0)) + 1, np.int64)
+    found[chars] = 1
+    points = np.flatnonzero(found)
+    found[points] = np.arange(len(points))
+    return points, found[chars]
 
 
-def pieces(texts: list[str]) -> tuple[list[str], np.ndarray]:
-    """Texts over a million characters in several pieces, and the index of each piece's text."""
-    parts = [(k, t[i : i + PIECE]) for k, t in enumerate(texts) for i in range(0, max(1, len(t)), PIECE)]
-    return [p for _, p in parts], np.array([k for k, _ in parts], np.int64)
+def bundles(texts: list[str], groups_of: list[int], groups: int, dimensions: int) -> np.ndarray:
+    """The bundles of groups of texts, each text given with its group; texts of any length."""
+    group_of = np.asarray(groups_of, np.int64)
+    if len(texts) == 1 and len(texts[0]) > PIECE:
+        return sum(bundle(chars, np.zeros(len(chars), np.int64), group_of, groups, dimensions) for chars in long_symbols(texts[0]))
+    return bundle(*symbols(texts), group_of, groups, dimensions)
 
 
 def profiles(texts: list[str], dimensions: int) -> np.ndarray:
+    """Each text's bundle."""
     out = np.zeros((len(texts), dimensions))
-    parts, owner = pieces(texts)
-    for s in slices([len(p) for p in parts]):
-        own, back = np.unique(owner[s], return_inverse=True)
-        out[own] += bundle(parts[s], back, len(own), dimensions)
+    for s in slices([len(t) for t in texts]):
+        out[s] = bundles(texts[s], list(range(s.stop - s.start)), s.stop - s.start, dimensions)
     return out
 
 
@@ -82,13 +115,11 @@ def fit_prototypes(labelled: DataFrame, dimensions: int = DIMENSIONS) -> dict[st
     def sums(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
         for batch in it:
-            parts, owner = pieces(batch.column(0).to_pylist())
-            names = batch.column(1).to_pylist()
-            for s in slices([len(p) for p in parts]):
-                own = [names[k] for k in owner[s]]
-                langs = sorted(set(own))
+            texts, names = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for s in slices([len(t) for t in texts]):
+                langs = sorted(set(names[s]))
                 index = {x: k for k, x in enumerate(langs)}
-                for name, row in zip(langs, bundle(parts[s], np.array([index[x] for x in own]), len(langs), dimensions), strict=True):
+                for name, row in zip(langs, bundles(texts[s], [index[x] for x in names[s]], len(langs), dimensions), strict=True):
                     total[name] = total.get(name, 0) + row
         for name, row in total.items():
             yield pa.RecordBatch.from_pydict({"lang": [name] * dimensions, "dimension": np.arange(dimensions, dtype=np.int32), "value": row})
@@ -101,8 +132,8 @@ def fit_prototypes(labelled: DataFrame, dimensions: int = DIMENSIONS) -> dict[st
 def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], dimensions: int = DIMENSIONS) -> DataFrame:
     """docs' `doc_id` and `held_out` with lang_pred and score, the cosine with the nearest prototype (0 to 1; ties go to the first name).
 
-    Null texts, texts without a letter and a model without prototypes give `und` and 0. Texts over a million characters
-    are bundled from pieces of that size.
+    Null texts, texts without a letter and a model without prototypes give `und` and 0. Longer texts are read in pieces,
+    with the same result as in one.
     """
     names = sorted(prototypes)
     matrix = np.array([prototypes[n] / (np.linalg.norm(prototypes[n]) or 1.0) for n in names]).reshape(len(names), dimensions)

@@ -1,9 +1,10 @@
 """Surrogates for personal data, in DataFrame functions only.
 
 Every entity is replaced by a keyed stand-in of the same type and format. Numbers go through a keyed permutation of the
-numbers with as many digits (a Feistel network), so different numbers stay different; addresses, secrets and names get
-keyed hashes. All distinct entities are then checked: no two share a stand-in and no stand-in is another real entity. Where
-that fails, the entity is hashed anew, and the few such entities are joined back to the texts that hold them.
+numbers with as many digits (a Feistel network) that moves every number, so different numbers stay different; addresses,
+secrets and names get keyed hashes. The stand-ins of all distinct entities are then checked: no two share one and none is
+another real entity. Entities that fail try again, and the few of them are joined back to the texts that hold them. Tables
+that are written on the way hold keyed hashes only, never a value, and are deleted.
 """
 
 from __future__ import annotations
@@ -11,26 +12,45 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voxframe.llm.common import cut
+from voxframe.llm.common import Scratch, cut
 
-KEY = "voxframe-demo-key"
 ROUNDS = 4
-MAX_ATTEMPTS = 20
+#: Further stand-ins that an entity tries before it takes the one that can't fail.
+ATTEMPTS = 24
+SALTS = 16
+#: Stands around entities while a text is taken apart; texts that hold it themselves are taken apart another way.
+EDGE = ""
 
 #: Words before a name, by the gender they tell.
 FEMALE = ("Mrs", "Ms", "Miss", "Frau", "Señora", "Sra", "Madame", "Mme", "Г-жа", "Госпожа", "Κυρία")
 MALE = ("Mr", "Herr", "Señor", "Sr", "Monsieur", "Г-н", "Господин", "Κύριος")
 NEUTRAL = ("Dr", "Prof")
-#: syllables' consonants and vowels by script.
+#: What else stands before a name.
+CUES = ("[Mm]y name is", "[Nn]ame:", "[Cc]ontact:", "[Ss]igned by", "[Ii]ch heiße", "[Jj]e m'appelle", "[Mm]e llamo", "[Мм]еня зовут")
+#: Frequent given names, by gender.
+GIRLS = ("Anna", "Maria", "Emma", "Olivia", "Sophia", "Julia", "Laura", "Sarah", "Elizabeth", "Jennifer", "Linda", "Mary", "Patricia", "Susan", "Karen", "Nancy", "Sabine", "Petra", "Monika", "Carmen", "Lucía", "Chloé", "Camille", "Ольга", "Наталья", "Елена", "Мария", "Ελένη")
+BOYS = ("James", "John", "Robert", "Michael", "William", "David", "Richard", "Joseph", "Thomas", "Charles", "Daniel", "Matthew", "Peter", "Paul", "Hans", "Jürgen", "Wolfgang", "Carlos", "José", "Juan", "Pierre", "Jean", "Иван", "Сергей", "Дмитрий", "Алексей", "Γιώργος")
+#: syllables' consonants and vowels, and endings of given names by gender, by script.
 SCRIPTS = {"latin": ("bdfgklmnprstvzhj", "aeio"), "cyrillic": ("бдгклмнпрствзжфх", "аеио"), "greek": ("βδγκλμνπρστζθφχξ", "αειο")}
+ENDINGS = {
+    "latin": {"f": ("ina", "ella", "anna", "etta"), "m": ("bert", "win", "mund", "ric"), "n": ("el", "is", "in", "ey")},
+    "cyrillic": {"f": ("ина", "елла", "ана", "ья"), "m": ("слав", "мир", "ор", "ей"), "n": ("ель", "ис", "ин", "и")},
+    "greek": {"f": ("ινα", "ελλα", "αννα", "ια"), "m": ("ιος", "ωνας", "ανδρος", "ας"), "n": ("ελ", "ις", "ιν", "ι")},
+}
 
 TITLES = "|".join(FEMALE + MALE + NEUTRAL)
-NAME = rf"(?:{TITLES})\.? \p{{Lu}}[\p{{L}}'-]+(?: \p{{Lu}}[\p{{L}}'-]+)?"
-EMAIL = r"[\p{L}\p{N}._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
+BEFORE = rf"(?:(?:{TITLES})\.? |(?:{'|'.join(CUES)}) )"
+WORD = r"\p{Lu}[\p{L}'-]+"
+NAME = rf"(?:{BEFORE}{WORD}(?: {WORD})?|(?:{'|'.join(GIRLS + BOYS)}) {WORD})"
+#: At most 126 labels before the last, so that matching stays shallow whatever the text.
+EMAIL = r"[\p{L}\p{N}._%+-]++@(?:[A-Za-z0-9-]{1,63}\.){1,126}[A-Za-z]{2,63}(?![A-Za-z0-9])"
 SECRET_WORD = r"(?:[Tt]oken|TOKEN|[Pp]assword|PASSWORD|[Pp]asswd|[Ss]ecret|SECRET|[Aa]pi[_-]?[Kk]ey|API[_-]?KEY|[Aa]ccess[_-]?[Kk]ey)"
 SECRET = SECRET_WORD + r"""\s{0,3}[=:]\s{0,3}["']?[A-Za-z0-9_+/.-]{7,}[A-Za-z0-9_+/=-]"""
 OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 IP = rf"(?<![\d.])(?:{OCTET}\.){{3}}{OCTET}(?!\d|\.\d)"
+GROUP = "[0-9A-Fa-f]{1,4}"
+IP6 = rf"(?<![\p{{L}}\p{{N}}:.])(?:(?:{GROUP}:){{7}}{GROUP}|(?:{GROUP}:){{1,6}}(?::{GROUP}){{1,6}})(?![\p{{L}}\p{{N}}:])"
+IBAN = r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])"
 SSN = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
 PHONE = r"(?<![\d-])\d{3}-\d{3}-\d{4}(?![\d-])"
 #: What may begin after a phone number and is not its next group.
@@ -43,10 +63,13 @@ PHONE_PLUS = rf"\+(?:1[ .-]?(?:\(\d{{3}}\)|\d{{3}})[ .-]?\d{{3}}[ .-]?\d{{4}}|\d
 COUNTRY = r"[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{1,3}"
 PHONE_AREA = r"\(\d{3}\) ?\d{3}[ -]\d{4}(?!\d)"
 CARD = r"(?<!\d)(?:\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{1,7})(?!\d)"
+#: First digits and lengths of payment cards.
+ISSUER = r"^(?:4(?:\d{12}|\d{15}|\d{18})|(?:5[1-5]\d\d|222[1-9]|22[3-9]\d|2[3-6]\d\d|27[01]\d|2720)\d{12}|3[47]\d{13}|3(?:0[0-5]|[68]\d)\d{11}|(?:6011|64[4-9]\d|65\d\d)\d{12}|(?:352[89]|35[3-8]\d)\d{12,15}|62\d{14,17})$"
 #: Order matters: the first that fits at a place counts. Words are tried at their start only, numbers only at a digit.
-PATTERN = rf"(?<![\p{{L}}\p{{N}}._%+-]){EMAIL}|(?<![\p{{L}}\p{{N}}])(?:{SECRET}|{NAME})|(?=\d)(?:{IP}|{SSN}|{PHONE}|{CARD})|{PHONE_PLUS}|{PHONE_AREA}"
+PATTERN = rf"(?<![\p{{L}}\p{{N}}._%+-]){EMAIL}|(?<![\p{{L}}\p{{N}}])(?:{SECRET}|{NAME})|{IBAN}|{IP6}|(?=\d)(?:{IP}|{SSN}|{PHONE}|{CARD})|{PHONE_PLUS}|{PHONE_AREA}"
 #: What a text must hold to have an entity: cheap to tell, and most texts don't.
 HINT = r"[0-9@=:]"
+NUMBERS = ("ip", "ssn", "phone", "card")  # kinds whose stand-ins are permutations
 
 
 def _hash(key: str, *parts: Column) -> Column:
@@ -54,29 +77,50 @@ def _hash(key: str, *parts: Column) -> Column:
     return F.sha2(F.concat_ws("|", F.lit(key), *parts, F.lit(key)), 256)
 
 
+def _let(value: Column, use: object) -> Column:
+    """use(value) with the value computed once."""
+    return F.transform(F.array(value), use)[0]
+
+
 def _number(hexadecimal: Column, begin: int = 1) -> Column:
     return F.conv(F.substring(hexadecimal, begin, 15), 16, 10).cast("long")
 
 
-def _feistel(key: str, salt: Column, left: Column, right: Column, many_left: Column, many_right: Column) -> Column:
-    """A keyed permutation of pairs (left below many_left, right below many_right)."""
+def _feistel(key: str, salt: Column, pair: Column, many_left: Column, many_right: Column, forward: bool = True) -> Column:
+    """A keyed permutation of pairs (l below many_left, r below many_right), or its inverse."""
 
     def step(acc: Column, i: Column) -> Column:
-        moved = lambda x, by, many: F.pmod(x + F.pmod(_number(_hash(key, salt, i.cast("string"), by.cast("string"))), many), many)
+        def moved(x: Column, by: Column, many: Column) -> Column:
+            n = F.pmod(_number(_hash(key, salt, i.cast("string"), by.cast("string"))), many)
+            return F.pmod(x + n if forward else x - n + many, many)
+
         odd = i % 2 == 1
         return F.struct(F.when(odd, moved(acc["l"], acc["r"], many_left)).otherwise(acc["l"]).alias("l"), F.when(odd, acc["r"]).otherwise(moved(acc["r"], acc["l"], many_right)).alias("r"))
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), F.struct(left.alias("l"), right.alias("r")), step)
+    return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)) if forward else F.sequence(F.lit(ROUNDS), F.lit(1)), pair, step)
+
+
+def _moved(key: str, salt: Column, left: Column, right: Column, many_left: Column, many_right: Column) -> Column:
+    """A keyed permutation of pairs without fixed points: one step on a ring in keyed order."""
+
+    def next_one(p: Column) -> Column:
+        last = p["r"] == many_right - 1
+        return F.struct(F.when(last, F.pmod(p["l"] + 1, many_left)).otherwise(p["l"]).alias("l"), F.when(last, F.lit(0).cast("long")).otherwise(p["r"] + 1).alias("r"))
+
+    onward = _feistel(key, salt, F.struct(left.alias("l"), right.alias("r")), many_left, many_right)
+    return _let(_let(onward, next_one), lambda p: _feistel(key, salt, p, many_left, many_right, False))
 
 
 def _digits(key: str, salt: Column, digits: Column) -> Column:
-    """A keyed permutation of the digit strings of each length up to 19."""
-    n = F.length(digits)
-    a = F.floor(n / 2).cast("int")
+    """A keyed permutation without fixed points of the digit strings of each length from 1 to 30."""
     power = lambda k: F.pow(F.lit(10.0), k).cast("long")
-    left, right = F.when(a > 0, F.substring(digits, F.lit(1), a).cast("long")).otherwise(F.lit(0).cast("long")), F.substring(digits, a + 1, n).cast("long")
-    out = _feistel(key, F.concat_ws("/", salt, n.cast("string")), left, right, power(a), power(n - a))
-    return F.transform(F.array(out), lambda o: F.concat(F.when(a > 0, F.lpad(o["l"].cast("string"), a, "0")).otherwise(F.lit("")), F.lpad(o["r"].cast("string"), n - a, "0")))[0]
+
+    def moved(d: Column) -> Column:
+        n, a = F.length(d["all"]), F.length(d["begin"])
+        out = _moved(key, F.concat_ws("/", salt, n.cast("string")), F.coalesce(F.nullif(d["begin"], F.lit("")).cast("long"), F.lit(0).cast("long")), F.substring(d["all"], a + 1, n).cast("long"), power(a), power(n - a))
+        return _let(out, lambda o: F.concat(F.when(a > 0, F.lpad(o["l"].cast("string"), a, "0")).otherwise(F.lit("")), F.lpad(o["r"].cast("string"), n - a, "0")))
+
+    return _let(digits, lambda all_: _let(F.struct(all_.alias("all"), F.substring(all_, F.lit(1), F.floor(F.length(all_) / 2).cast("int")).alias("begin")), moved))
 
 
 def _luhn(digits: Column) -> Column:
@@ -86,74 +130,121 @@ def _luhn(digits: Column) -> Column:
     return (F.lit(10) - F.aggregate(doubled, F.lit(0), lambda x, y: x + y) % 10) % 10
 
 
-def _word(hexadecimal: Column, syllables: int, script: str = "latin") -> Column:
+def _is_card(digits: Column) -> Column:
+    n = F.length(digits)
+    return digits.rlike(ISSUER) & (_luhn(F.substring(digits, F.lit(1), n - 1)) == F.substring(digits, n, F.lit(1)).cast("int"))
+
+
+def _mod97(text: Column) -> Column:
+    """Digits and letters (A = 10 to Z = 35) as one number, modulo 97."""
+    return F.aggregate(F.split(text, "(?!^)(?=.)"), F.lit(0), lambda acc, c: F.when(c.rlike("[0-9]"), (acc * 10 + F.ascii(c) - 48) % 97).otherwise((acc * 100 + F.ascii(c) - 55) % 97))
+
+
+def _is_iban(iban: Column) -> Column:
+    return _mod97(F.concat(F.substring(iban, F.lit(5), F.length(iban)), F.substring(iban, 1, 4))) == 1
+
+
+def _whole_ip6(address: Column) -> Column:
+    """An IPv6 address as 32 hexadecimal digits, whatever its notation."""
+    groups = lambda part: F.filter(F.split(part, ":"), lambda g: g != "")
+    filled = lambda gs: F.array_join(F.transform(gs, lambda g: F.lpad(g, 4, "0")), "")
+    sides = F.split(F.lower(address), "::", 2)
+    left, right = groups(sides[0]), F.when(F.size(sides) > 1, groups(F.get(sides, F.lit(1)))).otherwise(F.array().cast("array<string>"))
+    return F.concat(filled(left), F.repeat(F.lit("0"), 32 - 4 * F.size(left) - 4 * F.size(right)), filled(right))
+
+
+def _word(hexadecimal: Column, syllables: Column, consonants: Column, vowels: Column) -> Column:
     """A made-up word: each syllable takes six bits of the hash."""
-    consonants, vowels = SCRIPTS[script]
-    syllable = lambda i: F.transform(F.array(F.conv(F.substring(hexadecimal, i * 2 + 1, F.lit(2)), 16, 10).cast("int")), lambda n: F.concat(F.substring(F.lit(consonants), n % 16 + 1, F.lit(1)), F.substring(F.lit(vowels), F.floor(n / 16).cast("int") % 4 + 1, F.lit(1))))[0]
-    return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(syllables - 1)), syllable), "")
+    syllable = lambda i: _let(F.conv(F.substring(hexadecimal, i * 2 + 1, F.lit(2)), 16, 10).cast("int"), lambda n: F.concat(F.substring(consonants, n % 16 + 1, F.lit(1)), F.substring(vowels, F.floor(n / 16).cast("int") % 4 + 1, F.lit(1))))
+    return F.array_join(F.transform(F.sequence(F.lit(0), syllables - 1), syllable), "")
 
 
 def _kind(m: Column) -> Column:
     return (
-        F.when(m.contains("@"), "email").when(m.rlike("^" + SECRET_WORD + r"\s*[=:]"), "secret").when(m.rlike(r"^\d{1,3}(\.\d{1,3}){3}$"), "ip").when(m.rlike(r"^\d{3}-\d{2}-\d{4}$"), "ssn")
-        .when(m.rlike(r"^[+(]|^\d{3}-\d{3}-\d{4}$"), "phone").when(m.rlike(r"^\d"), "card").otherwise("name")
+        F.when(m.contains("@"), "email").when(m.rlike("^" + SECRET_WORD + r"\s*[=:]"), "secret").when(m.rlike(r"^\d{1,3}(\.\d{1,3}){3}$"), "ip").when(m.rlike("^[0-9A-Fa-f:]+$") & m.contains(":"), "ip6").when(m.rlike(r"^\d{3}-\d{2}-\d{4}$"), "ssn")
+        .when(m.rlike(r"^[+(]|^\d{3}-\d{3}-\d{4}$"), "phone").when(m.rlike(r"^[A-Z]{2}\d\d"), "iban").when(m.rlike(r"^\d"), "card").otherwise("name")
     )
 
 
 def _entities(m: Column) -> Column:
-    """The entities of a match as structs kind, value; a name has one a word, so that a person's surname stays the same everywhere."""
-    kind = _kind(m)
+    """The entities of a match as structs kind, value, none if its check digits say that it isn't one.
+
+    A name has one a word, so that a person's surname stays the same everywhere; an email has one for its domain and one for
+    the whole address.
+    """
     digits = F.regexp_replace(m, r"\D", "")
-    one = lambda k, v: F.array(F.struct(k.alias("kind"), v.alias("value")))
-    title = F.regexp_extract(m, rf"^({TITLES})", 1)
-    gender = F.when(title.isin(*FEMALE), "f").when(title.isin(*MALE), "m").otherwise("n")
+    pair = lambda k, v: F.struct((F.lit(k) if isinstance(k, str) else k).alias("kind"), v.alias("value"))
+    one = lambda k, v: F.array(pair(k, v))
+    title = F.regexp_extract(m, rf"^({TITLES})\.? ", 1)
+    words = F.split(F.regexp_replace(m, "^" + BEFORE, ""), " ")
+    given = words[0]
+    gender = F.when(title.isin(*FEMALE) | given.isin(*GIRLS), "f").when(title.isin(*MALE) | given.isin(*BOYS), "m").otherwise("n")
     script = lambda w: F.when(w.rlike(r"^\p{IsCyrillic}"), "cyrillic").when(w.rlike(r"^\p{IsGreek}"), "greek").otherwise("latin")
-    words = F.split(F.regexp_replace(m, rf"^(?:{TITLES})\.? ", ""), " ")
-    named = F.transform(words, lambda w, i: F.struct(F.concat(F.when((F.size(words) == 2) & (i == 0), F.concat(F.lit("given-"), gender)).otherwise("family"), F.lit("-"), script(w)).alias("kind"), F.lower(w).alias("value")))
-    octets = F.split(m, "\\.")
-    ip = F.aggregate(octets, F.lit(0).cast("long"), lambda x, o: x * 256 + o.cast("long"))
+    is_given = lambda i: (i == 0) & ((F.size(words) == 2) | (title == ""))
+    named = F.transform(words, lambda w, i: pair(F.concat(F.when(is_given(i), F.concat(F.lit("given-"), gender)).otherwise("family"), F.lit("-"), script(w)), F.lower(w)))
+    ip = F.aggregate(F.split(m, "\\."), F.lit(0).cast("long"), lambda x, o: x * 256 + o.cast("long"))
+    iban = F.regexp_replace(m, " ", "")
     # All after the country code and a (0), and ten digits at least, so that a number is the same with and without its code.
     before = F.length(F.regexp_extract(m, rf"^\+({COUNTRY})", 1)) + F.when(m.rlike(r"^\+\d{1,3}[ .-]?\(0\)"), 1).otherwise(0)
     national = F.greatest(F.length(digits) - before, F.least(F.length(digits), F.lit(10)))
-    return (
-        F.when(kind == "email", one(kind, F.lower(m)))
-        .when(kind == "secret", one(kind, F.regexp_extract(m, r"""[=:]\s*["']?(.*)$""", 1)))
-        .when(kind == "ip", one(kind, ip.cast("string")))
-        .when(kind == "phone", one(kind, F.right(digits, national)))
-        .when(kind.isin("ssn", "card"), one(kind, digits))
-        .otherwise(named)
+    none = F.array().cast("array<struct<kind:string,value:string>>")
+    return _let(
+        _kind(m),
+        lambda kind: (
+            F.when(kind == "email", F.array(pair("domain", F.lower(F.regexp_extract(m, "@(.*)$", 1))), pair("email", F.lower(m))))
+            .when(kind == "secret", one(kind, F.regexp_extract(m, r"""[=:]\s*["']?(.*)$""", 1)))
+            .when(kind == "ip", one(kind, ip.cast("string")))
+            .when(kind == "ip6", one(kind, _whole_ip6(m)))
+            .when(kind == "phone", one(kind, F.right(digits, national)))
+            .when(kind == "ssn", one(kind, digits))
+            .when(kind == "card", F.when(_is_card(digits), one(kind, digits)).otherwise(none))
+            .when(kind == "iban", F.when(_is_iban(iban), one(kind, iban)).otherwise(none))
+            .otherwise(named)
+        ),
     )
 
 
 def _stand_in(key: str, entity: Column, attempt: Column) -> Column:
-    """The entity's stand-in, as a value of its kind."""
+    """The entity's stand-in, as a value of its kind. After the last attempt hashed kinds get longer ones that can't be shared."""
     kind, value = entity["kind"], entity["value"]
     salt = F.concat_ws("/", kind, attempt.cast("string"))
-    h = _hash(key, salt, value)
     n = F.length(value)
-    head, check = F.substring(value, F.lit(1), n - 1), F.substring(value, n, F.lit(1)).cast("int")
-    # The last digit keeps its distance from the check digit: valid numbers stay valid, others stay invalid.
-    card = F.transform(F.array(_digits(key, salt, head)), lambda d: F.concat(d, ((_luhn(d) + check - _luhn(head) + 10) % 10).cast("string")))[0]
-    number = value.cast("long")
-    ip = F.transform(F.array(_feistel(key, salt, F.shiftright(number, 16), number.bitwiseAND(F.lit(65535)), F.lit(65536), F.lit(65536))), lambda o: (o["l"] * 65536 + o["r"]).cast("string"))[0]
-    email = F.concat(_word(h, 8), F.lit("@"), _word(_hash(key, F.lit("domain"), F.regexp_extract(value, "@(.*)$", 1)), 4), F.lit(".example"))
-    wide = F.repeat(F.concat(h, _hash(key, salt, value, F.lit("2"))), F.ceil(n / 128).cast("int"))
-    mixed = F.regexp_replace(F.base64(F.unhex(wide)), "[+/=\\s]", "x")
-    secret = F.substring(F.when(value.rlike("^[0-9a-f]+$"), wide).when(value.rlike("^[0-9A-F]+$"), F.upper(wide)).otherwise(mixed), F.lit(1), n)
-    name = F.lit(None).cast("string")
-    for script in SCRIPTS:
-        for who, syllables in (("given-f", 5), ("given-m", 5), ("given-n", 5), ("family", 6)):
-            ending = {"given-f": SCRIPTS[script][1][0], "given-m": SCRIPTS[script][0][7]}.get(who, "")
-            name = F.when(kind == f"{who}-{script}", F.concat(_word(h, syllables, script), F.lit(ending))).otherwise(name)
-    return F.when(kind == "email", email).when(kind == "secret", secret).when(kind == "ip", ip).when(kind.isin("ssn", "phone"), _digits(key, salt, value)).when(kind == "card", card).otherwise(name)
-
-
-def _fill(form: Column, digits: Column) -> Column:
-    """The form with its digits replaced in turn; if there are fewer new ones, the first digits stay."""
-    skip = F.length(F.regexp_replace(form, r"\D", "")) - F.length(digits)
+    # Of a card the first digits tell the network and stay; the last keeps the number valid. An IPv4 address is a pair of halves.
+    network = F.when(value.startswith("4"), 1).otherwise(2)
+    issuer = F.when(kind == "card", F.substring(value, F.lit(1), network)).otherwise(F.lit(""))
+    inner = F.when(kind == "card", F.substring(value, network + 1, n - network - 1)).otherwise(value)
+    digits = _digits(key, F.concat_ws("/", salt, issuer), inner)
+    number = _let(F.concat(issuer, digits), lambda d: F.when(kind == "card", F.concat(d, _luhn(d).cast("string"))).otherwise(d))
+    half = F.lit(65536).cast("long")
+    ip = _let(value.cast("long"), lambda v: _let(_moved(key, salt, F.shiftright(v, 16), v.bitwiseAND(F.lit(65535)), half, half), lambda o: (o["l"] * 65536 + o["r"]).cast("string")))
+
+    def hashed(h: Column) -> Column:
+        long = attempt > ATTEMPTS
+        wide = F.repeat(h, F.ceil(n / 64).cast("int"))
+        mixed = F.regexp_replace(F.base64(F.unhex(F.repeat(h, F.ceil(n / 40).cast("int")))), "[+/=\\s]", "x")
+        secret = F.substring(F.when(value.rlike("^[0-9a-f]+$"), wide).when(value.rlike("^[0-9A-F]+$"), F.upper(wide)).otherwise(mixed), F.lit(1), F.when(long, F.greatest(n, F.lit(64))).otherwise(n))
+        at = lambda i: F.conv(F.substring(h, i * 2 + 1, F.lit(2)), 16, 10).cast("int")
+        body = F.array_join(F.transform(F.split(F.substring(value, F.lit(5), n), "(?!^)(?=.)"), lambda c, i: _let(at(i), lambda x: F.when(c.rlike("[0-9]"), (x % 10).cast("string")).otherwise(F.char(x % 26 + 65)))), "")
+        country = F.substring(value, 1, 2)
+        iban = _let(body, lambda b: F.concat(country, F.lpad((98 - _mod97(F.concat(b, country, F.lit("00")))).cast("string"), 2, "0"), b))
+        script = F.when(kind.endswith("-cyrillic"), "cyrillic").when(kind.endswith("-greek"), "greek").otherwise("latin")
+        of_script = lambda values: F.element_at(F.create_map(*[F.lit(x) for k, v in values.items() for x in (k, v)]), script)
+        many = F.when(long, 28).when(kind == "email", 8).when(kind.startswith("given"), 5).otherwise(6)
+        word = _word(h, many, of_script({k: v[0] for k, v in SCRIPTS.items()}), of_script({k: v[1] for k, v in SCRIPTS.items()}))
+        last = F.conv(F.substring(h, 64, 1), 16, 10).cast("int") % 4
+        ending = F.element_at(F.create_map(*[x for sc, by in ENDINGS.items() for who, ends in by.items() for x in (F.lit(f"given-{who}-{sc}"), F.array(*map(F.lit, ends)))]), kind)
+        end = F.when(kind == "domain", ".example").when(kind.startswith("given"), F.get(ending, last)).otherwise("")
+        return F.when(kind == "secret", secret).when(kind == "ip6", F.substring(h, 1, 32)).when(kind == "iban", iban).otherwise(F.concat(word, end))
+
+    return F.when(kind.isin("ssn", "phone", "card"), number).when(kind == "ip", ip).otherwise(_let(_hash(key, salt, value), hashed))
+
+
+def _fill(form: Column, digits: Column, what: str = "[0-9]") -> Column:
+    """The form with its digits (or other characters) replaced in turn; if there are fewer new ones, the first stay."""
+    skip = F.length(F.regexp_replace(form, what.replace("[", "[^"), "")) - F.length(digits)
 
     def step(acc: Column, c: Column) -> Column:
-        digit = c.rlike("^[0-9]$")
+        digit = c.rlike(what)
         i = acc["i"] + F.when(digit, 1).otherwise(0)
         return F.struct(F.concat(acc["out"], F.when(digit & (i > skip), F.substring(digits, (i - skip).cast("int"), F.lit(1))).otherwise(c)).alias("out"), i.cast("int").alias("i"))
 
@@ -166,68 +257,122 @@ def _cased(word: Column, like: Column) -> Column:
 
 
 def _render(m: Column, values: Column) -> Column:
-    """The match with its entities' stand-ins in its own format."""
-    kind, first = _kind(m), values[0]
-    dotted = F.transform(F.array(first.cast("long")), lambda n: F.concat_ws(".", *[F.shiftright(n, s).bitwiseAND(F.lit(255)).cast("string") for s in (24, 16, 8, 0)]))[0]
-    title = F.regexp_extract(m, rf"^(?:{TITLES})\.? ", 0)
-    words = F.split(F.regexp_replace(m, rf"^(?:{TITLES})\.? ", ""), " ")
-    named = F.concat(title, F.array_join(F.zip_with(values, words, _cased), " "))
-    return (
-        F.when(kind == "email", first)
-        .when(kind == "secret", F.concat(F.regexp_extract(m, r"""^[^=:]*[=:]\s*["']?""", 0), first))
-        .when(kind == "ip", dotted)
-        .when(kind.isin("ssn", "phone", "card"), _fill(m, first))
-        .otherwise(named)
+    """The match with its entities' stand-ins in its own format; a match without entities stays."""
+    first = values[0]
+    dotted = _let(first.cast("long"), lambda n: F.concat_ws(".", *[F.shiftright(n, s).bitwiseAND(F.lit(255)).cast("string") for s in (24, 16, 8, 0)]))
+    before = F.regexp_extract(m, "^" + BEFORE, 0)
+    words = F.split(F.regexp_replace(m, "^" + BEFORE, ""), " ")
+    groups = F.regexp_replace(first, "(.{4})(?!$)", "$1:")
+    return _let(
+        _kind(m),
+        lambda kind: (
+            F.when(F.size(values) == 0, m)
+            .when(kind == "email", F.concat(F.get(values, F.lit(1)), F.lit("@"), first))
+            .when(kind == "secret", F.concat(F.regexp_extract(m, r"""^[^=:]*[=:]\s*["']?""", 0), first))
+            .when(kind == "ip", dotted)
+            .when(kind == "ip6", F.when(F.upper(m) == m, F.upper(groups)).otherwise(groups))
+            .when(kind == "iban", _fill(m, first, "[A-Z0-9]"))
+            .when(kind.isin("ssn", "phone", "card"), _fill(m, first))
+            .otherwise(F.concat(before, F.array_join(F.zip_with(values, words, _cased), " ")))
+        ),
     )
 
 
-def found(text: Column) -> Column:
-    """All entities' occurrences in order; an empty array for null."""
-    some = text.rlike(HINT) | text.rlike(rf"(?<![\p{{L}}\p{{N}}])(?:{NAME})")
-    return F.when(some, F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))).otherwise(F.array().cast("array<string>"))
+def pieces(text: Column) -> Column:
+    """The text as an array in whose odd places (from 0) the matches are; one element where nothing matches, null for null. The patterns run once."""
+    some = text.rlike(HINT) | text.rlike(rf"(?<![\p{{L}}\p{{N}}]){NAME}")
+    once = F.split(F.regexp_replace(text, F.lit(PATTERN), F.lit(f"{EDGE}$0{EDGE}")), EDGE, -1)
+    twice = F.flatten(F.zip_with(F.split(text, PATTERN, -1), F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)), lambda p, m: F.when(m.isNull(), F.array(p)).otherwise(F.array(p, m))))
+    return F.when(text.isNull(), F.lit(None).cast("array<string>")).when(~some, F.array(text)).when(text.contains(EDGE), twice).otherwise(once)
+
+
+def matches(parts: Column) -> Column:
+    return F.filter(parts, lambda _, i: i % 2 == 1)
 
 
 def entity_table(docs: DataFrame) -> DataFrame:
     """Every distinct entity of the texts: kind, value."""
-    hits = docs.select(F.explode(F.array_distinct(found(F.col("text")))).alias("m"))
-    return hits.distinct().select(F.explode(_entities(F.col("m"))).alias("e")).select("e.kind", "e.value").distinct()
+    parts = docs.select(pieces(F.col("text")).alias("p")).filter("size(p) > 1")
+    return parts.select(F.explode(F.array_distinct(matches(F.col("p")))).alias("m")).distinct().select(F.explode(_entities(F.col("m"))).alias("e")).select("e.kind", "e.value").distinct()
+
+
+def identity(key: str, kind: Column, value: Column) -> Column:
+    """What tables hold instead of a value."""
+    return F.unhex(_hash(key, F.lit("id"), kind, value))
 
 
 def attempts_needed(entities: DataFrame, key: str) -> DataFrame:
-    """Entities whose first stand-in is taken: kind, value, attempt. All but the smallest of those that share one, and those that get another real entity's value, try again; RuntimeError after 20 rounds."""
-    chosen = cut(entities.select("kind", "value", F.lit(0).alias("attempt")).withColumn("to", _stand_in(key, F.struct("kind", "value"), F.col("attempt"))))
-    for _ in range(MAX_ATTEMPTS):
-        shared = chosen.groupBy("kind", "to").agg(F.count("*").alias("n"), F.min("value").alias("first")).filter("n > 1").select("kind", "to", "first")
-        lost = chosen.join(shared, ["kind", "to"]).filter("value <> first").select("kind", "value")
-        real = chosen.select("kind", F.col("value").alias("to"))
-        lost = cut(lost.union(chosen.join(real, ["kind", "to"], "left_semi").select("kind", "value")).distinct())
-        if lost.isEmpty():
-            return chosen.filter("attempt > 0").select("kind", "value", "attempt")
-        again = chosen.join(lost.withColumn("lost", F.lit(1)), ["kind", "value"], "left").withColumn("attempt", F.col("attempt") + F.coalesce("lost", F.lit(0))).drop("lost")
-        chosen = cut(again.withColumn("to", F.when(F.col("attempt") > 0, _stand_in(key, F.struct("kind", "value"), F.col("attempt"))).otherwise(F.col("to"))))
-    raise RuntimeError("stand-ins still collide; use another key")
-
-
-def pseudonymise(docs: DataFrame, key: str = KEY) -> DataFrame:
+    """kind, id, attempt of the entities (kind, value) whose first stand-in won't do; ids are keyed hashes.
+
+    Taken are all real values and all first stand-ins. Of those that share a first stand-in all but one try others, as do
+    those whose stand-in is a real value; each takes the first of 24 that is free. Where none is, numbers go back to their
+    first one, which no other entity has (it is some real number then: so many exist that hardly one is free), and other
+    kinds get a longer one.
+    """
+    spark = entities.sparkSession
+    named = entities.withColumn("id", identity(key, F.col("kind"), F.col("value")))
+    to = lambda attempt: identity(key, F.col("kind"), _stand_in(key, F.struct("kind", "value"), attempt))
+    with Scratch(spark) as scratch:
+        first = scratch.cut(named.select("kind", "id", to(F.lit(0)).alias("to")))
+        shared = first.groupBy("kind", "to").agg(F.count("*").alias("n"), F.min("id").alias("first")).filter("n > 1")
+        real = first.select("kind", F.col("id").alias("to"))
+        lost = first.join(shared, ["kind", "to"]).filter("id <> first").select("kind", "id").union(first.join(real, ["kind", "to"], "left_semi").select("kind", "id"))
+        open_ = scratch.cut(lost.distinct())
+        done = open_.filter("false").withColumn("attempt", F.lit(0))
+        if open_.isEmpty():
+            return spark.createDataFrame([], done.schema)
+        others = named.join(open_, ["kind", "id"], "left_semi").withColumn("attempt", F.explode(F.sequence(F.lit(1), F.lit(ATTEMPTS))))
+        others = scratch.cut(others.select("kind", "id", "attempt", to(F.col("attempt")).alias("to")))
+        taken = real.union(first.select("kind", "to"))
+        for attempt in range(1, ATTEMPTS + 1):
+            free = others.filter(F.col("attempt") == attempt).join(open_, ["kind", "id"], "left_semi").join(taken, ["kind", "to"], "left_anti")
+            won = scratch.cut(free.groupBy("kind", "to").agg(F.min("id").alias("id")))
+            taken, done = taken.union(won.select("kind", "to")), done.union(won.select("kind", "id", F.lit(attempt)))
+            open_ = scratch.cut(open_.join(won, ["kind", "id"], "left_anti"))
+            if open_.isEmpty():
+                break
+        return cut(done.union(open_.filter(~F.col("kind").isin(*NUMBERS)).select("kind", "id", F.lit(ATTEMPTS + 1))))
+
+
+def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
     """docs with stand-ins in `text`, and `n_entities`; an input column of that name is replaced.
 
-    Emails, secrets after a word such as token or password, IPv4 addresses, social security, phone and card numbers, and
-    names after a title are replaced. The same entity gets the same stand-in everywhere (emails in any case, phone numbers in
-    any format of the same digits after the country code, persons by word), different ones get different ones. Letter case, separators, number of digits, card
-    check sums, title, gender and script are kept. Null texts stay null, texts without entities stay as they are, repeated
-    rows stay alike. An empty table gives an empty one.
+    Emails, secrets after a word such as token or password, IPv4 and IPv6 addresses, IBANs and card numbers with right check
+    digits, social security and phone numbers, and names after a title, after words such as "my name is" or beginning with a
+    frequent given name are replaced. The same entity gets the same stand-in everywhere (emails in any case, addresses and
+    phone numbers in any format, persons by word), different ones get different ones. Letter case, separators, number of
+    digits, check sums, card network, title, gender and script are kept. Null texts stay null, texts without entities stay as
+    they are, repeated rows stay alike. An empty table gives an empty one. ValueError without a key.
+
+    Texts may be of any length: no pattern goes deeper than a fixed number of steps.
     """
+    if not key:
+        raise ValueError("stand-ins need a secret key")
     again = attempts_needed(entity_table(docs), key)
-    matched = docs.drop("n_entities").withColumn("__m", found(F.col("text")))
-    name = lambda e: F.concat_ws("|", e["kind"], e["value"])
+    split = docs.drop("n_entities").withColumn("__p", pieces(F.col("text")))
     if again.isEmpty():
-        matched = matched.withColumn("__tries", F.lit(None).cast("map<string,int>"))
+        tried = lambda e: F.lit(0)
     else:
-        own = matched.filter("size(__m) > 0").select(F.md5("text").alias("__key"), F.explode(F.array_distinct(F.flatten(F.transform("__m", _entities)))).alias("e")).select("__key", "e.kind", "e.value").distinct()
-        tries = own.join(again, ["kind", "value"]).groupBy("__key").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("|", "kind", "value"), "attempt"))).alias("__tries"))
-        matched = matched.withColumn("__key", F.md5("text")).join(tries, "__key", "left").drop("__key")
-    tries = lambda e: F.coalesce(F.element_at("__tries", name(e)), F.lit(0))
-    rendered = F.transform("__m", lambda m: _render(m, F.transform(_entities(m), lambda e: _stand_in(key, e, tries(e)))))
-    between = F.split("text", PATTERN, -1)
-    new = F.array_join(F.zip_with(between, rendered, lambda p, s: F.concat(p, F.coalesce(s, F.lit("")))), "")
-    return matched.withColumn("text", F.when(F.size("__m") > 0, new).otherwise(F.col("text"))).withColumn("n_entities", F.size("__m")).drop("__m", "__tries").select(*[c for c in docs.columns if c != "n_entities"], "n_entities")
+        ids = F.array_distinct(F.flatten(F.transform(matches(F.col("__p")), lambda m: F.transform(_entities(m), lambda e: identity(key, e["kind"], e["value"])))))
+        own = split.filter("size(__p) > 1").select(F.md5("text").alias("__key"), F.explode(ids).alias("id")).distinct()
+        tries = own.join(again, "id").groupBy("__key").agg(F.map_from_entries(F.collect_list(F.struct(F.base64("id"), "attempt"))).alias("__tries"))
+        # A text may fill a third of all rows: its rows meet copies of the few entries in several tasks.
+        tries = tries.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        salted = split.withColumn("__key", F.md5("text")).withColumn("__salt", (F.monotonically_increasing_id() % SALTS).cast("int"))
+        split = salted.join(tries, ["__key", "__salt"], "left").drop("__key", "__salt")
+        tried = lambda e: F.coalesce(F.element_at("__tries", F.base64(identity(key, e["kind"], e["value"]))), F.lit(0))
+
+    def rendered(m: Column) -> Column:
+        """out, hit: the match with its stand-ins, and whether it holds an entity."""
+
+        def of(entities: Column) -> Column:
+            tried_as = F.transform(entities, lambda e: F.struct(e["kind"].alias("kind"), e["value"].alias("value"), tried(e).alias("attempt")))
+            stand_ins = F.transform(tried_as, lambda e: _stand_in(key, e, e["attempt"]))
+            return F.struct(_let(stand_ins, lambda v: _render(m, v)).alias("out"), (F.size(entities) > 0).alias("hit"))
+
+        return _let(_entities(m), of)
+
+    plain = lambda p: F.struct(p.alias("out"), F.lit(False).alias("hit"))
+    done = F.when(F.size("__p") > 1, F.transform("__p", lambda p, i: F.when(i % 2 == 1, rendered(p)).otherwise(plain(p))))
+    out = split.withColumn("__done", done).withColumn("text", F.when(F.col("__done").isNull(), F.col("text")).otherwise(F.array_join("__done.out", ""))).withColumn("n_entities", F.when(F.col("__done").isNull(), 0).otherwise(F.size(F.filter("__done.hit", lambda x: x))))
+    return out.select(*[c for c in docs.columns if c != "n_entities"], "n_entities")

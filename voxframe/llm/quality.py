@@ -13,20 +13,17 @@ from pyspark.sql import functions as F
 
 from voxframe.llm.common import cut, unit_hash
 from voxframe.llm.text import grams, slices, tokens
+from voxframe.operators.quantiles import order_statistics
 
 BUCKETS = 1 << 16
-SMOOTHING = 4.0
-#: Standard deviations of a count by which target and raw must differ to say anything: copies of one text are in the sample
-#: by chance more or less often, and that chance is the same for all their n-grams.
-DOUBT = 4.0
+SMOOTHING = 32.0
 MAX_LABELLED = 20_000
 SEED = "quality-1"
-NARROW = 4096
 
 
 class Model(NamedTuple):
     log_ratio: np.ndarray  #: per hash bucket, log of target over raw probability
-    threshold: float  #: log weight that parts labelled target documents from the others best
+    threshold: float  #: log weight that parts held-out labelled target documents from the others best
 
 
 def buckets_of(texts: list[str], buckets: int) -> tuple[np.ndarray, np.ndarray]:
@@ -39,16 +36,17 @@ def buckets_of(texts: list[str], buckets: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def labelled_sample(labels: DataFrame, most: int) -> DataFrame:
-    """At most `most` labelled doc_ids, chosen by hash; of contradicting labels the lower counts."""
+    """At most `most` labelled doc_ids, chosen by hash, half of them held out of the target model; of contradicting labels the lower counts."""
     one = labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("__y"))
-    return one.orderBy(F.xxhash64(F.lit(SEED), "doc_id"), "doc_id").limit(most).withColumnRenamed("doc_id", "__id")
+    few = one.orderBy(F.xxhash64(F.lit(SEED), "doc_id"), "doc_id").limit(most).withColumnRenamed("doc_id", "__id")
+    return few.withColumn("__out", F.xxhash64(F.lit(f"{SEED}/half"), "__id") % 2 == 0)
 
 
 def fit(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, most: int = MAX_LABELLED) -> Model:
-    """The raw model counts every document; the target model counts the sampled ones of quality 1.
+    """The raw model counts every document; the target model counts the sampled ones of quality 1 that aren't held out. Both are smoothed towards the raw one.
 
-    The bound `most` on labelled rows makes the broadcast of their ids safe. With no document of one of the two labels the
-    threshold is minus infinity, so that nothing is rejected without evidence.
+    The threshold parts the held-out ones. The bound `most` on labelled rows makes the broadcast of their ids safe. With no
+    held-out document of one of the two labels the threshold is minus infinity, so that nothing is rejected without evidence.
     """
     sample = F.broadcast(labelled_sample(labels, most))
     marked = docs.select(F.col("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(sample, F.col("doc_id") == F.col("__id"), "left")
@@ -64,16 +62,14 @@ def fit(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, most: int =
         there = np.flatnonzero(sums[0])
         yield pa.RecordBatch.from_pydict({"bucket": there.astype(np.int32), "raw": sums[0, there], "target": sums[1, there]})
 
-    counted = marked.select("text", F.coalesce(F.col("__y") == 1, F.lit(False))).mapInArrow(count, "bucket int, raw long, target long")
+    counted = marked.select("text", F.coalesce((F.col("__y") == 1) & ~F.col("__out"), F.lit(False))).mapInArrow(count, "bucket int, raw long, target long")
     raw, target = np.zeros(buckets), np.zeros(buckets)
     for r in counted.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).collect():
         raw[r["bucket"]], target[r["bucket"]] = r["raw"], r["target"]
     expected = raw * (target.sum() / max(1.0, raw.sum()))
-    ratio = np.log((target + SMOOTHING) / (expected + SMOOTHING))
-    ratio = np.sign(ratio) * np.maximum(np.abs(ratio) - DOUBT / np.sqrt(np.maximum(target, expected) + SMOOTHING), 0)
-    model = Model(ratio, -np.inf)
-    # One score for each labelled id, however often it is repeated: at most `most` come to the driver.
-    scored = weigh(docs.join(sample, F.col("doc_id") == F.col("__id")).select("text", F.lit(0).alias("doc_id"), "__id", "__y"), model)
+    model = Model(np.log((target + SMOOTHING) / (expected + SMOOTHING)), -np.inf)
+    # One score for each held-out id, however often it is repeated: at most `most` come to the driver.
+    scored = weigh(docs.join(sample, F.col("doc_id") == F.col("__id")).filter("__out").select("text", F.lit(0).alias("doc_id"), "__id", "__y"), model)
     known = np.array([(r["log_weight"], r["__y"] == 1) for r in scored.groupBy("__id", "__y").agg(F.max("log_weight").alias("log_weight")).collect()], float).reshape(-1, 2)
     return model._replace(threshold=best_threshold(known[:, 0], known[:, 1] > 0))
 
@@ -106,39 +102,21 @@ def weigh(docs: DataFrame, model: Model) -> DataFrame:
     return docs.withColumn("log_weight", log_weight(F.coalesce(F.col("text").cast("string"), F.lit(""))))
 
 
-def kth_largest(keys: DataFrame, column: str, k: int) -> float:
-    """The k-th largest value, by histograms of the part it lies in; the driver sees 4096 counts a round and 4096 values at last."""
-    span = keys.agg(F.min(column).alias("low"), F.max(column).alias("high"), F.count(column).alias("n")).first()
-    low, high, left, inside = span["low"], span["high"], k, span["n"]
-    while inside > NARROW and high > low:
-        step = (high - low) / NARROW
-        bin_of = F.least(F.floor((F.col(column) - low) / step), F.lit(NARROW - 1))
-        part = keys.filter(F.col(column).between(low, high))
-        found = {r["b"]: r for r in part.groupBy(bin_of.alias("b")).agg(F.count("*").alias("n"), F.min(column).alias("low"), F.max(column).alias("high")).collect()}
-        for b in sorted(found, reverse=True):
-            if left <= found[b]["n"]:
-                low, high, inside = found[b]["low"], found[b]["high"], found[b]["n"]
-                break
-            left -= found[b]["n"]
-    if high == low:
-        return low
-    values = [r[0] for r in keys.filter(F.col(column).between(low, high)).select(column).collect()]
-    return sorted(values, reverse=True)[left - 1]
-
-
-def resample(docs: DataFrame, labels: DataFrame, key: str = "doc_id", seed: str = SEED) -> DataFrame:
-    """The documents that importance resampling keeps, with `log_weight` and `gumbel_key`; columns of these names are replaced.
-
-    k is the number of documents whose log weight reaches the threshold learned from labels; Gumbel noise hashed from the
-    key makes the k largest sums a sample without replacement in proportion to the weights. Null, empty and wordless texts
-    carry no evidence and are rejected. Rows that repeat a key and text share their fate. An empty table gives an empty one.
+def resample(docs: DataFrame, labels: DataFrame, key: str = "doc_id", seed: str = SEED, k: int | None = None) -> DataFrame:
+    """The k documents that importance resampling keeps, with `log_weight` and `gumbel_key`; columns of these names are replaced.
+
+    Standard Gumbel noise hashed from the key makes the k largest sums a sample without replacement in proportion to the
+    weights. Without `k` it is the number of documents whose log weight reaches the threshold that parts held-out labels.
+    Documents that share the last sum all stay. Null, empty and wordless texts carry no evidence and are rejected. Rows that
+    repeat a key and text share their fate. An empty table gives an empty one.
     """
     model = fit(docs, labels)
     noise = -F.log(-F.log(F.greatest(unit_hash(seed, F.col(key)), F.lit(2.0**-53))))
     usable = docs.drop("log_weight", "gumbel_key").filter(F.col("text").rlike(r"[\p{L}\p{N}]"))
     weighed = weigh(usable, model).withColumn("gumbel_key", F.col("log_weight") + noise)
     keys = cut(weighed.select("log_weight", "gumbel_key"))
-    k = keys.filter(F.col("log_weight") >= model.threshold).count()
-    if not k:
+    n = keys.agg(F.count("*").alias("n"), F.count_if(F.col("log_weight") >= model.threshold).alias("k")).first()
+    k = min(n["n"], n["k"] if k is None else k)
+    if k <= 0:
         return weighed.filter("false")
-    return weighed.filter(F.col("gumbel_key") >= kth_largest(keys, "gumbel_key", k))
+    return weighed.filter(F.col("gumbel_key") >= order_statistics(keys, "gumbel_key", [n["n"] - k])[n["n"] - k])

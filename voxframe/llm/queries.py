@@ -13,6 +13,14 @@ from voxframe.llm.common import table
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+#: For the synthetic tables only: real data takes a key of its own, by the session's setting.
+DEMO_KEY, KEY_SETTING = "voxframe-demo-key", "spark.voxframe.surrogate.key"
+
+
+def surrogate_key(spark: SparkSession) -> str:
+    return spark.conf.get(KEY_SETTING, DEMO_KEY)
+
+
 def _over(name: str, operator: Callable[[DataFrame], DataFrame]) -> Query:
     return lambda spark, sf_dir: operator(table(spark, sf_dir, name))
 
@@ -31,7 +39,7 @@ QUERIES: dict[str, Query] = {
     "op5_best_fit_packing": _over("documents", lambda docs: packing.pack_documents(docs, default_tokenizer())),
     "op6_hnsw_neighbours": _over("embeddings", lambda e: hnsw.nearest(e, F.coalesce(F.col("vec_id") % 50 == 0, F.lit(False)))),
     "op7_poisson_mix": _over("documents", mixing.poisson_mix),
-    "op8_surrogates": _over("documents", lambda docs: pii.pseudonymise(docs).select("doc_id", "text", "n_entities")),
+    "op8_surrogates": lambda spark, sf_dir: pii.pseudonymise(table(spark, sf_dir, "documents"), surrogate_key(spark)).select("doc_id", "text", "n_entities"),
     "op9_importance_resampling": lambda spark, sf_dir: quality.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select("doc_id", "source", "log_weight", "gumbel_key"),
     "op10_bagminhash_classes": lambda spark, sf_dir: neardup.near_duplicate_classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id"),
 }

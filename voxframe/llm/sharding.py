@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 
 from voxframe.llm.common import cut
 
-FINE = 4096
+#: Enough for 6.9e10 rows; the driver then draws 65,536 x shards counts.
+MOST_BUCKETS = 65_536
 ROWS_PER_BUCKET = 1 << 20
 
 
@@ -69,18 +70,17 @@ def hypergeometric_shards(df: DataFrame, key: list[str], shards: int = 40, seed:
     `key` names the columns that tell rows apart; the result is a function of them, the seed and the row set, so a lost
     executor redraws nothing. Rows that repeat a whole key are told apart by an arbitrary order, which only swaps equal
     rows. Null keys count as empty strings. Columns named shard or slot are replaced. An empty table gives an empty result.
-    The driver holds at most 4096 bucket counts and 4096 x shards drawn counts, whatever the table's size.
+    The driver holds one count for each of up to 65,536 buckets of a million rows, and as many
+    drawn counts for each shard.
     """
     random_by = lambda salt: F.xxhash64(F.lit(f"{seed}/{salt}"), *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in key])
-    fine = F.pmod(random_by("bucket"), F.lit(FINE)).cast("int")
-    counts = {r["b"]: r["count"] for r in df.select(fine.alias("b")).groupBy("b").count().collect()}
-    rows = sum(counts.values())
-    buckets = 64
-    while buckets < FINE and rows > buckets * ROWS_PER_BUCKET:
+    rows, buckets = df.count(), 64
+    while buckets < MOST_BUCKETS and rows > buckets * ROWS_PER_BUCKET:
         buckets *= 2
+    bucket = F.pmod(random_by("bucket"), F.lit(buckets)).cast("int")
     sizes = [0] * buckets
-    for b, n in counts.items():
-        sizes[b % buckets] += n
+    for r in df.select(bucket.alias("b")).groupBy("b").count().collect():
+        sizes[r["b"]] = r["count"]
     ends = []
     for row in communication_matrix(sizes, shards, seed):
         sums, total = [], 0
@@ -91,7 +91,7 @@ def hypergeometric_shards(df: DataFrame, key: list[str], shards: int = 40, seed:
     drawn = df.sparkSession.range(1).select(F.posexplode(F.from_json(F.lit(json.dumps(ends)), "array<array<long>>")).alias("__bucket", "__ends"))
 
     order: list[Column] = [F.col("__first"), *[F.col(c) for c in key]]
-    keyed = df.drop("shard", "slot").withColumns({"__bucket": F.pmod(random_by("bucket"), F.lit(buckets)).cast("int"), "__first": random_by("first"), "__again": random_by("again")})
+    keyed = df.drop("shard", "slot").withColumns({"__bucket": bucket, "__first": random_by("first"), "__again": random_by("again")})
     placed = (
         keyed.withColumn("__place", F.row_number().over(Window.partitionBy("__bucket").orderBy(*order)) - 1)
         .join(F.broadcast(drawn), "__bucket")
@@ -114,11 +114,15 @@ def hypergeometric_shards(df: DataFrame, key: list[str], shards: int = 40, seed:
 
 
 def shard_documents(docs: DataFrame, shards: int = 40, seed: int = 17) -> DataFrame:
-    """Where each document goes, under the law `rows`: shard counts at most one apart. Texts stay behind; only sizes and checks move."""
+    """Where each document goes, under the law `rows`: shard counts at most one apart. Texts stay behind; only sizes and checks move.
+
+    Rows are told apart by doc_id, the text's check sum and its size, so that where a row goes doesn't hang on how the input was
+    dealt; rows alike in all three change places only with each other.
+    """
     slim = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         (F.coalesce(F.octet_length("text"), F.lit(0)) + 16).cast("long").alias("size"),
         F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32"),
     )
-    placed = hypergeometric_shards(slim, ["doc_id"], shards, seed)
+    placed = hypergeometric_shards(slim, ["doc_id", "text_crc32", "size"], shards, seed)
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), F.col("shard").cast("int"), F.col("slot").cast("long"), F.lit(None).cast("int").alias("grown_shard"))

@@ -1,7 +1,8 @@
 """Token ids of many texts at once with a word-level byte-pair vocabulary file (lower case, word ends, white space dropped).
 
 Texts of plain Latin letters are handled with array operations: words are found and hashed together, each distinct word is
-merged once, and its ids are copied to its occurrences. Any other text goes through the tokenizers library itself.
+merged once, and its ids are copied to its occurrences. Any other text, and any with a word of more than 64 letters, goes
+through the tokenizers library itself.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ from voxframe.llm.text import POINTS, code_points, lower, mix, powers
 SPACE, LETTER, NUMBER, MARK, FOREIGN = range(5)
 TABLE_BITS = 18
 LAST_LATIN = 0x17F
+#: Letters of a word up to which words are merged together; merging takes a round a letter.
+LONG_WORD = 64
 
 
 class Vocabulary(NamedTuple):
@@ -120,17 +123,19 @@ def encode(texts: Sequence[str], path: str) -> list[np.ndarray]:
     chars = code_points("\n".join(texts))
     kind = kinds()[chars]
     begin = np.concatenate(([0], np.cumsum([len(t) + 1 for t in texts], dtype=np.int64)))
-    foreign = np.unique(np.searchsorted(begin, np.flatnonzero(kind == FOREIGN), "right") - 1)
-    if len(foreign):
-        for k, e in zip(foreign, v.tokenizer.encode_batch([texts[k] for k in foreign], add_special_tokens=False), strict=True):
-            out[k] = np.array(e.ids, np.uint32)
-            kind[begin[k] : begin[k + 1]] = SPACE
     if not len(chars):
         return out
+    owner = lambda at: np.searchsorted(begin, at, "right") - 1
     edge = np.flatnonzero((kind[1:] != kind[:-1]) | (kind[1:] == NUMBER)) + 1
     start, end = np.concatenate(([0], edge)), np.concatenate((edge, [len(chars)]))
     kept = kind[start] != SPACE
     start, end = start[kept], end[kept]
+    foreign = np.unique(np.concatenate((owner(np.flatnonzero(kind == FOREIGN)), owner(start[end - start > LONG_WORD]))))
+    if len(foreign):
+        for k, e in zip(foreign, v.tokenizer.encode_batch_fast([texts[k] for k in foreign], add_special_tokens=False), strict=True):
+            out[k] = np.array(e.ids, np.uint32)
+        own = ~np.isin(owner(start), foreign)
+        start, end = start[own], end[own]
     if not len(start):
         return out
     small = lower()[chars]

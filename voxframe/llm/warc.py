@@ -27,7 +27,7 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
     records: record_id, url, ts, is_full, etag, last_modified, digest, headers (map of lower-case names); more columns are
     left out. "Earlier" is a smaller ts; of several responses at the latest such ts the largest record_id counts. A revisit
     with no earlier response gets status `no_earlier_response`; one whose ETag (or, where either has none, Last-Modified)
-    differs gets `validator_mismatch`; without a validator in common it gets `no_validator`; these carry no merged headers.
+    differs gets `validator_mismatch` (ETags are compared weakly, without W/ in front); without a validator in common it gets `no_validator`; these carry no merged headers.
     Others are `resolved`: the response's headers with the permitted ones of the revisit on top. Records without URL or ts
     find no response. Repeated revisit rows give repeated results; an empty table an empty one.
 
@@ -40,7 +40,10 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
     bounds = slim.agg(F.percentile_approx(F.col("ts").cast("timestamp").cast("double"), [i / SLICES for i in range(1, SLICES)], 2000).alias("b")).first()["b"] or []
     bounds = F.array(*[F.lit(float(b)) for b in sorted(set(bounds))]) if bounds else F.array(F.lit(0.0))
     full = F.when(F.col("is_full") & F.col("ts").isNotNull(), F.struct("ts", "record_id", "etag", "last_modified", "digest", "headers"))
-    sliced = slim.withColumn("slice", F.size(F.filter(bounds, lambda b: b <= F.col("ts").cast("timestamp").cast("double")))).withColumn("full", full)
+    # Records without URL or ts meet nothing and are dealt by id.
+    nowhere = F.pmod(F.xxhash64("record_id"), F.lit(4 * SLICES)).cast("int") + SLICES
+    slice_ = F.when(F.col("ts").isNull() | F.col("canonical_url").isNull(), nowhere).otherwise(F.size(F.filter(bounds, lambda b: b <= F.col("ts").cast("timestamp").cast("double"))))
+    sliced = slim.withColumn("slice", slice_).withColumn("full", full)
     key = F.struct("ts", "record_id")
     last = sliced.groupBy("canonical_url", "slice").agg(F.max_by("full", F.when(F.col("full").isNotNull(), key)).alias("latest"))
     earlier = Window.partitionBy("canonical_url").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
@@ -49,10 +52,11 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
     inside = Window.partitionBy("canonical_url", "slice").orderBy("ts", "is_full", "record_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     seen = sliced.withColumn("near", F.last("full", ignorenulls=True).over(inside)).filter(~F.col("is_full"))
     joined = seen.join(carried, ["canonical_url", "slice"], "left").withColumn("of", F.when(F.col("ts").isNotNull() & F.col("canonical_url").isNotNull(), F.coalesce("near", "carried")))
+    etag = lambda c: F.regexp_replace(c, "^W/", "")
     by_etag, by_date = F.col("etag").isNotNull() & F.col("of.etag").isNotNull(), F.col("last_modified").isNotNull() & F.col("of.last_modified").isNotNull()
     status = (
         F.when(F.col("of").isNull(), "no_earlier_response")
-        .when(by_etag, F.when(F.col("etag") == F.col("of.etag"), "resolved").otherwise("validator_mismatch"))
+        .when(by_etag, F.when(etag(F.col("etag")) == etag(F.col("of.etag")), "resolved").otherwise("validator_mismatch"))
         .when(by_date, F.when(F.col("last_modified") == F.col("of.last_modified"), "resolved").otherwise("validator_mismatch"))
         .otherwise("no_validator")
     )
