@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from voxframe.llm import mixing, neardup, packing, pii, quality
 from voxframe.llm.common import cut, table
-from voxframe.llm.queries import default_tokenizer
+from voxframe.llm.queries import default_tokenizer, surrogate_key
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -31,7 +31,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 8: texts get surrogates; n_chars stays the length before."""
-    return pii.pseudonymise(docs).select(*COLUMNS)
+    return pii.pseudonymise(docs, surrogate_key(spark)).select(*COLUMNS)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
