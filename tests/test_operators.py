@@ -170,6 +170,72 @@ def test_pooled_roc_has_no_single_partition(spark):
     assert "SinglePartition" not in plan
 
 
-def test_axis_tables_are_broadcast(spark):
-    plan = P.stencil(grid(spark, np.ones((3, 3, 1))), ("v",), "x", 3, [0.25, 0.5, 0.25])._jdf.queryExecution().executedPlan().toString()
-    assert "BroadcastHashJoin" in plan
+def test_a_stencil_shuffles_each_voxel_once(spark):
+    plan = P.gaussian_smooth(grid(spark, np.ones((3, 3, 1))), ("v",), (3, 3, 1), 3, "x")._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange") == 1
+
+
+def test_stencil_against_plain_sums(spark):
+    values = np.random.default_rng(8).random((4, 3, 9))
+    for width, border, mode in ((3, "reflect", "symmetric"), (9, "reflect", "symmetric"), (5, "zero", "constant")):
+        w = P.gaussian_weights(width)
+        for k, axis in enumerate("xyz"):
+            pad = [(width // 2, width // 2) if i == k else (0, 0) for i in range(3)]
+            padded = np.pad(values, pad, mode=mode)
+            want = sum(x * np.take(padded, range(o, o + values.shape[k]), axis=k) for o, x in enumerate(w))
+            assert np.allclose(dense(P.stencil(grid(spark, values), ("v",), axis, values.shape[k], w, border), "v", values.shape), want)
+
+
+def test_constant_single_and_empty_groups(spark):
+    """Correlations, U tests, bands, histograms and matches of nothing to tell apart."""
+    df = spark.createDataFrame([(0, 0, 0, 0, 1.0, 2.0), (1, 0, 0, 0, 1.0, 3.0), (0, 1, 0, 0, 5.0, 1.0)], "subject long, x int, y int, z int, a double, b double")
+    assert {r["r"] for r in N.channel_correlation(df.filter("x = 0"), ("a", "b")).filter("a <> b").collect()} == {None}
+    assert N.channel_correlation(df.filter("false"), ("a",)).first()["r"] is None
+    r = N.voxelwise_correlation(df, "a", "b").first()
+    assert (r["mean_r"], r["positions"]) == (None, 0)
+    one = T.mann_whitney(df.filter("b = 3").withColumn("k", F.lit(1)), ["k"], "a", F.lit(True)).first()
+    assert (one["n1"], one["n2"], one["z"], one["p"]) == (1, 0, None, None)
+    same = T.mann_whitney(df.filter("x = 0").withColumn("k", F.lit(1)), ["k"], "a", F.col("b") == 3).first()
+    assert same["z"] is None
+    band = T.confidence_band(spark.createDataFrame([("g", None)], "g string, v double"), ["g"], "v").first()
+    assert (band["mean"], band["n"], band["low"], band["high"]) == (None, 0, None, None)
+    assert T.confidence_band(df, ["x"], "a").filter("x = 1").first()["low"] == 5.0
+    names = spark.createDataFrame([("",), (None,)], "name string")
+    assert CO.fuzzy_match(names, names).count() == 0
+
+
+def test_exact_quantiles(spark):
+    from voxframe.operators.quantiles import exact_quantiles, order_statistics
+
+    rng = np.random.default_rng(9)
+    for values in (np.concatenate((rng.normal(size=20_000) ** 3, np.full(9000, 0.25))), np.array([3.0]), np.array([1.0, 1.0, 2.0]), np.array([-np.inf, 0.0, 5.0, 5.0, np.inf]), rng.integers(0, 3, 5000) * 1e-320, np.array([1e308, -1e308, 0.0])):
+        df = spark.createDataFrame([(float(v),) for v in [*values, np.nan]], "v double").union(spark.createDataFrame([(None,)], "v double"))
+        ranks = sorted({0, len(values) // 3, len(values) // 2, len(values) - 1})
+        assert order_statistics(df, "v", ranks) == {k: np.sort(values)[k] for k in ranks}
+        if np.isfinite(values).all() and np.abs(values).max() < 1e300:
+            want = df.filter("v IS NOT NULL AND NOT isnan(v)").agg(F.percentile("v", F.array(*map(F.lit, (0.01, 0.5, 0.99))))).first()[0]
+            assert exact_quantiles(df, "v", (0.01, 0.5, 0.99)) == pytest.approx(want, rel=1e-12, abs=0)
+    assert exact_quantiles(df.filter("false"), "v", (0.5,)) == [None]
+
+
+def test_pooled_quantiles_leave_no_percentile_in_the_plan(spark):
+    df = spark.createDataFrame([(0, 0, 0, 0, 7.0, 1), (1, 0, 0, 0, 1.0, 1)], "subject long, x int, y int, z int, tmax double, mask int")
+    for out in (N.penumbra(df), N.rescale_outliers(df, ("tmax",))):
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        assert not any("Aggregate [percentile" in x or "Aggregate [" not in x and "percentile" in x for x in plan.split("\n"))
+
+
+def test_sequences_of_a_mode(spark):
+    assert CO.sequences_of("perfusion") == (("wcoreg_Tmax", "wcoreg_CBF", "wcoreg_MTT", "wcoreg_CBV"), "masked_wcoreg_VOI")
+    assert CO.sequences_of("angio", True) == (("betted_Angio",), "coreg_VOI") and CO.sequences_of("perfusion", True)[1] == "masked_coreg_VOI"
+    with pytest.raises(ValueError):
+        CO.sequences_of("ct")
+
+
+def test_intermediate_tables_are_deleted(spark, tmp_path, monkeypatch):
+    from voxframe.sources import shared
+
+    monkeypatch.setattr(shared, "shared_dir", lambda spark: str(tmp_path))
+    with shared.Scratch(spark) as s:
+        assert s.cut(spark.range(3)).count() == 3 and len(list(tmp_path.iterdir())) == 1
+    assert not list(tmp_path.iterdir())

@@ -130,3 +130,46 @@ def unique_path(df: DataFrame, parent: str, name: str, order: Sequence[str]) ->
     """`target`: the name for the first that has it, otherwise with its parent in front."""
     n = F.row_number().over(Window.partitionBy(name).orderBy(*order))
     return df.withColumn("target", F.when(n == 1, F.col(name)).otherwise(F.concat_ws("_", parent, name)))
+
+
+#: The series that each kind of dataset is made of, in channel order; without the first w (or _w) they are in patient space.
+SEQUENCES = {
+    "perfusion": ("wcoreg_Tmax", "wcoreg_CBF", "wcoreg_MTT", "wcoreg_CBV"),
+    "vessels": ("wmask_filtered_extracted_betted_Angio",),
+    "4d": ("wp_VPCT",),
+    "angio": ("wbetted_Angio",),
+    "mri": ("wcoreg_t2_tse_tra", "wcoreg_t2_TRACE", "wcoreg_t2_ADC"),
+}
+LABELS = {"perfusion": "masked_wcoreg_VOI"}
+OTHER_LABEL = "wcoreg_VOI"
+
+
+def sequences_of(mode: str, high_resolution: bool = False) -> tuple[tuple[str, ...], str]:
+    """The series of a mode and the series of its label. ValueError for an unknown mode."""
+    if mode not in SEQUENCES:
+        raise ValueError(f"unknown mode {mode}; one of {', '.join(SEQUENCES)}")
+    names, label = SEQUENCES[mode], LABELS.get(mode, OTHER_LABEL)
+    if high_resolution:
+        return tuple(n.removeprefix("w") for n in names), label.removeprefix("w").replace("_w", "_")
+    return names, label
+
+
+def choose_sequences(inventory: DataFrame, wanted: Sequence[str], label: str | None = None) -> DataFrame:
+    """subject, modality, position, prefix, study: of the subjects that have every wanted series (and the label's, in last place), the first study of each in its first modality."""
+    names = [*wanted, *([label] if label else [])]
+    first = Window.partitionBy("subject", "position").orderBy("modality")
+    chosen = select_channels(inventory, names).filter("nth = 1").withColumn("__n", F.row_number().over(first)).filter("__n = 1")
+    whole = chosen.groupBy("subject").agg(F.count("*").alias("__n")).filter(F.col("__n") == len(names))
+    return chosen.join(whole.select("subject"), "subject", "left_semi").select("subject", "modality", "position", "prefix", "study")
+
+
+def build_dataset(tables: dict[str, DataFrame], clinical: DataFrame, treated_before: Column, wanted: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Every table with its subjects cut to the included ones (in the clinical table, not treated before, and with all wanted series), and the clinical table likewise."""
+    first, *others = tables.values()
+    subjects = first.select("subject").distinct()
+    for t in others:
+        subjects = subjects.join(t.select("subject"), "subject", "left_semi")
+    if wanted is not None:
+        subjects = subjects.join(wanted.select("subject"), "subject", "left_semi")
+    kept = cohort_filter(subjects, clinical, treated_before).filter("included").select("subject")
+    return {n: t.join(kept, "subject", "left_semi") for n, t in (tables | {"clinical": clinical}).items()}

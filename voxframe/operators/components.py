@@ -2,29 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from voxframe.sources.shared import Scratch, cut
+
 MAX_ROUNDS = 60
 SIX = [(1, 0, 0), (0, 1, 0), (0, 0, 1)]
 TWENTY_SIX = [(a, b, c) for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1) if (a, b, c) > (0, 0, 0)]
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """df written to the folder of spark.checkpoint.dir (or one of our own where that is unset) and read again."""
-    spark: SparkSession = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="voxframe-", dir="/tmp"))
-        folder = spark.sparkContext.getCheckpointDir()
-    path = f"{folder}/voxframe-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def label_regions(df: DataFrame, value: str | None = None, offsets: list[tuple[int, int, int]] = SIX) -> DataFrame:
     """df's subject, x, y, z and `region`: rows of a subject are linked if neighbours (and, with `value`, equal in it); a region is named after its smallest voxel (x, y, z in turn).
 
@@ -36,7 +23,7 @@ def label_regions(df: DataFrame, value: str | None = None, offsets: list[tuple[i
     line = Window.partitionBy("subject", "x", "y").orderBy("z")
     starts = v.withColumn("__before", F.lag("__v").over(line)).withColumn("__gap", ~F.coalesce((F.lag("z").over(line) == F.col("z") - 1) & same, F.lit(False)))
     runs = starts.withColumn("__first", F.max(F.when(F.col("__gap"), F.col("z"))).over(line.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    voxels = _cut(runs.select("subject", "x", "y", "z", "__v", F.struct("x", "y", F.col("__first").alias("z")).alias("run")))
+    voxels = cut(runs.select("subject", "x", "y", "z", "__v", F.struct("x", "y", F.col("__first").alias("z")).alias("run")))
     moves = F.array(*[F.struct(*[F.lit(k).alias(n) for k, n in zip(o, ("dx", "dy", "dz"), strict=True)]) for o in offsets if o != (0, 0, 1)])
     moved = voxels.withColumn("m", F.explode(moves)).select("subject", (F.col("x") + F.col("m.dx")).alias("x"), (F.col("y") + F.col("m.dy")).alias("y"), (F.col("z") + F.col("m.dz")).alias("z"), F.col("__v").alias("__u"), F.col("run").alias("a"))
     edges = moved.join(voxels.select("subject", "x", "y", "z", "__v", F.col("run").alias("b")), ["subject", "x", "y", "z"]).filter(F.col("__u").eqNullSafe(F.col("__v")) & (F.col("a") != F.col("b"))).select("subject", F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
@@ -51,15 +38,18 @@ def label_regions(df: DataFrame, value: str | None = None, offsets: list[tuple[i
             out = moved.select("subject", F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("subject", "a", F.col("m").alias("b")))
         return out.filter("a <> b").distinct()
 
-    now = _cut(edges)
-    for _ in range(MAX_ROUNDS):
-        # Done when every run has one edge, to a run without one: only stars around the smallest runs are left.
-        ups = now.groupBy("subject", "a").agg(F.count("*").alias("n"))
-        if ups.filter("n > 1").isEmpty() and now.join(ups.select("subject", F.col("a").alias("b")), ["subject", "b"], "left_semi").isEmpty():
-            break
-        now = _cut(star(star(now, True), False))
-    else:
-        raise RuntimeError("regions did not settle")
+    with Scratch(df.sparkSession) as scratch:
+        now = scratch.cut(edges)
+        for _ in range(MAX_ROUNDS):
+            # Done when every run has one edge, to a run without one: only stars around the smallest runs are left. One job tells.
+            ends = now.select("subject", F.explode(F.array(F.struct(F.col("a").alias("node"), F.lit(1).alias("up")), F.struct(F.col("b").alias("node"), F.lit(0).alias("up")))).alias("e"))
+            nodes = ends.groupBy("subject", "e.node").agg(F.sum("e.up").alias("ups"), F.min("e.up").alias("low"))
+            if not nodes.agg(F.bool_or((F.col("ups") > 1) | ((F.col("ups") > 0) & (F.col("low") == 0)))).first()[0]:
+                now = cut(now)
+                break
+            now = scratch.cut(star(star(now, True), False))
+        else:
+            raise RuntimeError("regions did not settle")
     return voxels.join(now.withColumnRenamed("a", "run"), ["subject", "run"], "left").select("subject", "x", "y", "z", F.coalesce("b", "run").alias("region"))
 
 

@@ -1,14 +1,17 @@
-"""Voxel classifiers on Spark ML, with one contract: fit(df) gives a model whose transform adds `score`; cross-validation and searches over them."""
+"""Voxel classifiers on Spark ML, with one contract: fit(df) gives a model whose transform adds `score`; cross-validation, sweeps and searches over them."""
 
 from __future__ import annotations
 
+import random
 import uuid
 from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from typing import NamedTuple
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
-from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,16 +19,22 @@ from pyspark.sql import functions as F
 from voxframe.operators import scoring as S
 from voxframe.operators import spatial as P
 from voxframe.operators import statistics as T
+from voxframe.sources.shared import cut, new_folder
 
 KEY = ("subject", "x", "y", "z")
+FAILURES = (ValueError, RuntimeError, PySparkException, Py4JJavaError)
+#: Part of the training rows that early stopping watches, and the least gain that goes on.
+VALIDATION, LEAST_GAIN = 0.1, 1e-4
+SCORES = "subject long, tp long, fp long, fn long, tn long, accuracy double, f1 double, jaccard double, dice double, ppv double, npv double, error_ratio double, roc_auc double, model string, repeat int, fold int"
 
 
 class Spec(NamedTuple):
-    """A model to try: its name, its estimator given the number of training rows, neighbourhood radii."""
+    """A model to try: its name, its estimator given the number of training rows, neighbourhood radii, and what is done to the voxels before."""
 
     name: str
     estimator: Callable[[int], object]
     radius: tuple[int, int, int] = (0, 0, 0)
+    prepare: Callable[[DataFrame], DataFrame] | None = None
 
 
 def logistic(n: int) -> LogisticRegression:
@@ -33,28 +42,60 @@ def logistic(n: int) -> LogisticRegression:
     return LogisticRegression(featuresCol="vector", labelCol="label", regParam=1.0 / max(1, n), standardization=False, maxIter=50)
 
 
-def boosted(rounds: int = 20, depth: int = 1, rate: float = 0.4) -> Callable[[int], GBTClassifier]:
-    """Boosted stumps."""
-    return lambda n: GBTClassifier(featuresCol="vector", labelCol="label", maxIter=rounds, maxDepth=depth, stepSize=rate, subsamplingRate=0.79, seed=1)
+def boosted(rounds: int = 999, depth: int = 1, rate: float = 0.4, subsample: float = 0.79, early_stop: bool = True) -> Callable[[int], GBTClassifier]:
+    """Boosted stumps; with early stopping a tenth of the training rows (by hash, column `validation`) is held out, and rounds end once they gain nothing on it."""
 
+    def make(n: int) -> GBTClassifier:
+        tree = GBTClassifier(featuresCol="vector", labelCol="label", maxIter=rounds, maxDepth=depth, stepSize=rate, subsamplingRate=subsample, seed=1)
+        return tree.setParams(validationIndicatorCol="validation", validationTol=LEAST_GAIN) if early_stop else tree
 
-def features(df: DataFrame, channels: Sequence[str], radius: tuple[int, int, int]) -> DataFrame:
-    """df's key, label, mask and `vector`; with a radius the neighbourhood values and the number of undefined neighbours."""
-    if not any(radius):
-        return VectorAssembler(inputCols=list(channels), outputCol="vector").transform(df).select(*KEY, "label", "mask", "vector")
-    field = P.receptive_field(df, channels, radius)
-    undefined = P.undefined_count(df, "mask", radius).select(*KEY, "label", "mask", "undefined")
-    return undefined.join(field, list(KEY)).select(*KEY, "label", "mask", array_to_vector(F.concat("features", F.array(F.col("undefined").cast("double")))).alias("vector"))
+    return make
+
+
+def features(df: DataFrame, channels: Sequence[str], radius: tuple[int, int, int], clinical: DataFrame | None = None) -> DataFrame:
+    """df's key, label, mask and `features`: channels' values, with a radius those of the neighbourhood and at last the number of undefined neighbours; before it a subject's clinical columns.
+
+    clinical: subject and number columns; subjects it lacks are left out.
+    """
+    if any(radius):
+        field = P.receptive_field(df, channels, radius)
+        out = P.undefined_count(df, "mask", radius).select(*KEY, "label", "mask", "undefined").join(field, list(KEY))
+        last = F.array(F.col("undefined").cast("double"))
+    else:
+        out, last = df.select(*KEY, "label", "mask", F.array(*[F.col(c).cast("double") for c in channels]).alias("features")), F.array().cast("array<double>")
+    parts = [F.col("features")]
+    if clinical is not None:
+        names = [c for c in clinical.columns if c != "subject"]
+        out = out.join(clinical.select("subject", F.array(*[F.col(c).cast("double") for c in names]).alias("__clinical")), "subject")
+        parts.append(F.col("__clinical"))
+    return out.select(*KEY, "label", "mask", F.concat(*parts, last).alias("features"))
+
+
+def vectors(df: DataFrame) -> DataFrame:
+    """`features` as `vector`, and `validation`, true for a tenth of the rows by hash."""
+    held = F.conv(F.substring(T.hash_order("validation", *KEY), 1, 6), 16, 10).cast("long") < int(VALIDATION * 16**6)
+    return df.select(*[c for c in df.columns if c != "features"], array_to_vector("features").alias("vector"), held.alias("validation"))
+
+
+def build_fold(df: DataFrame, folds: DataFrame, repeat: int, fold: int) -> DataFrame:
+    """df's rows with `part`: balanced voxels of the other folds' subjects to train on, masked voxels of the fold's subjects to test."""
+    mine = df.join(folds.filter(F.col("repeat") == repeat).select("subject", "fold"), "subject")
+    train = T.undersample_negatives(mine.filter(F.col("fold") != fold), KEY)
+    return train.withColumn("part", F.lit("train")).unionByName(mine.filter((F.col("fold") == fold) & (F.col("mask") == 1)).withColumn("part", F.lit("test"))).drop("fold")
 
 
 def fit(train: DataFrame, spec: Spec) -> PipelineModel:
-    return Pipeline(stages=[spec.estimator(train.count())]).fit(train)
+    """The spec's estimator on rows with `features` and label. ValueError without rows of both labels."""
+    counts = {r["label"]: r["count"] for r in train.groupBy("label").count().collect()}
+    if len(counts) < 2:
+        raise ValueError("training rows of one class only")
+    return Pipeline(stages=[spec.estimator(sum(counts.values()))]).fit(vectors(train))
 
 
 def predict(model: PipelineModel, df: DataFrame) -> DataFrame:
     """df's key, label, mask and `score`, 0 outside the mask."""
     p = vector_to_array("probability")[1]
-    return model.transform(df).select(*KEY, "label", "mask", F.when(F.col("mask") == 1, p).otherwise(0.0).alias("score"))
+    return model.transform(vectors(df)).select(*KEY, "label", "mask", F.when(F.col("mask") == 1, p).otherwise(0.0).alias("score"))
 
 
 def save_and_predict(model: PipelineModel, df: DataFrame, folder: str) -> DataFrame:
@@ -67,48 +108,146 @@ def save_and_predict(model: PipelineModel, df: DataFrame, folder: str) -> DataFr
 def fold_scores(scored: DataFrame, keys: Sequence[str] = ("subject",)) -> DataFrame:
     """Metrics of each test image."""
     points = S.roc_points(scored, list(keys), y="label")
-    return S.confusion_metrics(scored, list(keys), y="label").join(S.roc_auc(points, list(keys)), list(keys))
+    return S.confusion_metrics(scored, list(keys), y="label").join(S.roc_auc(points, list(keys)), list(keys), "left")
+
 
+def done_folds(spark: SparkSession, store: str) -> set[tuple[str, int, int]]:
+    """model, repeat and fold of the scores in a store; none where there is no store yet."""
+    try:
+        return {tuple(r) for r in spark.read.parquet(store).select("model", "repeat", "fold").distinct().collect()}
+    except PySparkException:
+        return set()
 
-def cross_validate(df: DataFrame, channels: Sequence[str], spec: Spec, k: int, repeats: int = 1, store: str | None = None) -> tuple[DataFrame, int]:
+
+def cross_validate(df: DataFrame, channels: Sequence[str], spec: Spec, k: int, repeats: int = 1, store: str | None = None, clinical: DataFrame | None = None, train_on: DataFrame | None = None) -> tuple[DataFrame, int]:
     """Scores of every test image over k folds and repeats, and the number of folds that failed.
 
-    Folds go one after the other, each a Spark job over all its voxels; with `store` a fold's scores are appended there as
-    soon as it ends.
+    The prepared features are written once. Folds go one after the other, each a Spark job over all its voxels, whose scores
+    are appended to `store` (a folder of its own by default) as soon as it ends: a fold that fails is counted and skipped, a
+    restart leaves out the folds that are in the store. `train_on`: subjects that only ever train, besides each fold's own.
     """
-    folds = T.subject_kfold(df, k, repeats)
-    prepared = features(df, channels, spec.radius).persist()
-    parts, failed = [], 0
+    spark = df.sparkSession
+    store = store or new_folder(spark)
+    voxels = spec.prepare(df) if spec.prepare else df
+    prepared = cut(features(voxels, channels, spec.radius, clinical))
+    tested = prepared if train_on is None else prepared.join(train_on, "subject", "left_anti")
+    folds, failed, done = cut(T.subject_kfold(tested, k, repeats)), 0, done_folds(spark, store)
+    if train_on is not None:
+        others = train_on.select("subject").distinct().withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1)))).withColumn("fold", F.lit(-1))
+        folds = folds.unionByName(others)
     for repeat in range(repeats):
-        placed = prepared.join(folds.filter(F.col("repeat") == repeat).select("subject", "fold"), "subject")
         for fold in range(k):
+            if (spec.name, repeat, fold) in done:
+                continue
             try:
-                train = T.undersample_negatives(placed.filter(F.col("fold") != fold), KEY)
-                scores = fold_scores(predict(fit(train, spec), placed.filter((F.col("fold") == fold) & (F.col("mask") == 1))))
+                rows = build_fold(prepared, folds, repeat, fold)
+                scores = fold_scores(predict(fit(rows.filter("part = 'train'").drop("part"), spec), rows.filter("part = 'test'").drop("part")))
                 scores = scores.withColumns({"model": F.lit(spec.name), "repeat": F.lit(repeat), "fold": F.lit(fold)})
-                if store:
-                    scores.write.mode("append").parquet(store)
-            except (ValueError, RuntimeError):
+                scores.write.mode("append").parquet(store)
+            except FAILURES:
                 failed += 1
-                continue
-            parts.append(scores)
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out, failed
-
-
-def sweep(df: DataFrame, channels: Sequence[str], specs: Sequence[Spec], k: int) -> DataFrame:
-    """Cross-validated scores of several specifications."""
-    runs = [cross_validate(df, channels, s, k)[0] for s in specs]
-    out = runs[0]
-    for r in runs[1:]:
-        out = out.unionByName(r)
+    try:
+        return spark.read.parquet(store).filter(F.col("model") == spec.name), failed
+    except PySparkException:  # every fold failed: nothing was stored
+        return spark.createDataFrame([], SCORES), failed
+
+
+def sweep(df: DataFrame, channels: Sequence[str], specs: Sequence[Spec], k: int, store: str | None = None, clinical: DataFrame | None = None) -> DataFrame:
+    """Cross-validated scores of several specifications, whatever can be run of them; resumable with a store."""
+    store = store or new_folder(df.sparkSession)
+    out = None
+    for s in specs:
+        scores = cross_validate(df, channels, s, k, store=store, clinical=clinical)[0]
+        out = scores if out is None else out.unionByName(scores)
     return out
 
 
+def radius_specs(name: str, estimator: Callable[[int], object], radii: Sequence[int], flat: bool = True) -> list[Spec]:
+    """One specification for each neighbourhood radius, flat in z or cubic."""
+    return [Spec(f"{name}_rf{r}", estimator, (r, r, 0 if flat else r)) for r in radii]
+
+
+def kernel_specs(name: str, estimator: Callable[[int], object], widths: Sequence[int], channels: Sequence[str], shape: tuple[int, int, int], axes: str = "xy") -> list[Spec]:
+    """One specification for each width of the smoothing kernel."""
+
+    def smoothing(width: int) -> Callable[[DataFrame], DataFrame]:
+        return lambda df: df.drop(*channels).join(P.gaussian_smooth(df, channels, shape, width, axes), list(KEY))
+
+    return [Spec(f"{name}_k{w}", estimator, prepare=smoothing(w)) for w in widths]
+
+
+def subgroup_runs(df: DataFrame, groups: DataFrame, channels: Sequence[str], spec: Spec, k: int, hold_out: bool = False, store: str | None = None) -> DataFrame:
+    """Cross-validated scores of each subgroup's images with `grp`. groups: subject, grp (few distinct values).
+
+    A subgroup is run on its own; with hold_out all subjects outside it train besides.
+    """
+    store, out = store or new_folder(df.sparkSession), None
+    for r in groups.select("grp").distinct().orderBy("grp").collect():
+        own = groups.filter(F.col("grp").eqNullSafe(F.lit(r["grp"]))).select("subject")
+        named = spec._replace(name=f"{spec.name}/{r['grp']}{'/held out' if hold_out else ''}")
+        if hold_out:
+            scores, _ = cross_validate(df, channels, named, k, store=store, train_on=df.select("subject").distinct().join(own, "subject", "left_anti"))
+        else:
+            scores, _ = cross_validate(df.join(own, "subject", "left_semi"), channels, named, k, store=store)
+        scores = scores.withColumn("grp", F.lit(r["grp"]))
+        out = scores if out is None else out.unionByName(scores)
+    return out
+
+
+def leave_one_out(df: DataFrame, channels: Sequence[str], spec: Spec, most: int = 75, at_once: int = 8) -> DataFrame:
+    """key, label, mask, score of every subject's voxels, each scored by a model of at most `most` other subjects (`statistics.leave_one_out`).
+
+    A fit for each subject, some at once; each is a Spark job over its balanced training voxels. Scores are 0 outside the
+    mask, and null for a subject whose others have one class only.
+    """
+    spark, store = df.sparkSession, new_folder(df.sparkSession)
+    prepared = cut(features(df, channels, spec.radius))
+    sets = cut(T.leave_one_out(df, most))
+
+    def one(subject: int) -> None:
+        own = prepared.filter(F.col("subject") == subject)
+        train = prepared.join(F.broadcast(sets.filter(F.col("subject") == subject).select(F.col("other").alias("subject"))), "subject", "left_semi")
+        try:
+            scored = predict(fit(T.undersample_negatives(train, KEY), spec), own)
+        except ValueError:
+            scored = own.select(*KEY, "label", "mask", F.lit(None).cast("double").alias("score"))
+        scored.write.parquet(f"{store}/fit={subject}")
+
+    subjects = [r["subject"] for r in df.select("subject").distinct().orderBy("subject").collect()]
+    with ThreadPoolExecutor(at_once) as pool:
+        list(pool.map(one, subjects))
+    return spark.read.parquet(store).drop("fit") if subjects else prepared.select(*KEY, "label", "mask", F.lit(0.0).alias("score"))
+
+
+class Range(NamedTuple):
+    """Values of a parameter to draw from: a list, or two ends of a range."""
+
+    name: str
+    values: Sequence[float]
+    whole: bool = False
+
+
+#: Where searches over boosted trees draw from.
+TREE_RANGES = (Range("depth", (1, 4), True), Range("rate", (0.05, 0.6)), Range("subsample", (0.5, 1.0)), Range("rounds", (20, 60), True))
+
+
+def random_settings(ranges: Sequence[Range], n: int, seed: int) -> list[dict[str, float]]:
+    """n random settings, the same for a seed; the first of a longer draw are those of a shorter one."""
+    rng = random.Random(seed)
+    return [{r.name: rng.randint(int(r.values[0]), int(r.values[1])) if r.whole else round(rng.uniform(*r.values), 4) for r in ranges} for _ in range(n)]
+
+
+def param_search(df: DataFrame, channels: Sequence[str], n: int, k: int, store: str, seed: int = 1, ranges: Sequence[Range] = TREE_RANGES) -> DataFrame:
+    """model, median_auc, settings, best first, of n random settings of boosted trees; a restart with the same store runs only what is missing."""
+    drawn = random_settings(ranges, n, seed)
+    specs = [Spec(f"draw{i}", boosted(int(s["rounds"]), int(s["depth"]), s["rate"], s["subsample"])) for i, s in enumerate(drawn)]
+    scores = best_of(sweep(df, channels, specs, k, store=store))
+    told = df.sparkSession.createDataFrame([(s.name, ",".join(f"{a}={b}" for a, b in sorted(d.items()))) for s, d in zip(specs, drawn, strict=True)], "model string, settings string")
+    return scores.join(F.broadcast(told), "model").orderBy(F.desc("median_auc"), "model")
+
+
 def best_of(scores: DataFrame) -> DataFrame:
-    """model, median AUC, rank."""
+    """model, median AUC, best first."""
     m = scores.groupBy("model").agg(F.percentile("roc_auc", F.lit(0.5)).alias("median_auc"))
     return m.orderBy(F.desc("median_auc"), "model")
 

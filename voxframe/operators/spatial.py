@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -19,29 +20,46 @@ def line(axis: str) -> Window:
     return Window.partitionBy("subject", *[a for a in "xyz" if a != axis]).orderBy(axis)
 
 
-def axis_table(df: DataFrame, axis: str, n: int, weights: Sequence[float], border: str) -> DataFrame:
-    """src, dst, w of a kernel along an axis of length n: `reflect` mirrors at the edge (edge repeated), `zero` and `drop` leave outside places out."""
+def axis_weights(n: int, weights: Sequence[float], border: str) -> list[dict[int, float]]:
+    """For each place of an axis of length n the weights of its neighbours by offset: `reflect` mirrors at the edge (edge repeated), `zero` and `drop` leave outside places out."""
     r = len(weights) // 2
-    rows: dict[tuple[int, int], float] = {}
-    for dst in range(n):
+    out: list[dict[int, float]] = []
+    for at in range(n):
+        row: dict[int, float] = {}
         for k, w in enumerate(weights):
-            src = dst + k - r
+            src = at + k - r
             if border == "reflect":
                 period = src % (2 * n)
                 src = period if period < n else 2 * n - 1 - period
             elif not 0 <= src < n:
                 continue
-            rows[src, dst] = rows.get((src, dst), 0.0) + w
-    values = F.array(*[F.struct(F.lit(s).alias("src"), F.lit(t).alias("dst"), F.lit(w).alias("w")) for (s, t), w in rows.items()])
-    return df.sparkSession.range(1).select(F.inline(values))
+            row[src - at] = row.get(src - at, 0.0) + w
+        out.append(row)
+    return out
 
 
 def stencil(df: DataFrame, values: Sequence[str], axis: str, n: int, weights: Sequence[float], border: str = "reflect") -> DataFrame:
-    """Weighted sums along an axis. The kernel is a table of at most n x width rows and is broadcast; sums are combined before the shuffle."""
-    table = axis_table(df, axis, n, weights, border)
-    rest = [k for k in KEY if k != axis]
-    spread = df.select(*KEY, *values).join(F.broadcast(table), F.col(axis) == F.col("src"))
-    return spread.groupBy(*rest, F.col("dst").alias(axis)).agg(*[F.sum(F.col(v) * F.col("w")).alias(v) for v in values]).select(*KEY, *values)
+    """Weighted sums along an axis of a dense grid: a window over each line, so every voxel is shuffled once. Only places near an end have weights of their own."""
+    rows = axis_weights(n, weights, border)
+    inner = dict(zip(range(-(len(weights) // 2), len(weights) // 2 + 1), weights, strict=True))
+    offsets = sorted({o for row in rows for o in row})
+    w = line(axis)
+    lags = {(v, o): F.col(v) if o == 0 else F.lag(v, -o).over(w) for v in values for o in offsets}
+    wide = df.select(*KEY, *[c.alias(f"__{v}_{o}") for (v, o), c in lags.items()])
+
+    def total(v: str, row: dict[int, float]) -> Column:
+        return reduce(lambda a, b: a + b, [F.col(f"__{v}_{o}") * F.lit(x) for o, x in sorted(row.items())])
+
+    def value(v: str) -> Column:
+        ends = [k for k, row in enumerate(rows) if row != inner]
+        out = None
+        for k in ends:
+            out = (F if out is None else out).when(F.col(axis) == k, total(v, rows[k]))
+        if len(ends) == n:
+            return out
+        return total(v, inner) if out is None else out.otherwise(total(v, inner))
+
+    return wide.select(*KEY, *[value(v).alias(v) for v in values])
 
 
 def gaussian_weights(width: int) -> list[float]:
@@ -146,16 +164,28 @@ def rolling_window(df: DataFrame, value: str, shape: tuple[int, int, int], size:
 
 
 def region_mirror_ratio(df: DataFrame, c: str, shape: tuple[int, int, int], width: int = 5) -> DataFrame:
-    """Each voxel divided by the smoothed opposite half's voxel at nx-1-x; halves are smoothed on their own. Even widths only split in two; the middle plane of odd ones is null."""
+    """Each voxel divided by the smoothed opposite half's voxel at nx-1-x; halves are smoothed on their own. The middle plane of odd widths is divided by the mean of the planes beside it."""
     nx, ny, _ = shape
     half = nx // 2
     folded = df.filter((F.col("x") < half) | (F.col("x") >= nx - half)).withColumn("side", F.when(F.col("x") < half, 0).otherwise(1)).withColumn("hx", F.when(F.col("x") < half, F.col("x")).otherwise(F.col("x") - (nx - half)))
-    tagged = folded.select((F.col("subject") * 2 + F.col("side")).alias("subject"), F.col("hx").alias("x"), "y", "z", F.col(c).alias("v"))
+    tagged = folded.select(F.struct("subject", "side").alias("subject"), F.col("hx").alias("x"), "y", "z", F.col(c).alias("v"))
     smooth = gaussian_smooth(tagged, ("v",), (half, ny, shape[2]), width)
-    back = smooth.select(F.floor(F.col("subject") / 2).alias("subject"), F.when(F.col("subject") % 2 == 0, F.col("x")).otherwise(F.col("x") + (nx - half)).alias("sx"), "y", "z", "v").withColumn("x", nx - 1 - F.col("sx")).drop("sx")
+    back = smooth.select(F.col("subject.subject").alias("subject"), F.when(F.col("subject.side") == 0, F.col("x")).otherwise(F.col("x") + (nx - half)).alias("sx"), "y", "z", "v").withColumn("x", nx - 1 - F.col("sx")).drop("sx")
+    if nx % 2:
+        beside = df.filter(F.col("x").isin(half - 1, half + 1)).groupBy("subject", "y", "z").agg(F.avg(c).alias("v")).select("subject", "y", "z", "v", F.lit(half).alias("x"))
+        back = back.unionByName(beside)
     return df.join(back, list(KEY), "left").withColumn("ratio", F.when(F.col("v") != 0, F.col(c) / F.col("v"))).drop("v")
 
 
+def reconstruct_grid(df: DataFrame, values: Sequence[str], shape: tuple[int, int, int], subjects: DataFrame) -> DataFrame:
+    """The dense grid of every subject, made from the shape: df's values where it has a row, 0 elsewhere."""
+    places = [F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(a) for a, n in zip("xyz", shape, strict=True)]
+    grid = subjects.select("subject").distinct()
+    for place in places:
+        grid = grid.select("*", place)
+    return grid.join(df.select(*KEY, *values), list(KEY), "left").fillna(0.0, list(values))
+
+
 def center_slices(df: DataFrame, shape: tuple[int, int, int]) -> DataFrame:
     """The three middle planes, with the plane's axis."""
     planes = [df.filter(F.col(a) == (n - 1) // 2).withColumn("plane", F.lit(a)) for a, n in zip("xyz", shape, strict=True)]

@@ -201,9 +201,19 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return read_cohort(C.clinical(spark, d), {"subject": "bigint", "name": "string", "age": "double", "sex": "string", "treat": "string", "weight": "double"})
 
 
-@query("build_dataset", W("SELECT subject, x, y, z, round(tmax, 9) AS tmax, label, age FROM vox JOIN clin USING (subject) WHERE coalesce(smoking, '') <> 'yes'", "vox", "clin"))
+_CHOSEN = """h AS (SELECT subject, modality, position, prefix, study, row_number() OVER (PARTITION BY subject, position ORDER BY modality, lower(study), study) AS nth FROM inv JOIN (VALUES (0, 'cl'), (1, 'view'), (2, 'pur'), (3, 'err')) t(position, prefix) ON starts_with(study, prefix)),
+c AS (SELECT subject, modality, position, prefix, study FROM h WHERE nth = 1 AND subject IN (SELECT subject FROM h WHERE nth = 1 GROUP BY 1 HAVING count(*) = 4))"""
+
+
+@query("choose_sequences", W(f"WITH {_CHOSEN} SELECT * FROM c", "inv"))
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """The series of a dataset with its label's; event names stand in for series names."""
+    return O.choose_sequences(C.inventory(spark, d), ("cl", "view", "pur"), "err")
+
+
+@query("build_dataset", W(f"WITH {_CHOSEN} SELECT subject, x, y, z, round(tmax, 9) AS tmax, label, age FROM vox JOIN clin USING (subject) WHERE coalesce(smoking, '') <> 'yes' AND subject IN (SELECT subject FROM c)", "vox", "clin", "inv"))
 def _(spark: SparkSession, d: str) -> DataFrame:
-    """Voxels with clinical columns, excluded subjects dropped from every table."""
-    clin = C.clinical(spark, d)
-    kept = O.cohort_filter(C.vox(spark, d).select("subject").distinct(), clin, F.coalesce(F.col("smoking") == "yes", F.lit(False))).filter("included").select("subject")
-    return rounded(C.vox(spark, d).select("subject", "x", "y", "z", "tmax", "label").join(kept, "subject", "left_semi").join(clin.select("subject", "age"), "subject"), 9)
+    """Series chosen, excluded subjects dropped from every table, clinical columns attached to voxels."""
+    wanted = O.choose_sequences(C.inventory(spark, d), ("cl", "view", "pur"), "err")
+    tables = O.build_dataset({"voxels": C.vox(spark, d).select("subject", "x", "y", "z", "tmax", "label")}, C.clinical(spark, d), F.coalesce(F.col("smoking") == "yes", F.lit(False)), wanted)
+    return rounded(tables["voxels"].join(tables["clinical"].select("subject", "age"), "subject"), 9)

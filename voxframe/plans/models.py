@@ -11,6 +11,7 @@ from voxframe.carriers import with_views as W
 from voxframe.operators import models as M
 from voxframe.operators import scoring as S
 from voxframe.plans.registry import query, rounded
+from voxframe.plans.scoring import _COUNTS, _METRICS
 from voxframe.sources import tables as R
 from voxframe.sources.shared import new_folder as folder
 
@@ -32,8 +33,18 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 
 @query("boosted_trees")
 def _(spark: SparkSession, d: str) -> DataFrame:
+    """Up to 999 rounds of stumps, ended by early stopping."""
     train, test = halves(spark, d)
-    return M.predict(M.fit(train, M.Spec("boosted", M.boosted(8))), test)
+    return M.predict(M.fit(train, M.Spec("boosted", M.boosted())), test)
+
+
+@query("fixed_threshold_field")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """The fixed threshold with a radius: logistic combination of the thresholded neighbours."""
+    late = C.vox(spark, d).withColumn("late", F.when(F.col("tmax") > 6, 1.0).otherwise(0.0))
+    f = M.features(late, ("late",), (1, 1, 0))
+    train = M.T.undersample_negatives(f.filter("subject % 2 = 0"), KEY)
+    return M.predict(M.fit(train, M.Spec("late_rf1", M.logistic, (1, 1, 0))), f.filter("subject % 2 = 1 AND mask = 1"))
 
 
 @query("receptive_field_model")
@@ -49,6 +60,14 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return M.save_and_predict(M.fit(train, M.Spec("logistic", M.logistic)), test, folder(spark))
 
 
+@query("volume_prediction")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """Whole volumes of the odd subjects scored by a saved model of neighbourhoods; 0 outside the mask."""
+    f = M.features(C.vox(spark, d), TWO, (1, 1, 0))
+    model = M.fit(M.T.undersample_negatives(f.filter("subject % 2 = 0"), KEY), M.Spec("rf1", M.logistic, (1, 1, 0)))
+    return M.save_and_predict(model, f.filter("subject % 2 = 1"), folder(spark))
+
+
 @query("fit_full")
 def _(spark: SparkSession, d: str) -> DataFrame:
     """Trained on every subject, saved, and applied to all."""
@@ -59,43 +78,76 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 
 @query("cross_validate")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return M.cross_validate(C.vox(spark, d), TWO, M.Spec("logistic", M.logistic), 3)[0]
+    return M.cross_validate(C.vox(spark, d), TWO, M.Spec("logistic", M.logistic), 5)[0]
+
+
+def cross_validate_radius(spark: SparkSession, d: str, r: int) -> DataFrame:
+    """Five folds of a model with neighbourhoods of a radius in all directions: the work whose published times the bench is set against."""
+    return M.cross_validate(C.vox(spark, d), C.CHANNELS, M.Spec(f"rf{r}", M.logistic, (r, r, r)), 5)[0]
+
+
+@query("cross_validate_rf1")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return cross_validate_radius(spark, d, 1)
+
+
+def means(scores: DataFrame, *by: str) -> DataFrame:
+    return scores.groupBy("model", *by).agg(F.avg("roc_auc").alias("roc_auc"), F.avg("dice").alias("dice"), F.count("*").alias("images"))
 
 
 @query("sweep")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    specs = (M.Spec("rf0", M.logistic), M.Spec("rf1", M.logistic, (1, 1, 0)))
-    return M.sweep(C.vox(spark, d), TWO, specs, 2).groupBy("model").agg(F.avg("roc_auc").alias("roc_auc"), F.count("*").alias("images"))
+    """Radii 0 and 1, flat in z, and a smoothing kernel of width 3, over two folds."""
+    shape = (C.NX, C.NY, C.NZ)
+    return means(M.sweep(C.vox(spark, d), TWO, [*M.radius_specs("logistic", M.logistic, (0, 1)), *M.kernel_specs("logistic", M.logistic, (3,), TWO, shape)], 2))
+
+
+@query("subgroup_runs")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """Runs within each treatment group, and the same images with everyone else in training."""
+    v, groups = C.vox(spark, d), C.clinical(spark, d).select("subject", F.col("treat").alias("grp")).join(C.vox(spark, d).select("subject").distinct(), "subject", "left_semi")
+    runs = [M.subgroup_runs(v, groups, TWO, M.Spec("logistic", M.logistic), 2, hold_out) for hold_out in (False, True)]
+    return means(runs[0].unionByName(runs[1]), "grp")
+
+
+@query("leave_one_out")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """Every subject scored by a model of up to 75 others; sums per subject."""
+    scored = M.leave_one_out(C.vox(spark, d), TWO, M.Spec("logistic", M.logistic))
+    return scored.groupBy("subject").agg(F.sum("score").alias("expected"), F.sum("label").alias("truth"), F.count("*").alias("voxels"))
 
 
 @query("param_search")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    specs = [M.Spec(f"depth{depth}-rate{rate:g}", M.boosted(3, depth, rate)) for depth, rate in ((1, 0.4), (2, 0.2))]
-    return M.best_of(M.sweep(C.vox(spark, d), TWO, specs, 2))
+    """Three random settings of boosted trees over two folds."""
+    return M.param_search(C.vox(spark, d), TWO, 3, 2, folder(spark))
 
 
 @query("channel_importance")
 def _(spark: SparkSession, d: str) -> DataFrame:
     train, _ = halves(spark, d)
-    return M.channel_importance(M.fit(train, M.Spec("boosted", M.boosted(5))), spark, TWO, 1)
+    return M.channel_importance(M.fit(train, M.Spec("boosted", M.boosted())), spark, TWO, 1)
+
+
+_SCORED = "SELECT subject, {c}, CAST(subject % 2 AS INT) AS fold FROM (SELECT subject, tmax / 12.5 >= 0.5 AS h, label AS y FROM vox) GROUP BY subject"
 
 
-@query("run_store")
+@query("run_store", W("WITH c AS (" + _SCORED.format(c=_COUNTS) + f") SELECT subject, {_METRICS}, fold FROM c", "vox"))
 def _(spark: SparkSession, d: str) -> DataFrame:
     """Image scores of two folds, appended one after the other and read again."""
     path = folder(spark)
     scores = C.vox(spark, d).select("subject", "label", (F.col("tmax") / 12.5).alias("score"))
     for fold in (0, 1):
         R.append_scores(S.confusion_metrics(scores.filter(F.col("subject") % 2 == fold), ["subject"], y="label").withColumn("fold", F.lit(fold)), path)
-    return spark.read.parquet(path)
+    return rounded(spark.read.parquet(path))
 
 
-@query("report_sink")
+@query("report_sink", W("SELECT model, round(avg(roc_auc), 6) AS roc_auc FROM runs GROUP BY 1", "runs"))
 def _(spark: SparkSession, d: str) -> DataFrame:
     path = folder(spark)
     runs = C.runs(spark, d)
     R.write_report({"scores": runs, "means": runs.groupBy("model").agg(F.avg("roc_auc").alias("roc_auc"))}, path)
-    return spark.read.parquet(f"{path}/means")
+    return rounded(spark.read.parquet(f"{path}/means"))
 
 
 @query("dataset_roundtrip", W("SELECT subject, x, y, z, round(tmax, 9) AS tmax, label FROM vox", "vox"))
@@ -125,10 +177,12 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return rounded(R.volume_rows(files).select(F.col("path").cast("long").alias("subject"), "x", "y", "z", F.col("value").alias("tmax")), 9)
 
 
-@query("inventory_scan")
+@query("inventory_scan", W("SELECT DISTINCT CAST(subject AS VARCHAR) AS subject, 'year' || CAST(year(modality) AS VARCHAR) AS modality, study FROM inv", "inv"))
 def _(spark: SparkSession, d: str) -> DataFrame:
-    """Files that Spark writes from the inventory, listed by path without reading them."""
+    """A tree of subject/modality/study folders that Spark writes from the inventory, listed by path without reading a file."""
     path = folder(spark)
-    inv = C.inventory(spark, d).select(F.col("subject").cast("string").alias("subject"), F.col("modality").cast("string").alias("modality"), F.col("study").alias("study"), "n_files")
-    inv.repartition("modality").write.partitionBy("modality", "study").parquet(f"{path}/0")
-    return R.inventory_scan(spark, path, "*.parquet").groupBy("subject", "modality", "study").agg(F.count("*").alias("n_files"))
+    inv = C.inventory(spark, d).select(F.col("subject").alias("s"), F.concat(F.lit("year"), F.year("modality").cast("string")).alias("m"), F.col("study").alias("t"), "n_files")
+    inv.repartition("s").sortWithinPartitions("s", "m", "t").write.partitionBy("s", "m", "t").parquet(path)
+    # Partition folders are named column=value.
+    value = lambda c: F.regexp_replace(c, "^[a-z]=", "").alias(c)
+    return R.inventory_scan(spark, path, "*.parquet").select(value("subject"), value("modality"), value("study")).distinct()

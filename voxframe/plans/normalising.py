@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from voxframe import carriers as C
 from voxframe.carriers import with_views as W
 from voxframe.functions import voxel as V
 from voxframe.operators import normalise as N
+from voxframe.operators import reports as E
 from voxframe.plans.registry import query, rounded
 
 KEY = ("subject", "x", "y", "z")
@@ -174,10 +177,29 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return rounded(N.voxelwise_correlation(C.vox(spark, d), "tmax", "label"))
 
 
-@query("prepare", W("""
-WITH o AS (SELECT subject, quantile_cont(tmax, 0.5) AS t FROM vox_out WHERE mask = 1 GROUP BY 1), a AS (SELECT quantile_cont(tmax, 0.5) AS t FROM vox_out WHERE mask = 1),
-r AS (SELECT v.* REPLACE (CASE WHEN o.t > 5 * a.t THEN tmax / 10 ELSE tmax END AS tmax) FROM vox_out v LEFT JOIN o USING (subject) CROSS JOIN a)
-SELECT subject, x, y, z, round((tmax - avg(tmax) OVER ()) / stddev_pop(tmax) OVER (), 6) AS tmax FROM r""", "vox_out"))
+def _prepare_sql(standard: bool) -> str:
+    from voxframe.operators.spatial import gaussian_weights
+    from voxframe.plans.spatial import kernel_sql
+
+    w = gaussian_weights(5)
+    value = lambda c: f"({c} - avg({c}) OVER ()) / stddev_pop({c}) OVER ()" if standard else c
+    passes = ", ".join(f"{c}0 AS (SELECT subject, x, y, z, {c} AS v FROM s), {kernel_sql(f'{c}1', f'{c}0', 'x', C.NX, w)}, {kernel_sql(f'{c}2', f'{c}1', 'y', C.NY, w)}" for c in ("tmax", "cbf"))
+    return f"""WITH o AS (SELECT subject, quantile_cont(tmax, 0.5) AS t, quantile_cont(cbf, 0.5) AS c FROM vox_out WHERE mask = 1 GROUP BY 1), a AS (SELECT quantile_cont(tmax, 0.5) AS t, quantile_cont(cbf, 0.5) AS c FROM vox_out WHERE mask = 1),
+r AS (SELECT v.* REPLACE (CASE WHEN o.t > 5 * a.t THEN tmax / 10 ELSE tmax END AS tmax, CASE WHEN o.c > 5 * a.c THEN cbf / 10 ELSE cbf END AS cbf) FROM vox_out v LEFT JOIN o USING (subject) CROSS JOIN a),
+s AS (SELECT subject, x, y, z, mask, {value('tmax')} AS tmax, {value('cbf')} AS cbf FROM r), {passes},
+h AS (SELECT s.subject, s.x, s.y, s.z, s.mask, t.v AS tmax, c.v AS cbf, CASE WHEN s.x < 5 THEN 0 ELSE 1 END AS side FROM s JOIN tmax2 t USING (subject, x, y, z) JOIN cbf2 c USING (subject, x, y, z)),
+b AS (SELECT subject, side, quantile_cont(cbf, 0.01) AS lo, quantile_cont(cbf, 0.99) AS hi FROM h WHERE mask = 1 GROUP BY 1, 2),
+m AS (SELECT subject, 1 - side AS side, avg(greatest(least(cbf, hi), lo)) AS mean FROM h JOIN b USING (subject, side) WHERE mask = 1 GROUP BY 1, 2)
+SELECT subject, x, y, z, round(tmax, 6) AS tmax, round(CASE WHEN mask = 1 THEN CASE WHEN mean <> 0 THEN cbf / mean END ELSE 0 END, {3 if standard else 6}) AS cbf FROM h LEFT JOIN m USING (subject, side)"""
+
+
+@query("prepare", W(_prepare_sql(False), "vox_out"))
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """Outliers rescaled, smoothed in each plane, flow against the opposite half."""
+    return rounded(E.prepare(C.vox_out(spark, d), ("tmax", "cbf"), (C.NX, C.NY, C.NZ), by_side=("cbf",)).select(*KEY, "tmax", "cbf"))
+
+
+@query("prepare_standardised", W(re.sub(r"round\(CASE WHEN mask = 1.*?END ELSE 0 END, 3\) AS cbf", "round(cbf, 6) AS cbf", _prepare_sql(True)), "vox_out"))
 def _(spark: SparkSession, d: str) -> DataFrame:
-    """Rescale outliers, then standardise; smoothing and side normalisation are switched on by their own parameters."""
-    return rounded(N.standardise(N.rescale_outliers(C.vox_out(spark, d), ("tmax",)), ("tmax",)).select(*KEY, "tmax"))
+    """As prepare, standardised before smoothing and without sides, whose means are near 0 then."""
+    return rounded(E.prepare(C.vox_out(spark, d), ("tmax", "cbf"), (C.NX, C.NY, C.NZ), standard=True).select(*KEY, "tmax", "cbf"))

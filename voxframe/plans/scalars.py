@@ -14,10 +14,11 @@ from voxframe.plans.registry import query, rounded
 KEY = ("subject", "x", "y", "z")
 
 
-@query("nan_to_zero", W("SELECT subject, x, y, z, round(CASE WHEN cbv = 0 THEN 0 ELSE tmax / cbv END, 6) AS ratio FROM vox", "vox"))
+@query("nan_to_zero", W("SELECT subject, x, y, z, CASE WHEN cbv = 0 THEN 0 ELSE tmax / cbv END AS ratio FROM vox", "vox"))
 def _(spark: SparkSession, d: str) -> DataFrame:
+    """Not rounded: a quotient is the same number in every engine, half of a last digit isn't."""
     v = C.vox(spark, d)
-    return rounded(v.select(*KEY, V.nan_to_zero(F.when(F.col("cbv") == 0, float("nan")).otherwise(F.try_divide("tmax", "cbv"))).alias("ratio")))
+    return v.select(*KEY, V.nan_to_zero(F.when(F.col("cbv") == 0, float("nan")).otherwise(F.try_divide("tmax", "cbv"))).alias("ratio"))
 
 
 @query("clamp_label", W("SELECT subject, x, y, z, CAST(least(label + mask, 1) AS INT) AS label FROM vox", "vox"))

@@ -9,8 +9,11 @@ from voxframe import carriers as C
 from voxframe.carriers import with_views as W
 from voxframe.functions import voxel as V
 from voxframe.operators import normalise as N
+from voxframe.operators import reports as E
 from voxframe.operators import scoring as S
+from voxframe.operators.spatial import gaussian_weights
 from voxframe.plans.registry import query, rounded
+from voxframe.plans.spatial import _ball, _box, kernel_sql
 
 _COUNTS = "count(*) FILTER (h AND y = 1) AS tp, count(*) FILTER (h AND y <> 1) AS fp, count(*) FILTER (NOT h AND y = 1) AS fn, count(*) FILTER (NOT h AND y <> 1) AS tn"
 _METRICS = """tp, fp, fn, tn, round(CASE WHEN tp + fp + fn + tn = 0 THEN 0 ELSE (tp + tn) / (tp + fp + fn + tn) END, 6) AS accuracy, round(CASE WHEN 2 * tp + fp + fn = 0 THEN 0 ELSE 2 * tp / (2 * tp + fp + fn) END, 6) AS f1,
@@ -128,9 +131,8 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 _TRAINED = "WITH s AS (SELECT {v} AS score, label AS y FROM vox WHERE mask = 1 AND subject % 2 = 0), " + _ROC.format(k="", p="1") + ", t AS (SELECT arg_max(threshold, (tp * n - fp * p, threshold)) AS t FROM roc)"
 
 
-def trained_cutoff(train: DataFrame, score: str) -> DataFrame:
-    """One row: the pooled Youden cut-off of the training rows."""
-    return S.youden_cutoff(S.roc_points(train.withColumn("all", F.lit(1)), ["all"], score=score, y="label"), ["all"]).select(F.col("cutoff"))
+trained_cutoff = E.trained_cutoff
+SHAPE = (C.NX, C.NY, C.NZ)
 
 
 @query("trained_threshold", W(_TRAINED.format(v="tmax") + " SELECT subject, x, y, z, CASE WHEN tmax > t THEN 1 ELSE 0 END AS predicted FROM vox, t WHERE mask = 1 AND subject % 2 = 1", "vox"))
@@ -147,64 +149,135 @@ f AS (SELECT subject, x, y, z, tmax, label, mask, cbf / mean AS flow FROM h JOIN
 _FLOW_CUT = ", s AS (SELECT round(-flow, 9) AS score, label AS y FROM f WHERE subject % 2 = 0 {w}), " + _ROC.format(k="", p="1") + ", t AS (SELECT arg_max(threshold, (tp * n - fp * p, threshold)) AS t FROM roc)"
 
 
-def relative_flow(spark: SparkSession, d: str) -> DataFrame:
-    return N.contralateral_norm(C.vox(spark, d), "cbf", C.NX, "flow").filter("mask = 1").withColumn("negated", F.round(-F.col("flow"), 9))
+trained_cutoff = E.trained_cutoff
+SHAPE = (C.NX, C.NY, C.NZ)
+KEY = ("subject", "x", "y", "z")
 
 
-@query("relative_flow_threshold", W(_FLOW + _FLOW_CUT.format(w="") + " SELECT subject, x, y, z, CASE WHEN round(-flow, 9) > t THEN 1 ELSE 0 END AS predicted FROM f, t WHERE subject % 2 = 1", "vox"))
+@query("trained_threshold", W(_TRAINED.format(v="tmax") + " SELECT subject, x, y, z, CASE WHEN tmax > t THEN 1 ELSE 0 END AS predicted FROM vox, t WHERE mask = 1 AND subject % 2 = 1", "vox"))
+def _(spark: SparkSession, d: str) -> DataFrame:
+    v = C.vox(spark, d).filter("mask = 1")
+    t = trained_cutoff(v.filter("subject % 2 = 0"), "tmax")
+    return v.filter("subject % 2 = 1").join(F.broadcast(t)).select(*KEY, F.when(F.col("tmax") > F.col("cutoff"), 1).otherwise(0).alias("predicted"))
+
+
+def _flow_sql(source: str, digits: int) -> str:
+    """Cut trained on the even subjects' relative flow, applied to the odd ones'."""
+    return f"""h AS (SELECT *, CASE WHEN x < 5 THEN 0 ELSE 1 END AS side FROM {source}),
+b AS (SELECT subject, side, quantile_cont(cbf, 0.01) AS lo, quantile_cont(cbf, 0.99) AS hi FROM h WHERE mask = 1 GROUP BY 1, 2),
+m AS (SELECT subject, 1 - side AS side, avg(greatest(least(cbf, hi), lo)) AS mean FROM h JOIN b USING (subject, side) WHERE mask = 1 GROUP BY 1, 2),
+f AS (SELECT subject, x, y, z, label, round(-cbf / mean, {digits}) AS score FROM h JOIN m USING (subject, side) WHERE mask = 1),
+s AS (SELECT score, label AS y FROM f WHERE subject % 2 = 0), {_ROC.format(k="", p="1")}, t AS (SELECT arg_max(threshold, (tp * n - fp * p, threshold)) AS t FROM roc)
+SELECT subject, x, y, z, CASE WHEN score > t THEN 1 ELSE 0 END AS predicted FROM f, t WHERE subject % 2 = 1"""
+
+
+def flow_threshold(spark: SparkSession, d: str, width: int, digits: int) -> DataFrame:
+    f = E.relative_flow(C.vox(spark, d), SHAPE, width).withColumn("negated", F.round("negated", digits))
+    return E.relative_flow_threshold(f.filter("subject % 2 = 0"), f.filter("subject % 2 = 1")).select(*KEY, "predicted")
+
+
+@query("relative_flow_threshold", W("WITH " + _flow_sql("vox", 9), "vox"))
 def _(spark: SparkSession, d: str) -> DataFrame:
-    f = relative_flow(spark, d)
-    t = trained_cutoff(f.filter("subject % 2 = 0"), "negated")
-    return f.filter("subject % 2 = 1").join(F.broadcast(t)).select("subject", "x", "y", "z", F.when(F.col("negated") > F.col("cutoff"), 1).otherwise(0).alias("predicted"))
+    return flow_threshold(spark, d, 0, 9)
 
 
-@query("core_in_penumbra", W(_FLOW + ", q AS (SELECT quantile_cont(tmax, 0.99) AS top FROM vox) SELECT subject, x, y, z, CASE WHEN tmax > 6 AND tmax < top AND flow < 0.38 THEN 1 ELSE 0 END AS core FROM f, q", "vox"))
+_W5 = gaussian_weights(5)
+_SMOOTH = f"g AS (SELECT subject, x, y, z, cbf AS v FROM vox), {kernel_sql('ga', 'g', 'x', C.NX, _W5)}, {kernel_sql('gb', 'ga', 'y', C.NY, _W5)}, smooth AS (SELECT vox.* REPLACE (gb.v AS cbf) FROM vox JOIN gb USING (subject, x, y, z))"
+
+
+@query("relative_flow_threshold_smoothed", W(f"WITH {_SMOOTH}, " + _flow_sql("smooth", 6), "vox"))
 def _(spark: SparkSession, d: str) -> DataFrame:
-    p = N.contralateral_norm(N.penumbra(C.vox(spark, d)), "cbf", C.NX, "flow").filter("mask = 1")
-    return p.select("subject", "x", "y", "z", F.when((F.col("penumbra") == 1) & (F.col("flow") < 0.38), 1).otherwise(0).alias("core"))
+    """After smoothing; ratios are taken at six digits, where sums in another order still agree."""
+    return flow_threshold(spark, d, 5, 6)
 
 
-_CORE = """WITH h AS (SELECT *, CASE WHEN x < 5 THEN 0 ELSE 1 END AS side FROM vox),
+_RATIOS = """WITH h AS (SELECT *, CASE WHEN x < 5 THEN 0 ELSE 1 END AS side FROM vox),
 b AS (SELECT subject, side, quantile_cont(cbf, 0.01) AS lo, quantile_cont(cbf, 0.99) AS hi FROM h WHERE mask = 1 GROUP BY 1, 2),
 m AS (SELECT subject, 1 - side AS side, avg(greatest(least(cbf, hi), lo)) AS mean FROM h JOIN b USING (subject, side) WHERE mask = 1 GROUP BY 1, 2),
 e AS (SELECT subject, quantile_cont(cbf, 0.01) AS lo, quantile_cont(cbf, 0.99) AS hi FROM vox WHERE mask = 1 AND tmax < 4 GROUP BY 1),
-k AS (SELECT subject, quantile_cont(greatest(least(cbf, hi), lo), 0.5) AS median FROM vox JOIN e USING (subject) WHERE mask = 1 AND tmax < 4 GROUP BY 1)
-SELECT subject, x, y, z, CASE WHEN mask = 1 AND tmax > 6 AND cbf / mean < 0.3 THEN 1 ELSE 0 END AS core, CASE WHEN mask = 1 AND tmax > 6 AND (cbf / mean < 0.3 OR cbf / median < 0.3) THEN 1 ELSE 0 END AS core_healthy
-FROM h LEFT JOIN m USING (subject, side) LEFT JOIN k USING (subject)"""
+k AS (SELECT subject, quantile_cont(greatest(least(cbf, hi), lo), 0.5) AS median FROM vox JOIN e USING (subject) WHERE mask = 1 AND tmax < 4 GROUP BY 1),
+top AS (SELECT quantile_cont(tmax, 0.99) AS top FROM vox),
+r AS (SELECT subject, x, y, z, label, mask, tmax > 6 AND tmax < top AS penumbra, round(CASE WHEN mask = 1 THEN cbf / nullif(mean, 0) ELSE 0 END, 9) AS by_side, round(CASE WHEN mask = 1 THEN cbf / nullif(median, 0) ELSE 0 END, 9) AS by_healthy
+ FROM h LEFT JOIN m USING (subject, side) LEFT JOIN k USING (subject) CROSS JOIN top)"""
+_INSIDE = "CASE WHEN mask = 1 AND penumbra AND (coalesce(by_side < {t}, false) OR coalesce(by_healthy < {t}, false)) THEN 1 ELSE 0 END"
 
 
-def core_masks(df: DataFrame, nx: int) -> DataFrame:
-    """Core by the opposite half's flow, and by that or the healthy tissue's."""
-    v = N.healthy_norm(N.contralateral_norm(df, "cbf", nx, "by_side"), "cbf", "by_healthy")
-    late = (F.col("mask") == 1) & (F.col("tmax") > 6)
-    return v.withColumns({"core": F.when(late & (F.col("by_side") < 0.3), 1).otherwise(0), "core_healthy": F.when(late & ((F.col("by_side") < 0.3) | (F.col("by_healthy") < 0.3)), 1).otherwise(0)})
+@query("core_in_penumbra", W(f"{_RATIOS} SELECT subject, x, y, z, {_INSIDE.format(t='0.38')} AS predicted FROM r", "vox"))
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """With a fixed cut."""
+    return E.core_in_penumbra(E.core_ratios(C.vox(spark, d), C.NX), 0.38).select(*KEY, "predicted")
+
 
+_TRAINED_CUT = ", s AS (SELECT -by_healthy AS score, label AS y FROM r WHERE mask = 1 AND penumbra AND by_healthy IS NOT NULL AND subject % 2 = 0), " + _ROC.format(k="", p="1").replace("r AS (SELECT *, sum", "rr AS (SELECT *, sum").replace("FROM r)", "FROM rr)") + ", t AS (SELECT -arg_max(threshold, (tp * n - fp * p, threshold)) AS t FROM roc)"
 
-@query("core_mask", W(_CORE, "vox"))
+
+@query("core_in_penumbra_trained", W(_RATIOS + _TRAINED_CUT + f", g AS (SELECT subject, x, y, z, mask, {_INSIDE.format(t='t')} AS m FROM r, t WHERE subject % 2 = 1), u AS ({_box('g', 'max', -1, 2)}), v AS ({_box('u', 'min', -2, 1)}) SELECT g.subject, g.x, g.y, g.z, CASE WHEN g.mask = 1 THEN v.m ELSE 0 END AS predicted FROM v JOIN g USING (subject, x, y, z)", "vox"))
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return core_masks(C.vox(spark, d), C.NX).select("subject", "x", "y", "z", "core", "core_healthy")
+    """With a cut trained inside the penumbra of the even subjects, closed with a box of 4."""
+    r = E.core_ratios(C.vox(spark, d), C.NX)
+    train = r.filter("subject % 2 = 0 AND mask = 1 AND penumbra = 1 AND by_healthy IS NOT NULL").withColumn("negated", F.round(-F.round("by_healthy", 9), 9))
+    return E.core_in_penumbra(r.filter("subject % 2 = 1"), trained_cutoff(train, "negated"), 4).select(*KEY, "predicted")
 
 
-_PERFUSION = _CORE.replace("SELECT subject, x, y, z, CASE WHEN mask", ", r AS (SELECT subject, tmax, label, mask, CASE WHEN mask", 1).rstrip() + ") SELECT subject, " + ", ".join(
-    f"round(sum({e}) * 8.0::DOUBLE, 6) AS {n}_mm3, round(sum({e}) * 0.008::DOUBLE, 6) AS {n}_ml" for n, e in (("tmax6", "CASE WHEN mask = 1 AND tmax > 6 THEN 1 ELSE 0 END"), ("tmax10", "CASE WHEN mask = 1 AND tmax > 10 THEN 1 ELSE 0 END"), ("core", "core"), ("core_healthy", "core_healthy"), ("truth", "label"))
-) + " FROM r GROUP BY 1"
-_PERFUSION = _PERFUSION.replace("GROUP BY 1)\n, r AS", "GROUP BY 1), r AS")
+def _core_sql(source: str) -> str:
+    """CTEs up to `cores`: three definitions of the core."""
+    fold = f"fg AS (SELECT subject * 2 + x // 5 AS subject, x % 5 AS x, y, z, cbf AS v FROM {source}), {kernel_sql('fa', 'fg', 'x', 5, _W5)}, {kernel_sql('fb', 'fa', 'y', C.NY, _W5)}, fm AS (SELECT subject // 2 AS subject, 9 - (x + 5 * (subject % 2)) AS x, y, z, v AS region FROM fb)"
+    return f"""h AS (SELECT *, CASE WHEN x < 5 THEN 0 ELSE 1 END AS side FROM {source}),
+b AS (SELECT subject, side, quantile_cont(cbf, 0.01) AS lo, quantile_cont(cbf, 0.99) AS hi FROM h WHERE mask = 1 GROUP BY 1, 2),
+m AS (SELECT subject, 1 - side AS side, avg(greatest(least(cbf, hi), lo)) AS mean FROM h JOIN b USING (subject, side) WHERE mask = 1 GROUP BY 1, 2),
+e AS (SELECT subject, quantile_cont(cbf, 0.01) AS lo, quantile_cont(cbf, 0.99) AS hi FROM {source} WHERE mask = 1 AND tmax < 4 GROUP BY 1),
+k AS (SELECT subject, quantile_cont(greatest(least(cbf, hi), lo), 0.5) AS median FROM {source} JOIN e USING (subject) WHERE mask = 1 AND tmax < 4 GROUP BY 1), {fold},
+n AS (SELECT *, mask = 1 AND tmax > 6 AS late, coalesce(cbf / nullif(mean, 0) < 0.3, false) AS l1, coalesce(cbf / nullif(median, 0) < 0.3, false) AS l2, coalesce(cbf / nullif(region, 0) < 0.3, false) AS l3 FROM h LEFT JOIN m USING (subject, side) LEFT JOIN k USING (subject) LEFT JOIN fm USING (subject, x, y, z)),
+cores AS (SELECT subject, x, y, z, label, mask, tmax, CASE WHEN late AND l1 THEN 1 ELSE 0 END AS core, CASE WHEN late AND (l1 OR l2) THEN 1 ELSE 0 END AS core_healthy, CASE WHEN late AND (l1 OR l2 OR l3) THEN 1 ELSE 0 END AS core_region FROM n)"""
 
 
-@query("perfusion_volumes", W(_PERFUSION, "vox"))
+@query("core_mask", W(f"WITH {_core_sql('vox')} SELECT subject, x, y, z, core, core_healthy, core_region FROM cores", "vox"))
 def _(spark: SparkSession, d: str) -> DataFrame:
-    """The volume report: late and very late perfusion, core by two definitions and the true lesion, in mm3 and ml."""
-    masked = F.col("mask") == 1
-    flags = {"tmax6": F.when(masked & (F.col("tmax") > 6), 1).otherwise(0), "tmax10": F.when(masked & (F.col("tmax") > 10), 1).otherwise(0), "core": F.col("core"), "core_healthy": F.col("core_healthy"), "truth": F.col("label")}
-    sums = core_masks(C.vox(spark, d), C.NX).groupBy("subject").agg(*[F.sum(c).alias(n) for n, c in flags.items()])
-    return rounded(sums.select("subject", *[c for n in flags for c in (V.volume_mm3(F.col(n)).alias(f"{n}_mm3"), V.volume_ml(F.col(n)).alias(f"{n}_ml"))]))
+    return E.core_masks(C.vox(spark, d), SHAPE).select(*KEY, "core", "core_healthy", "core_region")
+
+
+_RESCALED = """o AS (SELECT subject, quantile_cont(tmax, 0.5) AS t, quantile_cont(cbf, 0.5) AS c FROM vox_out WHERE mask = 1 GROUP BY 1), a AS (SELECT quantile_cont(tmax, 0.5) AS t, quantile_cont(cbf, 0.5) AS c FROM vox_out WHERE mask = 1),
+scaled AS (SELECT v.* REPLACE (CASE WHEN o.t > 5 * a.t THEN tmax / 10 ELSE tmax END AS tmax, CASE WHEN o.c > 5 * a.c THEN cbf / 10 ELSE cbf END AS cbf) FROM vox_out v LEFT JOIN o USING (subject) CROSS JOIN a)"""
+_MASKS = ("tmax6", "tmax10", "core", "core_healthy", "core_region")
+
+
+def smooth_sql(source: str, least: int) -> str:
+    """CTEs up to `kept` (subject, x, y, z, m) of a 0/1 column m: closing and opening by the six-neighbour ball, then regions under `least` voxels dropped."""
+    return f"""c1 AS MATERIALIZED ({_ball(source, 'max')}), c2 AS MATERIALIZED ({_ball('c1', 'min')}), c3 AS MATERIALIZED ({_ball('c2', 'min')}), c4 AS MATERIALIZED ({_ball('c3', 'max')}),
+on1 AS MATERIALIZED (SELECT subject, x, y, z, x * 30 + y * 5 + z AS id FROM c4 WHERE m = 1),
+edge AS MATERIALIZED (SELECT p.subject, p.id AS a, q.id AS b FROM on1 p JOIN on1 q ON p.subject = q.subject AND abs(p.x - q.x) + abs(p.y - q.y) + abs(p.z - q.z) = 1),
+reach AS (SELECT subject, id, id AS root FROM on1 UNION SELECT reach.subject, edge.b, reach.root FROM reach JOIN edge ON edge.subject = reach.subject AND edge.a = reach.id),
+part AS (SELECT subject, id, min(root) AS region FROM reach GROUP BY 1, 2), large AS (SELECT subject, region FROM part GROUP BY 1, 2 HAVING count(*) >= {least}),
+kept AS (SELECT c4.subject, c4.x, c4.y, c4.z, CASE WHEN large.region IS NULL THEN 0 ELSE 1 END AS m FROM c4 LEFT JOIN part ON part.subject = c4.subject AND part.id = c4.x * 30 + c4.y * 5 + c4.z LEFT JOIN large ON large.subject = part.subject AND large.region = part.region)"""
+
 
+_SUMS = ", ".join(f"round(sum({n}) * 8.0::DOUBLE, 6) AS {n}_mm3, round(sum({n}) * 0.008::DOUBLE, 6) AS {n}_ml" for m in _MASKS for n in (m, f"{m}_smooth"))
+_PERFUSION = f"""WITH RECURSIVE vox_out AS ({C.VOX_OUT}), {_RESCALED}, {_core_sql('scaled')},
+flags AS (SELECT *, CASE WHEN mask = 1 AND tmax > 6 THEN 1 ELSE 0 END AS tmax6, CASE WHEN mask = 1 AND tmax > 10 THEN 1 ELSE 0 END AS tmax10 FROM cores),
+long AS MATERIALIZED ({' UNION ALL '.join(f"SELECT subject * 8 + {i} AS subject, x, y, z, {n} AS m FROM flags" for i, n in enumerate(_MASKS))}), {smooth_sql('long', 10)},
+wide AS (SELECT subject // 8 AS subject, x, y, z, {', '.join(f"max(m) FILTER (subject % 8 = {i}) AS {n}_smooth" for i, n in enumerate(_MASKS))} FROM kept GROUP BY ALL)
+SELECT subject, {_SUMS}, round(sum(label) * 8.0::DOUBLE, 6) AS truth_mm3, round(sum(label) * 0.008::DOUBLE, 6) AS truth_ml FROM flags JOIN wide USING (subject, x, y, z) GROUP BY 1"""
 
-@query("evaluate_fold", W(_IMAGE.replace("FROM vox)", "FROM vox WHERE mask = 1 AND subject % 5 = 0)"), "vox"))
+
+@query("perfusion_volumes", _PERFUSION)
 def _(spark: SparkSession, d: str) -> DataFrame:
-    """The image metrics of one fold's test subjects over masked voxels."""
-    scores = image_scores(spark, d).filter("mask = 1 AND subject % 5 = 0")
-    raw = scores.groupBy("subject").agg(F.sum("score").alias("raw"))
-    points = S.roc_points(scores, ["subject"], y="label")
-    m = S.confusion_metrics(scores, ["subject"], y="label").join(S.roc_auc(points, ["subject"]), "subject").join(raw, "subject")
-    return rounded(m.withColumns({"predicted_ml": V.volume_ml(F.col("tp") + F.col("fp")), "delta_ml": V.volume_ml(F.col("fn") - F.col("fp")), "raw_delta_ml": V.volume_ml(F.col("tp") + F.col("fn") - F.col("raw"))}).drop("raw"))
+    """The volume report: late and very late perfusion, core by three definitions, each raw and smoothed, and the true lesion, in mm3 and ml; regions under 10 voxels go, since volumes here have 300."""
+    return rounded(E.perfusion_volumes(C.vox_out(spark, d), SHAPE, 10))
+
+
+_FOLD = f"""WITH t AS (SELECT quantile_cont(tmax, 0.99) AS top FROM vox), test AS MATERIALIZED (SELECT vox.*, tmax / 12.5 AS score, tmax > 6 AND tmax < top AS penumbra FROM vox, t WHERE subject % 5 = 0),
+s AS (SELECT subject, score, label AS y FROM test WHERE mask = 1), {_ROC.format(k="subject,", p="subject")}, a AS (SELECT subject, sum((fpr - fpr0) * (tpr + tpr0) / 2) AS roc_auc FROM roc GROUP BY 1),
+counts AS (SELECT subject, {_COUNTS}, sum(score) AS raw FROM (SELECT subject, score, score >= 0.5 AS h, y FROM s) GROUP BY 1),
+i AS (SELECT subject, sum(CASE WHEN penumbra THEN 1 ELSE 0 END) / nullif(count(*), 0) AS inside FROM test WHERE mask = 1 AND score >= 0.5 GROUP BY 1),
+tt AS (SELECT subject, x, y, z FROM test WHERE mask = 1 AND label = 1), pp AS (SELECT subject, x, y, z FROM test WHERE mask = 1 AND score >= 0.5),
+d1 AS (SELECT subject, max(d) AS hausdorff, avg(d) AS mt FROM (SELECT tt.subject, tt.x, tt.y, tt.z, min(sqrt((tt.x - pp.x) ** 2 + (tt.y - pp.y) ** 2 + (tt.z - pp.z) ** 2)) AS d FROM tt JOIN pp USING (subject) GROUP BY ALL) GROUP BY 1),
+d2 AS (SELECT subject, avg(d) AS mp FROM (SELECT pp.subject, pp.x, pp.y, pp.z, min(sqrt((tt.x - pp.x) ** 2 + (tt.y - pp.y) ** 2 + (tt.z - pp.z) ** 2)) AS d FROM pp JOIN tt USING (subject) GROUP BY ALL) GROUP BY 1)
+SELECT subject, round(roc_auc, 6) AS roc_auc, round((tp + fp) * 0.008::DOUBLE, 6) AS predicted_ml, round((fn - fp) * 0.008::DOUBLE, 6) AS delta_ml, round((tp + fn - raw) * 0.008, 6) AS raw_delta_ml, {_METRICS}, round(inside, 6) AS penumbra_share, round(hausdorff, 6) AS hausdorff,
+ round(mt, 6) AS mean_truth_to_predicted, round(mp, 6) AS mean_predicted_to_truth, round(CASE WHEN mt IS NOT NULL AND mp IS NOT NULL THEN greatest(mt, mp) END, 6) AS modified_hausdorff FROM counts JOIN a USING (subject) LEFT JOIN i USING (subject) LEFT JOIN d1 USING (subject) LEFT JOIN d2 USING (subject)"""
+
+
+@query("evaluate_fold", W(_FOLD, "vox"))
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """All scores of one fold's test images: overlap, AUC, volumes, distances and the share in the penumbra."""
+    test = N.penumbra(C.vox(spark, d)).filter("subject % 5 = 0").withColumn("score", F.col("tmax") / 12.5)
+    return rounded(E.evaluate_images(test, SHAPE))

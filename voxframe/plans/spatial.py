@@ -9,6 +9,7 @@ from voxframe import carriers as C
 from voxframe.carriers import with_views as W
 from voxframe.operators import components as G
 from voxframe.operators import normalise as N
+from voxframe.operators import reports as E
 from voxframe.operators import spatial as P
 from voxframe.plans.registry import query, rounded
 
@@ -178,10 +179,16 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return G.remove_small_objects(late(spark, d, 8.5), "m", 4)
 
 
-@query("smooth_mask")
+def _smooth_oracle() -> str:
+    from voxframe.plans.scoring import smooth_sql
+
+    return f"WITH RECURSIVE vox AS ({C.VOX}), late AS MATERIALIZED (SELECT subject, x, y, z, CASE WHEN tmax > 8 THEN 1 ELSE 0 END AS m FROM vox), {smooth_sql('late', 10)} SELECT * FROM kept"
+
+
+@query("smooth_mask", _smooth_oracle)
 def _(spark: SparkSession, d: str) -> DataFrame:
     """Closing and opening by the six-neighbour ball, then regions under 10 voxels dropped."""
-    return G.remove_small_objects(P.opening(P.closing(late(spark, d), "m"), "m"), "m", 10)
+    return E.smooth_masks(late(spark, d, 8), ("m",), 10)
 
 
 def stepped(spark: SparkSession, d: str) -> DataFrame:
@@ -196,17 +203,24 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return G.background_component(stepped(spark, d), "tmax")
 
 
-@query("brain_mask")
+_BACKGROUND = """WITH RECURSIVE vox AS ({vox}), g AS MATERIALIZED ({images}),
+r AS (SELECT subject, channel, x, y, z, v FROM g WHERE x = 0 AND y = 0 AND z = 0 UNION SELECT n.subject, n.channel, n.x, n.y, n.z, n.v FROM r JOIN g n ON n.subject = r.subject AND n.channel = r.channel AND n.v = r.v AND abs(n.x - r.x) <= 1 AND abs(n.y - r.y) <= 1 AND abs(n.z - r.z) <= 1),
+b AS (SELECT subject, x, y, z, count(DISTINCT channel) AS n FROM r GROUP BY ALL) SELECT v.subject, v.x, v.y, v.z, CASE WHEN n = 4 THEN 1 ELSE 0 END AS background, CASE WHEN n = 4 THEN 0 ELSE 1 END AS brain FROM vox v LEFT JOIN b USING (subject, x, y, z)"""
+_STEPS = (("tmax", 9.0), ("cbf", 60.0), ("mtt", 15.0), ("cbv", 8.0))
+
+
+@query("brain_mask", _BACKGROUND.format(vox=C.VOX, images=" UNION ALL ".join(f"SELECT subject, '{c}' AS channel, x, y, z, floor({c} / {w}) AS v FROM vox" for c, w in _STEPS)))
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return G.brain_mask(stepped(spark, d), C.CHANNELS).select(*KEY, "background", "brain")
+    """Channels in coarse steps, so that each has a background."""
+    v = C.vox(spark, d).select(*KEY, *[F.floor(F.col(c) / w).alias(c) for c, w in _STEPS])
+    return G.brain_mask(v, C.CHANNELS).select(*KEY, "background", "brain")
 
 
 @query("reconstruct_grid", W("SELECT subject, x, y, z, round(CASE WHEN mask = 1 AND tmax > 6 THEN tmax ELSE 0 END, 9) AS tmax FROM vox", "vox"))
 def _(spark: SparkSession, d: str) -> DataFrame:
     """Sparse values put back on the dense grid, 0 elsewhere."""
     v = C.vox(spark, d)
-    sparse = v.filter("mask = 1 AND tmax > 6").select(*KEY, "tmax")
-    return rounded(v.select(*KEY).join(sparse, list(KEY), "left").withColumn("tmax", F.coalesce("tmax", F.lit(0.0))), 9)
+    return rounded(P.reconstruct_grid(v.filter("mask = 1 AND tmax > 6"), ("tmax",), SHAPE, v), 9)
 
 
 @query("masked_voxels", W("SELECT subject, x, y, z, round(tmax, 9) AS tmax FROM vox WHERE mask = 1", "vox"))

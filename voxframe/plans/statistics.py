@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from voxframe import carriers as C
 from voxframe.carriers import with_views as W
+from voxframe.functions import cohort as K
 from voxframe.functions import voxel as V
+from voxframe.operators import models as M
 from voxframe.operators import statistics as T
 from voxframe.plans.registry import query, rounded
 
@@ -178,17 +180,28 @@ SELECT 'train' AS part, subject, x, y, z, label, round(tmax, 9) AS tmax FROM t W
 UNION ALL SELECT 'test', v.subject, v.x, v.y, v.z, v.label, round(v.tmax, 9) FROM vox v JOIN folds f ON f.subject = v.subject AND f.repeat = 0 AND f.fold = 0 WHERE v.mask = 1"""
 
 
-def build_fold(df: DataFrame, folds: DataFrame, repeat: int, fold: int) -> DataFrame:
-    """df's rows with `part`: balanced voxels of the other folds' subjects to train on, masked voxels of the fold's subjects to test."""
-    mine = df.join(folds.filter(F.col("repeat") == repeat).select("subject", "fold"), "subject")
-    train = T.undersample_negatives(mine.filter(F.col("fold") != fold), KEY)
-    return train.withColumn("part", F.lit("train")).unionByName(mine.filter((F.col("fold") == fold) & (F.col("mask") == 1)).withColumn("part", F.lit("test"))).drop("fold")
+@query("build_fold", W(_BUILD, "vox"))
+def _(spark: SparkSession, d: str) -> DataFrame:
+    v = C.vox(spark, d)
+    return rounded(M.build_fold(v, T.subject_kfold(v, 5, 3), 0, 0).select("part", *KEY, "label", "tmax"), 9)
 
 
-@query("build_fold", W(_BUILD, "vox"))
+_FIELD = f"""WITH {_FOLDS}, t AS (SELECT v.* FROM vox v JOIN folds f ON f.subject = v.subject AND f.repeat = 0 AND f.fold <> 0 WHERE v.subject IN (SELECT subject FROM clin)),
+n AS (SELECT *, row_number() OVER (ORDER BY {_ORDER}) AS r FROM t WHERE label = 0 AND mask = 1),
+rows_ AS (SELECT 'train' AS part, subject, x, y, z FROM t WHERE label = 1 UNION ALL SELECT 'train', subject, x, y, z FROM n WHERE r <= (SELECT count(*) FROM t WHERE label = 1)
+ UNION ALL SELECT 'test', v.subject, v.x, v.y, v.z FROM vox v JOIN folds f ON f.subject = v.subject AND f.repeat = 0 AND f.fold = 0 WHERE v.mask = 1 AND v.subject IN (SELECT subject FROM clin)),
+near AS (SELECT r.*, k.a * 3 + k.b + 4 AS i, coalesce(v.tmax, 0) AS value, coalesce(v.mask, 0) AS inside FROM rows_ r CROSS JOIN (SELECT a, b FROM range(-1, 2) p(a), range(-1, 2) q(b)) k LEFT JOIN vox v ON v.subject = r.subject AND v.x = r.x + k.a AND v.y = r.y + k.b AND v.z = r.z)
+SELECT part, subject, x, y, z, CAST(i AS INT) AS i, round(value, 9) AS value FROM near UNION ALL SELECT part, subject, x, y, z, 9, age FROM rows_ JOIN clin USING (subject) UNION ALL SELECT part, subject, x, y, z, 10, CASE WHEN sex = 'm' THEN 1 ELSE 0 END FROM rows_ JOIN clin USING (subject)
+UNION ALL SELECT part, subject, x, y, z, 11, 9 - sum(inside) FROM near GROUP BY ALL"""
+
+
+@query("build_fold_features", W(_FIELD, "vox", "clin"))
 def _(spark: SparkSession, d: str) -> DataFrame:
+    """A fold with neighbourhoods of radius 1 flat in z, two clinical columns and the count of undefined neighbours; one row per feature for comparison."""
     v = C.vox(spark, d)
-    return rounded(build_fold(v, T.subject_kfold(v, 5, 3), 0, 0).select("part", *KEY, "label", "tmax"), 9)
+    clinical = C.clinical(spark, d).select("subject", "age", K.flag(F.col("sex"), "m").alias("male"))
+    rows = M.build_fold(M.features(v, ("tmax",), (1, 1, 0), clinical), T.subject_kfold(v, 5, 3), 0, 0)
+    return rounded(rows.select("part", *KEY, F.posexplode("features").alias("i", "value")), 9)
 
 
 @query("loo_training_sets", W("WITH s AS (SELECT subject, row_number() OVER (ORDER BY md5('1-' || subject)) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT subject FROM vox)) SELECT a.subject, b.subject AS other FROM s a, range(1, 11) k(k), s b WHERE b.i = (a.i + k) % a.n AND k < a.n", "vox"))
