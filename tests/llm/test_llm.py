@@ -588,6 +588,38 @@ def test_near_duplicates_against_all_pairs(spark):
     assert neardup.near_duplicate_classes(empty(df)).count() == 0
 
 
+def test_classes_of_a_given_table_against_all_pairs(spark):
+    """No link of the table is lost: every pair that shares a shingle is compared."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()]
+    owner, gram, count, _, digests = neardup.shingles([t or "" for _, t in rows])
+    bags = [dict(zip(gram[owner == k].tolist(), count[owner == k].tolist(), strict=True)) for k in range(len(rows))]
+    holders, parent = defaultdict(list), list(range(len(rows)))
+
+    def find(x: int) -> int:
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for k, b in enumerate(bags):
+        shared = Counter()
+        for g, n in b.items():
+            for j in holders[g]:
+                shared[j] += min(n, bags[j][g])
+            holders[g].append(k)
+        for j, n in shared.items():
+            if n / (sum(b.values()) + sum(bags[j].values()) - n) >= 0.8 - 1e-12:
+                parent[find(k)] = find(j)
+    first: dict[bytes, int] = {}
+    for k, d in enumerate(digests):
+        parent[find(k)] = find(first.setdefault(d, k))
+    low: dict[int, int] = {}
+    for k, (d, _) in enumerate(rows):
+        low[find(k)] = min(low.get(find(k), d), d)
+    got = {r["doc_id"]: r["class_id"] for r in neardup.near_duplicate_classes(docs).collect()}
+    assert got == {d: low[find(k)] for k, (d, _) in enumerate(rows)}
+
+
 def test_near_duplicates_odd_rows(odd):
     got = neardup.near_duplicate_classes(odd).collect()
     assert len(got) == odd.count()
