@@ -41,7 +41,8 @@ ENDINGS = {
 TITLES = "|".join(FEMALE + MALE + NEUTRAL)
 BEFORE = rf"(?:(?:{TITLES})\.? |(?:{'|'.join(CUES)}) )"
 WORD = r"\p{Lu}[\p{L}'-]+"
-NAME = rf"(?:{BEFORE}{WORD}(?: {WORD})?|(?:{'|'.join(GIRLS + BOYS)}) {WORD})"
+#: Titles and given names are tried at capitals only.
+NAME = rf"(?:(?=\p{{Lu}})(?:(?:{TITLES})\.? {WORD}(?: {WORD})?|(?:{'|'.join(GIRLS + BOYS)}) {WORD})|(?:{'|'.join(CUES)}) {WORD}(?: {WORD})?)"
 #: At most 126 labels before the last, so that matching stays shallow whatever the text.
 EMAIL = r"[\p{L}\p{N}._%+-]++@(?:[A-Za-z0-9-]{1,63}\.){1,126}[A-Za-z]{2,63}(?![A-Za-z0-9])"
 SECRET_WORD = r"(?:[Tt]oken|TOKEN|[Pp]assword|PASSWORD|[Pp]asswd|[Ss]ecret|SECRET|[Aa]pi[_-]?[Kk]ey|API[_-]?KEY|[Aa]ccess[_-]?[Kk]ey)"
