@@ -10,6 +10,8 @@ from voxframe.functions import voxel as V
 from voxframe.operators import cohort as CO
 from voxframe.operators import components as G
 from voxframe.operators import normalise as N
+from voxframe.operators import reports as E
+from voxframe.operators import runs as U
 from voxframe.operators import scoring as S
 from voxframe.operators import spatial as P
 from voxframe.operators import statistics as T
@@ -239,3 +241,58 @@ def test_intermediate_tables_are_deleted(spark, tmp_path, monkeypatch):
     with shared.Scratch(spark) as s:
         assert s.cut(spark.range(3)).count() == 3 and len(list(tmp_path.iterdir())) == 1
     assert not list(tmp_path.iterdir())
+
+
+def test_metrics_from_the_counts_per_score(spark):
+    """Equal to those counted from rows, with ties, one class only and scores that are all below the cut."""
+    rng = np.random.default_rng(8)
+    rows = [(g, float(rng.integers(0, 9)) / 10, int(rng.integers(0, 2)) if g < 3 else 1) for g in range(4) for _ in range(60)] + [(4, 0.25, 0), (4, 0.25, 0)]
+    df = spark.createDataFrame(rows, "subject long, score double, y int").cache()
+    names = ["subject", "tp", "fp", "fn", "tn", "accuracy", "f1", "jaccard", "dice", "ppv", "npv", "error_ratio"]
+    got = S.metrics_of_points(S.roc_points(df, ["subject"]), ["subject"])
+    assert sorted(map(tuple, got.select(names).collect())) == sorted(map(tuple, S.confusion_metrics(df, ["subject"]).select(names).collect()))
+    auc = {r["subject"]: r["roc_auc"] for r in S.roc_auc(S.roc_points(df, ["subject"]), ["subject"]).collect()}
+    for r in got.collect():
+        assert r["roc_auc"] == pytest.approx(auc[r["subject"]], rel=1e-12) if auc[r["subject"]] is not None else r["roc_auc"] is None
+        assert r["raw"] == pytest.approx(sum(x[1] for x in rows if x[0] == r["subject"]))
+    assert auc[3] is None and auc[4] is None
+
+
+def test_run_reports_of_little(spark):
+    """No bin for null, one bin for a single value, no share of nothing, no deviation of one run, columns that a table lacks."""
+    runs = spark.createDataFrame([("A", 0, 0, 0.5), ("A", 0, 1, None)], "model string, rf int, fold int, roc_auc double")
+    assert {(r["bin"], r["n"]) for r in U.score_histogram(runs, ["rf"], "roc_auc", 20).collect()} == {(0, 1), (None, 1)}
+    assert U.score_histogram(runs.filter("false"), ["rf"], "roc_auc", 20).count() == 0
+    zero = spark.createDataFrame([(0, 0, 0.0), (0, 7, 0.0)], "fold int, pos int, weight double")
+    assert {(r["channel"], r["share"]) for r in U.channel_weights(zero, 7).collect()} == {(0, None), (1, None)}
+    assert {(r["part"], r["std"]) for r in U.training_curve(runs.filter("fold = 0"), "rf", F.col("fold") >= 5, "roc_auc").collect()} == {("train", None)}
+    both = U.union_runs(runs, runs.drop("roc_auc").withColumn("kernel", F.lit(5)))
+    assert both.columns == [*runs.columns, "kernel"] and both.filter("kernel = 5 AND roc_auc IS NULL").count() == 2
+    assert U.rf_comparison(runs, 0, 3).count() == 0
+
+
+def test_inventory_rules_of_little(spark):
+    inv = spark.createDataFrame([(1, "a", "x", 9), (1, "a", "y", 9), (1, "b", "x", 9), (1, "b", "y", 9), (2, "a", "x", 1), (3, "a", None, None)], "subject long, modality string, study string, n_files int")
+    got = {r["subject"]: tuple(r)[1:] for r in CO.scan_selection(inv, ("x", "y"), "angio", 3, "no angio").collect()}
+    assert got == {1: ("a", True, "no angio"), 2: (None, False, "no series"), 3: (None, False, "no series")}
+    state = {r["subject"]: (r["has_x"], r["has_y"], r["has_unknown"], r["has_all"]) for r in CO.imaging_state(inv, ("x", "y"), ("x",)).collect()}
+    assert state == {1: (1, 1, 1, 1), 2: (1, 0, 0, 0), 3: (0, 0, 0, 0)}
+    assert {(r["subject"], r["modality"]) for r in CO.map_count_rule(inv, 2, 9).collect()} == set()
+    assert {(r["subject"], r["modality"]) for r in CO.map_count_rule(inv, 3, 9).collect()} == {(1, "a"), (1, "b")}
+    parts = CO.split_by_subjects(inv, inv.filter("subject = 1"))
+    assert {(r["subject"], r["part"]) for r in parts.collect()} == {(1, "test"), (2, "train"), (3, "train")}
+    assert CO.linear_fit(inv.filter("subject = 2"), "n_files", "subject").first()["slope"] is None
+
+
+def test_masks_channels_and_thresholds(spark):
+    a = grid(spark, np.array([[[1.0, 0.0], [1.0, 0.0]]]), "m").filter("m = 1")
+    b = grid(spark, np.array([[[1.0, 1.0], [0.0, 0.0]]]), "m").filter("m = 1")
+    assert P.mask_union(a, a, b).count() == 3 and P.mask_intersection(a, b, a).count() == 1 and P.mask_intersection(a, b.filter("false")).count() == 0
+    images = spark.createDataFrame([(0, 0, 0, 0, "p", 1.0), (0, 0, 0, 0, "q", 2.0), (0, 0, 0, 1, "p", 3.0)], "subject long, x int, y int, z int, channel string, value double")
+    assert tuple(P.align_channels(images.filter("z = 0"), ("p", "q")).first())[-2:] == (1.0, 2.0)
+    with pytest.raises(Exception, match="shapes differ"):
+        P.align_channels(images, ("p", "q")).collect()
+    v = grid(spark, np.array([[[1.0, 2.0], [8.0, 9.0]]]), "tmax").withColumns({"mask": F.lit(1), "label": F.when(F.col("tmax") > 5, 1).otherwise(0)})
+    assert [r["predicted"] for r in E.trained_threshold(v, v, "tmax").orderBy("tmax").collect()] == [0, 0, 0, 1]
+    assert E.trained_threshold(v.filter("label = 1"), v, "tmax").agg(F.sum("predicted")).first()[0] in (0, None)
+    assert E.fixed_threshold(v).agg(F.sum("predicted")).first()[0] == 2

@@ -173,3 +173,85 @@ def build_dataset(tables: dict[str, DataFrame], clinical: DataFrame, treated_bef
         subjects = subjects.join(wanted.select("subject"), "subject", "left_semi")
     kept = cohort_filter(subjects, clinical, treated_before).filter("included").select("subject")
     return {n: t.join(kept, "subject", "left_semi") for n, t in (tables | {"clinical": clinical}).items()}
+
+
+def any_row(condition: Column, name: str) -> Column:
+    """1 if the condition holds for a row of the group, else 0; nulls don't count."""
+    return F.max(F.when(condition, 1).otherwise(0)).alias(name)
+
+
+def imaging_state(inventory: DataFrame, wanted: Sequence[str], known: Sequence[str]) -> DataFrame:
+    """subject, has_<name> for each wanted series (by its whole name), has_unknown for any not among the known ones, has_all."""
+    flags = inventory.groupBy("subject").agg(*[any_row(F.col("study") == w, f"has_{w}") for w in wanted], any_row(~F.col("study").isin(*known), "has_unknown"))
+    return flags.withColumn("has_all", F.least(*[F.col(f"has_{w}") for w in wanted], F.lit(1)))
+
+
+def map_count_rule(inventory: DataFrame, maps: int, files: int) -> DataFrame:
+    """subject, modality, maps, exact: groups with a series of at least `files` files that aren't just `maps` series with exactly that many."""
+    one = lambda c: F.sum(F.when(c, 1).otherwise(0))
+    g = inventory.groupBy("subject", "modality").agg(F.count("*").alias("maps"), one(F.col("n_files") == files).alias("exact"), one(F.col("n_files") >= files).alias("__large"))
+    return g.filter((F.col("__large") > 0) & ~((F.col("maps") == maps) & (F.col("exact") == maps))).drop("__large")
+
+
+def empty_groups(groups: DataFrame, members: DataFrame, key: str = "subject") -> DataFrame:
+    """The declared groups' keys that no member has."""
+    return groups.select(key).join(members, key, "left_anti")
+
+
+def scan_selection(inventory: DataFrame, needed: Sequence[str], extra: str, files: int, missing_extra: str) -> DataFrame:
+    """Every subject with its first modality that holds all needed series of at least `files` files: subject, modality, several (more such modalities), result (`selected`, `missing_extra` without the extra series, `no series`)."""
+    held = [any_row(F.col("study") == n, f"__{i}") for i, n in enumerate(needed)]
+    g = inventory.filter(F.col("n_files") >= files).groupBy("subject", "modality").agg(*held, any_row(F.col("study") == extra, "__extra"))
+    g = g.filter(F.least(*[F.col(f"__{i}") for i in range(len(needed))], F.lit(1)) == 1)
+    best = g.groupBy("subject").agg(F.min_by("__extra", "modality").alias("__extra"), F.min("modality").alias("modality"), (F.count("*") > 1).alias("several"))
+    result = F.when(F.col("__extra").isNull(), "no series").when(F.col("__extra") == 1, "selected").otherwise(missing_extra)
+    return inventory.select("subject").distinct().join(best, "subject", "left").select("subject", "modality", F.coalesce("several", F.lit(False)).alias("several"), result.alias("result"))
+
+
+def label_presence(inventory: DataFrame, label: str, files: int) -> DataFrame:
+    """subject, has_label: whether one of the subject's series of at least `files` files is the label's."""
+    return inventory.filter(F.col("n_files") >= files).groupBy("subject").agg(F.bool_or(F.col("study") == label).alias("has_label"))
+
+
+def device_inventory(scans: DataFrame, keys: Sequence[str], model: str, scan: str) -> DataFrame:
+    """keys (modality, maker), n scans, distinct models, and the smallest scan id as first_<scan>."""
+    return scans.groupBy(*keys).agg(F.count("*").alias("n"), F.countDistinct(model).alias("models"), F.min(scan).alias(f"first_{scan}"))
+
+
+def merge_cohort(rows: DataFrame, cohort: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
+    """Every row with the subject and columns of the cohort whose subject is its key, null where there is none."""
+    return rows.join(cohort.select("subject", *columns), F.col(key) == F.col("subject"), "left")
+
+
+def volume_reference_join(volumes: DataFrame, reference: DataFrame, key: str = "anonymised_id") -> DataFrame:
+    """Volumes with the external reference's columns, for subjects in both; `key` is the reference's name for the subject."""
+    return volumes.join(reference.withColumnRenamed(key, "subject"), "subject")
+
+
+def linear_fit(df: DataFrame, y: str, x: str) -> DataFrame:
+    """One row: slope, intercept and r2 of y on x; null for fewer than two points or one x."""
+    return df.agg(F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"), F.regr_r2(y, x).alias("r2"))
+
+
+def cohort_profile(clinical: DataFrame, by: str, value: str, flag: Column, flagged: str) -> DataFrame:
+    """by, n, median, std, youngest and oldest of the value, and the number of subjects where the flag holds. One row per subject comes in."""
+    return clinical.groupBy(by).agg(
+        F.count("*").alias("n"), F.percentile(value, F.lit(0.5)).alias("median"), F.stddev_pop(value).alias("std"),
+        F.min(value).alias("youngest"), F.max(value).alias("oldest"), F.count(F.when(flag, 1)).alias(flagged),
+    )
+
+
+def row_difference(rows: DataFrame, taken: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The rows whose key is not among the taken ones."""
+    return rows.join(taken.select(*keys), list(keys), "left_anti")
+
+
+def first_subjects(df: DataFrame, n: int) -> DataFrame:
+    """All rows of the n smallest subjects."""
+    return df.join(df.select("subject").distinct().orderBy("subject").limit(n), "subject", "left_semi")
+
+
+def split_by_subjects(df: DataFrame, chosen: DataFrame) -> DataFrame:
+    """df with `part`: test for the chosen subjects, train for all others."""
+    s = chosen.select("subject")
+    return df.join(s, "subject", "left_semi").withColumn("part", F.lit("test")).unionByName(df.join(s, "subject", "left_anti").withColumn("part", F.lit("train")))

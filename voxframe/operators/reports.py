@@ -114,16 +114,34 @@ def core_in_penumbra(test: DataFrame, cut: float | DataFrame, closing: int = 0)
 def evaluate_images(df: DataFrame, shape: tuple[int, int, int], score: str = "score", y: str = "label", penumbra: str | None = "penumbra") -> DataFrame:
     """Per subject: confusion metrics, AUC and volumes of the masked voxels, distances between truth and prediction, and the share of predictions in the penumbra.
 
-    Needs the dense grid; voxels outside the mask count as neither truth nor prediction. The rows are shuffled by subject
-    for each family of metrics, and by line for distances.
+    Needs the dense grid; voxels outside the mask count as neither truth nor prediction. The rows are shuffled once
+    for the metrics, once for the share, and by line for distances.
     """
     masked = df.filter("mask = 1")
-    counts = S.confusion_metrics(masked, ["subject"], score, y).join(S.roc_auc(S.roc_points(masked, ["subject"], score, y), ["subject"]), "subject", "left")
+    counts = S.metrics_of_points(S.roc_points(masked, ["subject"], score, y), ["subject"])
     hit = (F.col("mask") == 1) & (F.col(score) >= 0.5)
     inside = F.lit(None) if penumbra is None else F.sum(F.when(hit & (F.col(penumbra) == 1), 1).otherwise(0))
-    sums = df.groupBy("subject").agg(F.sum(F.when(F.col("mask") == 1, F.col(score))).alias("__raw"), inside.alias("__inside"), F.sum(F.when(hit, 1).otherwise(0)).alias("__hits"))
+    sums = df.groupBy("subject").agg(inside.alias("__inside"), F.sum(F.when(hit, 1).otherwise(0)).alias("__hits"))
     masks = df.select(*KEY, F.when((F.col("mask") == 1) & (F.col(y) == 1), 1).otherwise(0).alias("__truth"), F.when(hit, 1).otherwise(0).alias("__predicted"))
     out = counts.join(sums, "subject").join(P.hausdorff(masks, "__truth", "__predicted", shape), "subject")
     tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
-    volumes = {"predicted_ml": V.volume_ml(tp + fp), "delta_ml": V.volume_ml(fn - fp), "raw_delta_ml": V.volume_ml(tp + fn - F.col("__raw")), "penumbra_share": N.ratio(F.col("__inside").cast("double"), F.col("__hits"))}
-    return out.withColumns(volumes).drop("__raw", "__inside", "__hits")
+    volumes = {"predicted_ml": V.volume_ml(tp + fp), "delta_ml": V.volume_ml(fn - fp), "raw_delta_ml": V.volume_ml(tp + fn - F.col("raw")), "penumbra_share": N.ratio(F.col("__inside").cast("double"), F.col("__hits"))}
+    return out.withColumns(volumes).drop("raw", "__inside", "__hits")
+
+
+def fixed_threshold(df: DataFrame, channel: str = "tmax", limit: float = LATE) -> DataFrame:
+    """df with `predicted`: 1 for masked voxels over the limit, else 0."""
+    return df.withColumn("predicted", F.when(F.col("mask") == 1, V.threshold_mask(F.col(channel), limit)).otherwise(0))
+
+
+def trained_threshold(train: DataFrame, test: DataFrame, channel: str) -> DataFrame:
+    """test with `predicted`: 1 over the training rows' best cut-off; all 0 if training lacks a class."""
+    cut = F.broadcast(trained_cutoff(train, channel).withColumnRenamed("cutoff", "__cut"))
+    return test.join(cut, how="left").withColumn("predicted", F.when(F.col(channel) > F.col("__cut"), 1).otherwise(0)).drop("__cut")
+
+
+def image_metrics(df: DataFrame, score: str = "score", y: str = "label") -> DataFrame:
+    """Per subject: confusion metrics, AUC, and predicted, missed and summed volumes in ml, all from the counts per score."""
+    out = S.metrics_of_points(S.roc_points(df, ["subject"], score, y), ["subject"])
+    tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
+    return out.withColumns({"predicted_ml": V.volume_ml(tp + fp), "delta_ml": V.volume_ml(fn - fp), "raw_delta_ml": V.volume_ml(tp + fn - F.col("raw"))}).drop("raw")

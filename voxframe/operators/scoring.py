@@ -23,7 +23,11 @@ def confusion(score: Column, y: Column, threshold: float = 0.5) -> list[Column]:
 
 def confusion_metrics(df: DataFrame, keys: Sequence[str] = (), score: str = "score", y: str = "y", threshold: float = 0.5) -> DataFrame:
     """Accuracy, F1, Jaccard, Dice, precision of both classes and the error ratio at score >= threshold (0.5 for NaN); ratios of nothing are 0, Dice and Jaccard of two empty masks 1."""
-    c = df.groupBy(*keys).agg(*confusion(F.col(score), F.col(y), threshold))
+    return with_ratios(df.groupBy(*keys).agg(*confusion(F.col(score), F.col(y), threshold)))
+
+
+def with_ratios(c: DataFrame) -> DataFrame:
+    """c (tp, fp, fn, tn) with the ratios of confusion_metrics."""
     tp, fp, fn, tn = (F.col(n) for n in ("tp", "fp", "fn", "tn"))
     both_empty = (tp + fp + fn) == 0
     return c.withColumns({
@@ -33,7 +37,7 @@ def confusion_metrics(df: DataFrame, keys: Sequence[str] = (), score: str = "sco
 
 
 def roc_points(df: DataFrame, keys: Sequence[str] = (), score: str = "score", y: str = "y") -> DataFrame:
-    """keys, threshold, tp, fp, p, n, tpr, fpr, and the point before (tpr0, fpr0): one row per distinct score, highest first.
+    """keys, threshold, tp, fp, p, n, tpr, fpr, the point before (tpr0, fpr0), and the rows at the score: one row per distinct score, highest first.
 
     Rows are first counted per score. The counts are cut into score ranges, each range sums up on its own and takes over the
     sum of the ranges above, so that one large group, or the pooled one, isn't ordered in a single task. Rates of a missing
@@ -58,7 +62,7 @@ def roc_points(df: DataFrame, keys: Sequence[str] = (), score: str = "score", y:
     rate = lambda a, b: F.when(F.col(b) > 0, a / F.col(b))
     return joined.select(
         *[F.col(f"l.{k}").alias(k) for k in keys], "threshold", tp.alias("tp"), fp.alias("fp"), "p", "n",
-        rate(tp, "p").alias("tpr"), rate(fp, "n").alias("fpr"), rate(tp - F.col("__tp"), "p").alias("tpr0"), rate(fp - F.col("__fp"), "n").alias("fpr0"),
+        rate(tp, "p").alias("tpr"), rate(fp, "n").alias("fpr"), rate(tp - F.col("__tp"), "p").alias("tpr0"), rate(fp - F.col("__fp"), "n").alias("fpr0"), (F.col("__tp") + F.col("__fp")).alias("rows"),
     )
 
 
@@ -67,6 +71,15 @@ def roc_auc(points: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     return points.groupBy(*keys).agg(F.sum((F.col("fpr") - F.col("fpr0")) * (F.col("tpr") + F.col("tpr0")) / 2).alias("roc_auc"))
 
 
+def metrics_of_points(points: DataFrame, keys: Sequence[str], threshold: float = 0.5) -> DataFrame:
+    """confusion_metrics, roc_auc and raw (the sum of all scores) out of roc_points: the rows are read and counted once for all of them. Null scores are never hits, null labels count as negative."""
+    hit = F.col("threshold") >= threshold
+    at = lambda c: F.coalesce(F.max(F.when(hit, F.col(c))), F.lit(0)).alias(c)
+    area = F.sum((F.col("fpr") - F.col("fpr0")) * (F.col("tpr") + F.col("tpr0")) / 2)
+    sums = points.groupBy(*keys).agg(at("tp"), at("fp"), F.max("p").alias("__p"), F.max("n").alias("__n"), area.alias("roc_auc"), F.sum(F.col("threshold") * F.col("rows")).alias("raw"))
+    return with_ratios(sums.withColumns({"fn": F.col("__p") - F.col("tp"), "tn": F.col("__n") - F.col("fp")}).drop("__p", "__n"))
+
+
 def youden_cutoff(points: DataFrame, keys: Sequence[str] = (), ties: str = "highest") -> DataFrame:
     """The threshold with the largest TPR - FPR, its rates and index; of equals the highest, or the lowest."""
     sign = 1 if ties == "highest" else -1

@@ -211,3 +211,35 @@ def hausdorff(df: DataFrame, truth: str, predicted: str, shape: tuple[int, int,
     at = lambda side, d: F.when((F.col(side) == 1) & F.col(d).isNotNull(), F.sqrt(F.col(d).cast("double")))
     sums = both.groupBy("subject").agg(F.max(at(truth, "to_p")).alias("hausdorff"), F.avg(at(truth, "to_p")).alias("mean_truth_to_predicted"), F.avg(at(predicted, "to_t")).alias("mean_predicted_to_truth"))
     return sums.withColumn("modified_hausdorff", F.when(F.col("mean_truth_to_predicted").isNotNull() & F.col("mean_predicted_to_truth").isNotNull(), F.greatest("mean_truth_to_predicted", "mean_predicted_to_truth")))
+
+
+def align_channels(images: DataFrame, channels: Sequence[str]) -> DataFrame:
+    """One row per key and a column per channel out of one row per key and channel (channel, value). A place that lacks a channel raises, as shapes then differ."""
+    wide = images.groupBy(*KEY).pivot("channel", list(channels)).agg(F.first("value"))
+    lacking = F.lit(False)
+    for c in channels:
+        lacking = lacking | F.col(c).isNull()
+    first = channels[0]
+    return wide.withColumn(first, F.when(lacking, F.raise_error(F.lit("shapes differ")).cast("double")).otherwise(F.col(first)))
+
+
+def image_difference(a: DataFrame, b: DataFrame, c: str) -> DataFrame:
+    """key, difference: a's channel less b's at the same place, 0 outside a's mask."""
+    other = b.select(*KEY, F.col(c).alias("__other"))
+    return a.join(other, list(KEY)).select(*KEY, F.when(F.col("mask") == 1, F.col(c) - F.col("__other")).otherwise(0.0).alias("difference"))
+
+
+def mask_union(*masks: DataFrame) -> DataFrame:
+    """Keys that are in any of the masks, each once."""
+    out = masks[0].select(*KEY)
+    for m in masks[1:]:
+        out = out.unionByName(m.select(*KEY))
+    return out.distinct()
+
+
+def mask_intersection(first: DataFrame, *others: DataFrame) -> DataFrame:
+    """Keys that are in all of the masks, each once."""
+    out = first.select(*KEY).distinct()
+    for m in others:
+        out = out.join(m.select(*KEY), list(KEY), "left_semi")
+    return out

@@ -37,24 +37,19 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 
 @query("imaging_state", W("SELECT subject, max(CASE WHEN study = 'click' THEN 1 ELSE 0 END) AS has_click, max(CASE WHEN study = 'view' THEN 1 ELSE 0 END) AS has_view, CASE WHEN max(CASE WHEN study = 'click' THEN 1 ELSE 0 END) = 1 AND max(CASE WHEN study = 'view' THEN 1 ELSE 0 END) = 1 THEN 1 ELSE 0 END AS has_all, max(CASE WHEN study NOT IN ('click', 'view', 'purchase') THEN 1 ELSE 0 END) AS has_unknown FROM inv GROUP BY 1", "inv"))
 def _(spark: SparkSession, d: str) -> DataFrame:
-    any_of = lambda c, n: F.max(F.when(c, 1).otherwise(0)).alias(n)
-    s = F.col("study")
-    flags = C.inventory(spark, d).groupBy("subject").agg(any_of(s == "click", "has_click"), any_of(s == "view", "has_view"), any_of(~s.isin("click", "view", "purchase"), "has_unknown"))
-    return flags.withColumn("has_all", F.when((F.col("has_click") == 1) & (F.col("has_view") == 1), 1).otherwise(0))
+    return O.imaging_state(C.inventory(spark, d), ("click", "view"), _STUDIES)
 
 
 @query("map_count_rule", W("SELECT subject, modality, count(*) AS maps, count(*) FILTER (n_files = 3) AS exact FROM inv WHERE study <> 'error' GROUP BY ALL HAVING count(*) FILTER (n_files >= 3) > 0 AND NOT (count(*) = 4 AND count(*) FILTER (n_files = 3) = 4)", "inv"))
 def _(spark: SparkSession, d: str) -> DataFrame:
     """Groups with a large series that do not hold all four maps with exactly the wanted number of files."""
-    one = lambda c: F.sum(F.when(c, 1).otherwise(0))
-    g = C.inventory(spark, d).filter("study <> 'error'").groupBy("subject", "modality").agg(F.count("*").alias("maps"), one(F.col("n_files") == 3).alias("exact"), one(F.col("n_files") >= 3).alias("large"))
-    return g.filter("large > 0 AND NOT (maps = 4 AND exact = 4)").drop("large")
+    return O.map_count_rule(C.inventory(spark, d).filter("study <> 'error'"), 4, 3)
 
 
 @query("empty_groups", W("SELECT c.subject FROM clin c WHERE NOT EXISTS (SELECT 1 FROM inv i WHERE i.subject = c.subject AND i.study <> 'error')", "clin", "inv"))
 def _(spark: SparkSession, d: str) -> DataFrame:
     """Declared groups without a visible member."""
-    return C.clinical(spark, d).select("subject").join(C.inventory(spark, d).filter("study <> 'error'"), "subject", "left_anti")
+    return O.empty_groups(C.clinical(spark, d), C.inventory(spark, d).filter("study <> 'error'"))
 
 
 _SELECTION = """WITH g AS (SELECT subject, modality, max(CASE WHEN study = 'click' THEN 1 ELSE 0 END) AS a, max(CASE WHEN study = 'view' THEN 1 ELSE 0 END) AS b, max(CASE WHEN study = 'purchase' THEN 1 ELSE 0 END) AS angio FROM inv WHERE n_files >= 3 GROUP BY ALL),
@@ -65,16 +60,12 @@ SELECT subject, modality, hits > 1 AS several, CASE WHEN angio = 1 THEN 'selecte
 @query("scan_selection", W(_SELECTION, "inv"))
 def _(spark: SparkSession, d: str) -> DataFrame:
     """Per subject the first group with both series; missing angio and subjects without such a group are logged as results."""
-    inv = C.inventory(spark, d)
-    any_of = lambda s: F.max(F.when(F.col("study") == s, 1).otherwise(0))
-    g = inv.filter("n_files >= 3").groupBy("subject", "modality").agg(any_of("click").alias("a"), any_of("view").alias("b"), any_of("purchase").alias("angio")).filter("a = 1 AND b = 1")
-    best = g.groupBy("subject").agg(F.min_by("angio", "modality").alias("angio"), F.min("modality").alias("modality"), (F.count("*") > 1).alias("several"))
-    return inv.select("subject").distinct().join(best, "subject", "left").select("subject", "modality", F.coalesce("several", F.lit(False)).alias("several"), F.when(F.col("angio").isNull(), "no series").when(F.col("angio") == 1, "selected").otherwise("no angio").alias("result"))
+    return O.scan_selection(C.inventory(spark, d), ("click", "view"), "purchase", 3, "no angio")
 
 
 @query("label_presence", W("SELECT subject, bool_or(study = 'error') AS has_label FROM inv WHERE n_files >= 3 GROUP BY 1", "inv"))
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return C.inventory(spark, d).filter("n_files >= 3").groupBy("subject").agg(F.bool_or(F.col("study") == "error").alias("has_label"))
+    return O.label_presence(C.inventory(spark, d), "error", 3)
 
 
 @query("input_presence_log", W("SELECT c.subject, p.prefix, count(i.study) FILTER (starts_with(i.study, p.prefix)) AS n, CASE WHEN count(i.study) FILTER (starts_with(i.study, p.prefix)) = 0 THEN 'exclude' ELSE 'warning' END AS level FROM clin c CROSS JOIN (VALUES ('view'), ('pur')) p(prefix) LEFT JOIN inv i ON i.subject = c.subject WHERE c.subject % 4 <> 0 GROUP BY ALL HAVING count(i.study) FILTER (starts_with(i.study, p.prefix)) <> 1", "clin", "inv"))
@@ -85,7 +76,8 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 
 @query("device_inventory", "SELECT p_type AS modality, p_brand AS maker, count(*) AS n, count(DISTINCT p_size) AS models, min(p_partkey) AS first_part FROM part GROUP BY 1, 2")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return C.read(spark, d, "part").groupBy(F.col("p_type").alias("modality"), F.col("p_brand").alias("maker")).agg(F.count("*").alias("n"), F.countDistinct("p_size").alias("models"), F.min("p_partkey").alias("first_part"))
+    scans = C.read(spark, d, "part").select(F.col("p_type").alias("modality"), F.col("p_brand").alias("maker"), "p_size", F.col("p_partkey").alias("part"))
+    return O.device_inventory(scans, ("modality", "maker"), "p_size", "part")
 
 
 _TIMELINE = "a AS (SELECT user_id AS subject, min(ts) AS ts FROM events WHERE event_type = 'signup' GROUP BY 1)"
@@ -108,9 +100,8 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 
 @query("merge_cohort", W("SELECT o_orderkey, c.subject, age, sex FROM orders LEFT JOIN clin c ON c.subject = o_custkey AND c.subject % 2 = 0", "clin"))
 def _(spark: SparkSession, d: str) -> DataFrame:
-    c = C.clinical(spark, d).filter("subject % 2 = 0").select("subject", "age", "sex")
     o = C.read(spark, d, "orders").select("o_orderkey", "o_custkey")
-    return o.join(c, F.col("o_custkey") == F.col("subject"), "left").select("o_orderkey", "subject", "age", "sex")
+    return O.merge_cohort(o, C.clinical(spark, d).filter("subject % 2 = 0"), "o_custkey", ("age", "sex")).drop("o_custkey")
 
 
 @query("cohort_filter", W("SELECT v.subject, NOT (c.subject IS NULL OR smoking = 'yes') AS included, CASE WHEN c.subject IS NULL THEN 'not found' WHEN smoking = 'yes' THEN 'treated before' END AS reason FROM (SELECT DISTINCT subject FROM vox) v LEFT JOIN (SELECT * FROM clin WHERE subject % 7 <> 0) c USING (subject)".replace("smoking = 'yes')", "coalesce(smoking, '') = 'yes')"), "vox", "clin"))
@@ -134,22 +125,23 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 @query("subset_semi_anti", W("SELECT subject, CASE WHEN treat = 'yes' THEN 'test' ELSE 'train' END AS part, n FROM (SELECT subject, count(*) AS n FROM vox GROUP BY 1) JOIN clin USING (subject)", "vox", "clin"))
 def _(spark: SparkSession, d: str) -> DataFrame:
     n = C.vox(spark, d).groupBy("subject").agg(F.count("*").alias("n"))
-    chosen = C.clinical(spark, d).filter("treat = 'yes'").select("subject")
-    return n.join(chosen, "subject", "left_semi").withColumn("part", F.lit("test")).unionByName(n.join(chosen, "subject", "left_anti").withColumn("part", F.lit("train")))
+    return O.split_by_subjects(n, C.clinical(spark, d).filter("treat = 'yes'"))
+
+
+def lesion_and_reference(spark: SparkSession, d: str) -> DataFrame:
+    """Lesion volumes beside an external reference's, under its own name for the subject."""
+    v = C.vox(spark, d).groupBy("subject").agg((F.sum("label") * 0.008).alias("ml"))
+    return O.volume_reference_join(v, C.read(spark, d, "customer").select(F.col("c_custkey").alias("anonymised_id"), ((F.col("c_acctbal") + 1000) / 1000).alias("external_ml")))
 
 
 @query("volume_reference_join", W("SELECT v.subject, round(ml, 6) AS ml, round(external_ml, 6) AS external_ml FROM (SELECT subject, sum(label) * 0.008::DOUBLE AS ml FROM vox GROUP BY 1) v JOIN (SELECT c_custkey AS anonymised_id, (c_acctbal + 1000) / 1000 AS external_ml FROM customer) e ON e.anonymised_id = v.subject", "vox"))
 def _(spark: SparkSession, d: str) -> DataFrame:
-    v = C.vox(spark, d).groupBy("subject").agg((F.sum("label") * 0.008).alias("ml"))
-    e = C.read(spark, d, "customer").select(F.col("c_custkey").alias("anonymised_id"), ((F.col("c_acctbal") + 1000) / 1000).alias("external_ml"))
-    return rounded(v.join(e, F.col("subject") == F.col("anonymised_id")).drop("anonymised_id"))
+    return rounded(lesion_and_reference(spark, d))
 
 
 @query("linear_fit", W("SELECT round(regr_slope(external_ml, ml), 6) AS slope, round(regr_intercept(external_ml, ml), 6) AS intercept, round(regr_r2(external_ml, ml), 6) AS r2 FROM (SELECT subject, sum(label) * 0.008::DOUBLE AS ml FROM vox GROUP BY 1) v JOIN (SELECT c_custkey AS subject, (c_acctbal + 1000) / 1000 AS external_ml FROM customer) e USING (subject)", "vox"))
 def _(spark: SparkSession, d: str) -> DataFrame:
-    v = C.vox(spark, d).groupBy("subject").agg((F.sum("label") * 0.008).alias("ml"))
-    e = C.read(spark, d, "customer").select(F.col("c_custkey").alias("subject"), ((F.col("c_acctbal") + 1000) / 1000).alias("external_ml"))
-    return rounded(v.join(e, "subject").agg(F.regr_slope("external_ml", "ml").alias("slope"), F.regr_intercept("external_ml", "ml").alias("intercept"), F.regr_r2("external_ml", "ml").alias("r2")))
+    return rounded(O.linear_fit(lesion_and_reference(spark, d), "external_ml", "ml"))
 
 
 @query("route_series", W("WITH g AS (SELECT study, modality, n_files, min('g' || subject) AS grp FROM inv WHERE subject % 2 = 0 GROUP BY ALL) SELECT i.subject, i.study, i.modality, i.n_files, coalesce(g.grp, i.study || '_' || CAST(i.modality AS VARCHAR)) AS target FROM inv i LEFT JOIN g USING (study, modality, n_files) WHERE i.subject % 2 = 1", "inv"))
@@ -161,7 +153,7 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 
 @query("cohort_profile", W("SELECT sex, count(*) AS n, round(quantile_cont(age, 0.5), 6) AS median, round(stddev_pop(age), 6) AS std, min(age) AS youngest, max(age) AS oldest, count(*) FILTER (smoking = 'yes') AS smokers FROM clin GROUP BY 1", "clin"))
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(C.clinical(spark, d).groupBy("sex").agg(F.count("*").alias("n"), F.percentile("age", F.lit(0.5)).alias("median"), F.stddev_pop("age").alias("std"), F.min("age").alias("youngest"), F.max("age").alias("oldest"), F.count(F.when(F.col("smoking") == "yes", 1)).alias("smokers")))
+    return rounded(O.cohort_profile(C.clinical(spark, d), "sex", "age", F.col("smoking") == "yes", "smokers"))
 
 
 @query("dedupe", "SELECT c_mktsegment, c_nationkey, min(c_custkey) AS kept, count(*) AS n FROM customer GROUP BY 1, 2 HAVING count(*) > 1")
@@ -178,20 +170,20 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 
 @query("row_difference", "SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 25)")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return C.read(spark, d, "orders").select("o_orderkey").join(C.read(spark, d, "lineitem").filter("l_quantity > 25").select(F.col("l_orderkey").alias("o_orderkey")), "o_orderkey", "left_anti")
+    taken = C.read(spark, d, "lineitem").filter("l_quantity > 25").select(F.col("l_orderkey").alias("o_orderkey"))
+    return O.row_difference(C.read(spark, d, "orders").select("o_orderkey"), taken, ("o_orderkey",))
 
 
 @query("drop_rows", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey % 13 <> 5")
 def _(spark: SparkSession, d: str) -> DataFrame:
     o = C.read(spark, d, "orders").select("o_orderkey", "o_totalprice")
-    return o.join(o.filter("o_orderkey % 13 = 5").select("o_orderkey"), "o_orderkey", "left_anti")
+    return O.row_difference(o, o.filter("o_orderkey % 13 = 5"), ("o_orderkey",))
 
 
 @query("subset_subjects", W("SELECT subject, x, y, z, round(tmax, 9) AS tmax FROM vox WHERE subject IN (SELECT DISTINCT subject FROM vox ORDER BY 1 LIMIT 5)", "vox"))
 def _(spark: SparkSession, d: str) -> DataFrame:
     """The first five subjects of each table."""
-    v = C.vox(spark, d)
-    return rounded(v.join(v.select("subject").distinct().orderBy("subject").limit(5), "subject", "left_semi").select("subject", "x", "y", "z", "tmax"), 9)
+    return rounded(O.first_subjects(C.vox(spark, d), 5).select("subject", "x", "y", "z", "tmax"), 9)
 
 
 @query("read_cohort", W("SELECT subject, name, age, nullif(sex, '?') AS sex, nullif(treat, '?') AS treat FROM clin", "clin"))

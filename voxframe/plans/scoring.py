@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from voxframe import carriers as C
 from voxframe.carriers import with_views as W
-from voxframe.functions import voxel as V
 from voxframe.operators import normalise as N
 from voxframe.operators import reports as E
+from voxframe.operators import runs as U
 from voxframe.operators import scoring as S
 from voxframe.operators.spatial import gaussian_weights
 from voxframe.plans.registry import query, rounded
@@ -92,17 +92,9 @@ h AS (SELECT subject, {_COUNTS}, sum(score) AS raw FROM (SELECT subject, score,
 SELECT subject, round(roc_auc, 6) AS roc_auc, round((tp + fp) * 0.008::DOUBLE, 6) AS predicted_ml, round((fn - fp) * 0.008::DOUBLE, 6) AS delta_ml, round((tp + fn - raw) * 0.008, 6) AS raw_delta_ml, {_METRICS} FROM h JOIN a USING (subject)"""
 
 
-def image_metrics(spark: SparkSession, d: str) -> DataFrame:
-    scores = image_scores(spark, d)
-    raw = scores.groupBy("subject").agg(F.sum("score").alias("raw"))
-    m = S.confusion_metrics(scores, ["subject"], y="label").join(S.roc_auc(by_image(spark, d), ["subject"]), "subject").join(raw, "subject")
-    ml = lambda c: V.volume_ml(c)
-    return rounded(m.withColumns({"predicted_ml": ml(F.col("tp") + F.col("fp")), "delta_ml": ml(F.col("fn") - F.col("fp")), "raw_delta_ml": ml(F.col("tp") + F.col("fn") - F.col("raw"))}).drop("raw"))
-
-
 @query("image_metrics", W(_IMAGE, "vox"))
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return image_metrics(spark, d)
+    return rounded(E.image_metrics(image_scores(spark, d)))
 
 
 _MEAN_ROC = """WITH s AS (SELECT subject, tmax / 12.5 AS score, label AS y FROM vox), """ + _ROC.format(k="subject,", p="subject") + """,
@@ -119,37 +111,17 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 
 @query("best_rates", W(BY_IMAGE + ", b AS (SELECT subject, arg_max(tpr, (tp * n - fp * p, threshold)) AS tpr, arg_max(fpr, (tp * n - fp * p, threshold)) AS fpr FROM roc GROUP BY 1) SELECT rate, round(avg(v), 6) AS mean, count(*) AS runs FROM (SELECT 'tpr' AS rate, tpr AS v FROM b UNION ALL SELECT 'fpr', fpr FROM b) GROUP BY 1", "vox"))
 def _(spark: SparkSession, d: str) -> DataFrame:
-    best = S.youden_cutoff(by_image(spark, d), ["subject"]).select(F.expr("stack(2, 'tpr', tpr, 'fpr', fpr) AS (rate, v)"))
-    return rounded(best.groupBy("rate").agg(F.avg("v").alias("mean"), F.count("*").alias("runs")))
+    return rounded(U.best_rates(S.youden_cutoff(by_image(spark, d), ["subject"])))
 
 
 @query("fixed_threshold", W("SELECT subject, x, y, z, CASE WHEN mask = 1 AND tmax > 6 THEN 1 ELSE 0 END AS predicted FROM vox", "vox"))
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return C.vox(spark, d).select("subject", "x", "y", "z", F.when(F.col("mask") == 1, V.threshold_mask(F.col("tmax"), 6)).otherwise(0).alias("predicted"))
+    return E.fixed_threshold(C.vox(spark, d)).select("subject", "x", "y", "z", "predicted")
 
 
 _TRAINED = "WITH s AS (SELECT {v} AS score, label AS y FROM vox WHERE mask = 1 AND subject % 2 = 0), " + _ROC.format(k="", p="1") + ", t AS (SELECT arg_max(threshold, (tp * n - fp * p, threshold)) AS t FROM roc)"
 
 
-trained_cutoff = E.trained_cutoff
-SHAPE = (C.NX, C.NY, C.NZ)
-
-
-@query("trained_threshold", W(_TRAINED.format(v="tmax") + " SELECT subject, x, y, z, CASE WHEN tmax > t THEN 1 ELSE 0 END AS predicted FROM vox, t WHERE mask = 1 AND subject % 2 = 1", "vox"))
-def _(spark: SparkSession, d: str) -> DataFrame:
-    v = C.vox(spark, d).filter("mask = 1")
-    t = trained_cutoff(v.filter("subject % 2 = 0"), "tmax")
-    return v.filter("subject % 2 = 1").join(F.broadcast(t)).select("subject", "x", "y", "z", F.when(F.col("tmax") > F.col("cutoff"), 1).otherwise(0).alias("predicted"))
-
-
-_FLOW = """WITH h AS (SELECT *, CASE WHEN x < 5 THEN 0 ELSE 1 END AS side FROM vox),
-b AS (SELECT subject, side, quantile_cont(cbf, 0.01) AS lo, quantile_cont(cbf, 0.99) AS hi FROM h WHERE mask = 1 GROUP BY 1, 2),
-m AS (SELECT subject, 1 - side AS side, avg(greatest(least(cbf, hi), lo)) AS mean FROM h JOIN b USING (subject, side) WHERE mask = 1 GROUP BY 1, 2),
-f AS (SELECT subject, x, y, z, tmax, label, mask, cbf / mean AS flow FROM h JOIN m USING (subject, side) WHERE mask = 1)"""
-_FLOW_CUT = ", s AS (SELECT round(-flow, 9) AS score, label AS y FROM f WHERE subject % 2 = 0 {w}), " + _ROC.format(k="", p="1") + ", t AS (SELECT arg_max(threshold, (tp * n - fp * p, threshold)) AS t FROM roc)"
-
-
-trained_cutoff = E.trained_cutoff
 SHAPE = (C.NX, C.NY, C.NZ)
 KEY = ("subject", "x", "y", "z")
 
@@ -157,8 +129,7 @@ KEY = ("subject", "x", "y", "z")
 @query("trained_threshold", W(_TRAINED.format(v="tmax") + " SELECT subject, x, y, z, CASE WHEN tmax > t THEN 1 ELSE 0 END AS predicted FROM vox, t WHERE mask = 1 AND subject % 2 = 1", "vox"))
 def _(spark: SparkSession, d: str) -> DataFrame:
     v = C.vox(spark, d).filter("mask = 1")
-    t = trained_cutoff(v.filter("subject % 2 = 0"), "tmax")
-    return v.filter("subject % 2 = 1").join(F.broadcast(t)).select(*KEY, F.when(F.col("tmax") > F.col("cutoff"), 1).otherwise(0).alias("predicted"))
+    return E.trained_threshold(v.filter("subject % 2 = 0"), v.filter("subject % 2 = 1"), "tmax").select(*KEY, "predicted")
 
 
 def _flow_sql(source: str, digits: int) -> str:
@@ -216,7 +187,7 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     """With a cut trained inside the penumbra of the even subjects, closed with a box of 4."""
     r = E.core_ratios(C.vox(spark, d), C.NX)
     train = r.filter("subject % 2 = 0 AND mask = 1 AND penumbra = 1 AND by_healthy IS NOT NULL").withColumn("negated", F.round(-F.round("by_healthy", 9), 9))
-    return E.core_in_penumbra(r.filter("subject % 2 = 1"), trained_cutoff(train, "negated"), 4).select(*KEY, "predicted")
+    return E.core_in_penumbra(r.filter("subject % 2 = 1"), E.trained_cutoff(train, "negated"), 4).select(*KEY, "predicted")
 
 
 def _core_sql(source: str) -> str:

@@ -232,22 +232,20 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 def _(spark: SparkSession, d: str) -> DataFrame:
     """Each subject's image less the next subject's, masked."""
     v = C.vox(spark, d)
-    other = v.select((F.col("subject") - 1).alias("subject"), "x", "y", "z", F.col("cbf").alias("other"))
-    return rounded(v.join(other, list(KEY)).select(*KEY, F.when(F.col("mask") == 1, F.col("cbf") - F.col("other")).otherwise(0.0).alias("difference")))
+    return rounded(P.image_difference(v, v.withColumn("subject", F.col("subject") - 1), "cbf"))
 
 
 @query("align_channels", W("SELECT subject, x, y, z, round(tmax, 9) AS tmax, round(cbf, 9) AS cbf, round(mtt, 9) AS mtt, round(cbv, 9) AS cbv FROM vox", "vox"))
 def _(spark: SparkSession, d: str) -> DataFrame:
     """One image per channel brought onto one key; a voxel that lacks a channel raises."""
-    long = C.vox(spark, d).select(*KEY, F.explode(F.array(*[F.struct(F.lit(c).alias("channel"), F.col(c).alias("value")) for c in C.CHANNELS])).alias("s")).select(*KEY, "s.channel", "s.value")
-    wide = long.groupBy(*KEY).pivot("channel", list(C.CHANNELS)).agg(F.first("value"))
-    return rounded(wide.withColumn("tmax", F.when(F.col("tmax").isNull() | F.col("cbf").isNull() | F.col("mtt").isNull() | F.col("cbv").isNull(), F.raise_error(F.lit("shapes differ")).cast("double")).otherwise(F.col("tmax"))), 9)
+    images = C.vox(spark, d).select(*KEY, F.explode(F.array(*[F.struct(F.lit(c).alias("channel"), F.col(c).alias("value")) for c in C.CHANNELS])).alias("s")).select(*KEY, "s.channel", "s.value")
+    return rounded(P.align_channels(images, C.CHANNELS), 9)
 
 
 @query("mask_set_ops", W("SELECT subject, sum(CASE WHEN tmax > 6 OR label = 1 THEN 1 ELSE 0 END) AS in_union, sum(CASE WHEN tmax > 6 AND label = 1 THEN 1 ELSE 0 END) AS in_both FROM vox GROUP BY 1", "vox"))
 def _(spark: SparkSession, d: str) -> DataFrame:
     v = C.vox(spark, d)
-    a, b = v.filter("tmax > 6").select(*KEY), v.filter("label = 1").select(*KEY)
+    a, b = v.filter("tmax > 6"), v.filter("label = 1")
     n = lambda df, name: df.groupBy("subject").agg(F.count("*").alias(name))
-    counts = v.select("subject").distinct().join(n(a.union(b).distinct(), "in_union"), "subject", "left").join(n(a.intersect(b), "in_both"), "subject", "left")
+    counts = v.select("subject").distinct().join(n(P.mask_union(a, b), "in_union"), "subject", "left").join(n(P.mask_intersection(a, b), "in_both"), "subject", "left")
     return counts.fillna(0)

@@ -10,6 +10,7 @@ from voxframe.carriers import with_views as W
 from voxframe.functions import cohort as K
 from voxframe.functions import voxel as V
 from voxframe.operators import models as M
+from voxframe.operators import runs as U
 from voxframe.operators import statistics as T
 from voxframe.plans.registry import query, rounded
 
@@ -56,12 +57,7 @@ _POOL = "runs AS (SELECT * FROM base UNION ALL SELECT 'mean model', rf, fold, av
 @query("rf_comparison", f"WITH base AS ({C.RUNS}), {_POOL}, t AS ({tail_sql(_THREE, 'model, n')}) SELECT t.model, round(avg(roc_auc) FILTER (rf = 0), 6) AS mean_rf0, round(avg(roc_auc) FILTER (rf = 3), 6) AS mean_rf3, any_value(t.p) AS p FROM t JOIN runs USING (model) GROUP BY 1")
 def _(spark: SparkSession, d: str) -> DataFrame:
     """Means at radii 0 and 3 and the paired test between them, per model and for the mean over models."""
-    base = C.runs(spark, d)
-    pool = base.groupBy("rf", "fold").agg(F.avg("roc_auc").alias("roc_auc"), F.avg("dice").alias("dice")).withColumn("model", F.lit("mean model"))
-    runs = base.unionByName(pool)
-    test = T.wilcoxon(T.pair_runs(runs, 3).filter("rf = 0"), ["model"]).select("model", "p")
-    means = runs.groupBy("model").agg(*[F.avg(F.when(F.col("rf") == r, F.col("roc_auc"))).alias(f"mean_rf{r}") for r in (0, 3)])
-    return rounded(means.join(test, "model"))
+    return rounded(U.rf_comparison(C.runs(spark, d), 0, 3))
 
 
 @query("run_summary", W("SELECT model, rf, " + ", ".join(f"round(avg({v}), 6) AS {v}_mean, round(stddev_pop({v}), 6) AS {v}_std, round(quantile_cont({v}, 0.5), 6) AS {v}_median" for v in ("roc_auc", "dice")) + " FROM runs GROUP BY 1, 2", "runs"))
@@ -71,7 +67,7 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 
 @query("run_medians", W("SELECT model, round(quantile_cont(roc_auc, 0.5), 6) AS roc_auc, round(quantile_cont(dice, 0.5), 6) AS dice FROM runs WHERE rf = 0 GROUP BY 1", "runs"))
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(C.runs(spark, d).filter("rf = 0").groupBy("model").agg(*[F.percentile(v, F.lit(0.5)).alias(v) for v in ("roc_auc", "dice")]))
+    return rounded(U.medians(C.runs(spark, d).filter("rf = 0"), ["model"], ("roc_auc", "dice")))
 
 
 @query("confidence_band", W("SELECT rf, round(avg(roc_auc), 6) AS mean, count(*) AS n, round(greatest(avg(roc_auc) - 1.96 * stddev_pop(roc_auc) / sqrt(count(*)), 0), 6) AS low, round(avg(roc_auc) + 1.96 * stddev_pop(roc_auc) / sqrt(count(*)), 6) AS high FROM runs GROUP BY 1", "runs"))
@@ -81,28 +77,22 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 
 @query("box_stats", W("SELECT model, " + ", ".join(f"round(quantile_cont(dice, {q}), 6) AS {n}" for q, n in ((0, "low"), (0.25, "q25"), (0.5, "median"), (0.75, "q75"), (1, "high"))) + " FROM runs GROUP BY 1 ORDER BY median", "runs"))
 def _(spark: SparkSession, d: str) -> DataFrame:
-    q = C.runs(spark, d).groupBy("model").agg(F.percentile("dice", F.array(*map(F.lit, (0.0, 0.25, 0.5, 0.75, 1.0)))).alias("q"))
-    return rounded(q.select("model", *[F.col("q")[i].alias(n) for i, n in enumerate(("low", "q25", "median", "q75", "high"))]).orderBy("median"))
+    return rounded(U.box_stats(C.runs(spark, d), ["model"], "dice"))
 
 
 @query("score_histogram", W("WITH b AS (SELECT min(roc_auc) AS lo, max(roc_auc) AS hi FROM runs) SELECT rf, CAST(least(floor((roc_auc - lo) / ((hi - lo) / 20)), 19) AS INT) AS bin, count(*) AS n FROM runs, b GROUP BY 1, 2", "runs"))
 def _(spark: SparkSession, d: str) -> DataFrame:
-    runs = C.runs(spark, d)
-    b = runs.agg(F.min("roc_auc").alias("lo"), F.max("roc_auc").alias("hi"))
-    place = F.least(F.floor(F.coalesce(F.try_divide(F.col("roc_auc") - F.col("lo"), (F.col("hi") - F.col("lo")) / 20), F.lit(0.0))), F.lit(19)).cast("int")
-    return runs.join(F.broadcast(b)).groupBy("rf", place.alias("bin")).agg(F.count("*").alias("n"))
+    return U.score_histogram(C.runs(spark, d), ["rf"], "roc_auc", 20)
 
 
 @query("mean_by_rf", W("SELECT rf, CASE WHEN model = 'A' THEN 'Threshold' ELSE 'Regression' END AS class, round(avg(roc_auc), 6) AS mean, rf * 2 AS width_mm FROM runs GROUP BY 1, 2", "runs"))
 def _(spark: SparkSession, d: str) -> DataFrame:
-    g = C.runs(spark, d).groupBy("rf", F.when(F.col("model") == "A", "Threshold").otherwise("Regression").alias("class")).agg(F.avg("roc_auc").alias("mean"))
-    return rounded(g.withColumn("width_mm", F.col("rf") * 2))
+    return rounded(U.mean_by_rf(C.runs(spark, d), F.when(F.col("model") == "A", "Threshold").otherwise("Regression"), "roc_auc", 2))
 
 
 @query("training_curve", W("SELECT rf AS round, CASE WHEN fold < 5 THEN 'train' ELSE 'validation' END AS part, round(avg(dice), 6) AS mean, round(stddev_samp(dice), 6) AS std FROM runs GROUP BY 1, 2", "runs"))
 def _(spark: SparkSession, d: str) -> DataFrame:
-    part = F.when(F.col("fold") < 5, "train").otherwise("validation").alias("part")
-    return rounded(C.runs(spark, d).groupBy(F.col("rf").alias("round"), part).agg(F.avg("dice").alias("mean"), F.stddev_samp("dice").alias("std")))
+    return rounded(U.training_curve(C.runs(spark, d), "rf", F.col("fold") >= 5, "dice"))
 
 
 def coefficients(spark: SparkSession, d: str) -> DataFrame:
@@ -115,25 +105,23 @@ _COEF = "k AS (SELECT l_suppkey % 10 AS fold, l_partkey % 28 AS pos, avg(l_disco
 
 @query("channel_weights", f"WITH {_COEF}, f AS (SELECT fold, pos // 7 AS channel, quantile_cont(weight, 0.5) AS m FROM k GROUP BY 1, 2), c AS (SELECT channel, quantile_cont(m, 0.5) AS median, stddev_pop(m) AS std FROM f GROUP BY 1) SELECT channel, round(median, 6) AS median, round(std, 6) AS std, round(abs(median) / sum(abs(median)) OVER (), 6) AS share FROM c")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    per_fold = coefficients(spark, d).groupBy("fold", F.floor(F.col("pos") / 7).alias("channel")).agg(F.percentile("weight", F.lit(0.5)).alias("m"))
-    c = per_fold.groupBy("channel").agg(F.percentile("m", F.lit(0.5)).alias("median"), F.stddev_pop("m").alias("std"))
-    return rounded(c.join(F.broadcast(c.agg(F.sum(F.abs("median")).alias("total")))).select("channel", "median", "std", F.try_divide(F.abs("median"), "total").alias("share")))
+    return rounded(U.channel_weights(coefficients(spark, d), 7))
 
 
 @query("spatial_weights", f"WITH {_COEF} SELECT pos % 7 AS place, round(quantile_cont(weight, 0.5), 6) AS median FROM k GROUP BY 1")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(coefficients(spark, d).groupBy((F.col("pos") % 7).alias("place")).agg(F.percentile("weight", F.lit(0.5)).alias("median")))
+    return rounded(U.spatial_weights(coefficients(spark, d), 7))
 
 
 @query("trained_thresholds", W("SELECT model, round(quantile_cont(dice * 12, 0.5), 6) AS threshold, count(*) AS folds FROM runs GROUP BY 1", "runs"))
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(C.runs(spark, d).groupBy("model").agg(F.percentile(F.col("dice") * 12, F.lit(0.5)).alias("threshold"), F.count("*").alias("folds")))
+    return rounded(U.trained_thresholds(C.runs(spark, d), F.col("dice") * 12))
 
 
 @query("union_runs", W("SELECT model, rf, fold, round(roc_auc, 6) AS roc_auc, round(dice, 6) AS dice, NULL AS kernel FROM runs WHERE rf < 3 UNION ALL SELECT model, rf, fold, round(roc_auc, 6), NULL, 5 FROM runs WHERE rf >= 3", "runs"))
 def _(spark: SparkSession, d: str) -> DataFrame:
     r = C.runs(spark, d)
-    return rounded(r.filter("rf < 3").unionByName(r.filter("rf >= 3").drop("dice").withColumn("kernel", F.lit(5)), allowMissingColumns=True))
+    return rounded(U.union_runs(r.filter("rf < 3"), r.filter("rf >= 3").drop("dice").withColumn("kernel", F.lit(5))))
 
 
 @query("load_runs", "SELECT DISTINCT 'runs/' || l_returnflag || '_rf' || (l_linenumber - 1) || CASE WHEN l_linenumber % 2 = 0 THEN '_k5' ELSE '' END AS path, l_returnflag AS model, CAST(l_linenumber - 1 AS INT) AS rf, CASE WHEN l_linenumber % 2 = 0 THEN 5 END AS kernel FROM lineitem")
