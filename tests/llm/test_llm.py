@@ -620,6 +620,29 @@ def test_classes_of_a_given_table_against_all_pairs(spark):
     assert got == {d: low[find(k)] for k, (d, _) in enumerate(rows)}
 
 
+def test_prefix_join_of_families_around_the_limit(spark):
+    """All pairs at 0.8 or more are made, though most texts of a family are just under it and share what sets them apart; pairs far below are not made."""
+    rng = random.Random(7)
+    texts = []
+    for _ in range(3):
+        base = [f"w{rng.randrange(3000)}" for _ in range(200)]
+        for _ in range(30):
+            words = base[:]
+            for at in rng.sample(range(0, 200, 8), rng.randrange(3, 9)):
+                words[at] = f"x{at}"
+            texts.append(" ".join(words[: rng.randrange(170, 201)]))
+    owner, gram, count, _, digests = neardup.shingles(texts)
+    bags = [(gram[owner == k].tobytes(), count[owner == k].astype(np.int32).tobytes()) for k in range(len(texts))]
+    table = spark.createDataFrame([(bytearray(d), bytearray(e), bytearray(c)) for d, (e, c) in zip(digests, bags, strict=True)], "content binary, elements binary, counts binary")
+    made = neardup.across(table.select("content", F.col("content").alias("label")), table).distinct()
+    pairs = lambda df: {frozenset((bytes(r["a"]), bytes(r["b"]))) for r in df.collect()}
+    alike = {frozenset((digests[i], digests[j])): neardup.weighted_jaccard(*bags[i], *bags[j]) for i in range(len(texts)) for j in range(i) if digests[i] != digests[j]}
+    want = {p for p, t in alike.items() if t >= 0.8}
+    got = pairs(made)
+    assert want <= got and pairs(neardup.verified(made, table)) == want
+    assert len(want) < len(got) < len([p for p, t in alike.items() if t > 0.5])
+
+
 def test_near_duplicates_odd_rows(odd):
     got = neardup.near_duplicate_classes(odd).collect()
     assert len(got) == odd.count()
