@@ -176,7 +176,9 @@ def across(nodes: DataFrame, bags: DataFrame) -> DataFrame:
     Two bags of sizes p and q at similarity t share at least o = t / (1 + t) (p + q) shingles, so with shingles in one order
     the first p - o + 1 of one meet the first q - o + 1 of the other. Rare shingles come first; o is taken for the smallest
     size of the partner's size class. What many nodes share stands behind, so groups that are alike but not similar make
-    few pairs. A pair is made at its first common shingle; further ones are known by the shingles just before them.
+    few pairs. A pair is made at its first common shingle; further ones are known by the shingles just before them. Nothing
+    before the first one is shared, so what follows it bounds the overlap, and pairs that can't reach o are not made; at
+    later common shingles that bound is no reason to keep or lose a pair.
     """
     rows = cut(bags.join(nodes, "content").select("content", "label", "elements", "counts").mapInArrow(occurrences, "content binary, label binary, size long, shingle long"))
     common = rows.groupBy("shingle").agg(F.count("*").alias("df"), F.min("label").alias("p"), F.max("label").alias("q"))
@@ -189,10 +191,11 @@ def across(nodes: DataFrame, bags: DataFrame) -> DataFrame:
     reach = int(np.ceil(np.log(1 / SIMILARITY) / np.log(CLASS)))
     met = first.withColumn("own", own).withColumn("theirs", F.explode(F.sequence(F.col("own") - reach, F.col("own") + reach)))
     smallest = F.greatest(F.pow(F.lit(CLASS), F.col("theirs")) * (1 - 1e-9), F.lit(SIMILARITY) * F.col("size"))
-    met = cut(met.filter(F.col("at") <= F.col("size") - least(smallest) + 1).select("shingle", "content", "label", "own", "theirs", "before"))
-    small = met.filter("own <= theirs").select("shingle", F.col("own").alias("low"), F.col("theirs").alias("high"), F.col("content").alias("a"), F.col("label").alias("la"), F.col("before").alias("ba"))
-    large = met.filter("own >= theirs").select("shingle", F.col("theirs").alias("low"), F.col("own").alias("high"), F.col("content").alias("b"), F.col("label").alias("lb"), F.col("before").alias("bb"))
-    return small.join(large, ["shingle", "low", "high"]).filter("la <> lb AND (low < high OR a < b) AND NOT arrays_overlap(ba, bb)").select("a", "b")
+    met = cut(met.filter(F.col("at") <= F.col("size") - least(smallest) + 1).select("shingle", "content", "label", "own", "theirs", "before", "size", "at"))
+    small = met.filter("own <= theirs").select("shingle", F.col("own").alias("low"), F.col("theirs").alias("high"), F.col("content").alias("a"), F.col("label").alias("la"), F.col("before").alias("ba"), F.col("size").alias("na"), (F.col("size") - F.col("at")).alias("ra"))
+    large = met.filter("own >= theirs").select("shingle", F.col("theirs").alias("low"), F.col("own").alias("high"), F.col("content").alias("b"), F.col("label").alias("lb"), F.col("before").alias("bb"), F.col("size").alias("nb"), (F.col("size") - F.col("at")).alias("rb"))
+    enough = (1 + F.least("ra", "rb") >= F.ceil(F.lit(SIMILARITY / (1 + SIMILARITY)) * (F.col("na") + F.col("nb")) - 1e-6)) & (F.least("na", "nb") >= F.lit(SIMILARITY) * F.greatest("na", "nb") - 1e-6)
+    return small.join(large, ["shingle", "low", "high"]).filter(enough).filter("la <> lb AND (low < high OR a < b) AND NOT arrays_overlap(ba, bb)").select("a", "b")
 
 
 def text_key() -> Column:
