@@ -643,6 +643,24 @@ def test_prefix_join_of_families_around_the_limit(spark):
     assert len(want) < len(got) < len([p for p, t in alike.items() if t > 0.5])
 
 
+def test_components_and_joins_of_hot_keys(spark, monkeypatch):
+    """A hub of 200 edges, a chain and loose pairs, with keys hot from five rows: hot and other keys give the rows of a plain join, components the smallest node."""
+    monkeypatch.setattr(neardup, "HOT", 5)
+    edges = [(0, k) for k in range(100, 300)] + [(k, k + 1) for k in range(300, 330)] + [(299, 300), (7, 8), (8, 7), (9, 9), (400, 401), (401, 402), (402, 400)]
+    label = {x: x for e in edges for x in e}
+    for _ in range(60):
+        for x, y in edges:
+            label[x] = label[y] = min(label[x], label[y])
+    df = spark.createDataFrame([(b"%03d" % x, b"%03d" % y) for x, y in edges], "a binary, b binary")
+    got = {int(bytes(r["node"])): int(bytes(r["label"])) for r in neardup.components(df).collect()}
+    assert got == {x: y for x, y in label.items() if x != 9}
+    counted = neardup.cut(df.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")))
+    joined = neardup.with_key(df, counted, "a", df.count())
+    assert joined.columns == ["a", "b", "m"] and sorted(joined.collect()) == sorted(df.join(counted.drop("n"), "a").collect())
+    assert joined.count() == len(edges) and "BroadcastExchange" in joined._jdf.queryExecution().toString()
+    assert neardup.components(df.filter("false")).count() == 0
+
+
 def test_near_duplicates_odd_rows(odd):
     got = neardup.near_duplicate_classes(odd).collect()
     assert len(got) == odd.count()

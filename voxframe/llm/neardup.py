@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from voxframe.llm.common import cut
+from voxframe.llm.common import Scratch, cut
 from voxframe.llm.text import WORD, grams, mix, slices, tokens
 
 SHINGLE = 5
@@ -19,6 +19,7 @@ BANDS, ROWS = 32, 6  # a pair at similarity 0.8 shares no band once in 16,000 pa
 SLOTS = BANDS * ROWS
 LOOK_BACK = 32  # shingles before one that tell whether its pair was made already; farther ones cost a repeated pair
 CLASS = 1.05  # sizes in a class differ by less than this factor
+HOT = 1000
 
 
 def shingles(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
@@ -136,28 +137,45 @@ def verified(pairs: DataFrame, bags: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "ea", "ca", "eb", "cb").mapInArrow(similar, "a binary, b binary")
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """node, label: the smallest node of each node's connected component, by large-star and small-star rounds until only stars are left.
+def with_key(rows: DataFrame, per_key: DataFrame, key: str, total: int) -> DataFrame:
+    """rows joined with the written table per_key: one row a key, with `n`, its number of rows, which is dropped.
 
-    Every round is a written table; nothing of it reaches the driver. Stars around a hot node are grouped by partial
-    minima and joined, never collected.
+    Keys of more than HOT rows and more than a HOT-th of the `total` rows are hot. There are fewer than HOT of them whatever
+    the input, so they are broadcast and their rows stay where they are; all other keys are joined by shuffle.
     """
+    most = max(HOT, total // HOT)
+    hot = per_key.filter(F.col("n") > most).drop("n")
+    if hot.isEmpty():
+        return rows.join(per_key.drop("n"), key)
+    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(per_key.filter(F.col("n") <= most).drop("n"), key)
+    return rows.join(F.broadcast(hot), key).unionByName(rest)
+
 
-    def star(e: DataFrame, larger: bool) -> DataFrame:
-        both = e.union(e.select("b", "a")) if larger else e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        moved = both.join(least, "a")
-        out = moved.filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")) if larger else moved.select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
-        return out.filter("a <> b").distinct()
+def components(edges: DataFrame) -> DataFrame:
+    """node, label: the smallest node of each node's connected component, by large-star and small-star rounds until only stars are left.
 
-    now = cut(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    while True:
-        # Done when every node has one edge, to a node without one: each component is a star around its smallest node.
-        ups = now.groupBy("a").agg(F.count("*").alias("n"))
-        if ups.filter("n > 1").isEmpty() and now.join(ups.select(F.col("a").alias("b")), "b", "left_semi").isEmpty():
-            break
-        now = cut(star(star(now, True), False))
-    return now.select(F.col("a").alias("node"), F.col("b").alias("label")).union(now.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct())
+    Every step is a written table, deleted at the end; nothing of it reaches the driver. Edges never grow in number. Stars
+    around a hot node are grouped by partial minima and joined where they are, never collected.
+    """
+    with Scratch(edges.sparkSession) as scratch:
+        now = scratch.cut(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+        total = 2 * now.count()
+
+        def star(e: DataFrame, larger: bool) -> DataFrame:
+            both = e.union(e.select("b", "a")) if larger else e
+            least = scratch.cut(both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"), F.count("*").alias("n")))
+            moved = with_key(both, least, "a", total)
+            out = moved.filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")) if larger else moved.select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
+            return scratch.cut(out.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+
+        while True:
+            # Done when every node has one edge, to a node without one: each component is a star around its smallest node. One job tells.
+            ends = now.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.lit(1).alias("up")), F.struct(F.col("b").alias("node"), F.lit(0).alias("up")))).alias("e"))
+            nodes = ends.groupBy("e.node").agg(F.sum("e.up").alias("ups"), F.min("e.up").alias("low"))
+            if not nodes.agg(F.bool_or((F.col("ups") > 1) | ((F.col("ups") > 0) & (F.col("low") == 0)))).first()[0]:
+                break
+            now = star(star(now, True), False)
+        return cut(now.select(F.col("a").alias("node"), F.col("b").alias("label")).union(now.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct()))
 
 
 def occurrences(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,11 +199,11 @@ def across(nodes: DataFrame, bags: DataFrame) -> DataFrame:
     later common shingles that bound is no reason to keep or lose a pair.
     """
     rows = cut(bags.join(nodes, "content").select("content", "label", "elements", "counts").mapInArrow(occurrences, "content binary, label binary, size long, shingle long"))
-    common = rows.groupBy("shingle").agg(F.count("*").alias("df"), F.min("label").alias("p"), F.max("label").alias("q"))
+    common = cut(rows.groupBy("shingle").agg(F.count("*").alias("n"), F.count("*").alias("df"), F.min("label").alias("p"), F.max("label").alias("q")))
     order = Window.partitionBy("content").orderBy("df", "shingle")
     least = lambda other: F.ceil(F.lit(SIMILARITY / (1 + SIMILARITY)) * (F.col("size") + other) - 1e-6)
     widest = F.col("size") - F.ceil(F.lit(SIMILARITY) * F.col("size") - 1e-6) + 1
-    first = rows.join(common, "shingle").withColumn("at", F.row_number().over(order)).filter((F.col("at") <= widest) & (F.col("p") != F.col("q")))
+    first = with_key(rows, common, "shingle", rows.count()).withColumn("at", F.row_number().over(order)).filter((F.col("at") <= widest) & (F.col("p") != F.col("q")))
     first = first.withColumn("before", F.collect_list("shingle").over(Window.partitionBy("content").orderBy("at").rowsBetween(-LOOK_BACK, -1)))
     own = F.floor(F.ln("size") / np.log(CLASS) + 1e-9).cast("int")
     reach = int(np.ceil(np.log(1 / SIMILARITY) / np.log(CLASS)))
@@ -219,8 +237,8 @@ def near_duplicate_classes(docs: DataFrame) -> DataFrame:
     signed = cut(slim.mapInArrow(sign, "doc_id long, text_key binary, content binary, bands array<long>"))
     nodes = cut(signed.groupBy("content").agg(F.min(F.struct("doc_id", "text_key")).alias("rep"), F.first("bands").alias("bands")))
     banded = nodes.select("content", F.explode("bands").alias("band"))
-    shared = banded.groupBy("band").agg(F.min("content").alias("least"), F.max("content").alias("most")).filter("least <> most")
-    crowded = cut(banded.join(shared, "band").select("band", "content", "least", "most"))
+    shared = cut(banded.groupBy("band").agg(F.min("content").alias("least"), F.max("content").alias("most"), F.count("*").alias("n")).filter("least <> most"))
+    crowded = cut(with_key(banded, shared, "band", BANDS * nodes.count()).select("band", "content", "least", "most"))
     first = cut(crowded.select(F.explode(F.array("least", "most")).alias("a"), F.col("content").alias("b")).filter("a <> b").distinct())
     wanted = nodes.join(crowded.select("content").distinct(), "content", "left_semi").select("content", "rep.doc_id", "rep.text_key")
     texts = slim.join(wanted, slim["doc_id"].eqNullSafe(wanted["doc_id"]) & (slim["text_key"] == wanted["text_key"])).select("content", "text")
@@ -228,21 +246,23 @@ def near_duplicate_classes(docs: DataFrame) -> DataFrame:
     stars = cut(verified(first, bags))
     linked = components(stars)
     labelled = crowded.join(linked, crowded["content"] == linked["node"], "left").select("band", "content", F.coalesce("label", "content").alias("label"))
-    mixed = labelled.groupBy("band").agg(F.min("label").alias("p"), F.max("label").alias("q")).filter("p <> q").select("band")
-    undecided = cut(labelled.join(mixed, "band", "left_semi").select("content", "label").distinct())
+    mixed = cut(labelled.groupBy("band").agg(F.min("label").alias("p"), F.max("label").alias("q"), F.count("*").alias("n")).filter("p <> q").select("band", "n"))
+    undecided = cut(with_key(labelled, mixed, "band", crowded.count()).select("content", "label").distinct())
     if not undecided.isEmpty():
         late = cut(verified(across(undecided, bags).distinct(), bags))
         if not late.isEmpty():
             # Components so far are single nodes now, named by their labels.
             left, right = undecided.select(F.col("content").alias("a"), F.col("label").alias("la")), undecided.select(F.col("content").alias("b"), F.col("label").alias("lb"))
-            joined = cut(components(late.join(left, "a").join(right, "b").select(F.col("la").alias("a"), F.col("lb").alias("b"))))
+            joined = components(late.join(left, "a").join(right, "b").select(F.col("la").alias("a"), F.col("lb").alias("b")))
             named = joined.select(F.col("node").alias("label"), F.col("label").alias("into"))
             moved = linked.join(named, "label", "left").select("node", F.coalesce("into", "label").alias("label"))
             linked = moved.unionByName(joined.join(linked, "node", "left_anti"))
 
-    classed = nodes.join(linked, nodes["content"] == linked["node"], "left").select("content", "rep", F.coalesce("label", "content").alias("label"))
-    heads = classed.groupBy("label").agg(F.min("rep").alias("head"))
-    by_content = classed.join(heads, "label").select("content", F.col("head.doc_id").alias("class_id"), F.col("head.text_key").alias("class_text_key"))
+    classed = cut(nodes.join(linked, nodes["content"] == linked["node"], "left").select("content", "rep", "label"))
+    several, alone = classed.filter("label IS NOT NULL"), classed.filter("label IS NULL")
+    heads = cut(several.groupBy("label").agg(F.min("rep").alias("head"), F.count("*").alias("n")))
+    headed = with_key(several, heads, "label", several.count()).select("content", "head").union(alone.select("content", "rep"))
+    by_content = headed.select("content", F.col("head.doc_id").alias("class_id"), F.col("head.text_key").alias("class_text_key"))
     return signed.select("doc_id", "text_key", "content").join(by_content, "content").select("doc_id", "text_key", "class_id", "class_text_key")
 
 
