@@ -1,4 +1,4 @@
-"""The ten queries over the driver's tables, and SQL where it can express them."""
+"""The thirteen queries over the driver's tables, and SQL where it can express them."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxframe.llm import gif, hnsw, langid, mixing, neardup, packing, pii, quality, sharding, warc
+from voxframe.llm import collocations, gif, hnsw, langid, linededup, mixing, neardup, packing, periodic, pii, quality, sharding, warc
 from voxframe.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -42,9 +42,14 @@ QUERIES: dict[str, Query] = {
     "op8_surrogates": lambda spark, sf_dir: pii.pseudonymise(table(spark, sf_dir, "documents"), surrogate_key(spark)).select("doc_id", "text", "n_entities"),
     "op9_importance_resampling": lambda spark, sf_dir: quality.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select("doc_id", "source", "log_weight", "gumbel_key"),
     "op10_bagminhash_classes": lambda spark, sf_dir: neardup.near_duplicate_classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id"),
+    "op11_periodic_runs": _over("documents", periodic.run_report),
+    "op12_line_dedup": _over("documents", linededup.line_report),
+    "op13_phrase_collocations": _over("documents", collocations.phrase_collocations),
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op3_warc_revisits": warc.ORACLE_SQL,
     "op7_poisson_mix": mixing.ORACLE_SQL,
+    "op12_line_dedup": linededup.ORACLE_SQL,
+    "op13_phrase_collocations": collocations.ORACLE_SQL,
 }
