@@ -80,10 +80,10 @@ def _stream(least: int):
             held.clear()
             return told(rows.filter(pa.array(rows["doc_id"].to_numpy() != heads[0])), True)
 
-        last, kind = 0, pa.list_(pa.int32())
+        last, schema = 0, None
         for batch in batches:
             t = pa.Table.from_batches([batch])
-            kind = t.schema.field("lines").type
+            schema = t.schema
             columns = np.stack([t[c].to_numpy() for c in ("h1", "h2", "doc_id", "text_key")])
             fresh = np.concatenate(([before is None or bool((columns[:, 0] != before).any())], (np.diff(columns, axis=1) != 0).any(axis=0)))
             before = columns[:, -1].copy()
@@ -119,8 +119,8 @@ def _stream(least: int):
             for rows in held:
                 yield from told(rows, False)
             if not held:
-                n = len(heads)
-                yield pa.RecordBatch.from_arrays([pa.array([int(key[0])] * n, pa.int64()), pa.array([int(key[1])] * n, pa.int64()), pa.array(heads, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, kind), pa.array([False] * n)], names=names)
+                marks = {"h1": [int(key[0])] * len(heads), "h2": [int(key[1])] * len(heads), "doc_id": heads}
+                yield from told(pa.table([pa.array(marks.get(f.name, [None] * len(heads)), f.type) for f in schema], schema=schema), False)
 
     return run
 
