@@ -22,7 +22,7 @@ SLICE, ROW, GROUP = 1 << 21, 1 << 18, 1 << 20
 #: Distinct words that a task holds before it hands their counts on.
 HELD = 1 << 18
 #: Share of all word occurrences that the first frontier's words have; each later one's has four times as many.
-SHARE = 1 / 16
+SHARE = 1 / 4
 #: Bits of a filter for each key, and bits at most (16 MB); a fuller filter lets more through, which costs time and changes nothing.
 BITS_PER_KEY, MOST_BITS = 32, 1 << 27
 
@@ -126,37 +126,8 @@ def make_filter(grams: DataFrame, n: int) -> Filter:
     return Filter(bits)
 
 
-def count_grams(encoded: DataFrame, m: int, frequent: Filter, open_: Filter, shorter: Filter | None) -> DataFrame:
-    """lang, p (m word hashes), f of the phrases of m words that begin or end with an open word and may be frequent: all words are, and so is what is left without the last word (of those that begin with an open one) or the first."""
-
-    def counted(lang: str, rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        ids, salt = np.concatenate(rows), lang_salt(lang)
-        one = _chain(ids, 1, salt)
-        common, opened = frequent.holds(one) & (ids != 0), open_.holds(one) & (ids != 0)
-        n = len(ids) - m + 1
-        if n <= 0:
-            return
-        whole = common[:n].copy()
-        for k in range(1, m):
-            whole &= common[k : k + n]
-        at = np.flatnonzero(whole & (opened[:n] | opened[m - 1 :]))
-        if shorter is not None and len(at):
-            known = shorter.holds(_chain(ids, m - 1, salt))
-            at = at[(~opened[at] | known[at]) & (~opened[at + m - 1] | known[at + 1])]
-        if not len(at):
-            return
-        key = np.full(len(at), salt, np.uint64)
-        for k in range(m):
-            key = mix(key * np.uint64(BASE) + ids[at + k])
-        order = np.argsort(key)
-        at = at[order]
-        same = key[order][1:] == key[order][:-1]
-        for k in range(m):  # equal keys of different words stay apart
-            same &= ids[at[1:] + k] == ids[at[:-1] + k]
-        first = np.flatnonzero(np.concatenate(([True], ~same)))
-        grams = np.stack([ids[at[first] + k] for k in range(m)], axis=1).reshape(-1).view(np.int64)
-        lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(grams) + 1, m, dtype=np.int32)), pa.array(grams))
-        yield pa.RecordBatch.from_arrays([pa.DictionaryArray.from_arrays(np.zeros(len(first), np.int32), [lang]).cast(pa.string()), lists, pa.array(np.diff(np.append(first, len(at))).astype(np.int64))], names=["lang", "p", "c"])
+def _grouped(encoded: DataFrame, work, schema: str) -> DataFrame:
+    """work(lang, ids) over the encoded rows, some of a language at once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list[np.ndarray]] = {}
@@ -165,11 +136,95 @@ def count_grams(encoded: DataFrame, m: int, frequent: Filter, open_: Filter, sho
                 rows = held.setdefault(lang, [])
                 rows += [np.frombuffer(ids, np.uint64), np.zeros(1, np.uint64)]
                 if sum(map(len, rows)) > GROUP:
-                    yield from counted(lang, held.pop(lang))
+                    yield from work(lang, np.concatenate(held.pop(lang)))
         for lang, rows in held.items():
-            yield from counted(lang, rows)
+            yield from work(lang, np.concatenate(rows))
+
+    return encoded.mapInArrow(run, schema)
+
+
+def _pairs(ids: np.ndarray, salt: int, frequent: Filter, open_: Filter) -> tuple[np.ndarray, np.ndarray]:
+    """Where two frequent words follow each other of which one is open, and for each word whether it is open."""
+    one = _chain(ids, 1, salt)
+    opened = open_.holds(one) & (ids != 0)
+    at = np.flatnonzero(opened)
+    near = np.zeros(len(ids), bool)
+    near[at] = near[at[at > 0] - 1] = True
+    at = np.flatnonzero(near[:-1])
+    for k in (0, 1):
+        at = at[opened[at + k] | ((ids[at + k] != 0) & frequent.holds(one[at + k]))]
+    return at, opened
+
+
+def _counted(lang: str, ids: np.ndarray, at: np.ndarray, m: int, salt: int) -> Iterator[pa.RecordBatch]:
+    """How often each phrase of the m words from the places `at` on occurs there."""
+    if not len(at):
+        return
+    key = np.full(len(at), salt, np.uint64)
+    for k in range(m):
+        key = mix(key * np.uint64(BASE) + ids[at + k])
+    order = np.argsort(key)
+    at, key = at[order], key[order]
+    same = key[1:] == key[:-1]
+    for k in range(m):  # equal keys of different words stay apart
+        same &= ids[at[1:] + k] == ids[at[:-1] + k]
+    first = np.flatnonzero(np.concatenate(([True], ~same)))
+    columns = [pa.array(ids[at[first] + k].view(np.int64)) for k in range(m)]
+    name = pa.DictionaryArray.from_arrays(np.zeros(len(first), np.int32), [lang]).cast(pa.string())
+    yield pa.RecordBatch.from_arrays([name, *columns, pa.array(np.diff(np.append(first, len(at))).astype(np.int64))], names=["lang", *[f"w{k}" for k in range(m)], "c"])
+
+
+def _summed(encoded: DataFrame, work, m: int) -> DataFrame:
+    names = [f"w{k}" for k in range(m)]
+    parts = _grouped(encoded, work, ", ".join(["lang string", *[f"{w} long" for w in names], "c long"]))
+    return parts.groupBy("lang", *names).agg(F.sum("c").alias("f")).select("lang", F.array(*names).alias("p"), "f")
+
+
+def count_pairs(encoded: DataFrame, frequent: Filter, open_: Filter) -> DataFrame:
+    """lang, p (two word hashes), f of the pairs of frequent words of which one is open."""
+
+    def work(lang: str, ids: np.ndarray) -> Iterator[pa.RecordBatch]:
+        salt = lang_salt(lang)
+        yield from _counted(lang, ids, _pairs(ids, salt, frequent, open_)[0], 2, salt)
+
+    return _summed(encoded, work, 2)
+
+
+def stretches(encoded: DataFrame, frequent: Filter, open_: Filter, pairs: Filter, longest: int) -> DataFrame:
+    """The encoded rows without what no phrase of three words or more can hold: left are `longest` words from each frequent pair that begins with an open word on, and as many up to each that ends with one."""
+
+    def work(lang: str, ids: np.ndarray) -> Iterator[pa.RecordBatch]:
+        salt = lang_salt(lang)
+        at, opened = _pairs(ids, salt, frequent, open_)
+        at = at[pairs.holds(_chain(ids, 2, salt)[at])]
+        edge = np.zeros(len(ids) + 1, np.int64)
+        for starts in (at[opened[at]], np.maximum(at[opened[at + 1]] + 2 - longest, 0)):
+            np.add.at(edge, starts, 1)
+            np.add.at(edge, np.minimum(starts + longest, len(ids)), -1)
+        kept = np.cumsum(edge[:-1]) > 0
+        if kept.any():
+            some = np.where(kept, ids, 0)[kept | np.concatenate(([False], kept[:-1]))]
+            yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([some.tobytes()], pa.binary())], names=["lang", "ids"])
+
+    return _grouped(encoded, work, "lang string, ids binary")
+
+
+def count_grams(encoded: DataFrame, m: int, open_: Filter, shorter: Filter) -> DataFrame:
+    """lang, p (m word hashes), f of the phrases that begin or end with an open word and may be frequent: those that begin with one are so without their last word, those that end with one without their first."""
+
+    def work(lang: str, ids: np.ndarray) -> Iterator[pa.RecordBatch]:
+        n = len(ids) - m + 1
+        if n <= 0:
+            return
+        salt = lang_salt(lang)
+        opened = open_.holds(_chain(ids, 1, salt)) & (ids != 0)
+        whole = opened[:n] | opened[m - 1 :]
+        for k in range(m):
+            whole &= ids[k : k + n] != 0
+        at, known = np.flatnonzero(whole), shorter.holds(_chain(ids, m - 1, salt))
+        yield from _counted(lang, ids, at[(~opened[at] | known[at]) & (~opened[at + m - 1] | known[at + 1])], m, salt)
 
-    return encoded.mapInArrow(run, "lang string, p array<long>, c long").groupBy("lang", "p").agg(F.sum("c").alias("f"))
+    return _summed(encoded, work, m)
 
 
 def _scores(grams: DataFrame, one: DataFrame, state: DataFrame) -> DataFrame:
@@ -233,9 +288,9 @@ def phrase_collocations(docs: DataFrame, least: int = LEAST, best: int = BEST, l
     with Scratch(spark) as scratch:
         for seed in range(8):  # word hashes of 64 bits are checked to be distinct; the first seed does, but for one corpus in millions
             raw = scratch.cut(own.mapInArrow(_encode(seed), "lang string, ids binary, word string, h long, c long"))
-            vocabulary = raw.filter("word IS NOT NULL").groupBy("lang", F.col("h").alias("w")).agg(F.sum("c").alias("f"), F.min("word").alias("word"), F.max("word").alias("other"))
+            vocabulary = raw.filter("word IS NOT NULL").groupBy("lang", F.col("h").alias("w"), "word").agg(F.sum("c").alias("f"))
             vocabulary = scratch.cut(vocabulary.withColumn("size", F.floor(F.log2("f"))))
-            if not vocabulary.filter("word <> other").limit(1).count():
+            if not vocabulary.groupBy("lang", "w").agg(F.count("*").alias("n")).filter("n > 1").limit(1).count():
                 break
         encoded = raw.filter("ids IS NOT NULL").select("lang", "ids")
         sizes = vocabulary.groupBy("lang", "size").agg(F.sum("f").alias("c"), F.max("f").alias("f"))
@@ -249,14 +304,17 @@ def phrase_collocations(docs: DataFrame, least: int = LEAST, best: int = BEST, l
             one = words_.join(state.select("lang", "limit"), "lang")
             opened = scratch.cut(one.filter(F.col("f") <= F.col("limit")).select("lang", F.array("w").alias("p")))
             going = encoded.join(F.broadcast(state.select("lang")), "lang", "left_semi") if done else encoded
-            open_, shorter, levels = make_filter(opened, opened.count()), None, [words_.select("lang", F.array("w").alias("p"), "f")]
+            open_, rows, levels = make_filter(opened, opened.count()), going, [words_.select("lang", F.array("w").alias("p"), "f")]
             for m in range(2, longest + 1):
-                level = scratch.cut(count_grams(going, m, frequent, open_, shorter).filter(F.col("f") >= least))
+                counts = count_pairs(rows, frequent, open_) if m == 2 else count_grams(rows, m, open_, shorter)
+                level = scratch.cut(counts.filter(F.col("f") >= least))
                 size = level.count()
                 levels.append(level)
-                if not size:
+                if not size or m == longest:
                     break
                 shorter = make_filter(level, size)
+                if m == 2:
+                    rows = scratch.cut(stretches(going, frequent, open_, shorter, longest))
             grams = levels[0]
             for level in levels[1:]:
                 grams = grams.unionByName(level)
