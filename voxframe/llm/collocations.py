@@ -18,9 +18,9 @@ KIND = kinds(b" \t", b".,;:!?\n\v\f\r")
 UNKNOWN = "und"
 LONGEST, LEAST, BEST = 5, 100, 2000
 #: Texts read at once, in bytes; words of an encoded row, and those counted together, at most.
-SLICE, ROW, GROUP = 1 << 21, 1 << 18, 1 << 20
-#: Distinct words that a task holds before it hands their counts on.
-HELD = 1 << 18
+SLICE, ROW, GROUP = 1 << 20, 1 << 18, 1 << 19
+#: Texts taken from a batch at once, and distinct words that a task holds before it hands their counts on.
+ROWS, HELD = 1 << 9, 1 << 16
 #: Share of all word occurrences that the first frontier's words have; each later one's has four times as many.
 SHARE = 1 / 4
 #: Bits of a filter for each key, and bits at most (16 MB); a fuller filter lets more through, which costs time and changes nothing.
@@ -47,7 +47,7 @@ def _encode(seed: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple[str, bytes], list[int]] = {}
-        for batch in batches:
+        for batch in (b.slice(k, ROWS) for b in batches for k in range(0, b.num_rows, ROWS)):
             by_lang: dict[str, list[bytes]] = {}
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
                 if text:
@@ -302,9 +302,9 @@ def phrase_collocations(docs: DataFrame, least: int = LEAST, best: int = BEST, l
         done: list[DataFrame] = []
         while n_words:
             one = words_.join(state.select("lang", "limit"), "lang")
-            opened = scratch.cut(one.filter(F.col("f") <= F.col("limit")).select("lang", F.array("w").alias("p")))
+            opened = one.filter(F.col("f") <= F.col("limit")).select("lang", F.array("w").alias("p"))
             going = encoded.join(F.broadcast(state.select("lang")), "lang", "left_semi") if done else encoded
-            open_, rows, levels = make_filter(opened, opened.count()), going, [words_.select("lang", F.array("w").alias("p"), "f")]
+            open_, rows, levels = make_filter(opened, n_words), going, [words_.select("lang", F.array("w").alias("p"), "f")]
             for m in range(2, longest + 1):
                 counts = count_pairs(rows, frequent, open_) if m == 2 else count_grams(rows, m, open_, shorter)
                 level = scratch.cut(counts.filter(F.col("f") >= least))
