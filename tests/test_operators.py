@@ -135,9 +135,9 @@ def test_regions_against_flood_fill(spark):
 def test_distance_against_brute_force(spark):
     values = (np.random.default_rng(6).random((5, 4, 3)) > 0.8).astype(float)
     points = np.argwhere(values == 1)
-    for r in P.squared_distance(grid(spark, values), "v", values.shape).collect():
+    for r in P.squared_distance(grid(spark, values), "v").collect():
         assert r["d2"] == ((points - (r["x"], r["y"], r["z"])) ** 2).sum(axis=1).min()
-    assert P.squared_distance(grid(spark, np.zeros((2, 2, 1))), "v", (2, 2, 1)).filter("d2 IS NOT NULL").count() == 0
+    assert P.squared_distance(grid(spark, np.zeros((2, 2, 1))), "v").filter("d2 IS NOT NULL").count() == 0
 
 
 def test_dice_of_empty_masks(spark):

@@ -1,73 +1,68 @@
-"""Connected regions of voxels."""
+"""Connected regions of voxels: found within tiles first, then joined across the tiles' faces."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxframe.sources.shared import Scratch, cut
+from voxframe.operators.tiles import KEY, Offset, joined_regions, local_regions
+from voxframe.sources.shared import cut
 
-MAX_ROUNDS = 60
 SIX = [(1, 0, 0), (0, 1, 0), (0, 0, 1)]
 TWENTY_SIX = [(a, b, c) for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1) if (a, b, c) > (0, 0, 0)]
+#: Side of a tile: a task holds at most so many voxels to the third power at once.
+SIDE = 32
+
+
+def _parts(df: DataFrame, value: str, linked: str | None, offsets: Sequence[Offset], side: int) -> tuple[DataFrame, DataFrame]:
+    """Voxels with the root of their region's part in their tile (written once), and subject, root, region of the parts that go on in other tiles."""
+    parts = cut(local_regions(df, value, linked, offsets, side))
+    moves = F.array(*[F.struct(*[F.lit(k).alias(n) for k, n in zip(o, ("dx", "dy", "dz"), strict=True)]) for o in offsets])
+    inside = parts.filter("root IS NOT NULL")
+    edge = F.lit(False)
+    for a, k in zip("xyz", range(3), strict=True):
+        if any(o[k] for o in offsets):
+            edge = edge | (F.col(a) % side == 0) | (F.col(a) % side == side - 1)
+    faces = inside.filter(edge)
+    moved = faces.withColumn("m", F.explode(moves)).select("subject", *[(F.col(a) + F.col(f"m.d{a}")).alias(a) for a in "xyz"], *[F.floor(F.col(a) / side).alias(f"t{a}") for a in "xyz"], F.col("v").alias("u"), F.col("root").alias("a"))
+    out = F.lit(False)
+    for a in "xyz":
+        out = out | (F.floor(F.col(a) / side) != F.col(f"t{a}"))
+    links = moved.filter(out).join(faces.select(*KEY, "v", F.col("root").alias("b")), list(KEY)).filter(F.col("u").eqNullSafe(F.col("v"))).select("subject", "a", "b").distinct()
+    return parts, joined_regions(links)
 
 
-def label_regions(df: DataFrame, value: str | None = None, offsets: list[tuple[int, int, int]] = SIX) -> DataFrame:
-    """df's subject, x, y, z and `region`: rows of a subject are linked if neighbours (and, with `value`, equal in it); a region is named after its smallest voxel (x, y, z in turn).
+def label_regions(df: DataFrame, value: str | None = None, offsets: Sequence[Offset] = SIX, side: int = SIDE) -> DataFrame:
+    """df's subject, x, y, z and `region`: rows of a subject are linked if neighbours (and, with `value`, equal in it); a region is named after its smallest voxel (x, y, z in turn). Places count from 0.
 
-    Runs along z are merged first, so nodes are runs. Then stars are made larger and smaller in turn until only stars are left.
-    RuntimeError if that takes more than 60 rounds, which no grid of fewer than 2^60 runs needs.
+    Each tile is labelled by itself; only links across tile faces, one for each pair of parts, go on to be joined, those of
+    a volume together. The result maps parts to regions, so no region is a key of a shuffle, however large it is.
     """
-    same = F.lit(True) if value is None else F.col("__v").eqNullSafe(F.col("__before"))
-    v = df.select("subject", "x", "y", "z", (F.lit(0) if value is None else F.col(value)).alias("__v"))
-    line = Window.partitionBy("subject", "x", "y").orderBy("z")
-    starts = v.withColumn("__before", F.lag("__v").over(line)).withColumn("__gap", ~F.coalesce((F.lag("z").over(line) == F.col("z") - 1) & same, F.lit(False)))
-    runs = starts.withColumn("__first", F.max(F.when(F.col("__gap"), F.col("z"))).over(line.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    voxels = cut(runs.select("subject", "x", "y", "z", "__v", F.struct("x", "y", F.col("__first").alias("z")).alias("run")))
-    moves = F.array(*[F.struct(*[F.lit(k).alias(n) for k, n in zip(o, ("dx", "dy", "dz"), strict=True)]) for o in offsets if o != (0, 0, 1)])
-    moved = voxels.withColumn("m", F.explode(moves)).select("subject", (F.col("x") + F.col("m.dx")).alias("x"), (F.col("y") + F.col("m.dy")).alias("y"), (F.col("z") + F.col("m.dz")).alias("z"), F.col("__v").alias("__u"), F.col("run").alias("a"))
-    edges = moved.join(voxels.select("subject", "x", "y", "z", "__v", F.col("run").alias("b")), ["subject", "x", "y", "z"]).filter(F.col("__u").eqNullSafe(F.col("__v")) & (F.col("a") != F.col("b"))).select("subject", F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-
-    def star(e: DataFrame, larger: bool) -> DataFrame:
-        both = e.union(e.select("subject", "b", "a")) if larger else e
-        least = both.groupBy("subject", "a").agg(F.min("b").alias("m")).select("subject", "a", F.least("a", "m").alias("m"))
-        moved = both.join(least, ["subject", "a"])
-        if larger:
-            out = moved.filter("b > a").select("subject", F.col("b").alias("a"), F.col("m").alias("b"))
-        else:
-            out = moved.select("subject", F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("subject", "a", F.col("m").alias("b")))
-        return out.filter("a <> b").distinct()
-
-    with Scratch(df.sparkSession) as scratch:
-        now = scratch.cut(edges)
-        for _ in range(MAX_ROUNDS):
-            # Done when every run has one edge, to a run without one: only stars around the smallest runs are left. One job tells.
-            ends = now.select("subject", F.explode(F.array(F.struct(F.col("a").alias("node"), F.lit(1).alias("up")), F.struct(F.col("b").alias("node"), F.lit(0).alias("up")))).alias("e"))
-            nodes = ends.groupBy("subject", "e.node").agg(F.sum("e.up").alias("ups"), F.min("e.up").alias("low"))
-            if not nodes.agg(F.bool_or((F.col("ups") > 1) | ((F.col("ups") > 0) & (F.col("low") == 0)))).first()[0]:
-                now = cut(now)
-                break
-            now = scratch.cut(star(star(now, True), False))
-        else:
-            raise RuntimeError("regions did not settle")
-    return voxels.join(now.withColumnRenamed("a", "run"), ["subject", "run"], "left").select("subject", "x", "y", "z", F.coalesce("b", "run").alias("region"))
-
-
-def remove_small_objects(df: DataFrame, c: str, least: int) -> DataFrame:
-    """The 0/1 column c without its six-connected regions of fewer than `least` voxels."""
-    regions = label_regions(df.filter(F.col(c) == 1))
-    big = regions.groupBy("subject", "region").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
-    kept = regions.join(big, ["subject", "region"]).select("subject", "x", "y", "z", F.lit(1).alias("__kept"))
-    return df.join(kept, ["subject", "x", "y", "z"], "left").withColumn(c, F.coalesce("__kept", F.lit(0))).drop("__kept")
-
-
-def background_component(df: DataFrame, c: str) -> DataFrame:
+    parts, joined = _parts(df.withColumn("__v", F.lit(0)) if value is None else df, value or "__v", None, offsets, side)
+    return parts.join(joined, ["subject", "root"], "left").select(*KEY, F.coalesce("region", "root").alias("region"))
+
+
+def remove_small_objects(df: DataFrame, c: str, least: int, side: int = SIDE) -> DataFrame:
+    """The 0/1 column c without its six-connected regions of fewer than `least` voxels; other columns than the key are left out.
+
+    Sizes are counted for parts and summed for regions; voxels look up their part, of one tile at most.
+    """
+    on = df.select(*KEY, F.col(c).alias("__c")).withColumn("__on", F.col("__c") == 1)
+    parts, joined = _parts(on, "__c", "__on", SIX, side)
+    sizes = parts.filter("root IS NOT NULL").groupBy("subject", "root").agg(F.count("*").alias("n")).join(joined, ["subject", "root"], "left").withColumn("region", F.coalesce("region", "root"))
+    big = sizes.groupBy("subject", "region").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).select("subject", "region")
+    kept = sizes.join(big, ["subject", "region"], "left_semi").select("subject", "root", F.lit(1).alias("__kept"))
+    return parts.join(kept, ["subject", "root"], "left").select(*KEY, F.coalesce("__kept", F.lit(0)).alias(c))
+
+
+def background_component(df: DataFrame, c: str, side: int = SIDE) -> DataFrame:
     """subject, x, y, z of the voxels of equal value that are 26-connected with voxel (0, 0, 0)."""
-    corner = df.filter("x = 0 AND y = 0 AND z = 0").select("subject", F.col(c).alias("__corner"))
-    like = df.join(corner, "subject").filter(F.col(c).eqNullSafe(F.col("__corner"))).select("subject", "x", "y", "z")
-    regions = label_regions(like, offsets=TWENTY_SIX)
-    root = F.struct(*[F.lit(0).cast(dict(df.dtypes)[a]).alias(a) for a in "xyz"])
-    return regions.filter(F.col("region") == root).select("subject", "x", "y", "z")
+    parts, joined = _parts(df, c, None, TWENTY_SIX, side)
+    corner = lambda n: (F.col(f"{n}.x") == 0) & (F.col(f"{n}.y") == 0) & (F.col(f"{n}.z") == 0)
+    other = joined.filter(corner("region")).select("subject", "root", F.lit(True).alias("__joined"))
+    return parts.join(other, ["subject", "root"], "left").filter(corner("root") | F.col("__joined")).select(*KEY)
 
 
 def brain_mask(df: DataFrame, channels: tuple[str, ...], csf: str | None = None) -> DataFrame:

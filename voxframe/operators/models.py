@@ -52,23 +52,26 @@ def boosted(rounds: int = 999, depth: int = 1, rate: float = 0.4, subsample: flo
     return make
 
 
-def features(df: DataFrame, channels: Sequence[str], radius: tuple[int, int, int], clinical: DataFrame | None = None) -> DataFrame:
-    """df's key, label, mask and `features`: channels' values, with a radius those of the neighbourhood and at last the number of undefined neighbours; before it a subject's clinical columns.
+def features(df: DataFrame, channels: Sequence[str], radius: tuple[int, int, int], clinical: DataFrame | None = None, wanted: str | None = None, keep: Sequence[str] = ()) -> DataFrame:
+    """df's key, label, mask, the columns of `keep` and `features`: channels' values, with a radius those of the neighbourhood and at last the number of undefined neighbours; before it a subject's clinical columns.
 
-    clinical: subject and number columns; subjects it lacks are left out.
+    clinical: subject and number columns; subjects it lacks are left out. wanted: a 0/1 column; only its voxels get features,
+    the others are neighbours only.
     """
+    names = ["label", "mask", *keep]
     if any(radius):
-        field = P.receptive_field(df, channels, radius)
-        out = P.undefined_count(df, "mask", radius).select(*KEY, "label", "mask", "undefined").join(field, list(KEY))
-        last = F.array(F.col("undefined").cast("double"))
+        field = P.receptive_field(df, channels, radius, wanted, "mask")
+        own = df if wanted is None else df.filter(F.col(wanted).cast("int") == 1)
+        out, last = own.select(*KEY, *names).join(field, list(KEY)), F.array(F.col("undefined").cast("double"))
     else:
-        out, last = df.select(*KEY, "label", "mask", F.array(*[F.col(c).cast("double") for c in channels]).alias("features")), F.array().cast("array<double>")
+        own = df if wanted is None else df.filter(F.col(wanted).cast("int") == 1)
+        out, last = own.select(*KEY, *names, F.array(*[F.col(c).cast("double") for c in channels]).alias("features")), F.array().cast("array<double>")
     parts = [F.col("features")]
     if clinical is not None:
-        names = [c for c in clinical.columns if c != "subject"]
-        out = out.join(clinical.select("subject", F.array(*[F.col(c).cast("double") for c in names]).alias("__clinical")), "subject")
+        columns = [c for c in clinical.columns if c != "subject"]
+        out = out.join(clinical.select("subject", F.array(*[F.col(c).cast("double") for c in columns]).alias("__clinical")), "subject")
         parts.append(F.col("__clinical"))
-    return out.select(*KEY, "label", "mask", F.concat(*parts, last).alias("features"))
+    return out.select(*KEY, *names, F.concat(*parts, last).alias("features"))
 
 
 def vectors(df: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from voxframe.operators import components as G
 from voxframe.operators import normalise as N
 from voxframe.operators import scoring as S
 from voxframe.operators import spatial as P
+from voxframe.sources.shared import cut
 
 KEY = ("subject", "x", "y", "z")
 CORE_SHARE = 0.3
@@ -65,7 +66,7 @@ def perfusion_volumes(df: DataFrame, shape: tuple[int, int, int], least: int = 1
     if model is not None:
         v = v.join(model.select(*KEY, F.col("predicted").alias("model")), list(KEY), "left").fillna(0, ["model"])
         names.append("model")
-    v = v.select(*KEY, "label", "mask", *names)
+    v = cut(v.select(*KEY, "label", "mask", *names))  # read by the smoothing and the sums
     smooth = smooth_masks(v, names, least).select(*KEY, *[F.col(n).alias(f"{n}_smooth") for n in names])
     both = v.join(smooth, list(KEY))
     if model is not None:
@@ -123,7 +124,7 @@ def evaluate_images(df: DataFrame, shape: tuple[int, int, int], score: str = "sc
     inside = F.lit(None) if penumbra is None else F.sum(F.when(hit & (F.col(penumbra) == 1), 1).otherwise(0))
     sums = df.groupBy("subject").agg(inside.alias("__inside"), F.sum(F.when(hit, 1).otherwise(0)).alias("__hits"))
     masks = df.select(*KEY, F.when((F.col("mask") == 1) & (F.col(y) == 1), 1).otherwise(0).alias("__truth"), F.when(hit, 1).otherwise(0).alias("__predicted"))
-    out = counts.join(sums, "subject").join(P.hausdorff(masks, "__truth", "__predicted", shape), "subject")
+    out = counts.join(sums, "subject").join(P.hausdorff(masks, "__truth", "__predicted"), "subject")
     tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
     volumes = {"predicted_ml": V.volume_ml(tp + fp), "delta_ml": V.volume_ml(fn - fp), "raw_delta_ml": V.volume_ml(tp + fn - F.col("raw")), "penumbra_share": N.ratio(F.col("__inside").cast("double"), F.col("__hits"))}
     return out.withColumns(volumes).drop("raw", "__inside", "__hits")

@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-KEY = ("subject", "x", "y", "z")
+from voxframe.operators.tiles import KEY, receptive_field, squared_distances  # noqa: F401
 
 
 def line(axis: str) -> Window:
@@ -124,27 +124,6 @@ def undefined_count(df: DataFrame, mask: str, r: tuple[int, int, int], out: str
     return df.withColumn(out, F.lit(math.prod(2 * k + 1 for k in r)) - F.col(out))
 
 
-def _lags(c: Column | str, axis: str, r: int) -> list[Column]:
-    """The values at -r..r along an axis of a dense grid, null outside."""
-    w = line(axis)
-    return [F.lag(c, -k).over(w) for k in range(-r, r + 1)]
-
-
-def receptive_field(df: DataFrame, channels: Sequence[str], r: tuple[int, int, int]) -> DataFrame:
-    """subject, x, y, z and `features`: the zero-padded neighbourhood of each voxel, channels first, then x, y, z offsets.
-
-    Three passes of line windows build z rows, then planes, then boxes of values; each pass shuffles a voxel once, where a
-    join with all neighbours would shuffle the whole feature vector's length of rows.
-    """
-    rx, ry, rz = r
-    zero = lambda n: F.array_repeat(F.lit(0.0), n)
-    wz, wy = 2 * rz + 1, 2 * ry + 1
-    rows = df.select(*KEY, *[F.array(*[F.coalesce(v, F.lit(0.0)) for v in _lags(c, "z", rz)]).alias(c) for c in channels])
-    planes = rows.select(*KEY, *[F.concat(*[F.coalesce(v, zero(wz)) for v in _lags(c, "y", ry)]).alias(c) for c in channels])
-    boxes = planes.select(*KEY, *[F.concat(*[F.coalesce(v, zero(wz * wy)) for v in _lags(c, "x", rx)]).alias(c) for c in channels])
-    return boxes.select(*KEY, F.concat(*channels).alias("features"))
-
-
 def rolling_window(df: DataFrame, value: str, shape: tuple[int, int, int], size: tuple[int, int, int], stride: tuple[int, int, int] = (1, 1, 1), dilation: tuple[int, int, int] = (1, 1, 1)) -> DataFrame:
     """subject, x, y, z of a window's first voxel and `window`, its values in C order; only whole windows, every stride-th one.
 
@@ -192,22 +171,14 @@ def center_slices(df: DataFrame, shape: tuple[int, int, int]) -> DataFrame:
     return planes[0].unionByName(planes[1]).unionByName(planes[2])
 
 
-def squared_distance(df: DataFrame, c: str, shape: tuple[int, int, int], out: str = "d2") -> DataFrame:
-    """Squared distance to the subject's nearest voxel with c = 1, null if it has none: the separable transform, one pass per axis.
-
-    Each pass takes the minimum of d2 + (offset)^2 along a line; lines are as short as the grid, and no pairs of points are made.
-    """
-    df = df.withColumn(out, F.when(F.col(c) == 1, 0).cast("long"))
-    for axis in "xyz":
-        whole = line(axis).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-        near = F.collect_list(F.when(F.col(out).isNotNull(), F.struct(F.col(axis).alias("p"), F.col(out).alias("d")))).over(whole)
-        df = df.withColumn("__near", near).withColumn("__at", F.col(axis)).withColumn(out, F.array_min(F.transform("__near", lambda s: s["d"] + (s["p"] - F.col("__at")) * (s["p"] - F.col("__at"))))).drop("__near", "__at")
-    return df
+def squared_distance(df: DataFrame, c: str, out: str = "d2") -> DataFrame:
+    """Squared distance to the subject's nearest voxel with c = 1, null if it has none."""
+    return squared_distances(df, {out: c})
 
 
-def hausdorff(df: DataFrame, truth: str, predicted: str, shape: tuple[int, int, int]) -> DataFrame:
-    """Per subject the directed distance (largest from truth to prediction), the two mean nearest distances and their larger one; null if a side is empty."""
-    both = squared_distance(squared_distance(df.select(*KEY, truth, predicted), predicted, shape, "to_p"), truth, shape, "to_t")
+def hausdorff(df: DataFrame, truth: str, predicted: str) -> DataFrame:
+    """Per subject the directed distance (largest from truth to prediction), the two mean nearest distances and their larger one; null if a side is empty. Both directions are measured in the same two shuffles."""
+    both = squared_distances(df.select(*KEY, truth, predicted), {"to_p": predicted, "to_t": truth})
     at = lambda side, d: F.when((F.col(side) == 1) & F.col(d).isNotNull(), F.sqrt(F.col(d).cast("double")))
     sums = both.groupBy("subject").agg(F.max(at(truth, "to_p")).alias("hausdorff"), F.avg(at(truth, "to_p")).alias("mean_truth_to_predicted"), F.avg(at(predicted, "to_t")).alias("mean_predicted_to_truth"))
     return sums.withColumn("modified_hausdorff", F.when(F.col("mean_truth_to_predicted").isNotNull() & F.col("mean_predicted_to_truth").isNotNull(), F.greatest("mean_truth_to_predicted", "mean_predicted_to_truth")))

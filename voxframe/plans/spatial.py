@@ -116,6 +116,21 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return rounded(P.receptive_field(C.vox(spark, d), ("tmax", "mtt"), (1, 1, 0)).select(*KEY, F.posexplode("features").alias("i", "value")), 9)
 
 
+_FIELD3 = """WITH o AS (SELECT a, b, e, ((a + 3) * 7 + b + 3) * 7 + e + 3 AS i FROM range(-3, 4) a(a), range(-3, 4) b(b), range(-3, 4) e(e)),
+f AS (SELECT v.subject, v.x, v.y, v.z, count(*) AS inside, sum(n.mask) AS masked, sum((i + 1) * n.tmax) AS s0, sum((i + 344) * n.cbf) AS s1, sum((i + 687) * n.mtt) AS s2, sum((i + 1030) * n.cbv) AS s3
+ FROM vox v CROSS JOIN o JOIN vox n ON n.subject = v.subject AND n.x = v.x + o.a AND n.y = v.y + o.b AND n.z = v.z + o.e WHERE v.mask = 1 AND v.label = 1 GROUP BY ALL)
+SELECT subject, x, y, z, 1372 AS n, CAST(343 - masked AS BIGINT) AS undefined, round(s0 + s1 + s2 + s3, 3) AS weighted FROM f"""
+
+
+@query("receptive_field_rf3", W(_FIELD3, "vox"))
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """Radius 3 in all directions, four channels, for the masked voxels of lesions; the 1372 values told by their sum weighted by place."""
+    v = C.vox(spark, d).withColumn("chosen", F.when((F.col("mask") == 1) & (F.col("label") == 1), 1).otherwise(0))
+    field = P.receptive_field(v, C.CHANNELS, (3, 3, 3), "chosen", "mask")
+    weighted = F.aggregate(F.transform("features", lambda u, i: u * (i + 1)), F.lit(0.0), lambda a, b: a + b)
+    return field.select(*KEY, F.size("features").alias("n"), "undefined", F.round(weighted, 3).alias("weighted"))
+
+
 _ROLL = """WITH o AS (SELECT a, b, a * 3 + b AS i FROM range(2) a(a), range(3) b(b))
 SELECT v.subject, v.x, v.y, v.z, CAST(o.i AS INT) AS i, round(n.tmax, 9) AS value FROM vox v CROSS JOIN o JOIN vox n ON n.subject = v.subject AND n.x = v.x + 2 * o.a AND n.y = v.y + o.b AND n.z = v.z WHERE v.x % 2 = 0 AND v.x + 2 < 10 AND v.y + 2 < 6"""
 
@@ -153,18 +168,18 @@ def two_masks(spark: SparkSession, d: str) -> DataFrame:
 
 @query("nearest_point", W(_PAIRS + " SELECT subject, x, y, z, round(d, 6) AS distance FROM d", "vox"))
 def _(spark: SparkSession, d: str) -> DataFrame:
-    near = P.squared_distance(two_masks(spark, d), "predicted", SHAPE)
+    near = P.squared_distance(two_masks(spark, d), "predicted")
     return rounded(near.filter("truth = 1 AND d2 IS NOT NULL").select(*KEY, F.sqrt(F.col("d2").cast("double")).alias("distance")))
 
 
 @query("hausdorff", W(_PAIRS + " SELECT s.subject, round(max(d), 6) AS hausdorff FROM (SELECT DISTINCT subject FROM vox) s LEFT JOIN d USING (subject) GROUP BY 1", "vox"))
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(P.hausdorff(two_masks(spark, d), "truth", "predicted", SHAPE).select("subject", "hausdorff"))
+    return rounded(P.hausdorff(two_masks(spark, d), "truth", "predicted").select("subject", "hausdorff"))
 
 
 @query("modified_hausdorff", W(_PAIRS + ", a AS (SELECT subject, avg(d) AS m FROM d GROUP BY 1), b AS (SELECT subject, avg(d) AS m FROM e GROUP BY 1) SELECT s.subject, round(a.m, 6) AS mean_truth_to_predicted, round(b.m, 6) AS mean_predicted_to_truth, round(CASE WHEN a.m IS NOT NULL AND b.m IS NOT NULL THEN greatest(a.m, b.m) END, 6) AS modified_hausdorff FROM (SELECT DISTINCT subject FROM vox) s LEFT JOIN a USING (subject) LEFT JOIN b USING (subject)", "vox"))
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(P.hausdorff(two_masks(spark, d), "truth", "predicted", SHAPE).drop("hausdorff"))
+    return rounded(P.hausdorff(two_masks(spark, d), "truth", "predicted").drop("hausdorff"))
 
 
 _REGIONS = """WITH RECURSIVE g AS (SELECT subject, x, y, z, x * 30 + y * 5 + z AS id FROM vox WHERE tmax > 8.5),
