@@ -5,21 +5,22 @@ from __future__ import annotations
 import random
 import uuid
 from collections.abc import Callable, Sequence
-from concurrent.futures import ThreadPoolExecutor
 from typing import NamedTuple
 
+import numpy as np
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from voxframe.operators import fits as B
 from voxframe.operators import scoring as S
 from voxframe.operators import spatial as P
 from voxframe.operators import statistics as T
-from voxframe.sources.shared import cut, new_folder
+from voxframe.sources.shared import Scratch, cut, exists, new_folder
 
 KEY = ("subject", "x", "y", "z")
 FAILURES = (ValueError, RuntimeError, PySparkException, Py4JJavaError)
@@ -115,44 +116,82 @@ def fold_scores(scored: DataFrame, keys: Sequence[str] = ("subject",)) -> DataFr
 
 
 def done_folds(spark: SparkSession, store: str) -> set[tuple[str, int, int]]:
-    """model, repeat and fold of the scores in a store; none where there is no store yet."""
-    try:
-        return {tuple(r) for r in spark.read.parquet(store).select("model", "repeat", "fold").distinct().collect()}
-    except PySparkException:
+    """model, repeat and fold of the scores in a store; none where there is no store yet. A store that can't be read is an error."""
+    if not exists(spark, store):
         return set()
+    return {tuple(r) for r in spark.read.parquet(store).select("model", "repeat", "fold").distinct().collect()}
 
 
 def cross_validate(df: DataFrame, channels: Sequence[str], spec: Spec, k: int, repeats: int = 1, store: str | None = None, clinical: DataFrame | None = None, train_on: DataFrame | None = None) -> tuple[DataFrame, int]:
     """Scores of every test image over k folds and repeats, and the number of folds that failed.
 
-    The prepared features are written once. Folds go one after the other, each a Spark job over all its voxels, whose scores
-    are appended to `store` (a folder of its own by default) as soon as it ends: a fold that fails is counted and skipped, a
-    restart leaves out the folds that are in the store. `train_on`: subjects that only ever train, besides each fold's own.
+    Logistic regressions are fitted for all folds at once: the jobs don't grow with their number. Other estimators go fold
+    by fold. Scores are appended to `store` (a folder of its own by default) as they come, and a restart leaves out the folds
+    that are in the store; a fold that fails is counted and skipped. `train_on`: subjects that only ever train, besides each
+    fold's own.
     """
     spark = df.sparkSession
     store = store or new_folder(spark)
     voxels = spec.prepare(df) if spec.prepare else df
-    prepared = cut(features(voxels, channels, spec.radius, clinical))
-    tested = prepared if train_on is None else prepared.join(train_on, "subject", "left_anti")
-    folds, failed, done = cut(T.subject_kfold(tested, k, repeats)), 0, done_folds(spark, store)
+    if clinical is not None:
+        voxels = voxels.join(clinical.select("subject"), "subject", "left_semi")
+    tested = voxels if train_on is None else voxels.join(train_on, "subject", "left_anti")
+    folds, done = cut(T.subject_kfold(tested, k, repeats)), done_folds(spark, store)
     if train_on is not None:
         others = train_on.select("subject").distinct().withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1)))).withColumn("fold", F.lit(-1))
         folds = folds.unionByName(others)
-    for repeat in range(repeats):
-        for fold in range(k):
-            if (spec.name, repeat, fold) in done:
-                continue
-            try:
-                rows = build_fold(prepared, folds, repeat, fold)
-                scores = fold_scores(predict(fit(rows.filter("part = 'train'").drop("part"), spec), rows.filter("part = 'test'").drop("part")))
-                scores = scores.withColumns({"model": F.lit(spec.name), "repeat": F.lit(repeat), "fold": F.lit(fold)})
-                scores.write.mode("append").parquet(store)
-            except FAILURES:
-                failed += 1
-    try:
-        return spark.read.parquet(store).filter(F.col("model") == spec.name), failed
-    except PySparkException:  # every fold failed: nothing was stored
+    todo = [(repeat, fold) for repeat in range(repeats) for fold in range(k) if (spec.name, repeat, fold) not in done]
+    run = _all_folds if spec.estimator is logistic else _fold_by_fold
+    failed = run(voxels, channels, spec, folds, todo, store, clinical) if todo else 0
+    if not exists(spark, store):  # every fold failed: nothing was stored
         return spark.createDataFrame([], SCORES), failed
+    return spark.read.parquet(store).filter(F.col("model") == spec.name), failed
+
+
+def _fold_by_fold(voxels: DataFrame, channels: Sequence[str], spec: Spec, folds: DataFrame, todo: Sequence[tuple[int, int]], store: str, clinical: DataFrame | None) -> int:
+    """The prepared features are written once; each fold is a Spark job over all its voxels."""
+    prepared, failed = cut(features(voxels, channels, spec.radius, clinical)), 0
+    for repeat, fold in todo:
+        try:
+            rows = build_fold(prepared, folds, repeat, fold)
+            scores = fold_scores(predict(fit(rows.filter("part = 'train'").drop("part"), spec), rows.filter("part = 'test'").drop("part")))
+            scores = scores.withColumns({"model": F.lit(spec.name), "repeat": F.lit(repeat), "fold": F.lit(fold)})
+            scores.write.mode("append").parquet(store)
+        except FAILURES:
+            failed += 1
+    return failed
+
+
+def _all_folds(voxels: DataFrame, channels: Sequence[str], spec: Spec, folds: DataFrame, todo: Sequence[tuple[int, int]], store: str, clinical: DataFrame | None) -> int:
+    """Training rows of all folds are chosen before their features are made; each Newton step is one scan for all folds; test voxels get features and scores on the fly."""
+    spark = voxels.sparkSession
+    models = F.broadcast(spark.createDataFrame([(m, r, f) for m, (r, f) in enumerate(todo)], "model int, repeat int, fold int"))
+    placed = folds.withColumnRenamed("fold", "own").join(models, "repeat")
+    sets = placed.filter("own <> fold").select("model", "subject")
+    tests = placed.filter("own = fold").groupBy("subject").agg(F.collect_list("model").alias("tests"))
+    weights, fitted = _fit_sets(voxels, channels, spec.radius, sets, len(todo), clinical)
+    if not fitted.any():
+        return len(todo)
+    scored = _score_sets(voxels, channels, spec.radius, tests, weights, clinical, "mask").filter(F.col("model").isin([int(m) for m in np.flatnonzero(fitted)]))
+    scores = fold_scores(scored.withColumnRenamed("model", "__model"), ("__model", "subject")).join(models.withColumnRenamed("model", "__model"), "__model").drop("__model")
+    scores.withColumn("model", F.lit(spec.name)).write.mode("append").parquet(store)
+    return int((~fitted).sum())
+
+
+def _fit_sets(voxels: DataFrame, channels: Sequence[str], radius: tuple[int, int, int], sets: DataFrame, count: int, clinical: DataFrame | None) -> tuple[np.ndarray, np.ndarray]:
+    """Weights of `count` models, each of the balanced voxels of its subjects (sets: model, subject), and which could be fitted. The chosen rows' features are written once and deleted after the fits."""
+    with Scratch(voxels.sparkSession) as scratch:
+        own = scratch.cut(sets)
+        limits = scratch.cut(B.balanced_limits(voxels, own, KEY))
+        chosen = B.members(voxels, own, limits, KEY).withColumn("__train", F.when(F.size("models") > 0, 1).otherwise(0))
+        rows = scratch.cut(features(chosen, channels, radius, clinical, "__train", ("models",)))
+        one = rows.select(F.size("features").alias("n")).first()
+        return B.fit_logistics(rows, count, one["n"]) if one else (np.zeros((count, 1)), np.zeros(count, bool))
+
+
+def _score_sets(voxels: DataFrame, channels: Sequence[str], radius: tuple[int, int, int], tests: DataFrame, weights: np.ndarray, clinical: DataFrame | None, wanted: str | None) -> DataFrame:
+    """key, label, mask, model, score of each voxel by the models that test its subject (tests: subject, tests)."""
+    return B.score_all(features(voxels, channels, radius, clinical, wanted).join(tests, "subject"), weights)
 
 
 def sweep(df: DataFrame, channels: Sequence[str], specs: Sequence[Spec], k: int, store: str | None = None, clinical: DataFrame | None = None) -> DataFrame:
@@ -197,29 +236,28 @@ def subgroup_runs(df: DataFrame, groups: DataFrame, channels: Sequence[str], spe
     return out
 
 
-def leave_one_out(df: DataFrame, channels: Sequence[str], spec: Spec, most: int = 75, at_once: int = 8) -> DataFrame:
-    """key, label, mask, score of every subject's voxels, each scored by a model of at most `most` other subjects (`statistics.leave_one_out`).
+def leave_one_out(df: DataFrame, channels: Sequence[str], spec: Spec, most: int = 75) -> DataFrame:
+    """key, label, mask, score of every subject's voxels, each scored by a logistic model of at most `most` other subjects (`statistics.leave_one_out`).
 
-    A fit for each subject, some at once; each is a Spark job over its balanced training voxels. Scores are 0 outside the
-    mask, and null for a subject whose others have one class only.
+    All subjects' models are fitted together: a voxel trains the models of up to `most` subjects and is read once a step.
+    Scores are 0 outside the mask, and null for a subject whose others have one class only.
     """
-    spark, store = df.sparkSession, new_folder(df.sparkSession)
-    prepared = cut(features(df, channels, spec.radius))
-    sets = cut(T.leave_one_out(df, most))
-
-    def one(subject: int) -> None:
-        own = prepared.filter(F.col("subject") == subject)
-        train = prepared.join(F.broadcast(sets.filter(F.col("subject") == subject).select(F.col("other").alias("subject"))), "subject", "left_semi")
-        try:
-            scored = predict(fit(T.undersample_negatives(train, KEY), spec), own)
-        except ValueError:
-            scored = own.select(*KEY, "label", "mask", F.lit(None).cast("double").alias("score"))
-        scored.write.parquet(f"{store}/fit={subject}")
-
-    subjects = [r["subject"] for r in df.select("subject").distinct().orderBy("subject").collect()]
-    with ThreadPoolExecutor(at_once) as pool:
-        list(pool.map(one, subjects))
-    return spark.read.parquet(store).drop("fit") if subjects else prepared.select(*KEY, "label", "mask", F.lit(0.0).alias("score"))
+    if spec.estimator is not logistic:
+        raise ValueError("models of all subjects at once are logistic")
+    voxels = spec.prepare(df) if spec.prepare else df
+    with Scratch(df.sparkSession) as scratch:
+        numbered = scratch.cut(df.select("subject").distinct().withColumn("model", F.row_number().over(Window.orderBy("subject")) - 1))
+        sets = numbered.join(T.leave_one_out(df, most), "subject").select("model", F.col("other").alias("subject"))
+        count = numbered.count()
+        if not count:
+            return df.select(*KEY, "label", "mask", F.lit(0.0).alias("score"))
+        weights, fitted = _fit_sets(voxels, channels, spec.radius, sets, count, None)
+        tests = cut(numbered.select("subject", F.array("model").alias("tests")))
+    ok = df.sparkSession.createDataFrame([(int(m),) for m in np.flatnonzero(~fitted)], "model int").withColumn("__bad", F.lit(True))
+    if not fitted.any():
+        return features(voxels, channels, spec.radius).select(*KEY, "label", "mask", F.lit(None).cast("double").alias("score"))
+    scored = _score_sets(voxels, channels, spec.radius, tests, weights, None, None).join(ok, "model", "left")
+    return scored.select(*KEY, "label", "mask", F.when(F.col("__bad").isNull(), F.col("score")).alias("score"))
 
 
 class Range(NamedTuple):
