@@ -246,6 +246,7 @@ def test_shards(odd, documents):
 def test_tokens_equal_the_library(documents):
     texts = [r["text"] for r in documents.collect()] + ["", " ", "Don't we'll 123 <|endoftext|> héllo Ünï", "ﬁ İ ſ", "aaaaaaaa abababab !!!!!!! ...", "abcdefgh" * 20_000, "a " + "-" * 5000 + " b", "日本語", "ŉ x² \x85 a\xa0b", LONG]
     v = tokenize.vocabulary(default_tokenizer())
+    texts += ["a <|startoftext|> b", "<|endoftext|>", "<|STARTOFTEXT|>", "plain"]
     for got, want in zip(tokenize.encode(texts, default_tokenizer()), v.tokenizer.encode_batch(texts, add_special_tokens=False), strict=True):
         assert got.tolist() == want.ids
 
@@ -275,8 +276,11 @@ def test_best_fit_against_one_by_one():
 
 
 def test_packing(odd, documents):
-    tok = tokenize.vocabulary(default_tokenizer()).tokenizer
-    for df in (odd, documents):
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(default_tokenizer())
+    named = odd.filter("doc_id = 1").withColumn("text", F.explode(F.array(*map(F.lit, ["a <|startoftext|> b", "x<|endoftext|>y", "<|STARTOFTEXT|>", "<|startoftext| >"]))))
+    for df in (odd.unionByName(named.withColumn("doc_id", F.monotonically_increasing_id() + 100)), documents):
         got = packing.pack_documents(df, default_tokenizer()).toPandas()
         want = Counter()
         for r in df.select("doc_id", "text").collect():
@@ -320,7 +324,7 @@ def test_probed_cells_reach_most_neighbours(spark):
     rng = np.random.default_rng(3)
     v = (rng.normal(size=(60, 12))[rng.integers(0, 60, 6000)] * 3 + rng.normal(size=(6000, 12))).round(6)
     df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(v)], "vec_id long, embedding array<double>")
-    got = hnsw.nearest(df, F.col("vec_id") % 50 == 0, shard_rows=150).toPandas()
+    got = hnsw.nearest(df, F.col("vec_id") % 50 == 0, shard_rows=150, probes=8).toPandas()
     unit = v / np.linalg.norm(v, axis=1, keepdims=True)
     s = unit[::50] @ unit.T
     s[np.arange(120), np.arange(0, 6000, 50)] = -9
@@ -328,6 +332,27 @@ def test_probed_cells_reach_most_neighbours(spark):
     assert hit / 600 >= 0.9
 
 
+def recall(df, got) -> float:
+    part = df.toPandas()
+    v = hnsw.units(np.array(part.embedding.tolist(), float))
+    ids, hit = part.vec_id.to_numpy(), 0
+    asked = np.flatnonzero(ids % 50 == 0)
+    for q in asked:
+        s = v @ v[q]
+        s[q] = -9
+        hit += len(set(ids[np.argsort(-s)[:5]]) & set(got[got.query_id == ids[q]].vec_id))
+    return hit / (5 * len(asked))
+
+
+def test_recall_over_the_given_vectors_and_in_many_shards(spark):
+    """The whole of the table, and random vectors of 64 dimensions in twelve shards, all of which a query sees."""
+    given = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").select("vec_id", "embedding")
+    assert recall(given, hnsw.nearest(given, F.col("vec_id") % 50 == 0).toPandas()) >= 0.9
+    v = np.random.default_rng(8).normal(size=(9000, 64))
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(v)], "vec_id long, embedding array<double>")
+    assert recall(df, hnsw.nearest(df, F.col("vec_id") % 50 == 0, shard_rows=500).toPandas()) >= 0.9
+
+
 def test_work_for_a_query_grows_slower_than_the_shard():
     rng, looked = np.random.default_rng(4), []
     for n in (1000, 8000):

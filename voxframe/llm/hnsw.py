@@ -14,7 +14,6 @@ from voxframe.llm.common import cut
 
 SHARD_ROWS = 16_384
 MAX_CELLS = 4096
-PROBES = 8
 BLOCK_ROWS = 8192
 LINKS = 16
 BUILD_WIDTH = 64
@@ -187,7 +186,7 @@ def nearest_pivots(rows: DataFrame, pivots: dict[int, np.ndarray], most: int) ->
     return rows.mapInPandas(batches, f"{rows._jdf.schema().toDDL()}, cells array<int>")
 
 
-def nearest(vectors: DataFrame, wanted: Column, key: str = "vec_id", vector: str = "embedding", k: int = 5, shard_rows: int = SHARD_ROWS, probes: int = PROBES, max_cells: int = MAX_CELLS) -> DataFrame:
+def nearest(vectors: DataFrame, wanted: Column, key: str = "vec_id", vector: str = "embedding", k: int = 5, shard_rows: int = SHARD_ROWS, probes: int | None = None, max_cells: int = MAX_CELLS) -> DataFrame:
     """query_id, rank, vec_id, score: for each row of `wanted` the k nearest other rows by cosine, ties to the smaller key.
 
     Equal vectors are one node that knows its k+1 smallest keys, which is enough for any answer: a hot group of copies
@@ -195,10 +194,11 @@ def nearest(vectors: DataFrame, wanted: Column, key: str = "vec_id", vector: str
     vectors are compared with those of their own dimension. Rows with a null key are left out, rows that repeat a key are
     one candidate each by vector, and never their own neighbour. Fewer candidates give fewer ranks, an empty table none.
 
-    Every node is in the cell of its nearest pivot; pivots are a sample by hash of one node in `shard_rows`, at most
-    `max_cells`. A cell of more rows than a shard should have is cut into several by hash. A query is searched in all shards
-    of the `probes` cells nearest to it, so work for a query doesn't grow with the table until there are `max_cells` cells;
-    up to `probes` cells it meets every shard. Shards and blocks of queries are bounded by parameters.
+    Nodes are dealt to shards by hash, a query is searched in every shard and the results are merged: recall is that of a
+    single shard's graph at any size, and work for a query grows with the number of shards. Where vectors cluster, a caller
+    may choose `probes`: every node is then in the cell of its nearest pivot (a sample by hash of one node in `shard_rows`, at
+    most `max_cells`), and a query is searched in the shards of that many cells. Shards and blocks of queries are bounded by
+    parameters.
     """
     rows = vectors.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"), wanted.alias("wanted")).filter(F.col("id").isNotNull() & usable(F.col("v"))).withColumn("dim", F.size("v"))
     smallest = Window.partitionBy("v").orderBy("id")
@@ -207,12 +207,12 @@ def nearest(vectors: DataFrame, wanted: Column, key: str = "vec_id", vector: str
     pivots = {}
     for r in nodes.groupBy("dim").agg(F.count("*").alias("n")).collect():
         cells = min(max_cells, -(-r["n"] // shard_rows))
-        if cells > 1:
+        if probes and cells > 1:
             sample = nodes.filter(F.col("dim") == r["dim"]).select("v").orderBy(F.xxhash64("v"), "v").limit(cells).collect()
             pivots[r["dim"]] = units(np.array([x["v"] for x in sample], np.float64))
     placed = cut(nearest_pivots(nodes, pivots, 1).withColumn("cell", F.col("cells")[0]).drop("cells"))
     queries = rows.filter("wanted").select("id", "v", "dim").dropDuplicates(["id", "v"])
-    queries = cut(nearest_pivots(queries, pivots, probes).withColumn("cell", F.explode("cells")).drop("cells"))
+    queries = cut(nearest_pivots(queries, pivots, probes or 1).withColumn("cell", F.explode("cells")).drop("cells"))
     # A row for each cell, at most max_cells of each dimension.
     parts = F.ceil(F.col("count") / (1.5 * shard_rows)).cast("int")
     sizes = placed.groupBy("dim", "cell").count().select("dim", "cell", parts.alias("parts"))

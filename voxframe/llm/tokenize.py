@@ -1,8 +1,8 @@
 """Token ids of many texts at once with a word-level byte-pair vocabulary file (lower case, word ends, white space dropped).
 
 Texts of plain Latin letters are handled with array operations: words are found and hashed together, each distinct word is
-merged once, and its ids are copied to its occurrences. Any other text, and any with a word of more than 64 letters, goes
-through the tokenizers library itself.
+merged once, and its ids are copied to its occurrences. Any other text, any with a word of more than 64 letters, and any that
+holds the string of a special token, goes through the tokenizers library itself.
 """
 
 from __future__ import annotations
@@ -27,6 +27,7 @@ LONG_WORD = 64
 
 class Vocabulary(NamedTuple):
     tokenizer: object
+    special: tuple[str, ...]  #: lower-case strings of the file's own tokens, which the library looks for in texts
     symbol: np.ndarray  #: id of each byte inside a word
     final: np.ndarray  #: id of each byte at a word's end
     key: np.ndarray  #: hash table of mergeable pairs, -1 where empty
@@ -44,7 +45,7 @@ def vocabulary(path: str) -> Vocabulary:
 
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
+    special = tuple({t.content.lower() for t in tokenizer.get_added_tokens_decoder().values()})
     with open(path, encoding="utf-8") as f:
         model = json.load(f)["model"]
     ids = model["vocab"]
@@ -62,7 +63,7 @@ def vocabulary(path: str) -> Vocabulary:
             at = at + 1 & (1 << TABLE_BITS) - 1
         if table[at] < 0:
             table[at], rank[at], merged[at] = k, r, ids[a + b]
-    return Vocabulary(tokenizer, symbol, final, table, rank, merged)
+    return Vocabulary(tokenizer, special, symbol, final, table, rank, merged)
 
 
 @lru_cache(maxsize=1)
@@ -117,7 +118,7 @@ def _spread(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 
 def encode(texts: Sequence[str], path: str) -> list[np.ndarray]:
-    """The ids of each text (uint32), without special tokens; their strings in a text are ordinary text."""
+    """The ids of each text (uint32) as the library gives them: none added, strings of special tokens in a text are these tokens."""
     v = vocabulary(path)
     out = [np.zeros(0, np.uint32)] * len(texts)
     chars = code_points("\n".join(texts))
@@ -130,7 +131,8 @@ def encode(texts: Sequence[str], path: str) -> list[np.ndarray]:
     start, end = np.concatenate(([0], edge)), np.concatenate((edge, [len(chars)]))
     kept = kind[start] != SPACE
     start, end = start[kept], end[kept]
-    foreign = np.unique(np.concatenate((owner(np.flatnonzero(kind == FOREIGN)), owner(start[end - start > LONG_WORD]))))
+    named = [k for k, t in enumerate(texts) if any(x in t.lower() for x in v.special)]
+    foreign = np.unique(np.concatenate((owner(np.flatnonzero(kind == FOREIGN)), owner(start[end - start > LONG_WORD]), named))).astype(np.int64)
     if len(foreign):
         for k, e in zip(foreign, v.tokenizer.encode_batch_fast([texts[k] for k in foreign], add_special_tokens=False), strict=True):
             out[k] = np.array(e.ids, np.uint32)

@@ -70,6 +70,8 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
 
 #: Days between crawl rounds, and rounds after the first.
 ROUND_DAYS, ROUNDS = 30, 3
+#: Seconds by which pages of one URL are visited apart, so that a URL of many pages is spread over a round.
+PAGE_STEP = 7919
 
 
 def page_captures(pages: DataFrame) -> DataFrame:
@@ -83,7 +85,7 @@ def page_captures(pages: DataFrame) -> DataFrame:
     changed = (F.col("h") % 5 == 0) & (F.col("round") >= 2)
     version = F.when(changed, F.md5(F.concat(F.col("md5"), F.lit("/2")))).otherwise(F.col("md5"))
     full = ((F.col("round") == 0) & (F.col("h") % 17 != 0)) | ((F.col("round") == 2) & (F.col("h") % 5 == 0))
-    seconds = F.lit(1704067200) + F.col("round") * (ROUND_DAYS * 86400) + F.col("h") % (ROUND_DAYS * 86400)
+    seconds = F.lit(1704067200) + F.col("round") * (ROUND_DAYS * 86400) + (F.col("h") + F.coalesce(F.col("page_id"), F.lit(0)) * PAGE_STEP) % (ROUND_DAYS * 86400)
     etag = F.when(F.col("h") % 3 == 0, F.lit(None)).when(~full & (F.col("h") % 11 == 0), F.lit("stale")).otherwise(F.substring("version", 1, 16))
     base = rounds.withColumns({"version": version, "is_full": full, "seconds": seconds})
     modified = F.concat(F.lit("round "), F.when(changed, 2).otherwise(0).cast("string"))
@@ -111,7 +113,7 @@ _PARAMS = "list_sort(list_filter(string_split(regexp_extract(rest, '\\?(.*)$', 1
 ORACLE_SQL = rf"""
 WITH b AS (SELECT page_id, url, regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS rest, ('0x' || substr(md5(coalesce(url, '')), 1, 7))::BIGINT AS h, md5(coalesce(html, '')) AS m, length(html) AS n FROM pages),
 k AS (SELECT *, regexp_replace(regexp_replace(lower(regexp_extract(rest, '^[^/?]*')), '^(www|m)\.', ''), ':(80|443)$', '') || regexp_replace(regexp_extract(rest, '^[^/?]*([^?]*)', 1), '/+$', '') || CASE WHEN len({_PARAMS}) > 0 THEN '?' || array_to_string({_PARAMS}, '&') ELSE '' END AS canonical_url FROM b),
-r AS (SELECT *, h % 5 = 0 AND round >= 2 AS changed, (round = 0 AND h % 17 <> 0) OR (round = 2 AND h % 5 = 0) AS is_full, 1704067200 + round * {ROUND_DAYS * 86400} + h % {ROUND_DAYS * 86400} AS ts FROM k, range({ROUNDS + 1}) t(round)),
+r AS (SELECT *, h % 5 = 0 AND round >= 2 AS changed, (round = 0 AND h % 17 <> 0) OR (round = 2 AND h % 5 = 0) AS is_full, 1704067200 + round * {ROUND_DAYS * 86400} + (h + page_id * {PAGE_STEP}) % {ROUND_DAYS * 86400} AS ts FROM k, range({ROUNDS + 1}) t(round)),
 v AS (SELECT *, CASE WHEN changed THEN md5(m || '/2') ELSE m END AS version FROM r),
 c AS (SELECT page_id * 4 + round AS record_id, canonical_url, ts, round, n, is_full, version, CASE WHEN h % 3 = 0 THEN NULL WHEN NOT is_full AND h % 11 = 0 THEN 'stale' ELSE substr(version, 1, 16) END AS etag, CASE WHEN h % 7 <> 0 THEN 'round ' || CASE WHEN changed THEN 2 ELSE 0 END END AS modified FROM v),
 j AS (SELECT a.record_id, arg_max(f.record_id, (f.ts, f.record_id)) AS of FROM c a JOIN c f ON f.is_full AND f.canonical_url = a.canonical_url AND f.ts < a.ts WHERE NOT a.is_full GROUP BY 1),
