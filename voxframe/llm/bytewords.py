@@ -10,7 +10,7 @@ import numpy as np
 from voxframe.llm.text import BASE, mix, powers
 
 #: Bytes hashed at once; a longer word is hashed by itself.
-BLOCK = 1 << 20
+BLOCK = (1 << 18) - 2
 WORD, SPACE, BREAK = 0, 1, 2
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32

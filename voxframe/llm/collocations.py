@@ -20,7 +20,7 @@ LONGEST, LEAST, BEST = 5, 100, 2000
 #: Texts read at once, in bytes; words of an encoded row, and those counted together, at most.
 SLICE, ROW, GROUP = 1 << 20, 1 << 18, 1 << 19
 #: Texts taken from a batch at once, and distinct words that a task holds before it hands their counts on.
-ROWS, HELD = 1 << 9, 1 << 16
+ROWS, HELD = 1 << 9, 1 << 17
 #: Share of all word occurrences that the first frontier's words have; each later one's has four times as many.
 SHARE = 1 / 4
 #: Bits of a filter for each key, and bits at most (16 MB); a fuller filter lets more through, which costs time and changes nothing.
@@ -132,9 +132,9 @@ def _grouped(encoded: DataFrame, work, schema: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list[np.ndarray]] = {}
         for batch in batches:
-            for lang, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for lang, ids in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 rows = held.setdefault(lang, [])
-                rows += [np.frombuffer(ids, np.uint64), np.zeros(1, np.uint64)]
+                rows += [np.frombuffer(ids.as_buffer(), np.uint64), np.zeros(1, np.uint64)]
                 if sum(map(len, rows)) > GROUP:
                     yield from work(lang, np.concatenate(held.pop(lang)))
         for lang, rows in held.items():
