@@ -16,6 +16,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from voxframe.operators import boosting as G
 from voxframe.operators import fits as B
 from voxframe.operators import scoring as S
 from voxframe.operators import spatial as P
@@ -53,6 +54,12 @@ def boosted(rounds: int = 999, depth: int = 1, rate: float = 0.4, subsample: flo
     return make
 
 
+def boosted_stumps(**rules: float) -> Callable[[int], G.BoostedStumps]:
+    """Boosted stumps with regularised gain (`boosting.Rules`, of which any value can be given); ended after `patience` rounds that gain nothing on the held-out tenth."""
+    chosen = [float(v) for v in G.Rules(**rules)]
+    return lambda n: G.BoostedStumps(rules=chosen)
+
+
 def features(df: DataFrame, channels: Sequence[str], radius: tuple[int, int, int], clinical: DataFrame | None = None, wanted: str | None = None, keep: Sequence[str] = ()) -> DataFrame:
     """df's key, label, mask, the columns of `keep` and `features`: channels' values, with a radius those of the neighbourhood and at last the number of undefined neighbours; before it a subject's clinical columns.
 
