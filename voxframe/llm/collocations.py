@@ -17,8 +17,9 @@ from voxframe.llm.text import BASE, mix, slices
 KIND = kinds(b" \t", b".,;:!?\n\v\f\r")
 UNKNOWN = "und"
 LONGEST, LEAST, BEST = 5, 100, 2000
-#: Texts read at once, in bytes; words of an encoded row, and those counted together, at most.
-SLICE, ROW, GROUP = 1 << 20, 1 << 18, 1 << 19
+#: Texts read at once, in bytes; words of an encoded row, unless a piece is longer, and those counted together. Readers hold
+#: thousands of rows at once, so rows are small.
+SLICE, ROW, GROUP = 1 << 20, 1 << 10, 1 << 19
 #: Texts taken from a batch at once, and distinct words that a task holds before it hands their counts on.
 ROWS, HELD = 1 << 9, 1 << 17
 #: Share of all word occurrences that the first frontier's words have; each later one's has four times as many.
@@ -31,6 +32,13 @@ def lang_salt(lang: str) -> int:
     return int.from_bytes(hashlib.blake2b(lang.encode(), digest_size=8).digest(), "little")
 
 
+def rows_of(ids: np.ndarray) -> list[bytes]:
+    """The ids in rows of about ROW words that end at breaks (zeros, which are left out at the ends)."""
+    zeros = np.flatnonzero(ids == 0)
+    ends = zeros[np.unique(np.searchsorted(zeros, np.arange(ROW, len(ids), ROW)).clip(max=max(len(zeros) - 1, 0)))] if len(zeros) else zeros
+    return [row.tobytes() for row in (ids[a:b] for a, b in zip([0, *(ends + 1)], [*ends, len(ids)], strict=True)) if len(row)]
+
+
 def _encode(seed: int):
     """Texts as rows of word hashes (0: a break that no phrase crosses) and rows of word counts."""
     names = ["lang", "ids", "word", "h", "c"]
@@ -60,14 +68,7 @@ def _encode(seed: int):
                         continue
                     gap = np.flatnonzero(np.diff(w.breaks)) + 1
                     ids = np.insert(w.hash, gap, 0)
-                    ends, zeros = [0], np.flatnonzero(ids == 0)
-                    while len(ids) - ends[-1] > ROW:  # rows end at breaks
-                        k = np.searchsorted(zeros, ends[-1] + ROW)
-                        k = k - 1 if k and zeros[k - 1] > ends[-1] else k
-                        if k >= len(zeros):
-                            break
-                        ends.append(int(zeros[k]))
-                    yield encoded(lang, [ids[a:b].tobytes() for a, b in zip(ends, [*ends[1:], len(ids)], strict=True)])
+                    yield encoded(lang, rows_of(ids))
                     value, at, n = np.unique(w.hash, return_index=True, return_counts=True)
                     lower = data.lower()
                     for h, s, e, c in zip(value.view(np.int64).tolist(), w.start[at].tolist(), w.end[at].tolist(), n.tolist(), strict=True):
@@ -130,15 +131,16 @@ def _grouped(encoded: DataFrame, work, schema: str) -> DataFrame:
     """work(lang, ids) over the encoded rows, some of a language at once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, list[np.ndarray]] = {}
+        held: dict[str, bytearray] = {}
         for batch in batches:
             for lang, ids in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                rows = held.setdefault(lang, [])
-                rows += [np.frombuffer(ids.as_buffer(), np.uint64), np.zeros(1, np.uint64)]
-                if sum(map(len, rows)) > GROUP:
-                    yield from work(lang, np.concatenate(held.pop(lang)))
+                rows = held.setdefault(lang, bytearray())  # a copy, so that no batch is kept by a row of it
+                rows += ids.as_buffer()
+                rows += bytes(8)
+                if len(rows) > 8 * GROUP:
+                    yield from work(lang, np.frombuffer(held.pop(lang), np.uint64))
         for lang, rows in held.items():
-            yield from work(lang, np.concatenate(rows))
+            yield from work(lang, np.frombuffer(rows, np.uint64))
 
     return encoded.mapInArrow(run, schema)
 
@@ -204,7 +206,8 @@ def stretches(encoded: DataFrame, frequent: Filter, open_: Filter, pairs: Filter
         kept = np.cumsum(edge[:-1]) > 0
         if kept.any():
             some = np.where(kept, ids, 0)[kept | np.concatenate(([False], kept[:-1]))]
-            yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([some.tobytes()], pa.binary())], names=["lang", "ids"])
+            rows = rows_of(some)
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(rows)), pa.array(rows, pa.binary())], names=["lang", "ids"])
 
     return _grouped(encoded, work, "lang string, ids binary")
 
