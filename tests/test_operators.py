@@ -111,6 +111,28 @@ def test_fuzzy_match_against_all_pairs(spark):
         assert got.b["Katherine"] == "Catherine"
 
 
+def test_name_match_against_all_pairs(spark, monkeypatch):
+    """Same choices as the standard library over all pairs, also with every group split; few pairs are candidates of the strict pass."""
+    from difflib import SequenceMatcher, get_close_matches
+
+    rng = np.random.default_rng(14)
+    some = lambda n: ["".join(rng.choice(list("abcdefgh"), rng.integers(1, 15))) for _ in range(n)]
+    left, right = ["KATHERINE^MEYER^19500101", "MEIER^ANNA", "ab", "", None, "ab", "Zoë", *some(120)], ["CATHERINE^MEYER^19500101", "ANNA^MEIER", "ba", "", None, "Zoe", *some(120)]
+    l, r = (spark.createDataFrame([(x,) for x in names], "name string") for names in (left, right))
+    real = sorted({x for x in right if x})
+    for least, group in ((0.6, 1000), (0.6, 3), (0.3, 1000), (0.8, 1000), (1.0, 1000)):
+        monkeypatch.setattr(CO, "GROUP", group)
+        want = {}
+        for x in {x for x in left if x}:
+            if found := get_close_matches(x, real, 1, least):
+                want[x] = (found[0], SequenceMatcher(None, x, found[0]).ratio())
+        got = CO.block_match(l, r, least=least).collect()
+        assert len(got) == len(want) and {g["a"]: (g["b"], g["ratio"]) for g in got} == want
+    numbers = spark.range(200).select(F.format_string("Person%05d", F.col("id") * 7919 % 100_000).alias("a"))
+    assert CO.sharing_names(numbers, numbers.withColumnRenamed("a", "b"), 0.9).count() < 40_000 / 4
+    assert CO.block_match(l.filter("false"), r).count() == CO.block_match(l, r.filter("false")).count() == 0
+
+
 def test_regions_against_flood_fill(spark):
     values = (np.random.default_rng(5).random((7, 6, 5)) > 0.55).astype(float)
     seen, sizes = np.zeros(values.shape, bool), {}

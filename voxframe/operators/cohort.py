@@ -4,11 +4,18 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from difflib import SequenceMatcher
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
+
+from voxframe.sources.shared import cut
 
 CLOSE = 0.8
+#: Least ratios of the passes of block_match; names in one group of a join, at most about.
+PASSES, GROUP = (0.9, 0.75), 1000
 
 
 def select_channels(inventory: DataFrame, prefixes: Sequence[str], both_of: str = "TRACE") -> DataFrame:
@@ -89,6 +96,59 @@ def fuzzy_match(left: DataFrame, right: DataFrame, name: str = "name", least: fl
     return close.unionByName(best(l.join(close, "a", "left_anti"), least))
 
 
+@F.pandas_udf(DoubleType())
+def block_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Twice the letters in matching blocks over all letters: the longest common block first, then the same on its left and right."""
+    return pd.Series([SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
+
+
+def sharing_names(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
+    """a, b: the pairs of distinct names left.a and right.b, not empty, that share enough letters (with repeats) for a block ratio of `least`.
+
+    A pair of ratio t shares t (la + lb) / 2 letters, so each name of n letters shares at least s = ceil(n t / (2 - t)) of
+    them. Then two of the n - s + 2 rarest letters of each are common: names meet by pairs of those, or by single letters
+    where a name is so short that one common letter does. Groups of over 1000 names are split on both sides.
+    """
+    tokens, taken = F.transform(numbered_grams(F.col("name"), 1), lambda s: F.concat(s["g"], s["m"].cast("string"))), F.col("n") - F.ceil(F.col("n") * (least / (2 - least)) - 1e-9)
+    both = left.select(F.lit(True).alias("of_left"), F.col("a").alias("name")).unionByName(right.select(F.lit(False).alias("of_left"), F.col("b").alias("name")))
+    names = both.filter("name <> ''").withColumns({"n": F.length("name"), "tokens": tokens})
+    often = names.select(F.explode("tokens").alias("t")).groupBy("t").agg(F.count("*").alias("c"))
+    # Letters times their most repeats in a name; ranks go by count, ties by letter.
+    ranked = names.select("of_left", "name", "n", "tokens", F.explode("tokens").alias("t")).join(often, "t").groupBy("of_left", "name", "n", "tokens").agg(F.sort_array(F.collect_list(F.struct("c", "t"))).alias("by"))
+    rare = ranked.withColumn("rare", F.slice(F.transform("by", lambda s: s["t"]), F.lit(1), F.least(F.col("n"), taken + 2).cast("int"))).drop("by")
+    short = math.floor((2 - least) / least + 1e-9)  # longest name of which one common letter may be enough
+    near = math.floor(short * (2 - least) / least + 1e-9)
+    pairs = F.flatten(F.transform("rare", lambda x, i: F.transform(F.slice("rare", i + 2, F.size("rare")), lambda y: F.concat_ws(" ", x, y))))
+    keyed = rare.filter(F.col("n") > short).withColumn("key", F.explode(pairs)).unionByName(rare.filter(F.col("n") <= near).withColumn("key", F.explode("rare")))
+    sides = [keyed.filter(F.col("of_left") == of).select("key", F.col("name").alias(c), F.col("n").alias(f"n_{c}"), F.col("tokens").alias(f"t_{c}")) for c, of in (("a", True), ("b", False))]
+    parts = [s.groupBy("key").agg(F.ceil(F.count("*") / GROUP).cast("int").alias(f"p_{c}")) for c, s in zip("ab", sides, strict=True)]
+    parts = parts[0].join(parts[1], "key")
+    a, b = (s.join(parts, "key").withColumns({f"s_{c}": F.pmod(F.xxhash64(c), F.col(f"p_{c}")).cast("int"), f"s_{d}": F.explode(F.sequence(F.lit(0), F.col(f"p_{d}") - 1))}).drop("p_a", "p_b") for c, d, s in zip("ab", "ba", sides, strict=True))
+    total, low = F.col("n_a") + F.col("n_b"), F.least("n_a", "n_b")
+    met = a.join(b, ["key", "s_a", "s_b"]).filter(2 * low >= least * total - 1e-9).filter(2 * F.size(F.array_intersect("t_a", "t_b")) >= least * total - 1e-9)
+    return met.select("a", "b").distinct()
+
+
+def block_match(left: DataFrame, right: DataFrame, name: str = "name", least: float = 0.6) -> DataFrame:
+    """a, b, ratio: each distinct left name with the right name whose matching blocks cover most, if at least `least`; ties to the larger name, exact over all pairs.
+
+    The choice goes by the ratio of (right, left), the result is that of (left, right); they rarely differ. Null and empty
+    names match nothing; repeated names count once. Names that have a match in a strict pass, where few rare letters decide,
+    are done; only the others are searched further down.
+    """
+    if not 0 < least <= 1:
+        raise ValueError("least must be over 0 and at most 1")
+    r, rest = right.select(F.col(name).alias("b")).distinct(), left.select(F.col(name).alias("a")).distinct()
+    done = None
+    for step in [*(s for s in PASSES if s > least), least]:
+        scored = sharing_names(rest, r, step).withColumn("r", block_ratio("b", "a")).filter(F.col("r") >= step)
+        best = scored.groupBy("a").agg(F.max(F.struct("r", "b")).alias("m")).select("a", F.col("m.b").alias("b"))
+        best = cut(best.withColumn("ratio", block_ratio("a", "b")))
+        done = best if done is None else done.unionByName(best)
+        rest = rest.join(best, "a", "left_anti")
+    return done
+
+
 def cohort_filter(subjects: DataFrame, clinical: DataFrame, treated_before: Column) -> DataFrame:
     """subject, included, reason: left out if treated before imaging or not in the clinical table."""
     c = clinical.select("subject", treated_before.alias("__early"))

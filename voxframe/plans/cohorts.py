@@ -98,6 +98,14 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return rounded(O.fuzzy_match(p, other))
 
 
+@query("block_match")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """Names against others with a changed end, a lost stretch or swapped words, by matching blocks."""
+    p = C.read(spark, d, "part").select("p_partkey", F.concat_ws("^", "p_name", "p_brand").alias("name"))
+    other = F.expr("CASE p_partkey % 3 WHEN 0 THEN concat(left(name, length(name) - 1), 'x') WHEN 1 THEN concat(left(name, 3), substring(name, 8)) ELSE concat_ws(' ', reverse(split(name, ' '))) END")
+    return rounded(O.block_match(p, p.select(other.alias("name"))))
+
+
 @query("merge_cohort", W("SELECT o_orderkey, c.subject, age, sex FROM orders LEFT JOIN clin c ON c.subject = o_custkey AND c.subject % 2 = 0", "clin"))
 def _(spark: SparkSession, d: str) -> DataFrame:
     o = C.read(spark, d, "orders").select("o_orderkey", "o_custkey")
