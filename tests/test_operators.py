@@ -228,6 +228,44 @@ def test_constant_single_and_empty_groups(spark):
     assert CO.fuzzy_match(names, names).count() == 0
 
 
+def test_exact_rank_tests_against_enumeration(spark):
+    """All choices of signs and of ranks for up to 12 values, with ties; the published tail of five equal signs; none beyond the limits."""
+    from itertools import combinations, product
+
+    rng = np.random.default_rng(15)
+
+    def ranks(values: list[float]) -> list[float]:
+        return [sum(w < v for w in values) + (sum(w == v for w in values) + 1) / 2 for v in values]
+
+    signed, groups = [], []
+    for g in range(14):
+        n = g % 12 + 1
+        signed += [(g, float(rng.integers(-4, 5)), 0.0) for _ in range(n)]
+        groups += [(g, float(rng.integers(0, 6)), bool(k < max(1, n // 3))) for k in range(n)]
+    signed += [(50, float(k + 1), 0.0) for k in range(5)] + [(51, float(k + 1), 0.0) for k in range(26)]
+    groups += [(51, float(k), k < 10) for k in range(31)]
+    got = {r["g"]: r for r in T.wilcoxon(spark.createDataFrame(signed, "g int, a double, b double"), ["g"]).collect()}
+    for g in [*range(14), 50]:
+        d = [a for h, a, _ in signed if h == g and a]
+        if not d:
+            assert g not in got
+            continue
+        r = ranks([abs(v) for v in d])
+        plus = [sum(x for x, s in zip(r, signs, strict=True) if s) for signs in product((0, 1), repeat=len(d))]
+        w = min(got[g]["w_plus"], got[g]["w_minus"])
+        assert got[g]["p_exact"] == pytest.approx(min(1, 2 * sum(x <= w for x in plus) / len(plus)))
+    assert got[50]["p_exact"] == 0.0625 and got[51]["p_exact"] is None and got[51]["p"] is not None
+    got = {r["g"]: r for r in T.mann_whitney(spark.createDataFrame(groups, "g int, v double, f boolean"), ["g"], "v", F.col("f")).collect()}
+    for g in range(14):
+        own = [f for h, _, f in groups if h == g]
+        r = ranks([v for h, v, _ in groups if h == g])
+        sums = [sum(c) for c in combinations(r, sum(own))]
+        w = sum(x for x, f in zip(r, own, strict=True) if f)
+        want = min(1, 2 * min(sum(x <= w for x in sums), sum(x >= w for x in sums)) / len(sums)) if 0 < sum(own) < len(own) else None
+        assert got[g]["p_exact"] == (want if want is None else pytest.approx(want))
+    assert got[51]["p_exact"] is None and got[51]["p"] is not None
+
+
 def test_exact_quantiles(spark):
     from voxframe.operators.quantiles import exact_quantiles, order_statistics
 

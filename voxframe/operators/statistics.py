@@ -7,6 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Differences, and values of both sides together, up to which p_exact is given.
+EXACT_PAIRS, EXACT_VALUES = 25, 30
+
 
 def normal_tail(z: Column) -> Column:
     """Two-sided tail of the standard normal distribution by a rational approximation of erfc (error under 1.2e-7)."""
@@ -19,38 +22,73 @@ def normal_tail(z: Column) -> Column:
     return t * F.exp(-x * x + series)
 
 
+def doubled_ranks() -> Column:
+    """Twice the ranks (whole numbers, even with ties) of groups that are small enough for exact counts."""
+    return F.collect_list(F.when(F.col("__few"), (2 * F.col("__r")).cast("int")))
+
+
 def mean_rank(by: Sequence[str], value: Column) -> Column:
     """Rank with the mean of tied places."""
     w = Window.partitionBy(*by).orderBy(value)
     return F.rank().over(w) + (F.count("*").over(Window.partitionBy(*by, value)) - 1) / 2.0
 
 
+def subset_counts(shifts: Column, size: Column) -> Column:
+    """At index s (from 0, under `size`) the number of subsets of the array `shifts` of whole numbers whose sum is s, by adding one number at a time."""
+    none = F.array_repeat(F.lit(0).cast("long"), (size - 1).cast("int"))
+    moved = lambda acc, by: F.slice(F.concat(F.array_repeat(F.lit(0).cast("long"), by), acc), F.lit(1), size.cast("int"))
+    return F.aggregate(shifts, F.concat(F.array(F.lit(1).cast("long")), none), lambda acc, by: F.zip_with(acc, moved(acc, by), lambda x, y: x + y))
+
+
+def total(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0).cast("long"), lambda acc, x: acc + x)
+
+
 def wilcoxon(pairs: DataFrame, keys: Sequence[str], a: str = "a", b: str = "b") -> DataFrame:
-    """Signed-rank test: keys, n, w_plus, w_minus, z, p.
+    """Signed-rank test: keys, n, w_plus, w_minus, z, p, p_exact.
 
-    Zero differences are dropped, ties get mean ranks, p is the normal approximation with tie correction. Groups are the
-    folds of a run, so windows by key stay small.
+    Zero differences are dropped, ties get mean ranks, p is the normal approximation with tie correction. p_exact counts
+    which share of all choices of signs is as far out, two-sided, given the ties; null for more than 25 differences. Groups
+    are the folds of a run, so windows by key stay small.
     """
     d = pairs.withColumn("__d", F.round(F.col(a) - F.col(b), 12)).filter("__d <> 0").withColumn("__abs", F.abs("__d"))
-    ranked = d.withColumns({"__r": mean_rank(keys, F.col("__abs")), "__t": F.count("*").over(Window.partitionBy(*keys, "__abs"))})
+    ranked = d.withColumns({"__r": mean_rank(keys, F.col("__abs")), "__t": F.count("*").over(Window.partitionBy(*keys, "__abs")), "__few": F.count("*").over(Window.partitionBy(*keys)) <= EXACT_PAIRS})
     signed = lambda c: F.coalesce(F.sum(F.when(c, F.col("__r"))), F.lit(0.0))
-    s = ranked.groupBy(*keys).agg(F.count("*").alias("n"), signed(F.col("__d") > 0).alias("w_plus"), signed(F.col("__d") < 0).alias("w_minus"), F.sum(F.col("__t") * F.col("__t") - 1).alias("__ties"))
+    s = ranked.groupBy(*keys).agg(F.count("*").alias("n"), signed(F.col("__d") > 0).alias("w_plus"), signed(F.col("__d") < 0).alias("w_minus"), F.sum(F.col("__t") * F.col("__t") - 1).alias("__ties"), doubled_ranks().alias("__ranks"))
     n = F.col("n")
     var = n * (n + 1) * (2 * n + 1) / 24.0 - F.col("__ties") / 48.0
     z = F.when(var > 0, (F.least("w_plus", "w_minus") - n * (n + 1) / 4.0) / F.sqrt(var))
-    return s.withColumn("z", z).withColumn("p", normal_tail(F.col("z"))).drop("__ties")
+    few = F.least(n, F.lit(EXACT_PAIRS))  # no long array for groups without exact counts, whatever is evaluated
+    counts = subset_counts(F.col("__ranks"), few * (few + 1) + 1)
+    below = total(F.slice(counts, F.lit(1), (2 * F.least("w_plus", "w_minus") + 1).cast("int")))
+    exact = F.when(n <= EXACT_PAIRS, F.least(F.lit(1.0), 2 * below / F.pow(F.lit(2.0), n)))
+    return s.withColumn("z", z).withColumns({"p": normal_tail(F.col("z")), "p_exact": exact}).drop("__ties", "__ranks")
 
 
 def mann_whitney(df: DataFrame, keys: Sequence[str], value: str, first: Column) -> DataFrame:
-    """U test of the rows where `first` holds against the others: keys, n1, n2, u, z, p; mean ranks, tie and continuity correction. z and p are null for a single row, an empty side or equal values only."""
-    r = df.withColumns({"__g": first.cast("int"), "__r": mean_rank(keys, F.col(value)), "__t": F.count("*").over(Window.partitionBy(*keys, value))})
-    s = r.groupBy(*keys).agg(F.sum("__g").alias("n1"), F.sum(1 - F.col("__g")).alias("n2"), F.sum(F.col("__g") * F.col("__r")).alias("__r1"), F.sum(F.col("__t") * F.col("__t") - 1).alias("__ties"))
+    """U test of the rows where `first` holds against the others: keys, n1, n2, u, z, p, p_exact; mean ranks, tie and continuity correction.
+
+    z and p are null for a single row, an empty side or equal values only. p_exact counts which share of all ways to choose
+    n1 of the ranks is as far out, two-sided, given the ties; null for an empty side or more than 30 rows.
+    """
+    r = df.withColumns({"__g": first.cast("int"), "__r": mean_rank(keys, F.col(value)), "__t": F.count("*").over(Window.partitionBy(*keys, value)), "__few": F.count("*").over(Window.partitionBy(*keys)) <= EXACT_VALUES})
+    s = r.groupBy(*keys).agg(F.sum("__g").alias("n1"), F.sum(1 - F.col("__g")).alias("n2"), F.sum(F.col("__g") * F.col("__r")).alias("__r1"), F.sum(F.col("__t") * F.col("__t") - 1).alias("__ties"), doubled_ranks().alias("__ranks"))
     n1, n2 = F.col("n1"), F.col("n2")
     n = n1 + n2
     u = F.col("__r1") - n1 * (n1 + 1) / 2.0
     var = n1 * n2 / 12.0 * ((n + 1) - F.try_divide(F.col("__ties"), n * (n - 1)))
     z = F.when(var > 0, F.greatest(F.abs(u - n1 * n2 / 2.0) - 0.5, F.lit(0.0)) / F.sqrt(var))
-    return s.withColumn("u", u).withColumn("z", z).withColumn("p", normal_tail(F.col("z"))).drop("__r1", "__ties")
+    # Subsets of k ranks with doubled sum s are counted at index k * width + s: each rank taken moves by its sum and one width.
+    few = F.least(n, F.lit(EXACT_VALUES))
+    width = few * (few + 1) + 1
+    counts = subset_counts(F.transform("__ranks", lambda x: (x + width).cast("int")), (F.least(n1, few) + 1) * width)
+    chosen = F.slice(F.when((n <= EXACT_VALUES) & (n1 > 0) & (n2 > 0), counts), (n1 * width + 1).cast("int"), width.cast("int"))
+    at = (2 * F.col("__r1")).cast("int") + 1
+    s = s.withColumns({"u": u, "z": z, "__chosen": chosen})
+    low, high = total(F.slice("__chosen", F.lit(1), at)), total(F.slice("__chosen", at, width.cast("int")))
+    exact = F.least(F.lit(1.0), 2 * F.least(low, high) / total(F.col("__chosen")))
+    exact = F.when(F.col("__chosen").isNotNull(), exact)
+    return s.withColumns({"p": normal_tail(F.col("z")), "p_exact": exact}).drop("__r1", "__ties", "__ranks", "__chosen")
 
 
 def hash_order(seed: str, *keys: str) -> Column:

@@ -35,17 +35,31 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return rounded(T.pair_runs(C.runs(spark, d), 1))
 
 
-@query("wilcoxon", W(tail_sql(_WILCOXON, "model, rf, n, w_plus, w_minus"), "runs"))
+_SIGNED = f"""SELECT model, rf, (2 * (rank() OVER (PARTITION BY model, rf ORDER BY abs(d)) + (count(*) OVER (PARTITION BY model, rf, abs(d)) - 1) / 2.0))::BIGINT AS r, d > 0 AS up, row_number() OVER (PARTITION BY model, rf ORDER BY abs(d)) AS nth FROM (
+SELECT model, rf, round(a - b, 12) AS d FROM ({_PAIRS})) WHERE d <> 0"""
+# Choices of signs are counted by their sum of doubled ranks, one difference after another.
+_EXACT_SIGNED = f"""SELECT model, rf, least(1.0, 2 * sum(ways) FILTER (s <= least(w, v)) / sum(ways)) AS p_exact FROM (WITH RECURSIVE d AS MATERIALIZED ({_SIGNED}), c AS (
+SELECT DISTINCT model, rf, 0::BIGINT AS i, 0::BIGINT AS s, 1.0::DOUBLE AS ways FROM d UNION ALL
+SELECT c.model, c.rf, c.i + 1, c.s + t * r, sum(ways) FROM c JOIN d ON d.model = c.model AND d.rf = c.rf AND nth = i + 1 CROSS JOIN (VALUES (0), (1)) t(t) GROUP BY 1, 2, 3, 4)
+SELECT c.model, c.rf, s, ways, w, v FROM c JOIN (SELECT model, rf, count(*) AS n, coalesce(sum(r) FILTER (up), 0) AS w, coalesce(sum(r) FILTER (NOT up), 0) AS v FROM d GROUP BY 1, 2) e ON e.model = c.model AND e.rf = c.rf AND i = n AND n <= {T.EXACT_PAIRS}) GROUP BY 1, 2"""
+
+
+@query("wilcoxon", W(f"SELECT t.*, round(p_exact, 6) AS p_exact FROM ({tail_sql(_WILCOXON, 'model, rf, n, w_plus, w_minus')}) t LEFT JOIN ({_EXACT_SIGNED}) e ON e.model = t.model AND e.rf = t.rf", "runs"))
 def _(spark: SparkSession, d: str) -> DataFrame:
     return rounded(T.wilcoxon(T.pair_runs(C.runs(spark, d), 1), ["model", "rf"]))
 
 
+_RANKED = """SELECT rf, model = 'A' AS own, (2 * (rank() OVER (PARTITION BY rf ORDER BY roc_auc) + (count(*) OVER (PARTITION BY rf, roc_auc) - 1) / 2.0))::BIGINT AS r, row_number() OVER (PARTITION BY rf ORDER BY roc_auc) AS nth FROM runs WHERE model IN ('A', 'N')"""
+_EXACT_RANKED = f"""SELECT rf, least(1.0, 2 * least(sum(ways) FILTER (s <= w), sum(ways) FILTER (s >= w)) / sum(ways)) AS p_exact FROM (WITH RECURSIVE d AS MATERIALIZED ({_RANKED}), c AS (
+SELECT DISTINCT rf, 0::BIGINT AS i, 0::BIGINT AS k, 0::BIGINT AS s, 1.0::DOUBLE AS ways FROM d UNION ALL
+SELECT c.rf, c.i + 1, c.k + t, c.s + t * r, sum(ways) FROM c JOIN d ON d.rf = c.rf AND nth = i + 1 CROSS JOIN (VALUES (0), (1)) t(t) GROUP BY 1, 2, 3, 4)
+SELECT c.rf, s, ways, w FROM c JOIN (SELECT rf, count(*) AS n, count(*) FILTER (own) AS n1, sum(r) FILTER (own) AS w FROM d GROUP BY 1) e ON e.rf = c.rf AND i = n AND k = n1 AND n1 > 0 AND n1 < n AND n <= {T.EXACT_VALUES}) GROUP BY 1"""
 _MANN = """SELECT rf, n1, n2, r1 - n1 * (n1 + 1) / 2.0 AS u, greatest(abs(r1 - n1 * (n1 + 1) / 2.0 - n1 * n2 / 2.0) - 0.5, 0) / sqrt(n1 * n2 / 12.0 * ((n1 + n2 + 1) - ties / ((n1 + n2) * (n1 + n2 - 1)))) AS z FROM (
 SELECT rf, count(*) FILTER (model = 'A') AS n1, count(*) FILTER (model = 'N') AS n2, sum(r) FILTER (model = 'A') AS r1, sum(t * t - 1) AS ties FROM (
 SELECT *, rank() OVER (PARTITION BY rf ORDER BY roc_auc) + (count(*) OVER (PARTITION BY rf, roc_auc) - 1) / 2.0 AS r, count(*) OVER (PARTITION BY rf, roc_auc) AS t FROM runs WHERE model IN ('A', 'N')) GROUP BY 1)"""
 
 
-@query("mann_whitney", W(tail_sql(_MANN, "rf, n1, n2, round(u, 6) AS u"), "runs"))
+@query("mann_whitney", W(f"SELECT t.*, round(p_exact, 6) AS p_exact FROM ({tail_sql(_MANN, 'rf, n1, n2, round(u, 6) AS u')}) t LEFT JOIN ({_EXACT_RANKED}) e ON e.rf = t.rf", "runs"))
 def _(spark: SparkSession, d: str) -> DataFrame:
     return rounded(T.mann_whitney(C.runs(spark, d).filter("model IN ('A', 'N')"), ["rf"], "roc_auc", F.col("model") == "A"))
 
