@@ -21,7 +21,8 @@ from voxframe.operators import fits as B
 from voxframe.operators import scoring as S
 from voxframe.operators import spatial as P
 from voxframe.operators import statistics as T
-from voxframe.sources.shared import Scratch, cut, exists, new_folder
+from voxframe.sources.runstore import RunStore
+from voxframe.sources.shared import Scratch, cut, new_folder
 
 KEY = ("subject", "x", "y", "z")
 FAILURES = (ValueError, RuntimeError, PySparkException, Py4JJavaError)
@@ -122,40 +123,37 @@ def fold_scores(scored: DataFrame, keys: Sequence[str] = ("subject",)) -> DataFr
     return S.confusion_metrics(scored, list(keys), y="label").join(S.roc_auc(points, list(keys)), list(keys), "left")
 
 
-def done_folds(spark: SparkSession, store: str) -> set[tuple[str, int, int]]:
-    """model, repeat and fold of the scores in a store; none where there is no store yet. A store that can't be read is an error."""
-    if not exists(spark, store):
-        return set()
-    return {tuple(r) for r in spark.read.parquet(store).select("model", "repeat", "fold").distinct().collect()}
-
-
 def cross_validate(df: DataFrame, channels: Sequence[str], spec: Spec, k: int, repeats: int = 1, store: str | None = None, clinical: DataFrame | None = None, train_on: DataFrame | None = None) -> tuple[DataFrame, int]:
     """Scores of every test image over k folds and repeats, and the number of folds that failed.
 
     Logistic regressions are fitted for all folds at once: the jobs don't grow with their number. Other estimators go fold
-    by fold. Scores are appended to `store` (a folder of its own by default) as they come, and a restart leaves out the folds
-    that are in the store; a fold that fails is counted and skipped. `train_on`: subjects that only ever train, besides each
+    by fold. Scores and parameters, for logistic regressions also weights, are published to `store` (a RunStore's folder, one of
+    its own by default) as they come, each fold whole or not at all; a restart leaves out the folds that are in the store; a
+    fold that fails is counted and skipped. `train_on`: subjects that only ever train, besides each
     fold's own.
     """
     spark = df.sparkSession
-    store = store or new_folder(spark)
+    runs = RunStore(spark, store or new_folder(spark))
     voxels = spec.prepare(df) if spec.prepare else df
     if clinical is not None:
         voxels = voxels.join(clinical.select("subject"), "subject", "left_semi")
     tested = voxels if train_on is None else voxels.join(train_on, "subject", "left_anti")
-    folds, done = cut(T.subject_kfold(tested, k, repeats)), done_folds(spark, store)
+    folds, done = cut(T.subject_kfold(tested, k, repeats)), runs.parts()
     if train_on is not None:
         others = train_on.select("subject").distinct().withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1)))).withColumn("fold", F.lit(-1))
         folds = folds.unionByName(others)
     todo = [(repeat, fold) for repeat in range(repeats) for fold in range(k) if (spec.name, repeat, fold) not in done]
     run = _all_folds if spec.estimator is logistic else _fold_by_fold
-    failed = run(voxels, channels, spec, folds, todo, store, clinical) if todo else 0
-    if not exists(spark, store):  # every fold failed: nothing was stored
-        return spark.createDataFrame([], SCORES), failed
-    return spark.read.parquet(store).filter(F.col("model") == spec.name), failed
+    failed = run(voxels, channels, spec, folds, todo, runs, clinical) if todo else 0
+    return runs.read("scores", SCORES).filter(F.col("model") == spec.name), failed
+
+
+def run_params(spark: SparkSession, channels: Sequence[str], spec: Spec, parts: Sequence[tuple[int, int]]) -> DataFrame:
+    """model, repeat, fold, radius and channels of the runs."""
+    return spark.createDataFrame([(spec.name, r, f, list(spec.radius), list(channels)) for r, f in parts], "model string, repeat int, fold int, radius array<int>, channels array<string>")
 
 
-def _fold_by_fold(voxels: DataFrame, channels: Sequence[str], spec: Spec, folds: DataFrame, todo: Sequence[tuple[int, int]], store: str, clinical: DataFrame | None) -> int:
+def _fold_by_fold(voxels: DataFrame, channels: Sequence[str], spec: Spec, folds: DataFrame, todo: Sequence[tuple[int, int]], runs: RunStore, clinical: DataFrame | None) -> int:
     """The prepared features are written once; each fold is a Spark job over all its voxels."""
     prepared, failed = cut(features(voxels, channels, spec.radius, clinical)), 0
     for repeat, fold in todo:
@@ -163,13 +161,13 @@ def _fold_by_fold(voxels: DataFrame, channels: Sequence[str], spec: Spec, folds:
             rows = build_fold(prepared, folds, repeat, fold)
             scores = fold_scores(predict(fit(rows.filter("part = 'train'").drop("part"), spec), rows.filter("part = 'test'").drop("part")))
             scores = scores.withColumns({"model": F.lit(spec.name), "repeat": F.lit(repeat), "fold": F.lit(fold)})
-            scores.write.mode("append").parquet(store)
+            runs.append([(spec.name, repeat, fold)], scores=scores, params=run_params(voxels.sparkSession, channels, spec, [(repeat, fold)]))
         except FAILURES:
             failed += 1
     return failed
 
 
-def _all_folds(voxels: DataFrame, channels: Sequence[str], spec: Spec, folds: DataFrame, todo: Sequence[tuple[int, int]], store: str, clinical: DataFrame | None) -> int:
+def _all_folds(voxels: DataFrame, channels: Sequence[str], spec: Spec, folds: DataFrame, todo: Sequence[tuple[int, int]], runs: RunStore, clinical: DataFrame | None) -> int:
     """Training rows of all folds are chosen before their features are made; each Newton step is one scan for all folds; test voxels get features and scores on the fly."""
     spark = voxels.sparkSession
     models = F.broadcast(spark.createDataFrame([(m, r, f) for m, (r, f) in enumerate(todo)], "model int, repeat int, fold int"))
@@ -181,7 +179,9 @@ def _all_folds(voxels: DataFrame, channels: Sequence[str], spec: Spec, folds: Da
         return len(todo)
     scored = _score_sets(voxels, channels, spec.radius, tests, weights, clinical, "mask").filter(F.col("model").isin([int(m) for m in np.flatnonzero(fitted)]))
     scores = fold_scores(scored.withColumnRenamed("model", "__model"), ("__model", "subject")).join(models.withColumnRenamed("model", "__model"), "__model").drop("__model")
-    scores.withColumn("model", F.lit(spec.name)).write.mode("append").parquet(store)
+    good = [part for part, ok in zip(todo, fitted, strict=True) if ok]
+    kept = spark.createDataFrame([(spec.name, *todo[m], weights[m].tolist()) for m in np.flatnonzero(fitted)], "model string, repeat int, fold int, weights array<double>")
+    runs.append([(spec.name, *part) for part in good], scores=scores.withColumn("model", F.lit(spec.name)), params=run_params(spark, channels, spec, good), models=kept)
     return int((~fitted).sum())
 
 

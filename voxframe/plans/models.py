@@ -13,6 +13,7 @@ from voxframe.operators import scoring as S
 from voxframe.plans.registry import query, rounded
 from voxframe.plans.scoring import _COUNTS, _METRICS
 from voxframe.sources import tables as R
+from voxframe.sources.runstore import RunStore
 from voxframe.sources.shared import new_folder as folder
 
 KEY = ("subject", "x", "y", "z")
@@ -134,12 +135,14 @@ _SCORED = "SELECT subject, {c}, CAST(subject % 2 AS INT) AS fold FROM (SELECT su
 
 @query("run_store", W("WITH c AS (" + _SCORED.format(c=_COUNTS) + f") SELECT subject, {_METRICS}, fold FROM c", "vox"))
 def _(spark: SparkSession, d: str) -> DataFrame:
-    """Image scores of two folds, appended one after the other and read again."""
-    path = folder(spark)
+    """Image scores of two folds, published one after the other; an attempt that was never published is not seen and a fold published again is there once."""
+    store = RunStore(spark, folder(spark))
     scores = C.vox(spark, d).select("subject", "label", (F.col("tmax") / 12.5).alias("score"))
-    for fold in (0, 1):
-        R.append_scores(S.confusion_metrics(scores.filter(F.col("subject") % 2 == fold), ["subject"], y="label").withColumn("fold", F.lit(fold)), path)
-    return rounded(spark.read.parquet(path))
+    of = lambda fold: S.confusion_metrics(scores.filter(F.col("subject") % 2 == fold), ["subject"], y="label").withColumns({"model": F.lit("m"), "repeat": F.lit(0), "fold": F.lit(fold)})
+    store.write(scores=of(1))
+    for fold in (0, 1, 0):
+        store.append([("m", 0, fold)], scores=of(fold))
+    return rounded(store.read().drop("model", "repeat"))
 
 
 @query("report_sink", W("SELECT model, round(avg(roc_auc), 6) AS roc_auc FROM runs GROUP BY 1", "runs"))

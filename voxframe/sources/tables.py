@@ -105,11 +105,6 @@ def write_report(sheets: dict[str, DataFrame], folder: str, form: str = "parquet
         df.write.mode("overwrite").format(form).option("header", "true").save(f"{folder}/{name}")
 
 
-def append_scores(df: DataFrame, folder: str) -> None:
-    """A fold's scores, so that a crash loses at most one fold."""
-    df.write.mode("append").parquet(folder)
-
-
 def load_runs(paths: DataFrame, path: str = "path") -> DataFrame:
     """model, rf and kernel of run folders: from params columns where present, otherwise from the folder's name (<model>_rf<r>[_k<k>])."""
     name = F.regexp_extract(path, "([^/]+)/*$", 1)
