@@ -280,6 +280,26 @@ def test_exact_quantiles(spark):
     assert exact_quantiles(df.filter("false"), "v", (0.5,)) == [None]
 
 
+def test_quantiles_of_many_columns_in_few_scans(spark):
+    """Four columns at two ranks each, one of them without values: equal to single searches, in a few jobs whatever the columns."""
+    from voxframe.operators.quantiles import exact_quantiles, exact_quantiles_of
+
+    x = spark.range(30_000).select(F.randn(3).alias("a"), F.pow(F.randn(4), 3).alias("b"), (F.col("id") % 7).cast("int").alias("c"), F.lit(None).cast("double").alias("d"), F.when(F.col("id") % 3 == 0, F.randn(5) * 1e6).alias("e")).cache()
+    x.count()
+    shares = (0.25, 0.9)
+    tracker = spark.sparkContext.statusTracker()
+
+    def jobs(work) -> tuple[object, int]:
+        before = len(tracker.getJobIdsForGroup())
+        return work(), len(tracker.getJobIdsForGroup()) - before
+
+    got, many = jobs(lambda: exact_quantiles_of(x, {c: shares for c in "abcde"}))
+    one, single = jobs(lambda: exact_quantiles(x, "b", shares))
+    assert got["b"] == one and got["d"] == [None, None] and many <= single + 4
+    want = x.agg(*[F.percentile(c, F.array(*map(F.lit, shares))).alias(c) for c in "abce"]).first()
+    assert all(got[c] == pytest.approx(want[c], rel=1e-12) for c in "abce")
+
+
 def test_pooled_quantiles_leave_no_percentile_in_the_plan(spark):
     df = spark.createDataFrame([(0, 0, 0, 0, 7.0, 1), (1, 0, 0, 0, 1.0, 1)], "subject long, x int, y int, z int, tmax double, mask int")
     for out in (N.penumbra(df), N.rescale_outliers(df, ("tmax",))):

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voxframe.functions.voxel import side
-from voxframe.operators.quantiles import exact_quantiles
+from voxframe.operators.quantiles import exact_quantiles, exact_quantiles_of
 
 KEY = "subject"
 CLIP = (0.01, 0.99)
@@ -27,7 +27,7 @@ def rescale_outliers(df: DataFrame, channels: Sequence[str], factor: float = 5.0
     """A channel is divided by 10 in the subjects whose masked median is over 5 times the pooled masked median, all medians taken from the input."""
     masked = df.filter("mask = 1")
     own = masked.groupBy(KEY).agg(*[F.percentile(c, F.lit(0.5)).alias(f"__own_{c}") for c in channels])
-    pooled = {c: exact_quantiles(masked, c, [0.5])[0] for c in channels}
+    pooled = {c: q[0] for c, q in exact_quantiles_of(masked, {c: [0.5] for c in channels}).items()}
     flags = own.select(KEY, *[(F.col(f"__own_{c}") > factor * F.lit(pooled[c]).cast("double")).alias(f"__out_{c}") for c in channels])
     fixed = {c: F.when(F.coalesce(F.col(f"__out_{c}"), F.lit(False)), F.col(c) / divisor).otherwise(F.col(c)) for c in channels}
     return df.join(flags, KEY, "left").withColumns(fixed).drop(*[f"__out_{c}" for c in channels])
