@@ -11,6 +11,7 @@ from fractions import Fraction
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -276,3 +277,24 @@ def test_collocations_odd_rows(odd):
     assert got == plain_phrases([tuple(r) for r in odd.select("lang", "text").collect()], 5, 50) and got
     assert collocations.phrase_collocations(odd.filter("false")).count() == 0
     assert collocations.phrase_collocations(odd.filter("text IS NULL")).count() == 0
+
+
+def test_collocations_pass_small_batches(spark):
+    """Whatever lies in a partition, Spark holds some 10 MB of encoded rows for a worker at once, and gets counts in small parts."""
+    text = F.repeat(F.lit("".join(f"w{i % 97}" + (", " if i % 7 == 0 else " ") for i in range(1000))), 4000)
+    encoded = spark.range(1, numPartitions=1).select(F.lit("en"), text).mapInArrow(collocations._encode(0), "lang string, ids binary, word string, h long, c long").filter("ids IS NOT NULL").select("lang", "ids")
+
+    def sizes(batches):
+        for b in batches:
+            ids = [np.frombuffer(x, np.uint64) for x in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_pydict({"size": [b.nbytes], "words": [sum(np.count_nonzero(x) for x in ids)]})
+
+    got = encoded.mapInArrow(sizes, "size long, words long").collect()
+    assert sum(r["words"] for r in got) == 4_000_000 and max(r["size"] for r in got) < 16 << 20
+    ids = np.arange(1, 200_001, dtype=np.uint64)
+    parts = list(collocations._counted("en", ids, np.arange(199_999), 2, 7))
+    assert max(p.num_rows for p in parts) <= 1 << 16
+    assert sorted(x for p in parts for x in zip(*[c.to_pylist() for c in p.columns[1:]], strict=True)) == [(i, i + 1, 1) for i in range(1, 200_000)]
+    vocabulary = pa.RecordBatch.from_pydict({"lang": ["en"], "text": [" ".join(f"w{i}" for i in range(200_000))]})
+    parts = list(collocations._encode(0)(iter([vocabulary])))
+    assert max(p.num_rows for p in parts) <= 1 << 16 and sum(len(set(p.column(2).drop_null().to_pylist())) for p in parts) == 200_000

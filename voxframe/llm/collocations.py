@@ -17,9 +17,11 @@ from voxframe.llm.text import BASE, mix, slices
 KIND = kinds(b" \t", b".,;:!?\n\v\f\r")
 UNKNOWN = "und"
 LONGEST, LEAST, BEST = 5, 100, 2000
-#: Texts read at once, in bytes; words of an encoded row, unless a piece is longer, and those counted together. Readers hold
-#: thousands of rows at once, so rows are small.
-SLICE, ROW, GROUP = 1 << 20, 1 << 10, 1 << 19
+#: Texts read at once, in bytes; words of an encoded row, unless a piece is longer, and those counted together. Spark hands
+#: 10,000 rows to a Python worker at once and holds them twice outside its heap, so rows are small: some 10 MB at once.
+SLICE, ROW, GROUP = 1 << 20, 1 << 7, 1 << 18
+#: Rows of counts that a Python worker hands back at once.
+HANDED = 1 << 15
 #: Texts taken from a batch at once, and distinct words that a task holds before it hands their counts on.
 ROWS, HELD = 1 << 9, 1 << 17
 #: Share of all word occurrences that the first frontier's words have; each later one's has four times as many.
@@ -39,6 +41,11 @@ def rows_of(ids: np.ndarray) -> list[bytes]:
     return [row.tobytes() for row in (ids[a:b] for a, b in zip([0, *(ends + 1)], [*ends, len(ids)], strict=True)) if len(row)]
 
 
+def _handed(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of HANDED rows."""
+    return (batch.slice(k, HANDED) for k in range(0, batch.num_rows, HANDED))
+
+
 def _encode(seed: int):
     """Texts as rows of word hashes (0: a break that no phrase crosses) and rows of word counts."""
     names = ["lang", "ids", "word", "h", "c"]
@@ -75,10 +82,10 @@ def _encode(seed: int):
                         entry = held.setdefault((lang, lower[s:e]), [h, 0])
                         entry[1] += c
                     if len(held) > HELD:
-                        yield counted(held)
+                        yield from _handed(counted(held))
                         held = {}
         if held:
-            yield counted(held)
+            yield from _handed(counted(held))
 
     return run
 
@@ -173,7 +180,7 @@ def _counted(lang: str, ids: np.ndarray, at: np.ndarray, m: int, salt: int) -> I
     first = np.flatnonzero(np.concatenate(([True], ~same)))
     columns = [pa.array(ids[at[first] + k].view(np.int64)) for k in range(m)]
     name = pa.DictionaryArray.from_arrays(np.zeros(len(first), np.int32), [lang]).cast(pa.string())
-    yield pa.RecordBatch.from_arrays([name, *columns, pa.array(np.diff(np.append(first, len(at))).astype(np.int64))], names=["lang", *[f"w{k}" for k in range(m)], "c"])
+    yield from _handed(pa.RecordBatch.from_arrays([name, *columns, pa.array(np.diff(np.append(first, len(at))).astype(np.int64))], names=["lang", *[f"w{k}" for k in range(m)], "c"]))
 
 
 def _summed(encoded: DataFrame, work, m: int) -> DataFrame:
