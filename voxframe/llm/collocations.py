@@ -18,7 +18,7 @@ KIND = kinds(b" \t", b".,;:!?\n\v\f\r")
 UNKNOWN = "und"
 LONGEST, LEAST, BEST = 5, 100, 2000
 #: Texts read at once, in bytes; words of an encoded row, unless a piece is longer, and those counted together. Spark hands
-#: 10,000 rows to a Python worker at once and holds them twice outside its heap, so rows are small: some 10 MB at once.
+#: 10,000 rows to a Python worker at once, so rows are small: some 10 MB at once.
 SLICE, ROW, GROUP = 1 << 20, 1 << 7, 1 << 18
 #: Rows of counts that a Python worker hands back at once.
 HANDED = 1 << 15
