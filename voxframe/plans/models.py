@@ -184,8 +184,9 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 def _(spark: SparkSession, d: str) -> DataFrame:
     """A tree of subject/modality/study folders that Spark writes from the inventory, listed by path without reading a file."""
     path = folder(spark)
-    inv = C.inventory(spark, d).select(F.col("subject").alias("s"), F.concat(F.lit("year"), F.year("modality").cast("string")).alias("m"), F.col("study").alias("t"), "n_files")
-    inv.repartition("s").sortWithinPartitions("s", "m", "t").write.partitionBy("s", "m", "t").parquet(path)
-    # Partition folders are named column=value.
-    value = lambda c: F.regexp_replace(c, "^[a-z]=", "").alias(c)
+    # Partition folders are named column=value; a dash parts values, also empty ones, from null.
+    name = lambda c, v: F.coalesce(F.concat(F.lit("-"), v.cast("string")), F.lit("none")).alias(c)
+    value = lambda c: F.when(F.col(c).rlike("^[a-z]=-"), R.unescaped(F.substring(c, 4, 1 << 30))).alias(c)
+    inv = C.inventory(spark, d).select(name("s", F.col("subject")), name("m", F.concat(F.lit("year"), F.year("modality").cast("string"))), name("t", F.col("study")), "n_files")
+    R.write_tree(inv, ("s", "m", "t"), path)
     return R.inventory_scan(spark, path, "*.parquet").select(value("subject"), value("modality"), value("study")).distinct()

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import os
+import re
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+import pyarrow.parquet as pq
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BUCKETS = 64
@@ -19,9 +25,111 @@ def read_cohort(sheet: DataFrame, schema: dict[str, str], unknown: str = "?") ->
     return sheet.select(*[F.expr(f"nullif(trim(cast(`{c}` AS string)), '{unknown}')").cast(t).alias(c) for c, t in schema.items() if c in sheet.columns])
 
 
+def _local(spark: SparkSession, folder: str) -> str | None:
+    """The folder as a path of a file system that is mounted on every machine; None if it is of another kind."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    uri = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toUri()
+    return uri.getPath() if uri.getScheme() == "file" else None
+
+
+#: Characters that Spark escapes in the names of partition folders.
+ESCAPED = re.compile(r"[\x01-\x1f\"#%'*/:=?\\\x7f{\[\]^]")
+
+
+def write_tree(df: DataFrame, keys: Sequence[str], folder: str) -> None:
+    """df's other columns as Parquet files in folder/key=value/..., a folder for each combination of the string keys, none of them null or empty; as Spark's partitioned writer names them.
+
+    That writer takes some milliseconds for each small file and moves them one by one on the driver. On a mounted file
+    system the tasks write the files where they belong; a task that is run again writes the same names.
+    """
+    dealt = df.repartition(4 * df.sparkSession.sparkContext.defaultParallelism, keys[0]).sortWithinPartitions(*keys)
+    root = _local(df.sparkSession, folder)
+    if root is None:
+        return dealt.write.option("mapreduce.fileoutputcommitter.algorithm.version", "2").partitionBy(*keys).parquet(folder)
+    os.makedirs(root, exist_ok=True)
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, n = TaskContext.get().partitionId(), 0
+        for k, batch in enumerate(batches):
+            names = list(zip(*[batch.column(c).to_pylist() for c in keys], strict=True))
+            rest, start = pa.Table.from_batches([batch]).drop_columns(list(keys)), 0
+            for values, same in groupby(names):
+                rows = sum(1 for _ in same)
+                at = os.path.join(root, *[f"{c}={ESCAPED.sub(lambda m: f'%{ord(m[0]):02X}', v)}" for c, v in zip(keys, values, strict=True)])
+                os.makedirs(at, exist_ok=True)
+                pq.write_table(rest.slice(start, rows), f"{at}/part-{part:05d}-{k:05d}.parquet", compression="none", use_dictionary=False, store_schema=False)
+                start, n = start + rows, n + 1
+        yield pa.RecordBatch.from_arrays([pa.array([n])], names=["n"])
+
+    dealt.mapInArrow(write, "n long").agg(F.sum("n")).collect()
+
+
+def unescaped(c: Column) -> Column:
+    """The value in the name of a partition folder."""
+    return F.url_decode(F.replace(c, F.lit("+"), F.lit("%2B")))
+
+
+LISTED = pa.schema([("path", pa.string()), ("ts", pa.timestamp("us", "UTC")), ("n_bytes", pa.int64())])
+
+
+def _seen(name: str) -> bool:
+    """Whether Spark's readers see a file or folder of this name."""
+    return not (name.startswith(".") or name.endswith("._COPYING_") or (name.startswith("_") and "=" not in name and name not in ("_metadata", "_common_metadata")))
+
+
+def _listing(spark: SparkSession, root: str) -> DataFrame:
+    """path, ts, n_bytes of the files below a folder: a task lists the folder, tasks list its folders, and tasks whatever is below those. The driver holds no name."""
+
+    def run(whole: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            out: list[tuple[str, int | None, int | None]] = []
+            make = lambda: pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True), LISTED, strict=True)], schema=LISTED)
+            for batch in it:
+                for path, ts, size in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.int64()).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                    if size is not None:
+                        out.append((path, ts, size))
+                    todo = [path] if size is None else []
+                    while todo:
+                        with os.scandir(todo.pop()) as entries:
+                            for e in entries:
+                                if not _seen(e.name):
+                                    continue
+                                if not e.is_dir():
+                                    found = e.stat()
+                                    out.append((e.path, found.st_mtime_ns // 1_000_000 * 1000, found.st_size))
+                                elif whole:
+                                    todo.append(e.path)
+                                else:
+                                    out.append((e.path, None, None))
+                                if len(out) >= 4096:
+                                    yield make()
+                                    out = []
+            if out:
+                yield make()
+
+        return batches
+
+    # A folder has no size yet.
+    paths = spark.range(0, 1, 1, 1).select(F.lit(root).alias("path"), F.lit(None).cast("timestamp").alias("ts"), F.lit(None).cast("long").alias("n_bytes"))
+    for whole in (False, False, True):
+        paths = paths.mapInArrow(run(whole), "path string, ts timestamp, n_bytes long")
+        if not whole:
+            paths = paths.repartition(4 * spark.sparkContext.defaultParallelism, "path")
+    return paths.withColumn("path", F.concat(F.lit("file:"), "path"))
+
+
 def inventory_scan(spark: SparkSession, folder: str, glob: str = "*") -> DataFrame:
-    """subject, modality, study, file of the files under folder/subject/modality/study/; contents aren't read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(folder).select("path", F.col("modificationTime").alias("ts"), F.col("length").alias("n_bytes"))
+    """subject, modality, study, file of the files under folder/subject/modality/study/; contents aren't read.
+
+    A folder of a mounted file system is listed by tasks. Others are listed by Spark's reader, whose driver holds an entry
+    for each file and whose tasks take a few files each.
+    """
+    root = _local(spark, folder)
+    if root is not None and os.path.isdir(root):
+        pattern = spark._jvm.org.apache.hadoop.fs.GlobPattern(glob).compiled().pattern()
+        files = _listing(spark, root).filter(F.regexp_extract("path", "[^/]*$", 0).rlike(f"^(?:{pattern})$"))
+    else:
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(folder).select("path", F.col("modificationTime").alias("ts"), F.col("length").alias("n_bytes"))
     parts = F.regexp_extract("path", r"([^/]+)/([^/]+)/([^/]+)/([^/]+)$", 0)
     pick = lambda k: F.element_at(F.split(parts, "/"), k)
     return files.filter(F.col("path").rlike(r"[^/]+/[^/]+/[^/]+/[^/]+$")).select(pick(1).alias("subject"), pick(2).alias("modality"), pick(3).alias("study"), pick(4).alias("file"), "ts", "n_bytes")
