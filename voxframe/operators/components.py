@@ -16,22 +16,27 @@ TWENTY_SIX = [(a, b, c) for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (-1, 0,
 SIDE = 32
 
 
+def _wide(df: DataFrame) -> DataFrame:
+    """df as a side of a join that is never broadcast: Spark goes by the size of files, and rows of voxels are many times larger in memory than there."""
+    return df.hint("merge")
+
+
 def _parts(df: DataFrame, value: str, linked: str | None, offsets: Sequence[Offset], side: int) -> tuple[DataFrame, DataFrame]:
-    """Voxels with the root of their region's part in their tile (written once), and subject, root, region of the parts that go on in other tiles."""
+    """Voxels with the root and size of their region's part in their tile, and subject, root, region of the parts that go on in other tiles; both written once."""
     parts = cut(local_regions(df, value, linked, offsets, side))
     moves = F.array(*[F.struct(*[F.lit(k).alias(n) for k, n in zip(o, ("dx", "dy", "dz"), strict=True)]) for o in offsets])
     inside = parts.filter("root IS NOT NULL")
     edge = F.lit(False)
     for a, k in zip("xyz", range(3), strict=True):
         if any(o[k] for o in offsets):
-            edge = edge | (F.col(a) % side == 0) | (F.col(a) % side == side - 1)
+            edge = edge | ((F.col(a) % side == 0) & (F.col(a) > 0)) | (F.col(a) % side == side - 1)
     faces = inside.filter(edge)
     moved = faces.withColumn("m", F.explode(moves)).select("subject", *[(F.col(a) + F.col(f"m.d{a}")).alias(a) for a in "xyz"], *[F.floor(F.col(a) / side).alias(f"t{a}") for a in "xyz"], F.col("v").alias("u"), F.col("root").alias("a"))
     out = F.lit(False)
     for a in "xyz":
         out = out | (F.floor(F.col(a) / side) != F.col(f"t{a}"))
-    links = moved.filter(out).join(faces.select(*KEY, "v", F.col("root").alias("b")), list(KEY)).filter(F.col("u").eqNullSafe(F.col("v"))).select("subject", "a", "b").distinct()
-    return parts, joined_regions(links)
+    links = moved.filter(out).join(_wide(faces.select(*KEY, "v", F.col("root").alias("b"))), list(KEY)).filter(F.col("u").eqNullSafe(F.col("v"))).select("subject", "a", "b").distinct()
+    return parts, cut(joined_regions(links))
 
 
 def label_regions(df: DataFrame, value: str | None = None, offsets: Sequence[Offset] = SIX, side: int = SIDE) -> DataFrame:
@@ -41,28 +46,36 @@ def label_regions(df: DataFrame, value: str | None = None, offsets: Sequence[Off
     a volume together. The result maps parts to regions, so no region is a key of a shuffle, however large it is.
     """
     parts, joined = _parts(df.withColumn("__v", F.lit(0)) if value is None else df, value or "__v", None, offsets, side)
-    return parts.join(joined, ["subject", "root"], "left").select(*KEY, F.coalesce("region", "root").alias("region"))
+    if joined.isEmpty():
+        return parts.select(*KEY, F.col("root").alias("region"))
+    return parts.join(_wide(joined), ["subject", "root"], "left").select(*KEY, F.coalesce("region", "root").alias("region"))
 
 
 def remove_small_objects(df: DataFrame, c: str, least: int, side: int = SIDE) -> DataFrame:
     """The 0/1 column c without its six-connected regions of fewer than `least` voxels; other columns than the key are left out.
 
-    Sizes are counted for parts and summed for regions; voxels look up their part, of one tile at most.
+    Parts come with their sizes; only those that go on in other tiles are summed for regions and looked up by their voxels.
     """
     on = df.select(*KEY, F.col(c).alias("__c")).withColumn("__on", F.col("__c") == 1)
     parts, joined = _parts(on, "__c", "__on", SIX, side)
-    sizes = parts.filter("root IS NOT NULL").groupBy("subject", "root").agg(F.count("*").alias("n")).join(joined, ["subject", "root"], "left").withColumn("region", F.coalesce("region", "root"))
+    large = F.coalesce(F.col("n") >= least, F.lit(False))
+    if joined.isEmpty():
+        return parts.select(*KEY, F.when(large, 1).otherwise(0).alias(c))
+    first = (F.col("x") == F.col("root.x")) & (F.col("y") == F.col("root.y")) & (F.col("z") == F.col("root.z"))  # one voxel of each part
+    sizes = parts.filter(first).select("subject", "root", "n").join(_wide(joined), ["subject", "root"])
     big = sizes.groupBy("subject", "region").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).select("subject", "region")
-    kept = sizes.join(big, ["subject", "region"], "left_semi").select("subject", "root", F.lit(1).alias("__kept"))
-    return parts.join(kept, ["subject", "root"], "left").select(*KEY, F.coalesce("__kept", F.lit(0)).alias(c))
+    kept = joined.join(_wide(big), ["subject", "region"], "left_semi").select("subject", "root", F.lit(True).alias("__kept"))
+    return parts.join(_wide(kept), ["subject", "root"], "left").select(*KEY, F.when(large | F.coalesce("__kept", F.lit(False)), 1).otherwise(0).alias(c))
 
 
 def background_component(df: DataFrame, c: str, side: int = SIDE) -> DataFrame:
     """subject, x, y, z of the voxels of equal value that are 26-connected with voxel (0, 0, 0)."""
     parts, joined = _parts(df, c, None, TWENTY_SIX, side)
     corner = lambda n: (F.col(f"{n}.x") == 0) & (F.col(f"{n}.y") == 0) & (F.col(f"{n}.z") == 0)
+    if joined.isEmpty():
+        return parts.filter(corner("root")).select(*KEY)
     other = joined.filter(corner("region")).select("subject", "root", F.lit(True).alias("__joined"))
-    return parts.join(other, ["subject", "root"], "left").filter(corner("root") | F.col("__joined")).select(*KEY)
+    return parts.join(_wide(other), ["subject", "root"], "left").filter(corner("root") | F.col("__joined")).select(*KEY)
 
 
 def brain_mask(df: DataFrame, channels: tuple[str, ...], csf: str | None = None) -> DataFrame:

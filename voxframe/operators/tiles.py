@@ -144,10 +144,10 @@ def connect(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def local_regions(df: DataFrame, value: str, linked: str | None, offsets: Sequence[Offset], side: int) -> DataFrame:
-    """df's subject, x, y, z and value with `root`: the smallest voxel (x, y, z in turn) of the part of its region that lies in its tile.
+    """df's subject, x, y, z and value with `root`: the smallest voxel (x, y, z in turn) of the part of its region that lies in its tile, and `n`, the part's voxels.
 
     Voxels of a subject are linked if one of the offsets leads from one to the other and they have the same value (nulls
-    are alike). Rows where the boolean column `linked` is not true belong to no region: their root is null.
+    are alike). Rows where the boolean column `linked` is not true belong to no region: their root and n are null.
     """
     rows = df.select(*KEY, F.col(value).alias("v"), (F.lit(True) if linked is None else F.coalesce(F.col(linked), F.lit(False))).alias("linked"))
     for a in "xyz":
@@ -175,12 +175,14 @@ def local_regions(df: DataFrame, value: str, linked: str | None, offsets: Sequen
         root[:, on] = place[:, on[label]]
         none = np.ones(t.num_rows, bool)
         none[on] = False
+        n = np.zeros(t.num_rows, np.int64)
+        n[on] = np.bincount(label, minlength=len(on))[label]
         kinds = [t.schema.field(a).type for a in "xyz"]
         struct = pa.StructArray.from_arrays([pa.array(x, k) for x, k in zip(root, kinds, strict=True)], names=["x", "y", "z"], mask=pa.array(none))
-        yield from pa.table([*[t[c] for c in KEY], t["v"], struct], names=[*KEY, "v", "root"]).to_batches()
+        yield from pa.table([*[t[c] for c in KEY], t["v"], struct, pa.array(n, mask=none)], names=[*KEY, "v", "root", "n"]).to_batches()
 
     kinds = dict(rows.dtypes)
-    schema = ", ".join([*[f"{c} {kinds[c]}" for c in (*KEY, "v")], f"root struct<x:{kinds['x']},y:{kinds['y']},z:{kinds['z']}>"])
+    schema = ", ".join([*[f"{c} {kinds[c]}" for c in (*KEY, "v")], f"root struct<x:{kinds['x']},y:{kinds['y']},z:{kinds['z']}>", "n long"])
     return by_blocks(rows, ("subject", "tx", "ty", "tz"), work, schema)
 
 
