@@ -115,7 +115,7 @@ def sharing_names(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
     often = names.select(F.explode("tokens").alias("t")).groupBy("t").agg(F.count("*").alias("c"))
     # Letters times their most repeats in a name; ranks go by count, ties by letter.
     ranked = names.select("of_left", "name", "n", "tokens", F.explode("tokens").alias("t")).join(often, "t").groupBy("of_left", "name", "n", "tokens").agg(F.sort_array(F.collect_list(F.struct("c", "t"))).alias("by"))
-    rare = ranked.withColumn("rare", F.slice(F.transform("by", lambda s: s["t"]), F.lit(1), F.least(F.col("n"), taken + 2).cast("int"))).drop("by")
+    rare = cut(ranked.withColumn("rare", F.slice(F.transform("by", lambda s: s["t"]), F.lit(1), F.least(F.col("n"), taken + 2).cast("int"))).drop("by"))  # read for both sides and their counts
     short = math.floor((2 - least) / least + 1e-9)  # longest name of which one common letter may be enough
     near = math.floor(short * (2 - least) / least + 1e-9)
     pairs = F.flatten(F.transform("rare", lambda x, i: F.transform(F.slice("rare", i + 2, F.size("rare")), lambda y: F.concat_ws(" ", x, y))))
@@ -134,18 +134,22 @@ def block_match(left: DataFrame, right: DataFrame, name: str = "name", least: fl
 
     The choice goes by the ratio of (right, left), the result is that of (left, right); they rarely differ. Null and empty
     names match nothing; repeated names count once. Names that have a match in a strict pass, where few rare letters decide,
-    are done; only the others are searched further down.
+    are done; only the others are searched further down. Distinct names are written first, since each pass reads them many
+    times: beyond that, work goes by distinct names and not by rows.
     """
     if not 0 < least <= 1:
         raise ValueError("least must be over 0 and at most 1")
-    r, rest = right.select(F.col(name).alias("b")).distinct(), left.select(F.col(name).alias("a")).distinct()
+    names = lambda df, c: cut(df.select(F.col(name).alias(c)).filter(F.col(c) != "").distinct())
+    r, rest = names(right, "b"), names(left, "a")
     done = None
     for step in [*(s for s in PASSES if s > least), least]:
+        if done is not None and rest.isEmpty():
+            break
         scored = sharing_names(rest, r, step).withColumn("r", block_ratio("b", "a")).filter(F.col("r") >= step)
         best = scored.groupBy("a").agg(F.max(F.struct("r", "b")).alias("m")).select("a", F.col("m.b").alias("b"))
         best = cut(best.withColumn("ratio", block_ratio("a", "b")))
         done = best if done is None else done.unionByName(best)
-        rest = rest.join(best, "a", "left_anti")
+        rest = cut(rest.join(best, "a", "left_anti"))
     return done
 
 
