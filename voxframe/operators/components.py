@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxframe.operators.tiles import KEY, Offset, joined_regions, local_regions
+from voxframe.operators.tiles import KEY, Offset, joined_regions, local_regions, smoothed_parts
 from voxframe.sources.shared import cut
 
 SIX = [(1, 0, 0), (0, 1, 0), (0, 0, 1)]
@@ -24,6 +24,11 @@ def _wide(df: DataFrame) -> DataFrame:
 def _parts(df: DataFrame, value: str, linked: str | None, offsets: Sequence[Offset], side: int) -> tuple[DataFrame, DataFrame]:
     """Voxels with the root and size of their region's part in their tile, and subject, root, region of the parts that go on in other tiles; both written once."""
     parts = cut(local_regions(df, value, linked, offsets, side))
+    return parts, _joined(parts, offsets, side)
+
+
+def _joined(parts: DataFrame, offsets: Sequence[Offset], side: int) -> DataFrame:
+    """subject, root, region of the parts that go on in other tiles, written once."""
     moves = F.array(*[F.struct(*[F.lit(k).alias(n) for k, n in zip(o, ("dx", "dy", "dz"), strict=True)]) for o in offsets])
     inside = parts.filter("root IS NOT NULL")
     edge = F.lit(False)
@@ -36,7 +41,19 @@ def _parts(df: DataFrame, value: str, linked: str | None, offsets: Sequence[Offs
     for a in "xyz":
         out = out | (F.floor(F.col(a) / side) != F.col(f"t{a}"))
     links = moved.filter(out).join(_wide(faces.select(*KEY, "v", F.col("root").alias("b"))), list(KEY)).filter(F.col("u").eqNullSafe(F.col("v"))).select("subject", "a", "b").distinct()
-    return parts, cut(joined_regions(links))
+    return cut(joined_regions(links))
+
+
+def _with_size(parts: DataFrame, joined: DataFrame, least: int) -> DataFrame:
+    """parts with `large`: whether the region has so many voxels. Parts come with their sizes; only those that go on in other tiles are summed for regions and looked up by their voxels."""
+    large = F.coalesce(F.col("n") >= least, F.lit(False))
+    if joined.isEmpty():
+        return parts.withColumn("large", large)
+    first = (F.col("x") == F.col("root.x")) & (F.col("y") == F.col("root.y")) & (F.col("z") == F.col("root.z"))  # one voxel of each part
+    sizes = parts.filter(first).select("subject", "root", "n").join(_wide(joined), ["subject", "root"])
+    big = sizes.groupBy("subject", "region").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).select("subject", "region")
+    kept = joined.join(_wide(big), ["subject", "region"], "left_semi").select("subject", "root", F.lit(True).alias("__kept"))
+    return parts.join(_wide(kept), ["subject", "root"], "left").withColumn("large", large | F.coalesce("__kept", F.lit(False)))
 
 
 def label_regions(df: DataFrame, value: str | None = None, offsets: Sequence[Offset] = SIX, side: int = SIDE) -> DataFrame:
@@ -52,20 +69,15 @@ def label_regions(df: DataFrame, value: str | None = None, offsets: Sequence[Off
 
 
 def remove_small_objects(df: DataFrame, c: str, least: int, side: int = SIDE) -> DataFrame:
-    """The 0/1 column c without its six-connected regions of fewer than `least` voxels; other columns than the key are left out.
-
-    Parts come with their sizes; only those that go on in other tiles are summed for regions and looked up by their voxels.
-    """
+    """The 0/1 column c without its six-connected regions of fewer than `least` voxels; other columns than the key are left out."""
     on = df.select(*KEY, F.col(c).alias("__c")).withColumn("__on", F.col("__c") == 1)
-    parts, joined = _parts(on, "__c", "__on", SIX, side)
-    large = F.coalesce(F.col("n") >= least, F.lit(False))
-    if joined.isEmpty():
-        return parts.select(*KEY, F.when(large, 1).otherwise(0).alias(c))
-    first = (F.col("x") == F.col("root.x")) & (F.col("y") == F.col("root.y")) & (F.col("z") == F.col("root.z"))  # one voxel of each part
-    sizes = parts.filter(first).select("subject", "root", "n").join(_wide(joined), ["subject", "root"])
-    big = sizes.groupBy("subject", "region").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).select("subject", "region")
-    kept = joined.join(_wide(big), ["subject", "region"], "left_semi").select("subject", "root", F.lit(True).alias("__kept"))
-    return parts.join(_wide(kept), ["subject", "root"], "left").select(*KEY, F.when(large | F.coalesce("__kept", F.lit(False)), 1).otherwise(0).alias(c))
+    return _with_size(*_parts(on, "__c", "__on", SIX, side), least).select(*KEY, F.when(F.col("large"), 1).otherwise(0).alias(c))
+
+
+def smoothed_regions(df: DataFrame, names: Sequence[str], least: int, carry: Sequence[str] = (), side: int = SIDE) -> DataFrame:
+    """subject, name, x, y, z and the carried columns of the voxels where a 0/1 column is on, after closing and opening by the six-neighbour ball and without regions of fewer than `least` voxels."""
+    parts = cut(smoothed_parts(df, names, carry, SIX, side))
+    return _with_size(parts, _joined(parts, SIX, side), least).filter("large").select("subject.subject", "subject.name", "x", "y", "z", *carry)
 
 
 def background_component(df: DataFrame, c: str, side: int = SIDE) -> DataFrame:

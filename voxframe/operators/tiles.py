@@ -143,6 +143,22 @@ def connect(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return label
 
 
+def _labels(block: np.ndarray, at: np.ndarray, code: np.ndarray, offsets: Sequence[Offset]) -> np.ndarray:
+    """For voxels in the order of block, x, y, z the first one of each one's region; linked are those of a block that an offset parts and whose codes are the same."""
+    number = np.full((block[-1] + 1, *(at.max(axis=1) + 1)) if len(block) else (0, 0, 0, 0), -1)
+    number[(block, *at)] = np.arange(len(block))
+    ends: list[tuple[np.ndarray, np.ndarray]] = []
+    for o in offsets:
+        near = (slice(None), *[slice(max(0, -k), n - max(0, k)) for k, n in zip(o, number.shape[1:], strict=True)])
+        far = (slice(None), *[slice(max(0, k), n - max(0, -k)) for k, n in zip(o, number.shape[1:], strict=True)])
+        a, b = number[near].ravel(), number[far].ravel()
+        both = (a >= 0) & (b >= 0)
+        a, b = a[both], b[both]
+        same = code[a] == code[b]
+        ends.append((a[same], b[same]))
+    return connect(len(block), *[np.concatenate(x) for x in zip(*ends, strict=True)])
+
+
 def local_regions(df: DataFrame, value: str, linked: str | None, offsets: Sequence[Offset], side: int) -> DataFrame:
     """df's subject, x, y, z and value with `root`: the smallest voxel (x, y, z in turn) of the part of its region that lies in its tile, and `n`, the part's voxels.
 
@@ -159,18 +175,7 @@ def local_regions(df: DataFrame, value: str, linked: str | None, offsets: Sequen
         on = np.flatnonzero(t["linked"].to_numpy(zero_copy_only=False))
         on = on[np.lexsort((*at[::-1, on], block[on]))]
         code = t["v"].chunk(0).take(pa.array(on)).dictionary_encode(null_encoding="encode").indices.to_numpy()
-        number = np.full((block[-1] + 1, *(at.max(axis=1) + 1)), -1)
-        number[(block[on], *at[:, on])] = np.arange(len(on))
-        ends: list[tuple[np.ndarray, np.ndarray]] = []
-        for o in offsets:
-            near = (slice(None), *[slice(max(0, -k), n - max(0, k)) for k, n in zip(o, number.shape[1:], strict=True)])
-            far = (slice(None), *[slice(max(0, k), n - max(0, -k)) for k, n in zip(o, number.shape[1:], strict=True)])
-            a, b = number[near].ravel(), number[far].ravel()
-            both = (a >= 0) & (b >= 0)
-            a, b = a[both], b[both]
-            same = code[a] == code[b]
-            ends.append((a[same], b[same]))
-        label = connect(len(on), *[np.concatenate(x) for x in zip(*ends, strict=True)])
+        label = _labels(block[on], at[:, on], code, offsets)
         root = np.zeros((3, t.num_rows), place.dtype)
         root[:, on] = place[:, on[label]]
         none = np.ones(t.num_rows, bool)
@@ -186,6 +191,70 @@ def local_regions(df: DataFrame, value: str, linked: str | None, offsets: Sequen
     return by_blocks(rows, ("subject", "tx", "ty", "tz"), work, schema)
 
 
+def ball(a: np.ndarray, largest: bool) -> np.ndarray:
+    """Volumes a[i] of flags dilated or eroded with a voxel and its six neighbours; outside is off."""
+    out = a.copy()
+    for k in (1, 2, 3):
+        near, far = [slice(None)] * 4, [slice(None)] * 4
+        near[k], far[k] = slice(None, -1), slice(1, None)
+        low, high = tuple(near), tuple(far)
+        if largest:
+            out[low] |= a[high]
+            out[high] |= a[low]
+        else:
+            out[low] &= a[high]
+            out[high] &= a[low]
+            for end in (0, -1):
+                edge = [slice(None)] * 4
+                edge[k] = end
+                out[tuple(edge)] = False
+    return out
+
+
+#: How far closing and opening by the ball look.
+REACH = 4
+
+
+def smoothed_parts(df: DataFrame, names: Sequence[str], carry: Sequence[str], offsets: Sequence[Offset], side: int) -> DataFrame:
+    """Of each 0/1 column, closed and opened by the six-neighbour ball, the voxels that are on, as local_regions gives them: subject (subject and name of the column), x, y, z, v (1), root, n, and the columns to carry.
+
+    All columns go in one shuffle as bits of a number, to each tile within reach; what is off goes no further.
+    """
+    bits = F.lit(0).cast("long")
+    for i, c in enumerate(names):
+        bits = bits.bitwiseOR(F.when(F.col(c) == 1, F.lit(1 << i)).otherwise(F.lit(0)).cast("long"))
+    rows = with_halo(df.select(*KEY, bits.alias("bits"), *carry), (REACH,) * 3, side)
+    kinds = dict(rows.dtypes)
+
+    def work(t: pa.Table, block: np.ndarray) -> Iterator[pa.RecordBatch]:
+        place = np.stack([t[a].to_numpy() for a in "xyz"])
+        at = place - np.stack([t[f"t{a}"].to_numpy() for a in "xyz"]) * side
+        own, wide = ((at >= 0) & (at < side)).all(axis=0), at + REACH
+        there = np.zeros((block[-1] + 1, *(wide.max(axis=1) + 1)), bool)
+        there[(block, *wide)] = True
+        given = t["bits"].to_numpy()
+        for i, name in enumerate(names):
+            m = np.zeros(there.shape, bool)
+            m[(block, *wide)] = (given >> i) & 1 == 1
+            for largest in (True, False, False, True):
+                m = ball(m, largest) & there
+            on = np.flatnonzero(m[(block, *wide)] & own)
+            if not len(on):
+                continue
+            on = on[np.lexsort((*at[::-1, on], block[on]))]
+            label = _labels(block[on], at[:, on], np.zeros(len(on), np.int8), offsets)
+            first = place[:, on[label]]
+            taken = t.select([*KEY, *carry]).take(pa.array(on)).combine_chunks()
+            column = lambda c: taken[c].chunk(0)  # noqa: B023, E731
+            volume = pa.StructArray.from_arrays([column("subject"), pa.array([name] * len(on))], names=["subject", "name"])
+            root = pa.StructArray.from_arrays([pa.array(x, t.schema.field(a).type) for x, a in zip(first, "xyz", strict=True)], names=["x", "y", "z"])
+            sizes = np.bincount(label, minlength=len(on))[label].astype(np.int64)
+            yield from pa.table([volume, *map(column, "xyz"), pa.array(np.ones(len(on), np.int32)), root, pa.array(sizes), *map(column, carry)], names=[*KEY, "v", "root", "n", *carry]).to_batches()
+
+    schema = ", ".join([f"subject struct<subject:{kinds['subject']},name:string>", *[f"{a} {kinds[a]}" for a in "xyz"], "v int", f"root struct<x:{kinds['x']},y:{kinds['y']},z:{kinds['z']}>", "n long", *[f"`{c}` {kinds[c]}" for c in carry]])
+    return by_blocks(rows, ("subject", "tx", "ty", "tz"), work, schema)
+
+
 def joined_regions(links: DataFrame) -> DataFrame:
     """subject, root, region: of links subject, a, b between parts of regions, the smallest part that each is connected with. A group holds the links of one volume."""
     kinds = dict(links.dtypes)
